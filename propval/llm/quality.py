@@ -17,7 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propval.llm.text import SPACE, WORD, window_hashes, words
+from propval.llm.text import SPACE, WORD, window_hashes, word_hashes, words
+from propval.session import written
 
 WINDOW = 5
 #: P(good) before any vote.
@@ -43,13 +44,10 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 EXTRA = ("n_lines", "n_capitals", "n_shouts", "n_bars")
 
 
-def repeat_words(w: Column) -> Column:
-    """Words that stand in a WINDOW-word window found twice or more in the text (windows by 64-bit hash).
+def repeat_words(hashes: Column) -> Column:
+    """Words that stand in a WINDOW-word window found twice or more in the text. hashes: of all windows, a column.
 
     Windows are sorted by (hash, place), so equal ones are neighbours: n log n for a text, whatever repeats."""
-    n = F.size(w)
-    hashes = window_hashes(w, WINDOW)
-
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
         count = F.size(pairs)
@@ -63,7 +61,7 @@ def repeat_words(w: Column) -> Column:
         follow = F.concat(F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0))), F.array(F.lit(1 << 30)))
         return F.aggregate(F.zip_with(places, follow, lambda p, q: F.least(q - p, F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
 
-    return F.when((n > WINDOW) & (F.size(F.array_distinct(hashes)) < F.size(hashes)), covered(hashes)).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(hashes)).otherwise(F.lit(0)).cast("long")
 
 
 def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -71,23 +69,26 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     p = lambda name: f"{prefix}{name}"
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     only = lambda keep: F.length(F.regexp_replace(t, f"[^{keep}]+", "")).cast("long")
+    one = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("long")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     return (
         docs.withColumn(p("__words"), words(F.col(f"`{text}`")))
+        .withColumn(p("__hashes"), word_hashes(F.col(p("__words"))))
+        .withColumn(p("__windows"), window_hashes(F.col(p("__hashes")), WINDOW))
         .withColumns(
             {
                 p("n_words"): F.size(p("__words")).cast("long"),
                 p("word_chars"): F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
                 p("n_symbols"): only("#*$%&|<>"),
                 p("n_dup_lines"): (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-                p("n_repeat_words"): repeat_words(F.col(p("__words"))),
+                p("n_repeat_words"): repeat_words(F.col(p("__windows"))),
                 p("n_lines"): F.size(lines).cast("long"),
                 p("n_capitals"): only(r"\p{Lu}"),
-                p("n_shouts"): only("!"),
-                p("n_bars"): only("|"),
+                p("n_shouts"): one("!"),
+                p("n_bars"): one("|"),
             }
         )
-        .drop(p("__words"))
+        .drop(p("__words"), p("__hashes"), p("__windows"))
     )
 
 
@@ -162,3 +163,11 @@ def posterior(model: dict, votes_col: str = "votes") -> Column:
 def base_failed(prefix: str = "") -> Column:
     c = lambda name: F.col(f"{prefix}{name}")
     return (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
+
+
+def filtered(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs without those that the base rule or the posterior rejects; the texts are measured once."""
+    p = "__q_"
+    voted = written(votes(measured(docs, text, p), prefix=p, into=f"{p}votes").select(*docs.columns, f"{p}votes", base_failed(p).alias(f"{p}failed")), "voted")
+    model = fit(voted, len(RULES), f"{p}votes")
+    return voted.where(~F.col(f"{p}failed") & (posterior(model, f"{p}votes") >= threshold)).select(*docs.columns)

@@ -18,8 +18,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def window_hashes(words_: Column, width: int) -> Column:
-    """64-bit hash of each run of `width` words, in order; empty where there are fewer words."""
-    n = F.size(words_)
+def word_hashes(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashes: Column, width: int) -> Column:
+    """64-bit hash of each run of `width` words, in order; empty where there are fewer words.
+
+    hashes: a column of `word_hashes` (a column of its own, not an expression: every place reads it)."""
+    n = F.size(hashes)
     at = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[words_[i + k] for k in range(width)]))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
