@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from propval.llm.text import n_words
+from propval.llm.text import n_words, words
 from propval.session import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -119,7 +119,7 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED)
         sources.where("slots > 0")
         .crossJoin(F.broadcast(shards))  # one row
         .select("source_no", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(run).cast("long"))).alias("first"))
-        .repartition("source_no", "first")
+        .repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "first")
     )
     each = runs.select("source_no", "blocks", "shards", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + run, F.col("slots")) - 1)).alias("slot"))
     return each.withColumn("pass", F.expr("slot div blocks")).select(
@@ -143,7 +143,8 @@ def fragments(placed_: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mixture(placed_: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """shard, source_no, slot, doc_id, from_word, n_words: the words that the mixture holds, a run of one document each."""
-    return slots(sources, seed=seed).join(fragments(placed_, block_words), ["source_no", "block"])
+    # a sort-merge join: the few runs that slots grow from would mislead the planner into a broadcast
+    return slots(sources, seed=seed).hint("merge").join(fragments(placed_, block_words), ["source_no", "block"])
 
 
 def taken(docs: DataFrame, **cols: str) -> DataFrame:
@@ -157,3 +158,30 @@ def taken(docs: DataFrame, **cols: str) -> DataFrame:
     empty = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols_ = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "tie"]
     return worded.select(*cols_).unionByName(empty.select(*cols_))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mixture as documents: for each pass in which it takes words of a document, a row with the document's columns.
+
+    The text is the document's own where all of it is taken, else the taken words, in order, joined by spaces.
+    Documents of no words are in no mixture. An n_chars column follows the text."""
+    sizes = sized(docs, id_col, source_col, text_col)
+    sources = sources_of(sizes, block_words=block_words)
+    rows = written(placed(sizes, sources), "placed")
+    spans = slots(sources).hint("merge").join(fragments(rows, block_words), ["source_no", "block"])
+    per_pass = spans.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"), F.sum("n_words").alias("n"))  # one document's own blocks
+    same = ["doc_id", "source", "tie"]
+    numbered = rows.where("size > 0").select(*same, "source_no", "start", "size", F.row_number().over(W.partitionBy(*same).orderBy("start")).alias("nth"))
+    takes = written(numbered.join(per_pass, ["source_no", "start"]).select(*[F.col(c).alias(f"__{c}") for c in (*same, "nth", "size", "spans", "n")]), "takes")
+    keys = {"__tie_of": F.xxhash64(F.col(f"`{text_col}`"))}
+    texts = docs.withColumns(keys)
+    texts = texts.withColumn("__nth_of", F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), "__tie_of").orderBy(F.lit(1))))
+    met = texts.join(
+        takes,
+        F.col(f"`{id_col}`").eqNullSafe(F.col("__doc_id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (F.col("__tie_of") == F.col("__tie")) & (F.col("__nth_of") == F.col("__nth")),
+    ).withColumn("__words", F.when(F.col("__n") < F.col("__size"), words(F.col(f"`{text_col}`"))))
+    part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+    out = met.withColumn(text_col, F.when(F.col("__n") < F.col("__size"), part).otherwise(F.col(f"`{text_col}`")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
