@@ -1,0 +1 @@
+"""Registered queries over the provided tables, and their SQL oracles."""

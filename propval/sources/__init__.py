@@ -1,0 +1 @@
+"""Readers, driver-side acquisition and publishing."""

@@ -1,0 +1 @@
+"""The engine is batch; point-in-time correctness comes from the information lag and the as-of join."""
