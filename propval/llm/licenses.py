@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propval.llm.text import window_hashes, word_hashes, words
+from propval.session import literal_table
 
 SHINGLE, WINDOW, STEP, PIECE, BANDS, CONTAINMENT = 5, 4, 2, 3, 32, 0.8
 PUNCTUATION = ".,;:()[]{}\"'`*#<>=_|!?"
@@ -62,14 +63,14 @@ def banded(hashes: Column, band: int) -> Column:
 
 def _index(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[int], int]:
     """(band, value, license, all shingles) rows; the shingles that are smallest in some band; the longest template."""
-    base = shingled(spark.createDataFrame(sorted(templates.items()), "license string, text string")).withColumnRenamed("h", "of").where(F.size("of") > 0)
+    base = shingled(literal_table(spark, sorted(templates.items()), "license string, text string")).withColumnRenamed("h", "of").where(F.size("of") > 0)
     n = F.size("of")
     pieces = base.select("license", "of", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (PIECE - 1))), lambda i: F.slice("of", i, PIECE))).alias("piece"))
     lows = F.array(*[F.array_min(banded(F.col("piece"), j)) for j in range(BANDS)])
     rows = pieces.select("license", "of", F.posexplode(lows).alias("band", "low")).select("band", F.col("low.v").alias("value"), F.col("low.s").alias("low"), "license", "of").distinct().collect()
     if not rows:
         raise ValueError("no template has five words")
-    index = spark.createDataFrame([(r["band"], r["value"], r["license"], r["of"]) for r in rows], "band int, value long, license string, of array<long>")
+    index = literal_table(spark, [(r["band"], r["value"], r["license"], r["of"]) for r in rows], "band int, value long, license string, of array<long>")
     return index, sorted({r["low"] for r in rows}), max(len(r["of"]) for r in rows)
 
 

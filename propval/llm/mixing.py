@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from propval.llm.text import n_words, words
-from propval.session import written
+from propval.session import literal_table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 64
@@ -76,8 +76,8 @@ def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     )
 
 
-def sources_of(sizes: DataFrame, max_passes: float = 3.0, block_words: int = BLOCK_WORDS, max_sources: int = 100_000) -> DataFrame:
-    """source, source_no, source_size, docs, target, blocks, slots: one row per source, ranked by code point, null last."""
+def sources_of(sizes: DataFrame, max_passes: float = 3.0, block_words: int = BLOCK_WORDS, max_sources: int = 10_000, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """source, source_no, source_size, docs, target, blocks, slots, shards: one row per source, ranked by code point, null last."""
     rows = sizes.groupBy("source").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"a mixture of more than {max_sources} sources: group them first")
@@ -90,8 +90,9 @@ def sources_of(sizes: DataFrame, max_passes: float = 3.0, block_words: int = BLO
         blocks = math.ceil(r["w"] / block_words)
         slots = min(round(t * blocks / r["w"]), math.floor(max_passes * blocks)) if r["w"] else 0
         plan.append((r["source"], i, int(r["w"]), int(r["n"]), float(t), int(blocks), int(slots)))
-    schema = "source string, source_no int, source_size long, docs long, target double, blocks long, slots long"
-    return spark.createDataFrame(plan, schema)
+    shards = max(1, -(-sum(p[-1] for p in plan) // shard_slots))
+    schema = "source string, source_no int, source_size long, docs long, target double, blocks long, slots long, shards long"
+    return literal_table(spark, [(*p, shards) for p in plan], schema)
 
 
 def placed(sizes: DataFrame, sources: DataFrame, bucket_rows: int = 4096) -> DataFrame:
@@ -109,15 +110,13 @@ def placed(sizes: DataFrame, sources: DataFrame, bucket_rows: int = 4096) -> Dat
     return local.join(offsets, ["source_no", "bucket"]).withColumn("start", F.col("offset") + F.col("inner")).drop("bucket", "offset", "inner", "docs")
 
 
-def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     """source_no, slot, shard, pass, block: each slot of the mixture and the block that it takes.
 
     Slots are generated in runs of 4096, dealt over the cluster, so that a large source is no large task."""
-    shards = sources.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / shard_slots)).cast("long").alias("shards"))
     run = 4096
     runs = (
         sources.where("slots > 0")
-        .crossJoin(F.broadcast(shards))  # one row
         .select("source_no", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(run).cast("long"))).alias("first"))
         .repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "first")
     )

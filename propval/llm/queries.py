@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propval.llm import chat, katz, licenses, minhash, mixing, quality, sentencepiece_viterbi, topk, toxicity, urls
-from propval.session import table, written
+from propval.session import literal_table, table, written
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    own = literal_table(spark, [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     out = chat.formatted(chat.as_replies(rows))
     said = F.concat_ws("", F.transform(chat.turns_of(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
@@ -105,7 +105,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 OP8_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(text, '\\', '\\\\'), '<(\|[A-Za-z_]*\||/?s>)', '<\\\\\1', 'g'), '\[(/?INST\])', '[\\\\\1', 'g'), '<(</?SYS>>)', '<\\\\\1', 'g') AS safe FROM t)
+e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\|[A-Za-z_]*\||/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g'), '<(</?SYS>>)', '<\\\1', 'g') AS safe FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

@@ -3,7 +3,7 @@
 Trust is personalised PageRank from trusted hosts along the links; distrust is personalised PageRank from blocked
 hosts against them (who links to a blocked host is suspect). A host is blocked where its distrust exceeds
 `threshold` times its trust plus distrust. The graph is held as (source host, target host, share) rows; each round
-is one join and one aggregation with map-side sums, and the ranks are written every few rounds.
+is one join and one aggregation with map-side sums, and what moved is written.
 
 Seeds come from the rules: a host is trusted where rules allow pages of it and block none; it is blocked where they
 block the greater part of its pages. A host that neither seed reaches is allowed.
@@ -66,13 +66,10 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     """host, rank: personalised PageRank. edges: src, dst, share; seeds: host, weight (summing to 1). Mass of hosts
     without links returns to the seeds."""
     rank = seeds.select("host", F.col("weight").alias("rank"))
-    for k in range(rounds):
-        moved = rank.join(edges, rank["host"] == edges["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        back = moved.agg((1.0 - F.coalesce(F.sum("rank"), F.lit(0.0))).alias("back"))  # one row
-        home = seeds.crossJoin(F.broadcast(back)).select("host", (F.col("weight") * F.col("back")).alias("rank"))
-        rank = moved.unionByName(home).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3 or k == rounds - 1:
-            rank = written(rank, "rank")
+    for _ in range(rounds):
+        moved = written(rank.join(edges, rank["host"] == edges["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank")), "rank")
+        back = 1.0 - float(moved.agg(F.sum("rank")).first()[0] or 0.0)
+        rank = moved.unionByName(seeds.select("host", (F.col("weight") * back).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
     return rank
 
 
