@@ -158,3 +158,8 @@ def banded(c: Column, edges: list[float], labels: list[str], closed: str = "left
         inside = (c >= a) & (c < b) if closed == "left" else (c > a) & (c <= b)
         out = F.when(inside, name) if out is None else out.when(inside, name)
     return out
+
+
+def config_text(values: dict[str, Column]) -> Column:
+    """JSON object with its keys in order."""
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]))

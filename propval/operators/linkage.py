@@ -18,8 +18,9 @@ def one_best(relation: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     return known.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def candidate_counts(relation: DataFrame, key: str, target: str, name: str) -> DataFrame:
-    return relation.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(target).alias(name))
+def candidate_counts(relation: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows of the relation for each key; null keys are none."""
+    return relation.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, column: str, default: object) -> DataFrame:

@@ -78,9 +78,9 @@ def _reps(n: int) -> str:
 
 RESOLVED = f"""{SALE}, rel AS (SELECT l_orderkey AS addr, l_suppkey AS building, CAST(l_quantity AS DOUBLE) AS reliability, l_linenumber AS tie FROM lineitem),
   best AS (SELECT addr, building, reliability FROM rel QUALIFY row_number() OVER (PARTITION BY addr ORDER BY reliability DESC NULLS LAST, tie, building) = 1),
-  na AS (SELECT addr, count(DISTINCT building) AS n_address FROM rel GROUP BY 1),
+  na AS (SELECT addr, count(*) AS n_address FROM rel GROUP BY 1),
   par AS (SELECT s_nationkey AS area, s_suppkey AS building FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(CAST(s_acctbal AS DOUBLE), 0) DESC, s_suppkey) = 1),
-  np AS (SELECT s_nationkey AS area, count(DISTINCT s_suppkey) AS n_parcel FROM supplier GROUP BY 1),
+  np AS (SELECT s_nationkey AS area, count(*) AS n_parcel FROM supplier GROUP BY 1),
   res AS (SELECT s.sale_id, coalesce(b.building, p.building) AS building_id, CASE WHEN b.building IS NOT NULL THEN 'address_relation' WHEN p.building IS NOT NULL THEN 'principal_parcel' ELSE 'unmatched' END AS match_method,
     CAST(CASE WHEN b.building IS NOT NULL AND b.reliability >= 15 AND na.n_address = 1 THEN 1.0 WHEN b.building IS NOT NULL THEN 0.8 WHEN p.building IS NOT NULL AND np.n_parcel = 1 THEN 0.7 WHEN p.building IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) AS match_confidence,
     coalesce(na.n_address, 0) AS n_address, coalesce(np.n_parcel, 0) AS n_parcel
@@ -161,6 +161,7 @@ def oracle_sql() -> dict[str, str]:
         "wkt_centroid": "SELECT s_suppkey, CASE WHEN s_suppkey % 13 <> 0 THEN round((3.0::DOUBLE * s_suppkey + 0.5::DOUBLE - 4) / 4, 6) END AS cx, CASE WHEN s_suppkey % 13 <> 0 THEN round((10::DOUBLE + s_suppkey) / 4, 6) END AS cy FROM supplier",
         "quoted_token_weight": "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS weight, CAST(s_suppkey AS INTEGER) AS db FROM supplier",
         "text_labels": f"WITH {NAMES} SELECT n_nationkey, {FAMILY} AS family, upper(left(replace(name, '_', ' '), 1)) || lower(substr(replace(name, '_', ' '), 2)) AS label FROM names",
+        "config_json": """SELECT n_nationkey, '{"alpha":' || CAST(n_nationkey / 4.0::DOUBLE AS VARCHAR) || ',"name":"' || n_name || '","top":' || n_regionkey || '}' AS config, n_nationkey / 4.0::DOUBLE AS alpha, n_name AS name FROM nation""",
         "scalar_ratios": f"""WITH {SALE} SELECT sale_id, round(rooms / greatest(surface, 1) * 10, 6) AS rooms_per_10m2, round(ln(1 + surface), 6) AS log_surface, round(ln(ppm2 / 5000), 6) AS residual, CAST((year(sale_date) - 1995) * 12 + month(sale_date) - 1 AS INTEGER) AS months,
           CAST(sale_date - DATE '1970-01-01' AS INTEGER) AS day, strftime(sale_date, '%Y-%m') AS year_month, round(abs(surface - rooms * 20) / (rooms * 20), 6) AS difference FROM sale""",
         "median_baseline": f"""WITH {SALE}, m AS (SELECT area, median(ppm2) AS m FROM sale WHERE sale_year <= 1999 GROUP BY 1), g AS (SELECT median(ppm2) AS g FROM sale WHERE sale_year <= 1999)

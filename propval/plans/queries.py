@@ -24,9 +24,15 @@ def query(f: Query) -> Query:
     return f
 
 
+def rnd(c: F.Column | str, digits: int) -> F.Column:
+    """Half away from zero on the double itself, as most engines round (Spark's own goes by the printed decimal)."""
+    x, m = F.col(c) if isinstance(c, str) else c, 10.0**digits
+    return F.signum(x) * F.floor(F.abs(x) * m + 0.5) / m
+
+
 def rounded(df: DataFrame, digits: int = 4, but: Sequence[str] = ()) -> DataFrame:
     """Doubles rounded, so that the order of summation doesn't show."""
-    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" and c not in but else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[rnd(F.col(f"`{c}`"), digits).alias(c) if t == "double" and c not in but else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 # cohort ------------------------------------------------------------------------------------------------
@@ -40,7 +46,7 @@ def cohort_single_item(spark: SparkSession, d: str) -> DataFrame:
     priced = lines.select("l_orderkey", F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_shipdate").cast("date").alias("shipped"))
     kept = cohort.in_ranges(cohort.complete(priced, ["quantity", "price"]), {"quantity": (5, 45)})
     out = cohort.with_calendar(kept, "shipped", 1995)
-    return out.select("l_orderkey", "quantity", "price", F.round(F.col("price") / F.col("quantity"), 4).alias("unit_price"), "month", "day_of_year", "year", "months_since_1995")
+    return out.select("l_orderkey", "quantity", "price", rnd(F.col("price") / F.col("quantity"), 4).alias("unit_price"), "month", "day_of_year", "year", "months_since_1995")
 
 
 @query
@@ -59,7 +65,7 @@ def cohort_filters(spark: SparkSession, d: str) -> DataFrame:
 @query
 def year_split_counts(spark: SparkSession, d: str) -> DataFrame:
     parts = cohort.year_split(fx.sale(spark, d), "sale_year", 1998, 1999, 2000, minimum=1)
-    return readers.tagged_union({k: v.select("sale_id", "price") for k, v in parts.items()}, "part").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    return readers.tagged_union({k: v.select("sale_id", "price") for k, v in parts.items()}, "part").groupBy("part").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("price"), 2).alias("total"))
 
 
 # comparables -------------------------------------------------------------------------------------------
@@ -102,7 +108,7 @@ def _joined(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def asof_latest(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(spark, d).select("probe_id", "building", "diag_id", F.round("score", 4).alias("score"), scalar.floored_days(F.col("probe_ts"), F.col("diag_ts")).alias("age_days"))
+    return _joined(spark, d).select("probe_id", "building", "diag_id", rnd("score", 4).alias("score"), scalar.floored_days(F.col("probe_ts"), F.col("diag_ts")).alias("age_days"))
 
 
 @query
@@ -110,7 +116,7 @@ def asof_leakage(spark: SparkSession, d: str) -> DataFrame:
     j = asof.diagnostic_features(_joined(spark, d), "probe_ts", "diag_ts", "score", "value")
     return j.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("diag_ts") > F.col("probe_ts")).alias("n_future"), F.count_if(F.col("dpe_available_at_sale") == 1).alias("n_available"),
-        F.round(F.avg("dpe_match_confidence"), 6).alias("mean_confidence"), F.min("dpe_age_days").alias("min_age"), F.max("dpe_age_days").alias("max_age"),
+        rnd(F.avg("dpe_match_confidence"), 6).alias("mean_confidence"), F.min("dpe_age_days").alias("min_age"), F.max("dpe_age_days").alias("max_age"),
     )
 
 
@@ -136,10 +142,10 @@ def link_ranked(spark: SparkSession, d: str) -> DataFrame:
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     rel = fx.relation(spark, d)
     best = linkage.one_best(rel, "addr", [F.col("reliability").desc_nulls_last(), F.col("tie"), F.col("building")]).select(F.col("addr").alias("sale_id"), F.col("building").alias("by_address"), "reliability")
-    n = linkage.candidate_counts(rel, "addr", "building", "n_address").withColumnRenamed("addr", "sale_id")
+    n = linkage.candidate_counts(rel, "addr", "n_address").withColumnRenamed("addr", "sale_id")
     parcels = table(spark, d, "supplier").select(F.col("s_nationkey").alias("area"), F.col("s_suppkey").alias("building"), F.col("s_acctbal").cast("double").alias("main"))
     by_parcel = linkage.one_best(parcels, "area", [F.coalesce("main", F.lit(0.0)).desc(), F.col("building")]).select("area", F.col("building").alias("by_parcel"))
-    n_parcel = linkage.candidate_counts(parcels, "area", "building", "n_parcel")
+    n_parcel = linkage.candidate_counts(parcels, "area", "n_parcel")
     s = fx.sale(spark, d).select("sale_id", "area").join(best, "sale_id", "left").join(by_parcel, "area", "left")
     s = linkage.lookup(linkage.lookup(s, n, "sale_id", "n_address", 0), n_parcel, "area", "n_parcel", 0)
     return linkage.resolve_buildings(s, "by_address", "by_parcel", "reliability", "n_address", "n_parcel")
@@ -261,6 +267,13 @@ def text_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", names.alias("name")).select("n_nationkey", scalar.feature_family(F.col("name")).alias("family"), scalar.label_of(F.col("name")).alias("label"))
 
 
+@query
+def config_json(spark: SparkSession, d: str) -> DataFrame:
+    text = scalar.config_text({"alpha": F.col("n_nationkey").cast("double") / 4.0, "name": F.col("n_name"), "top": F.col("n_regionkey")})
+    back = F.from_json("config", "alpha double, name string, top long")
+    return table(spark, d, "nation").select("n_nationkey", text.alias("config")).select("n_nationkey", "config", back["alpha"].alias("alpha"), back["name"].alias("name"))
+
+
 @query
 def scalar_ratios(spark: SparkSession, d: str) -> DataFrame:
     s = fx.sale(spark, d)
@@ -342,7 +355,7 @@ def noise_band_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ecdf(spark: SparkSession, d: str) -> DataFrame:
-    t = _test(spark, d).withColumn("err", F.round(F.abs(scalar.percent_error(F.col("pred_a"), F.col("price"))), 3))
+    t = _test(spark, d).withColumn("err", rnd(F.abs(scalar.percent_error(F.col("pred_a"), F.col("price"))), 3))
     return rounded(stats.ecdf(t, "err", ["segment"]), 6)
 
 
@@ -407,7 +420,7 @@ def correction_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def best_correction(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.best(stats.correction_search(_anchored(spark, d), "price", "pred_a", ANCHORS).withColumn("mae", F.round("mae", 4)), ["anchor"], "mae", ["weight"]))
+    return rounded(stats.best(stats.correction_search(_anchored(spark, d), "price", "pred_a", ANCHORS).withColumn("mae", rnd("mae", 4)), ["anchor"], "mae", ["weight"]))
 
 
 def _errors(spark: SparkSession, d: str) -> DataFrame:
@@ -467,7 +480,7 @@ def union_missing_cols(spark: SparkSession, d: str) -> DataFrame:
 @query
 def prediction_export(spark: SparkSession, d: str) -> DataFrame:
     t = _test(spark, d)
-    return t.select("sale_id", "price", F.round("pred_a", 2).alias("prediction_a"), F.round("pred_b", 2).alias("prediction_b"), F.round(F.abs(F.col("pred_a") - F.col("price")), 2).alias("absolute_error"), F.round(scalar.percent_error(F.col("pred_a"), F.col("price")), 4).alias("percent_error"))
+    return t.select("sale_id", "price", rnd("pred_a", 2).alias("prediction_a"), rnd("pred_b", 2).alias("prediction_b"), rnd(F.abs(F.col("pred_a") - F.col("price")), 2).alias("absolute_error"), rnd(scalar.percent_error(F.col("pred_a"), F.col("price")), 4).alias("percent_error"))
 
 
 # models (rows only) ---------------------------------------------------------------------------------------------
