@@ -20,8 +20,9 @@ and decodes to it). An empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
+import array
 import re
+import string
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +35,7 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered runs and pairs a worker; beyond, they are forgotten and computed again.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Ids in an output batch.
 BATCH_IDS = 2_000_000
 
@@ -101,6 +102,16 @@ class PieceModel:
         inner = [p for p in self.ids if len(p) > 1]
         used = set("".join(inner))
         self.breaks = "".join(c for c in "\n\t\r\v\f" if c not in used)
+        #: Lengths, longest first, of the pieces that end in given characters: three, or two at the start of a run.
+        self.pairs = {p for p in inner if len(p) == 2}
+        sizes: dict[str, set[int]] = {p: {2} for p in self.pairs}
+        for p in inner:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], {2} if p[-2:] in self.pairs else set()).add(len(p))
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
+        #: Punctuation that no piece holds after a letter or digit: another place where all paths meet.
+        after = {p[i] for p in inner for i in range(1, len(p)) if p[i - 1].isalnum()}
+        self.stops = "".join(c for c in string.punctuation if c not in after)
         self.marks_lead = all(MARK not in p.lstrip(MARK) for p in inner)
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode("utf-8")
@@ -119,8 +130,10 @@ class Encoder:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._runs = _Runs(self)
         mark = MARK if model.marks_lead else ""
-        stop = re.escape(model.breaks)
-        self._split = re.compile(f"{mark}*[^{mark}{stop}]+|{mark}+|[{stop}]" if mark and stop else r"(?s).+")
+        stop, punct = re.escape(model.breaks), re.escape(model.stops)
+        # a run: marks, a character, then all up to a mark, a line end or punctuation right after a letter or digit
+        other = f"[^{mark}{stop}{punct}]"
+        self._split = re.compile(rf"{mark}*[^{mark}{stop}](?:{other}+|(?<![^\W_])[{punct}]+)*|{mark}+|[{stop}]" if mark and stop and punct else r"(?s).+")
 
     # BPE -----------------------------------------------------------------------------------------------
     def _merged(self, text: str) -> list[str]:
@@ -200,9 +213,32 @@ class Encoder:
             open_.add(last - len(piece[last]))
         return open_.pop()
 
-    def ids_of_run(self, run: str) -> tuple[int, ...]:
+    def _short(self, run: str) -> list[str]:
+        """The same search for a BPE run that fits the window: no commitment before its end."""
+        ids, sizes, two, pairs = self.m.ids, self.m.sizes, self.m.pairs, self._pairs
+        piece = [""] * (len(run) + 1)
+        for n in range(1, len(run) + 1):
+            fit = sizes.get(run[n - 3 : n] if n > 2 else run[:n])
+            if fit is None:
+                fit = (2,) if n > 1 and run[n - 2 : n] in two else ()
+            for size in fit:
+                if size <= n and (p := run[n - size : n]) in ids:
+                    known = pairs.get((piece[n - size], p))
+                    if known or known is None and self._fits(piece[n - size], p):
+                        piece[n] = p
+                        break
+            else:  # the prefix's encoding ends in its last character
+                piece[n] = run[n - 1]
+        out, at = [], len(run)
+        while at:
+            out.append(piece[at])
+            at -= len(piece[at])
+        out.reverse()
+        return out
+
+    def ids_of_run(self, run: str) -> list[int]:
         m, out = self.m, []
-        for p in self.pieces_of(run):
+        for p in self._short(run) if m.bpe and len(run) <= 4 * m.longest else self.pieces_of(run):
             k = m.ids.get(p)
             if k is not None:
                 out.append(k)
@@ -210,13 +246,13 @@ class Encoder:
                 out.extend(m.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
             else:
                 out.append(m.unknown)
-        return tuple(out)
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
         text = (MARK if self.m.prefix else "") + text.replace(" ", MARK)
-        return np.fromiter(itertools.chain.from_iterable(map(self._runs.__getitem__, self._split.findall(text))), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self._runs.__getitem__, self._split.findall(text))), dtype=np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.m.bytes_of.__getitem__, ids))
@@ -224,16 +260,19 @@ class Encoder:
 
 
 class _Runs(dict):
-    """Runs already encoded."""
+    """Ids, as int32 bytes, of runs already encoded. Once it is full, it starts anew and keeps what is asked for again."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.before = encoder, {}
 
-    def __missing__(self, run: str) -> tuple[int, ...]:
-        ids = self.encoder.ids_of_run(run)
+    def __missing__(self, run: str) -> bytes:
+        ids = self.before.get(run)
+        if ids is None:
+            ids = array.array("i", self.encoder.ids_of_run(run)).tobytes()
         if len(run) <= 48:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[run] = ids
         return ids
