@@ -49,37 +49,33 @@ def _pairs(left: DataFrame, right: DataFrame, up: str, how: str = "left") -> Dat
     return left.join(right, on, how)
 
 
-def jumps(messages: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: conv_id, id, up (the ancestor 2^k steps up, null above the root), steps and score on the way."""
+def jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(conv_id, id, steps, score up to and with the root, of every message that reaches one; tables k = 0, 1, ... of
+    conv_id, id, up: the ancestor 2^k steps up). A message takes part in a round only while it has such an ancestor."""
+    cols = ["conv_id", "id", "up", "steps", "score"]
     ids = messages.select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"))
     known = _pairs(messages.select("conv_id", "id", "parent", "score"), ids, "parent")
     now = written(known.select("conv_id", "id", F.col("r_id").alias("up"), F.lit(1).cast("long").alias("steps"), F.coalesce("score", F.lit(0.0)).alias("score")), "jump")
-    out, left = [now], now.where("up IS NOT NULL").count()
-    while left:
-        far = now.select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("up").alias("r_up"), F.col("steps").alias("r_steps"), F.col("score").alias("r_score"))
-        now = written(
-            _pairs(now, far, "up").select("conv_id", "id", F.col("r_up").alias("up"), (F.col("steps") + F.coalesce("r_steps", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score")),
-            "jump",
-        )
-        out.append(now)
-        still = now.where("up IS NOT NULL").count()
-        if still == left and len(out) > 62:  # only cycles are left
-            break
-        left = still
-    return out
+    left, out, most = now.where("up IS NOT NULL"), [], now.count()
+    done = now.where("up IS NULL")
+    while 1 << len(out) <= most and not left.isEmpty():  # what is left then stands on a cycle
+        out.append(left)
+        far = left.unionByName(done).select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("up").alias("r_up"), F.col("steps").alias("r_steps"), F.col("score").alias("r_score"))
+        now = written(_pairs(left, far, "up", "inner").select("conv_id", "id", F.col("r_up").alias("up"), (F.col("steps") + F.col("r_steps")).alias("steps"), (F.col("score") + F.col("r_score")).alias("score")), "jump")
+        left, done = now.where("up IS NOT NULL"), done.unionByName(now.where("up IS NULL").select(*cols))
+    return done.drop("up"), out
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, leaf, branch, back, id: the messages of the `branches` best branches of each conversation ('back' from the leaf, 0)."""
-    tables = jumps(messages)
-    top = tables[-1].where("up IS NULL")
+    top, tables = jumps(messages)
     parents = messages.where("parent IS NOT NULL").select(F.col("conv_id").alias("r_conv"), F.col("parent").alias("r_id")).distinct()
     leaves = top.join(parents, top["conv_id"].eqNullSafe(parents["r_conv"]) & (top["id"] == parents["r_id"]), "left_anti")
     rank = W.partitionBy("conv_id").orderBy((F.col("score") / F.col("steps")).desc(), F.col("steps").desc(), "id")
     best = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     found = best.select("conv_id", F.col("id").alias("leaf"), "branch", F.lit(0).cast("long").alias("back"), "id")
-    for k, t in enumerate(tables[:-1]):  # the messages nearer than 2^k to their leaf give those at 2^k and more
-        far = t.where("up IS NOT NULL").select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("up"))
+    for k, t in enumerate(tables):  # the messages nearer than 2^k to their leaf give those at 2^k and more
+        far = t.select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("up"))
         found = written(found.unionByName(_pairs(found, far, "id", "inner").select("conv_id", "leaf", "branch", (F.col("back") + (1 << k)).alias("back"), F.col("up").alias("id"))), "paths")
     return found
 
