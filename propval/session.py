@@ -37,14 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Tables written so far; `drop_written` removes them.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: df as a Parquet table in the shared folder, read again. It survives the loss of any executor."""
+    """Cut the lineage: df as a Parquet table in the shared folder, read again. It survives the loss of any executor.
+
+    The table stays, as results may still read it, until `drop_written`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/propval-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that `written` left; to call once results are stored."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
