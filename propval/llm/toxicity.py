@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED, BUCKETS = 12_000, 1 << 20
-MIN_TEXTS, MIN_Z, L2, THRESHOLD = 5, 4.5, 0.05, 0.5
+MIN_TEXTS, MIN_Z, L2, THRESHOLD = 8, 5.0, 0.1, 0.5
 UPPER = bytes(range(65, 91))
 FOLD = bytes.maketrans(UPPER + b"\t\n\x0b\x0c\r", UPPER.lower() + b"     ")
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
