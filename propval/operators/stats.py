@@ -91,7 +91,8 @@ def interval_coverage(calibration: DataFrame, evaluation: DataFrame, ratio: str,
     q = calibration.agg(F.percentile(ratio, F.array(*[F.lit(p) for p in probs])).alias("q"))  # one row
     bounds = q.select(F.explode(F.array(*[F.struct(F.lit(v).alias("nominal"), F.col("q")[2 * i].alias("low"), F.col("q")[2 * i + 1].alias("high")) for i, v in enumerate(levels)])).alias("b")).select("b.*")
     met = evaluation.where(F.col(ratio).isNotNull()).crossJoin(F.broadcast(bounds))
-    return met.groupBy("nominal", "low", "high").agg(F.avg(F.col(ratio).between(F.col("low"), F.col("high")).cast("double")).alias("empirical"))
+    to = lambda c: F.round(F.col(c), 9)  # noqa: E731  a ratio that equals a bound counts, whatever its last bit
+    return met.groupBy("nominal", "low", "high").agg(F.avg(to(ratio).between(to("low"), to("high")).cast("double")).alias("empirical"))
 
 
 def empirical_interval(calibration: DataFrame, test: DataFrame, ratio: str, predicted: str, actual: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -105,25 +106,36 @@ def empirical_interval(calibration: DataFrame, test: DataFrame, ratio: str, pred
 POOL_TIERS = (("area and band", 120), ("area", 120), ("band", 250))
 
 
+def counts_below(values: DataFrame, asked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """asked (its columns, v, inclusive) with below: how many values (by, v) of its group are < v, or <= v if inclusive.
+
+    Values and bounds are positive. They run through one window a group and slot of values (a sixteenth of a power of e); slot
+    totals are summed before them. So no value meets a bound as a pair, and no task holds a group."""
+    slot = F.floor(F.ln(F.greatest(F.col("v"), F.lit(1e-9))) * 16)
+    extra = [c for c in asked.columns if c not in (*by, "v", "inclusive")]
+    marks = values.where("v IS NOT NULL").select(*by, "v", F.lit(1).alias("__kind"), F.lit(1).alias("__one"))
+    bounds = asked.where("v IS NOT NULL").select(*by, "v", F.when(F.col("inclusive"), 2).otherwise(0).alias("__kind"), F.lit(0).alias("__one"), "inclusive", *extra)
+    events = bounds.unionByName(marks, allowMissingColumns=True).withColumn("__slot", slot)
+    inner = W.partitionBy(*by, "__slot").orderBy("v", "__kind").rowsBetween(W.unboundedPreceding, 0)
+    total = events.groupBy(*by, "__slot").agg(F.sum("__one").alias("__in"))
+    before = total.select(*by, "__slot", F.coalesce(F.sum("__in").over(W.partitionBy(*by).orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = events.withColumn("__upto", F.sum("__one").over(inner)).where("__one = 0").join(before, [*by, "__slot"])
+    return ranked.select(*by, *extra, "v", "inclusive", (F.col("__upto") + F.col("__before")).alias("below"))
+
+
 def calibration_pool(calibration: DataFrame, subjects: DataFrame, key: str, area: str, predicted: str, estimate: str) -> DataFrame:
     """key, tier (0..3), n: which calibration pool each subject gets, by rows of the same area and of a predicted value within
-    0.5 to 2 times the estimate. Areas meet in an equi-join; the band over all areas is counted from sorted prefix sums."""
-    p = F.col(predicted)
-    local = subjects.select(key, F.col(area).alias("__a"), F.col(estimate).alias("__e")).join(calibration.select(F.col(area).alias("__a"), p.alias("__p")), "__a", "left")
-    by_area = local.groupBy(key).agg(F.count_if(F.col("__p").between(F.col("__e") * 0.5, F.col("__e") * 2.0)).alias("both"), F.count("__p").alias("in_area"))
-    # values and asked bounds in one ordered pass, split by decade so that no task holds all: counts below, then before
+    0.5 to 2 times the estimate."""
+    asks = subjects.select(key, area, F.explode(F.array(F.struct((F.col(estimate) * 0.5).alias("v"), F.lit(False).alias("inclusive")), F.struct((F.col(estimate) * 2.0).alias("v"), F.lit(True).alias("inclusive")))).alias("b")).select(key, area, "b.*")
+    values = calibration.select(area, F.col(predicted).alias("v"))
+    span = lambda name: F.sum(F.when(F.col("inclusive"), F.col("below")).otherwise(-F.col("below"))).alias(name)
+    both = counts_below(values, asks, [area]).groupBy(key).agg(span("both"))
+    band = counts_below(values.select("v"), asks.select(key, "v", "inclusive")).groupBy(key).agg(span("in_band"))
+    in_area = calibration.groupBy(area).agg(F.count(predicted).alias("in_area"))
     total = calibration.agg(F.count(F.lit(1)).alias("all"))
-    marks = calibration.where(p.isNotNull()).select(p.alias("v"), F.lit(1).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast(subjects.schema[key].dataType).alias(key), F.lit(0).alias("sign"))
-    lows = subjects.select((F.col(estimate) * 0.5).alias("v"), F.lit(0).alias("kind"), F.lit(0).alias("one"), F.col(key), F.lit(-1).alias("sign"))
-    highs = subjects.select((F.col(estimate) * 2.0).alias("v"), F.lit(2).alias("kind"), F.lit(0).alias("one"), F.col(key), F.lit(1).alias("sign"))
-    events = marks.union(lows).union(highs).where("v IS NOT NULL").withColumn("slot", F.floor(F.ln(F.greatest(F.col("v"), F.lit(1e-9))) * 16))
-    inner = W.partitionBy("slot").orderBy("v", "kind").rowsBetween(W.unboundedPreceding, 0)
-    slots = events.groupBy("slot").agg(F.sum("one").alias("in_slot"))
-    before = slots.select("slot", F.coalesce(F.sum("in_slot").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a slot
-    ranked = events.withColumn("upto", F.sum("one").over(inner)).where("sign <> 0").join(F.broadcast(before), "slot")
-    band = ranked.groupBy(key).agg(F.sum(F.col("sign") * (F.col("upto") + F.col("before"))).alias("in_band"))
-    counts = by_area.join(band, key, "left").crossJoin(F.broadcast(total))
-    tier = F.when(F.col("both") >= POOL_TIERS[0][1], 0).when(F.col("in_area") >= POOL_TIERS[1][1], 1).when(F.coalesce("in_band", F.lit(0)) >= POOL_TIERS[2][1], 2).otherwise(3)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    counts = subjects.select(key, area).join(in_area, area, "left").join(both, key, "left").join(band, key, "left").select(key, zero("both"), zero("in_area"), zero("in_band")).crossJoin(F.broadcast(total))
+    tier = F.when(F.col("both") >= POOL_TIERS[0][1], 0).when(F.col("in_area") >= POOL_TIERS[1][1], 1).when(F.col("in_band") >= POOL_TIERS[2][1], 2).otherwise(3)
     n = F.when(tier == 0, F.col("both")).when(tier == 1, F.col("in_area")).when(tier == 2, F.col("in_band")).otherwise(F.col("all"))
     return counts.select(key, tier.alias("tier"), n.cast("long").alias("n"))
 
@@ -131,11 +143,11 @@ def calibration_pool(calibration: DataFrame, subjects: DataFrame, key: str, area
 def predictive(calibration: DataFrame, subjects: DataFrame, key: str, ratio: str, estimate: str, area: str, ask: str, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Exact empirical predictive distribution of estimate * (clipped calibration ratio) by area: quantiles, P(within 10 %), P(at least ask)."""
     q = calibration.where(F.col(ratio).isNotNull()).groupBy(area).agg(F.percentile(ratio, F.lit(0.02)).alias("__l"), F.percentile(ratio, F.lit(0.98)).alias("__h"))
-    drawn = calibration.where(F.col(ratio).isNotNull()).join(q, area).select(area, clipped(F.col(ratio), F.col("__l"), F.col("__h")).alias("__r"))
-    per = drawn.groupBy(area).agg(*[F.percentile("__r", F.lit(p)).alias(f"__q{i}") for i, p in enumerate(probs)], F.avg(F.col("__r").between(0.9, 1.1).cast("double")).alias("p_within_10"))
-    asked = subjects.select(key, area, estimate, ask).join(drawn, area).groupBy(key).agg(F.avg((F.col("__r") * F.col(estimate) >= F.col(ask)).cast("double")).alias("p_at_least_ask"))
+    drawn = calibration.where(F.col(ratio).isNotNull()).join(q, area).select(area, clipped(F.col(ratio), F.col("__l"), F.col("__h")).alias("v"))
+    per = drawn.groupBy(area).agg(*[F.percentile("v", F.lit(p)).alias(f"__q{i}") for i, p in enumerate(probs)], F.avg(F.col("v").between(0.9, 1.1).cast("double")).alias("p_within_10"), F.count("v").alias("__n"))
+    asked = counts_below(drawn, subjects.select(key, area, F.try_divide(ask, estimate).alias("v"), F.lit(False).alias("inclusive")), [area]).select(key, "below")
     out = subjects.join(per, area).join(asked, key)
-    return out.select(key, *[(F.col(estimate) * F.col(f"__q{i}")).alias(f"value_q{round(p * 100):02d}") for i, p in enumerate(probs)], "p_within_10", "p_at_least_ask")
+    return out.select(key, *[(F.col(estimate) * F.col(f"__q{i}")).alias(f"value_q{round(p * 100):02d}") for i, p in enumerate(probs)], "p_within_10", (1.0 - F.col("below") / F.col("__n")).alias("p_at_least_ask"))
 
 
 def simplex(k: int, steps: int = 10) -> list[tuple[float, ...]]:

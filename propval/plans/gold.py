@@ -80,6 +80,7 @@ def linked(sales: DataFrame, addresses: DataFrame, rel_address: DataFrame, rel_p
 
 
 def with_buildings(df: DataFrame, buildings: DataFrame, ffo: DataFrame, bdtopo: DataFrame, rnc: DataFrame) -> DataFrame:
+    df = written(df, "buildings")  # each step starts from a table: plans stay small, lost executors cost one step
     cx, cy = geo.wkt_centroid(F.col("geom_groupe"))
     key = "batiment_groupe_id"
     base = contracts.many_to_one(buildings, key).select(key, F.col("s_geom_groupe").alias("building_footprint_m2"), cx.alias("building_x"), cy.alias("building_y"))
@@ -93,6 +94,7 @@ def with_buildings(df: DataFrame, buildings: DataFrame, ffo: DataFrame, bdtopo:
 
 def with_diagnostics(df: DataFrame, relation: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """The latest diagnostic of the sale's building on or before the sale."""
+    df = written(df, "diagnostics")  # each step starts from a table: plans stay small, lost executors cost one step
     dated = contracts.many_to_one(diagnostics, "identifiant_dpe").withColumn("date_etablissement_dpe", scalar.utc_naive(F.col("date_etablissement_dpe"))).where("date_etablissement_dpe IS NOT NULL")
     events = relation.select(F.col("batiment_groupe_id").alias("building_id"), "identifiant_dpe").distinct().join(dated, "identifiant_dpe")
     probes = df.withColumn("__sale_ts", F.col("date_mutation").cast("timestamp_ntz"))
@@ -116,6 +118,7 @@ def _count(df: DataFrame, points: DataFrame, radius: float, name: str, weight: s
 
 
 def with_equipment(df: DataFrame, bpe: DataFrame, buildings: DataFrame) -> DataFrame:
+    df = written(df, "equipment")  # each step starts from a table: plans stay small, lost executors cost one step
     cx, cy = geo.wkt_centroid(F.col("geom_groupe"))
     one = linkage.one_best(bpe, "batiment_groupe_id", [F.col("l_type_equipement")])
     points = one.join(buildings.select("batiment_groupe_id", cx.alias("x"), cy.alias("y")), "batiment_groupe_id", "left").withColumn("w", scalar.quoted_tokens(F.col("l_type_equipement")).cast("double"))
@@ -125,6 +128,7 @@ def with_equipment(df: DataFrame, bpe: DataFrame, buildings: DataFrame) -> DataF
 
 def with_transport(df: DataFrame, stations: DataFrame) -> DataFrame:
     """Distance by mode; stations (once for each mode) and lines within 1 km."""
+    df = written(df, "transport")  # each step starts from a table: plans stay small, lost executors cost one step
     mode = F.upper(F.trim("mode"))
     for label, name in RAIL_MODES.items():
         df = _near(df, stations.where(mode == name), f"distance_{label}_m")
@@ -134,11 +138,13 @@ def with_transport(df: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def with_schools(df: DataFrame, families: dict[str, DataFrame]) -> DataFrame:
+    df = written(df, "schools")  # each step starts from a table: plans stay small, lost executors cost one step
     every = latest_by(tagged_union(families, "school_family"), ["school_family", "adresse"], F.col("annee_scol"))
     return _count(_near(df, every, "distance_school_m"), every, 1000.0, "school_count_1000m")
 
 
 def with_green(df: DataFrame, parks: DataFrame) -> DataFrame:
+    df = written(df, "green")  # each step starts from a table: plans stay small, lost executors cost one step
     once = linkage.one_best(parks, "nsq_espace_vert", [F.col("x"), F.col("y")]).withColumn("w", F.coalesce(F.col("surface_totale_reelle").try_cast("double"), F.lit(0.0)))
     out = _near(df, once, "distance_green_space_centroid_m")
     return _count(_count(out, once, 500.0, "green_space_count_500m"), once, 500.0, "green_area_500m2", "w")
@@ -146,6 +152,7 @@ def with_green(df: DataFrame, parks: DataFrame) -> DataFrame:
 
 def with_noise(df: DataFrame, families: dict[str, DataFrame]) -> DataFrame:
     """families: road, rail_ratp and rail_sncf polygons (poly_id, level, ring). Outside the maps counts as 50 dB, flagged for road."""
+    df = written(df, "noise")  # each step starts from a table: plans stay small, lost executors cost one step
     cols = []
     for name, polys in families.items():
         level = polygon.max_level(_targets(df), polygon.edges_of(polys), "id_mutation").select("id_mutation", F.col("level").cast("double").alias(f"noise_{name}_lden_db"))

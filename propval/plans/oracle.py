@@ -187,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT segment, hits, n, round(p, 6) AS share, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS low,
           round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS high FROM p""",
         "interval_calibration": f"WITH {PRED}, ev AS (SELECT price / pred_b AS ratio FROM test), b AS (" + " UNION ALL ".join(f"SELECT {v}::DOUBLE AS nominal, quantile_cont(ratio, {(1 - v) / 2}) AS low, quantile_cont(ratio, {(1 + v) / 2}) AS high FROM cal" for v in (0.5, 0.8, 0.9, 0.95)) + """)
-          SELECT round(nominal, 6) AS nominal, round(low, 6) AS low, round(high, 6) AS high, round(avg(CAST(ratio BETWEEN low AND high AS DOUBLE)), 6) AS empirical FROM ev CROSS JOIN b GROUP BY nominal, low, high""",
+          SELECT round(nominal, 6) AS nominal, round(low, 6) AS low, round(high, 6) AS high, round(avg(CAST(round(ratio, 9) BETWEEN round(low, 9) AND round(high, 9) AS DOUBLE)), 6) AS empirical FROM ev CROSS JOIN b GROUP BY nominal, low, high""",
         "empirical_interval": f"""WITH {PRED}, q AS (SELECT quantile_cont(ratio, 0.05) AS l, quantile_cont(ratio, 0.95) AS h FROM cal)
           SELECT sale_id, round(pred_b * l, 4) AS lower, round(pred_b * h, 4) AS upper, CAST(price BETWEEN pred_b * l AND pred_b * h AS INTEGER) AS covered FROM test CROSS JOIN q""",
         "calibration_pool": f"""WITH {PRED}, c AS (SELECT t.sale_id, count(*) FILTER (WHERE c.area = t.area AND c.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2) AS a1, count(*) FILTER (WHERE c.area = t.area) AS a2, count(*) FILTER (WHERE c.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2) AS a3, count(*) AS a4
