@@ -125,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "year_split_counts": f"""WITH {SALE} SELECT part, count(*) AS n, round(sum(price), 2) AS total FROM sale JOIN (VALUES ('development', 0, 1998), ('validation', 1999, 1999), ('final_train', 0, 1999), ('test', 2000, 2000)) v(part, a, b)
           ON sale_year BETWEEN a AND b GROUP BY 1""",
         "comps_windows": wins,
-        "comps_weighted": f"WITH {SALE}, {CAND}, {WEIGHTS}, agg AS (SELECT sale_id, {wsel} FROM w GROUP BY 1) SELECT sale_id, {wout} FROM sale LEFT JOIN agg USING (sale_id)",
+        "comps_weighted": f"WITH {SALE}, {CAND}, {WEIGHTS}, agg AS (SELECT sale_id, {wsel} FROM w GROUP BY 1) SELECT sale_id, {wout.replace(', 4)', ', 6)')} FROM sale LEFT JOIN agg USING (sale_id)",
         "comps_mad": f"WITH {SALE}, {CAND}, agg AS (SELECT sale_id, {mad}) SELECT sale_id, round(mad, 4) AS local_365d_500m_mad_ppm2 FROM sale LEFT JOIN agg USING (sale_id)",
         "comps_quality": f"""WITH {SALE}, {CAND}, {WEIGHTS}, agg AS (SELECT sale_id, count(*) FILTER (WHERE d <= 500 AND age <= 365) AS c1, count(*) FILTER (WHERE d <= 1000 AND age <= 365) AS c2, sum(w * p) / sum(w) AS a1 FROM w GROUP BY 1)
           SELECT sale_year, count(*) AS n_rows, round(avg(CAST(a1 IS NOT NULL AS DOUBLE)), 6) AS coverage, round(median(coalesce(c1, 0)), 6) AS median_count_500m, round(median(coalesce(c2, 0)), 6) AS median_count_1000m,

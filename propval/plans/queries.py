@@ -80,7 +80,7 @@ def comps_windows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def comps_weighted(spark: SparkSession, d: str) -> DataFrame:
     s = fx.sale(spark, d)
-    return rounded(comps.weighted(s, s))
+    return rounded(comps.weighted(s, s), 6)
 
 
 @query
