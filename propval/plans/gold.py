@@ -28,7 +28,7 @@ def with_identity(df: DataFrame) -> DataFrame:
     dist, sin, cos = geo.polar(F.col("x_l93"), F.col("y_l93"))
     return out.withColumns(
         {
-            "distance_paris_center_m": dist,
+            "distance_center_m": dist,
             "bearing_sin": sin,
             "bearing_cos": cos,
             "log_surface": F.log1p("surface_reelle_bati"),
