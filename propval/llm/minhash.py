@@ -9,10 +9,11 @@ texts with an empty coordinate throw further. Two texts agree at a coordinate wi
 Jaccard similarity.
 
 K = 120 values make 24 bands of 5: texts of similarity 0.8 share a band with probability 1 - (1 - 0.8^5)^24 = 0.9999.
-Equal texts are one node from the start. In each bucket every text is compared with pivots (never all pairs): first
-the smallest and a pseudorandom member; then, round after round and only where a bucket still holds several
-components, the member with the most links so far, until a round finds no link. Comparisons are exact (Jaccard of the
-64-bit shingle hashes). Classes are the connected components of the links.
+Equal texts are one node from the start. In each bucket every text is compared with pivots: first the smallest and a
+pseudorandom member; then, round after round and only where untried members lie in several components, hubs: untried
+members that share the most buckets with other components, twice as many each round, and all of them once few pairs
+are left. Rounds end when every pair of a bucket was compared or is joined through others, so pivots save comparisons but lose no link. Comparisons are exact
+(Jaccard of the 64-bit shingle hashes). Classes are the connected components of the links.
 
 Null texts and texts without words are never duplicates. Repeated rows are copies of each other. Null ids are copies like
 others (a class's id is its smallest id that is not null). Extra columns are not read. An empty table gives an empty
@@ -41,6 +42,10 @@ DARTS = math.ceil(K * math.log(K) + 2 * K)
 UNIT = 0.25
 #: Elements handled at once, words remembered in a worker.
 BLOCK_ELEMENTS, REMEMBERED = 400_000, 500_000
+#: Hubs of a bucket in one round: 1, 2, 4, ... up to this many; rounds go on until every member was one.
+MOST_HUBS = 512
+#: So many open pairs, or as many as there are texts in buckets, are all compared in one last round.
+LAST_PAIRS = 10_000
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -226,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = small
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighting: str = "set", similarity: float = SIMILARITY, max_rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighting: str = "set", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node of every row with words; node, first (id), class_id, n_texts, n_links of every node)."""
     sig = written(signed(docs, id_col, text_col, weighting), "signatures")
     nodes = written(sig.groupBy("node").agg(F.min_by("bands", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("bands"), F.min("doc_id").alias("first")), "nodes")
@@ -244,30 +249,37 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wei
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("first").alias("doc_id")), "node")
     sets = written(shingle_sets(docs, wanted, id_col, text_col, weighting), "sets")
     links = written(compared(pairs, sets, weighting, similarity), "links")
-    roots = components(links)
-    for _ in range(max_rounds - 1):
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        known = written(
-            members.select("node").distinct().join(roots, "node", "left").join(degree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "known"
-        )
-        labelled = written(members.select("node", "band").join(known, "node"), "labelled")
-        hubs = written(
-            labelled.groupBy("band")
-            .agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by(F.struct("node", "root"), F.struct("degree", "node")).alias("hub"))
-            .where("r1 <> r2")
-            .select("band", F.col("hub.node").alias("b"), F.col("hub.root").alias("hub_root")),
-            "hubs",
-        )
+    everyone = wanted.select("node")
+    roots = written(everyone.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "known")
+    untried, many, enough = members.where("node <> p1 AND node <> p2").select("node", "band"), 1, max(LAST_PAIRS, sets.count())
+    while True:
+        labelled = untried.join(roots, "node")
+        still = labelled.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2").select("band", "n")
+        labelled = written(labelled.join(still, "band"), "labelled")
+        foreign = labelled.groupBy("band", "root").agg((F.first("n") - F.count(F.lit(1))).alias("reach"), F.count(F.lit(1)).alias("own"))
+        open_pairs = foreign.agg(F.sum(F.col("reach") * F.col("own")) / 2).first()[0]
+        if not open_pairs:
+            break
+        last = open_pairs <= enough
+        if last:
+            hubs = labelled.select("band", F.col("node").alias("b"), F.col("root").alias("hub_root"))
+        else:
+            reach = labelled.join(foreign, ["band", "root"]).groupBy("node").agg(F.sum("reach").alias("reach"))
+            best = W.partitionBy("band").orderBy(F.col("reach").desc(), "node")
+            hubs = written(labelled.join(reach, "node").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= many).select("band", F.col("node").alias("b"), F.col("root").alias("hub_root")), "hubs")
         fresh = ordered(labelled.join(hubs, "band").where("root <> hub_root").select(F.col("node").alias("a"), "b"))
         fresh = written(fresh.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        found = written(compared(fresh, sets, weighting, similarity), "links")
         pairs = pairs.union(fresh)
-        if found.isEmpty():
+        found = written(compared(fresh, sets, weighting, similarity), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            merged = components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+            roots = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root")), "known")
+        if last:
             break
-        links = links.union(found)
-        roots = components(links)
+        untried = labelled.select("node", "band").join(hubs.select("band", F.col("b").alias("node")), ["node", "band"], "left_anti")
+        many = min(2 * many, MOST_HUBS)
     n_links = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = written(nodes.select("node", "first").join(roots, "node", "left").join(n_links, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "rooted")
     of_root = written(rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.min_by("node", F.struct(F.col("first").isNull(), "first", "node")).alias("kept"), F.count(F.lit(1)).alias("n_texts")), "roots")

@@ -51,6 +51,20 @@ def test_star_of_variants_is_one_class(spark):
     assert got == brute_classes([(r[0], r[1]) for r in rows])
 
 
+def test_light_and_heavy_edits_of_one_original(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for i in range(1, 181):  # the heavily edited match the original alone
+        v = list(base)
+        for k in rng.sample(range(5, 395, 10), 2 if i <= 120 else 8):
+            v[k] = f"v{i}_{k}"
+        texts.append(" ".join(v))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_classes([(r[0], r[1]) for r in rows]) and set(got.values()) == {0}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     e = np.unique(rng.integers(0, 2**62, 400).astype(np.uint64))
