@@ -20,9 +20,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).drop("text")
+    return toxicity.scored(docs, model).drop("text", "lang")
 
 
 def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

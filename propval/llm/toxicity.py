@@ -2,8 +2,8 @@
 
 Severity grades 0..K-1 follow P(grade <= k) = sigmoid(theta_k - w.x): one weight vector shared by ordered thresholds.
 x holds hashed word features (is the word in the text, punctuation around it aside, A-Z lower-cased), so that a long
-text is no more toxic for being long; only features that the labelled sample ties to the grade (frequency and
-z-score) get a weight. The expected severity is the sum over k of P(grade > k).
+text is no more toxic for being long; only features that the labelled sample, or its texts of one language, ties to
+the grade (frequency and z-score) get a weight. The expected severity is the sum over k of P(grade > k).
 
 The model is fitted on at most `max_labelled` labelled rows, the first by a hash of the id; everything else reads all
 rows. Labels that only say toxic or not are graded first: a toxic text is severe (2) if the number of different words
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED, BUCKETS = 12_000, 1 << 20
 MIN_TEXTS, MIN_Z, L2, THRESHOLD = 8, 5.0, 0.1, 0.5
+#: Within a language a feature needs this share of its toxic texts, at least LEAST_TEXTS and at most MIN_TEXTS texts.
+LANG_SHARE, LEAST_TEXTS = 0.1, 4
 UPPER = bytes(range(65, 91))
 FOLD = bytes.maketrans(UPPER + b"\t\n\x0b\x0c\r", UPPER.lower() + b"     ")
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
@@ -67,13 +69,26 @@ def telling(rows: list[np.ndarray], toxic: np.ndarray, min_texts: int = MIN_TEXT
     return f[good], z[good]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2, rounds: int = 1500) -> Model:
+def telling_by(rows: list[np.ndarray], toxic: np.ndarray, langs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features telling over all texts or among the texts of one language; of several z the one furthest from 0."""
+    found = [telling(rows, toxic)]
+    for lang in np.unique(langs) if langs is not None else ():
+        mine = np.flatnonzero(langs == lang)
+        floor = min(MIN_TEXTS, max(LEAST_TEXTS, int(np.ceil(LANG_SHARE * toxic[mine].sum()))))
+        found.append(telling([rows[i] for i in mine], toxic[mine], floor))
+    f, z = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((-np.abs(z), f))
+    f, first = np.unique(f[order], return_index=True)
+    return f, z[order][first]
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2, rounds: int = 1500, langs: np.ndarray | None = None) -> Model:
     """Proportional odds by full-batch gradient steps (Adam) on the regularised likelihood; deterministic."""
     kinds = np.unique(grades)
     if len(kinds) < 2:
         return Model()
     y = np.searchsorted(kinds, grades)
-    features, _ = telling(rows, y > 0)
+    features, _ = telling_by(rows, y > 0, langs)
     if not len(features):
         return Model()
     place = {int(b): j for j, b in enumerate(features)}
@@ -105,34 +120,35 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2, rounds: int
     return Model(features, params[: len(features)], params[len(features)] + np.concatenate([[0.0], np.cumsum(steps)]))
 
 
-def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def graded(rows: list[np.ndarray], toxic: np.ndarray, langs: np.ndarray | None = None) -> np.ndarray:
     """Grades of texts labelled toxic or not."""
-    features, z = telling(rows, toxic)
+    features, z = telling_by(rows, toxic, langs)
     found = np.array([np.isin(r, features[z > 0]).sum() for r in rows])
     cut = max(1.0, np.median(found[toxic])) if toxic.any() else 1.0
     return np.where(toxic, np.where(found >= cut, 2, 1), 0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most max_labelled labelled rows, in a fixed order."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features, labels and languages ("" where docs has none) of at most max_labelled labelled rows, in a fixed order."""
     first = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     first = first.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [np.array(sorted(buckets_of(t)), dtype=np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "lang": b["lang"], "x": [np.array(sorted(buckets_of(t)), dtype=np.int32) for t in b["text"]]})
 
-    held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(first), "doc_id")  # at most max_labelled rows
-    got = held.select("doc_id", "y", "text").mapInPandas(features, "doc_id long, y int, x array<int>").orderBy("doc_id", F.xxhash64("x")).limit(max_labelled).toArrow()
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).join(F.broadcast(first), "doc_id")  # at most max_labelled rows
+    got = held.select("doc_id", "y", "lang", "text").mapInPandas(features, "doc_id long, y int, lang string, x array<int>").orderBy("doc_id", F.xxhash64("x")).limit(max_labelled).toArrow()
     flat = [np.asarray(x.values, dtype=np.int64) for x in got["x"]]
-    return flat, np.asarray(got["y"], dtype=np.int64)
+    return flat, np.asarray(got["y"], dtype=np.int64), np.asarray(got["lang"].to_pylist(), dtype=str)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    rows, y = sample(docs, labels, label, max_labelled)
+    rows, y, langs = sample(docs, labels, label, max_labelled)
     if len(y) and set(np.unique(y)) <= {0, 1}:
-        y = graded(rows, y > 0)
-    return fit(rows, y)
+        y = graded(rows, y > 0, langs)
+    return fit(rows, y, langs=langs)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:

@@ -32,6 +32,17 @@ def test_held_out_toxicity(spark):
     assert hit >= 0.8 * sum(r.toxic for r in got) and hit >= 0.97 * sum(r.p_toxic for r in got)
 
 
+def test_small_language_has_telling_words():
+    # word 3 is in 6 toxic texts, all of the small language: too few among all texts
+    rows = [np.array([1, 10 + i % 7]) for i in range(1000)] + [np.array([2, 10 + i % 7]) for i in range(1400)]
+    small = [np.array([3, 30 + i % 3]) for i in range(6)] + [np.array([40 + i % 3]) for i in range(34)]
+    toxic = np.array([True] * 1000 + [False] * 1400 + [True] * 6 + [False] * 34)
+    langs = np.array(["en"] * 2400 + ["es"] * 40)
+    assert 3 not in toxicity.telling(rows + small, toxic)[0] and 3 in toxicity.telling_by(rows + small, toxic, langs)[0]
+    score = lambda m: sum(w for f, w in zip(m.features, m.weights, strict=True) if f == 3)
+    assert score(toxicity.fit(rows + small, toxic.astype(int), langs=langs)) > 0
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     rows, y = [], []
