@@ -181,6 +181,10 @@ def best(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str]) -> Da
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+#: Repetitions of the intervals and of the paired comparison.
+INTERVAL_REPETITIONS, PAIR_REPETITIONS = 500, 1_000
+
+
 def poisson_weight(rep: Column, key: Column) -> Column:
     """Poisson(1) resampling weight from an MD5 of repetition and id: the same in any engine."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", rep.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -198,8 +202,9 @@ def bootstrap_mae(df: DataFrame, key: str, errors: Sequence[str], repetitions: i
     return reps.groupBy("rep").agg(*[(F.sum(F.col(e) * F.col("w")) / F.sum("w")).alias(f"mae_{e}") for e in errors])
 
 
-def bootstrap_intervals(df: DataFrame, key: str, errors: Sequence[str], repetitions: int, baseline: str) -> DataFrame:
-    """model, low and high of its MAE, and of its reduction against the baseline (95 %)."""
+def bootstrap_intervals(df: DataFrame, key: str, errors: Sequence[str], repetitions: int = INTERVAL_REPETITIONS, baseline: str | None = None) -> DataFrame:
+    """model, low and high of its MAE, and of its reduction against the baseline, the first model by default (95 %)."""
+    baseline = baseline or errors[0]
     reps = bootstrap_mae(df, key, errors, repetitions)
     q = lambda c, p: F.percentile(c, F.lit(p))
     rows = []
@@ -212,7 +217,7 @@ def bootstrap_intervals(df: DataFrame, key: str, errors: Sequence[str], repetiti
     return out
 
 
-def paired_bootstrap(df: DataFrame, key: str, errors: Sequence[str], repetitions: int) -> DataFrame:
+def paired_bootstrap(df: DataFrame, key: str, errors: Sequence[str], repetitions: int = PAIR_REPETITIONS) -> DataFrame:
     """All pairs of models: mean difference of MAE, its 95 % interval, and whether that leaves 0 out."""
     reps = bootstrap_mae(df, key, errors, repetitions)
     cells = [F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), (F.col(f"mae_{a}") - F.col(f"mae_{b}")).alias("diff")) for a in errors for b in errors if a != b]

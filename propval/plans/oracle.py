@@ -202,8 +202,11 @@ def oracle_sql() -> dict[str, str]:
         "correction_search": f"WITH {CORRECTION} SELECT anchor, weight, mae FROM corr",
         "best_correction": f"WITH {CORRECTION} SELECT anchor, weight, mae FROM corr QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY mae, weight) = 1",
         "bootstrap_mae": f"WITH {_reps(100)} " + " UNION ALL ".join(f"SELECT '{m}' AS model, round(quantile_cont({m}, 0.025), 4) AS mae_low, round(quantile_cont({m}, 0.975), 4) AS mae_high, round(quantile_cont(b - {m}, 0.025), 4) AS gain_low, round(quantile_cont(b - {m}, 0.975), 4) AS gain_high FROM reps" for m in "ab"),
+        "bootstrap_mae_full": f"WITH {_reps(500)} " + " UNION ALL ".join(f"SELECT '{m}' AS model, round(quantile_cont({m}, 0.025), 4) AS mae_low, round(quantile_cont({m}, 0.975), 4) AS mae_high, round(quantile_cont(b - {m}, 0.025), 4) AS gain_low, round(quantile_cont(b - {m}, 0.975), 4) AS gain_high FROM reps" for m in "ab"),
         "paired_bootstrap": f"WITH {_reps(100)} " + " UNION ALL ".join(f"SELECT '{p}' AS model_a, '{q}' AS model_b, round(avg({p} - {q}), 4) AS mean_diff, round(quantile_cont({p} - {q}, 0.025), 4) AS low, round(quantile_cont({p} - {q}, 0.975), 4) AS high, quantile_cont({p} - {q}, 0.025) > 0 OR quantile_cont({p} - {q}, 0.975) < 0 AS significant FROM reps" for p, q in ("ab", "ba")),
+        "paired_bootstrap_full": f"WITH {_reps(1000)} " + " UNION ALL ".join(f"SELECT '{p}' AS model_a, '{q}' AS model_b, round(avg({p} - {q}), 4) AS mean_diff, round(quantile_cont({p} - {q}, 0.025), 4) AS low, round(quantile_cont({p} - {q}, 0.975), 4) AS high, quantile_cont({p} - {q}, 0.025) > 0 OR quantile_cont({p} - {q}, 0.975) < 0 AS significant FROM reps" for p, q in ("ab", "ba")),
         "model_matrix": f"WITH {_reps(50)} SELECT 'a' AS model_a, CAST(NULL AS DOUBLE) AS a, round(avg(a - b), 4) AS b FROM reps UNION ALL SELECT 'b', round(avg(b - a), 4), NULL FROM reps",
+        "model_matrix_full": f"WITH {_reps(1000)} SELECT 'a' AS model_a, CAST(NULL AS DOUBLE) AS a, round(avg(a - b), 4) AS b FROM reps UNION ALL SELECT 'b', round(avg(b - a), 4), NULL FROM reps",
         "topk_by_family": "SELECT s_nationkey, s_suppkey, CAST(s_acctbal AS DOUBLE) AS gain, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier QUALIFY rank <= 3",
         "family_sums": f"WITH {NAMES} SELECT {FAMILY} AS family, round(sum(CAST(c_acctbal AS DOUBLE)), 2) AS total FROM names JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
         "rank_models": f"WITH {PRED}, m AS (SELECT segment, {_metrics('pred_a')} FROM test GROUP BY segment) SELECT segment, mae, row_number() OVER (ORDER BY mae, segment) AS rank FROM m",

@@ -443,6 +443,22 @@ def model_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.square_matrix(pairs, "model_a", "model_b", "mean_diff", ["a", "b"]))
 
 
+@query
+def bootstrap_mae_full(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.bootstrap_intervals(_errors(spark, d), "sale_id", ["a", "b"], baseline="b"))
+
+
+@query
+def paired_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.paired_bootstrap(_errors(spark, d), "sale_id", ["a", "b"]))
+
+
+@query
+def model_matrix_full(spark: SparkSession, d: str) -> DataFrame:
+    pairs = stats.paired_bootstrap(_errors(spark, d), "sale_id", ["a", "b"])
+    return rounded(stats.square_matrix(pairs, "model_a", "model_b", "mean_diff", ["a", "b"]))
+
+
 @query
 def topk_by_family(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").cast("double").alias("gain"))

@@ -247,3 +247,10 @@ def test_valuation_domain_and_blend():
         with pytest.raises(ValueError):
             valuation.validated(valuation.Property(**{**ok.__dict__, field: value}))
     assert valuation.blended(100.0, None, 10.0, 0.75) == 100.0 and valuation.blended(100.0, 20.0, 10.0, 0.75) == 125.0
+
+
+def test_bootstraps_repeat_as_often_as_the_reference_by_default():
+    import inspect
+
+    of = lambda f: inspect.signature(f).parameters["repetitions"].default
+    assert of(stats.bootstrap_intervals) == 500 and of(stats.paired_bootstrap) == 1_000
