@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,3 +29,20 @@ def window_hashes(hashes: Column, width: int) -> Column:
     n = F.size(hashes)
     at = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -101,3 +101,71 @@ def test_odd_rows_and_empty_table(spark):
     first = minhash.first_of_each(docs)
     assert first.columns == docs.columns and first.where("doc_id = 1").count() == 1 and first.count() == docs.count() - 1
     assert minhash.near_duplicates(docs.limit(0)).count() == 0 and minhash.first_of_each(docs.limit(0)).count() == 0
+
+
+def pairs_with_boilerplate(n, own, shared, seed):
+    """n pairs of texts: those of a pair just alike enough, texts of different pairs alike by their boilerplate."""
+    rng = random.Random(seed)
+    plate = " ".join(f"p{k}" for k in range(shared))
+    places = range(5, own - 4, 5)
+    changes = min((own + shared - 4) // 45, len(places))  # each changes five shingles of s: J = (s - 5c) / (s + 5c)
+    rows = []
+    for i in range(n):
+        a = [f"u{i}_{k}" for k in range(own)]
+        b = list(a)
+        for k in rng.sample(places, changes):
+            b[k] = f"v{i}_{k}"
+        rows += [(2 * i, " ".join(a) + " " + plate, "en", "a", 1), (2 * i + 1, " ".join(b) + " " + plate, "en", "a", 1)]
+    return rows
+
+
+def exact_classes(rows):
+    """brute_classes by an index of shingles, counting shared ones for every pair."""
+    sets, sharing = {}, {}
+    for i, text, *_ in rows:
+        w = text.split()
+        sets[i] = {hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)}
+    vocabulary = {x: k for k, x in enumerate(sorted(set().union(*sets.values())))}
+    m = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
+    for r, (i, *_) in enumerate(rows):
+        m[r, [vocabulary[x] for x in sets[i]]] = 1
+    shared, size = m @ m.T, m.sum(axis=1)
+    a, b = np.nonzero(shared / (size[:, None] + size[None, :] - shared) >= 0.8)
+    merged = minhash.joined(np.array([r[0] for r in rows]), a, b)
+    return {r[0]: merged.get(r[0], r[0]) for r in rows}
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    for shared in (80, 240, 700):  # cross-pair similarity from far below to just below the threshold
+        own = 100
+        rows = pairs_with_boilerplate(400, own, shared, shared)
+        want = exact_classes(rows)
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+        linked = sum(want[2 * i] == want[2 * i + 1] for i in range(400))
+        assert linked == 400
+        assert got == want
+
+
+def test_blocks_of_open_buckets_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "OPEN_ROWS", 8)  # many blocks, large components among them
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = pairs_with_boilerplate(60, 100, 240, 9)
+    for i in range(1000, 1120):
+        v = list(base)
+        for k in rng.sample(range(5, 395, 10), 2 if i < 1060 else 8):
+            v[k] = f"v{i}_{k}"
+        rows.append((i, " ".join(v), "en", "a", 1))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == exact_classes(rows)
+
+
+def test_shared_counts_equal_sets():
+    rng = np.random.default_rng(4)
+    sets = [set(rng.integers(0, 60, rng.integers(1, 50)).tolist()) | set(range(1000, 1000 + i % 3)) for i in range(70)]
+    where = np.repeat(np.arange(70), [len(s) for s in sets])
+    elems = np.concatenate([sorted(s) for s in sets])
+    left, right = np.arange(0, 40), np.arange(40, 70)
+    for a, b in ((left, right), (left, left)):
+        want = np.array([[len(sets[x] & sets[y]) if x != y else 0 for y in b] for x in a])
+        assert (minhash.shared_counts(where, elems, a, b) * (a[:, None] != b) == want).all()
