@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The text is read left to right over a lattice of pieces. Every boundary keeps one back pointer, to the start of the
-piece that ends there on the best path; pieces are at most `longest` characters, so only the last `longest` boundaries
-can still be extended. Whenever all back-pointer paths of those meet in one boundary, the ids up to it are committed
-and the lattice before it is dropped: memory is bounded by the window, not by the text.
+piece that ends there on the best path. A boundary survives while the text from it on is the beginning of some piece, so
+only the last `longest` boundaries (the longest piece's characters) can. Whenever the paths of all survivors meet in one
+boundary, the ids up to it are committed and the lattice before it is dropped: memory is bounded by the window, not by
+the text. While the window is shorter than the longest piece its first boundary may survive; so the meeting is looked
+for at every character from there on, and at every place where a character cannot stand after another inside any piece (a space
+mark after a letter, a line end, punctuation that no piece holds there): no path can cross it, so all end in it.
 
 Which path is best depends on the kind of model. A unigram model maximises the sum of scores. A BPE model (merges by
 score, leftmost first) has no additive score, but its result is local: a sequence of pieces is the encoding of a text
@@ -11,11 +14,12 @@ if and only if each piece is its own encoding after its left neighbour, that is,
 same two. So every boundary has exactly one valid incoming piece, and the same search finds it with that test
 (remembered per pair) in the place of the sum.
 
-Where a character cannot stand after another inside any piece (a space mark after a letter, a line end), all paths
-meet, so such runs are encoded on their own and remembered.
+What is committed between two places that no piece crosses depends on the characters between them alone; it is remembered by them.
 
 Null and empty texts have no ids. Decoding gives back every text that holds no U+2581 (which stands for the space,
-and decodes to it). An empty table gives an empty result.
+and decodes to it). Long texts are read whole, whatever their length or that of a word. Repeated rows are encoded alike,
+each on its own; there are no ties: of equal sums the longest last piece wins. Extra columns are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import re
 import string
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 REMEMBERED = 600_000
 #: Ids in an output batch.
 BATCH_IDS = 2_000_000
+#: Runs of a text whose ids are held apart before they are joined.
+RUNS_AT_ONCE = 65_536
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,9 +106,11 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.longest = max(map(len, self.ids))
+        self.lowest = min(self.scores)
         inner = [p for p in self.ids if len(p) > 1]
         used = set("".join(inner))
         self.breaks = "".join(c for c in "\n\t\r\v\f" if c not in used)
+        self.prefixes = {p[:k] for p in inner for k in range(1, len(p))}
         #: Lengths, longest first, of the pieces that end in given characters: three, or two at the start of a run.
         self.pairs = {p for p in inner if len(p) == 2}
         sizes: dict[str, set[int]] = {p: {2} for p in self.pairs}
@@ -118,6 +127,10 @@ class PieceModel:
             for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
 
+    def score(self, piece: str) -> float:
+        k = self.ids.get(piece)
+        return self.lowest - 10 if k is None else self.scores[k]
+
     @classmethod
     def load(cls, path: str = MODEL_PATH) -> PieceModel:
         with open(path, "rb") as f:
@@ -129,6 +142,8 @@ class Encoder:
         self.m = model
         self._pairs: dict[tuple[str, str], bool] = {}
         self._runs = _Runs(self)
+        #: Meetings of all paths found so far, and the most characters that a window held.
+        self.commits = self.widest = 0
         mark = MARK if model.marks_lead else ""
         stop, punct = re.escape(model.breaks), re.escape(model.stops)
         # a run: marks, a character, then all up to a mark, a line end or punctuation right after a letter or digit
@@ -159,86 +174,67 @@ class Encoder:
         return known
 
     # the search ----------------------------------------------------------------------------------------
-    def pieces_of(self, chars: Iterable[str]) -> Iterator[str]:
-        """Pieces of a stream of characters, given out as soon as no later character can change them."""
-        m, ids, scores, longest = self.m, self.m.ids, self.m.scores, self.m.longest
-        window: list[str] = []  # characters from the last committed boundary on
+    def lots(self, chars: Iterable[str]) -> Iterator[list[str]]:
+        """Pieces of a stream of characters, in the lots in which they are committed: no later character can change them."""
+        m, ids, sizes, two, pairs, longest = self.m, self.m.ids, self.m.sizes, self.m.pairs, self._pairs, self.m.longest
+        window, n = "", 0  # characters from the last committed boundary on
         piece, total = [""], [0.0]  # of each boundary: the piece that ends there, and its path's score
-        first = True
         for c in chars:
-            window.append(c)
-            n = len(window)
-            text = "".join(window[-longest:])
-            chosen, best = None, -np.inf
-            for size in range(min(longest, n), 0, -1):
-                p = text[-size:]
-                k = ids.get(p)
-                if k is None and size > 1:
-                    continue
-                before = piece[n - size]
-                if not before and not (first and n == size) and n != size:
-                    continue
-                if m.bpe:
-                    if self._fits(before, p):
-                        chosen = p
-                        break
-                else:
-                    s = total[n - size] + (scores[k] if k is not None else min(scores) - 10)
-                    if s > best:
-                        chosen, best = p, s
+            window += c
+            n += 1
+            fit = sizes.get(window[-3:])
+            if fit is None:
+                fit = (2,) if n > 1 and window[-2:] in two else ()
+            chosen, best = c, 0.0
+            if m.bpe:
+                for size in fit:
+                    if size <= n and (p := window[n - size :]) in ids:
+                        known = pairs.get((piece[n - size], p))
+                        if known or known is None and self._fits(piece[n - size], p):
+                            chosen = p
+                            break  # else the prefix's encoding ends in its last character
+            else:
+                best = total[n - 1] + m.score(c)
+                for size in reversed(fit):
+                    if size <= n and (p := window[n - size :]) in ids and (x := total[n - size] + m.score(p)) >= best:
+                        chosen, best = p, x
             piece.append(chosen)
             total.append(best)
-            if n >= 2 * longest and n % longest == 0:
-                done = self._meeting(piece, n)
-                if done:
-                    out, at = [], done
-                    while at:
-                        out.append(piece[at])
+            if n >= longest and (done := self._meeting(window, piece, n)):
+                yield self._commit(piece, done, n)
+                window, n, piece, total = window[done:], n - done, piece[done:], total[done:]
+        yield self._commit(piece, n, n)  # the end: all paths meet
+
+    def _meeting(self, window: str, piece: list[str], n: int) -> int:
+        """The last boundary that lies on the paths of all survivors."""
+        prefixes = self.m.prefixes
+        at = n  # the only boundary that survives always
+        for b in range(max(0, n - self.m.longest + 1), n):
+            if window[b:] in prefixes:
+                x = b
+                while x != at:
+                    if x > at:
+                        x -= len(piece[x])
+                    else:
                         at -= len(piece[at])
-                    yield from reversed(out)
-                    window, piece, total = window[done:], [piece[done], *piece[done + 1 :]], [total[done], *total[done + 1 :]]
-                    first = False
-        out, at = [], len(window)
-        while at:
-            out.append(piece[at])
-            at -= len(piece[at])
-        yield from reversed(out)
-
-    def _meeting(self, piece: list[str], n: int) -> int:
-        """The last boundary that lies on the paths of all boundaries that can still be extended."""
-        open_ = set(range(max(0, n - self.m.longest + 1), n + 1))
-        while len(open_) > 1:
-            last = max(open_)
-            open_.remove(last)
-            open_.add(last - len(piece[last]))
-        return open_.pop()
-
-    def _short(self, run: str) -> list[str]:
-        """The same search for a BPE run that fits the window: no commitment before its end."""
-        ids, sizes, two, pairs = self.m.ids, self.m.sizes, self.m.pairs, self._pairs
-        piece = [""] * (len(run) + 1)
-        for n in range(1, len(run) + 1):
-            fit = sizes.get(run[n - 3 : n] if n > 2 else run[:n])
-            if fit is None:
-                fit = (2,) if n > 1 and run[n - 2 : n] in two else ()
-            for size in fit:
-                if size <= n and (p := run[n - size : n]) in ids:
-                    known = pairs.get((piece[n - size], p))
-                    if known or known is None and self._fits(piece[n - size], p):
-                        piece[n] = p
-                        break
-            else:  # the prefix's encoding ends in its last character
-                piece[n] = run[n - 1]
-        out, at = [], len(run)
-        while at:
-            out.append(piece[at])
-            at -= len(piece[at])
+        return at
+
+    def _commit(self, piece: list[str], upto: int, n: int) -> list[str]:
+        self.commits += 1
+        self.widest = max(self.widest, n)
+        out = []
+        while upto:
+            out.append(piece[upto])
+            upto -= len(piece[upto])
         out.reverse()
         return out
 
+    def pieces_of(self, chars: Iterable[str]) -> Iterator[str]:
+        return chain.from_iterable(self.lots(chars))
+
     def ids_of_run(self, run: str) -> list[int]:
         m, out = self.m, []
-        for p in self._short(run) if m.bpe and len(run) <= 4 * m.longest else self.pieces_of(run):
+        for p in self.pieces_of(run):
             k = m.ids.get(p)
             if k is not None:
                 out.append(k)
@@ -252,7 +248,10 @@ class Encoder:
         if not text:
             return np.zeros(0, dtype=np.int32)
         text = (MARK if self.m.prefix else "") + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self._runs.__getitem__, self._split.findall(text))), dtype=np.int32)
+        out, runs = bytearray(), map(self._runs.__getitem__, map(re.Match.group, self._split.finditer(text)))
+        while some := b"".join(islice(runs, RUNS_AT_ONCE)):
+            out += some
+        return np.frombuffer(out, dtype=np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.m.bytes_of.__getitem__, ids))
@@ -260,7 +259,7 @@ class Encoder:
 
 
 class _Runs(dict):
-    """Ids, as int32 bytes, of runs already encoded. Once it is full, it starts anew and keeps what is asked for again."""
+    """Ids, as int32 bytes, of runs (characters between two places that no piece crosses) already searched. Once it is full, it starts anew and keeps what is asked for again."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()

@@ -132,7 +132,7 @@ def test_urls_empty_table(spark):
 
 # SentencePiece ----------------------------------------------------------------------------------------
 
-TEXTS = [r[1] for r in ODD if r[1] is not None and len(r[1]) < 70000] + ["  two  spaces ", "a\n\tb\r\n", "</s> <s> <0x0A> [INST]", "ééé ½ ＡＢ", "a" * 500, "aaaa bbbb" * 50, "==========-----", "\x00\x01", "x" * 33 + "Ж" * 40]
+TEXTS = [r[1] for r in ODD if r[1] is not None and len(r[1]) < 70000] + ["  two  spaces ", "a\n\tb\r\n", "</s> <s> <0x0A> [INST]", "ééé ½ ＡＢ", "a" * 500, "aaaa bbbb" * 50, "==========-----", "\x00\x01", "x" * 33 + "Ж" * 40, "ab" * 3000, "日本語の文章" * 300]
 
 
 def test_ids_equal_the_library(spark):
@@ -163,14 +163,46 @@ def test_window_commits_early_and_changes_nothing():
     assert [p for p, _ in seen] == enc._merged(text)
 
 
+def test_every_run_of_documents_commits_within_the_window(spark):
+    enc, longest = sp.Encoder(sp.PieceModel.load()), sp.PieceModel.load().longest
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    for t in texts:
+        enc.encode(t)
+    runs = {m for t in texts for m in enc._split.findall(sp.MARK + t.replace(" ", sp.MARK))}
+    assert enc.commits >= len(runs) and enc.widest <= 2 * longest  # no run was encoded without the search
+    long = "".join(texts[0].split()) * 100
+    before = enc.commits
+    assert "".join(enc.pieces_of(long)) == long
+    assert enc.commits - before > len(long) / (3 * longest) and enc.widest <= 4 * longest
+
+
+def piece_model(scores):
+    """A small unigram model in the library's file format."""
+    import struct
+
+    field = lambda n, b: bytes([n << 3 | 2]) + (bytes([len(b) & 127 | 128, len(b) >> 7]) if len(b) > 127 else bytes([len(b)])) + b
+    out = b""
+    for piece, score, kind in [("<unk>", 0.0, 2), *((p, s, 1) for p, s in scores.items())]:
+        out += field(1, field(1, piece.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
+    out += field(2, bytes([3 << 3, 1]))
+    return out + field(3, field(1, b"identity") + bytes([3 << 3, 0, 4 << 3, 0]))
+
+
 def test_unigram_search_maximises_the_score():
-    m = sp.PieceModel.load()
-    m.bpe = False
-    m.ids = {"a": 300, "b": 301, "ab": 302, "aba": 303, "ba": 304}
-    m.scores = {300: -2.0, 301: -2.0, 302: -1.5, 303: -3.4, 304: -1.0}
-    m.scores = [m.scores.get(i, -9.0) for i in range(400)]
-    m.longest = 3
-    assert list(sp.Encoder(m).pieces_of("aba")) == ["a", "ba"]
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        scores = {"a": -3.0, "b": -3.5, sp.MARK: -2.0}
+        for _ in range(12):
+            scores["".join(rng.choice(list("ab"), rng.integers(2, 6)))] = -float(rng.uniform(1, 6))
+        enc = sp.Encoder(sp.PieceModel(piece_model(scores)))
+        text = "".join(rng.choice(list("ab "), 60))
+        marked = text.replace(" ", sp.MARK)
+        best = [0.0] + [-math.inf] * len(marked)
+        for n in range(1, len(marked) + 1):
+            best[n] = max((best[k] + scores[marked[k:n]] for k in range(max(0, n - 6), n) if marked[k:n] in scores), default=-math.inf)
+        got = [enc.m.pieces[i] for i in enc.encode(text)]
+        assert "".join(got) == marked and abs(sum(scores[p] for p in got) - best[-1]) < 1e-5
+        assert list(enc.pieces_of(marked)) == got or abs(sum(scores[p] for p in enc.pieces_of(marked)) - best[-1]) < 1e-5
 
 
 def test_encoded_and_decoded_tables(spark):
