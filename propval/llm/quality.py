@@ -1,12 +1,16 @@
 """Quality rules combined by weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over all documents estimates
-how often each rule votes either way on good and on bad documents; a document's posterior probability of
-being good replaces an all-must-pass filter. EM needs only how often each vector of votes occurs: at most
-3^rules rows, however large the corpus, and this is all that reaches the driver.
-
-Null and empty texts have no words and all counts 0; they fail the base rule. Repeated rows are judged alike,
-each on its own. Extra columns stay where the caller selects them. An empty table gives an empty result.
+Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation estimates how often each rule votes either
+way on good and on bad documents, and a document's posterior probability of being good replaces an all-must-pass filter:
+a bad vote of a rule that the others seldom bear out is overruled, and a document that hardly any rule calls good is
+rejected although none calls it bad. A vote never counts against its own meaning. EM runs over all documents that
+the base rule leaves, and needs only how often each vector of votes occurs: at most 3^rules rows, however large the
+corpus, and this is all that reaches the driver.
+
+Null and empty texts have no words and all counts 0; they fail the base rule. Long texts are measured whole, in n log n.
+Repeated rows are judged alike, each on its own, so there are no ties; a posterior of exactly the threshold keeps. Extra
+columns stay as they are; the names of counts and votes replace columns of these names in `measured` and `votes`, and
+never in `filtered`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propval.llm.text import SPACE, WORD, window_hashes, word_hashes, words
+from propval.llm.text import SPACE, WORD, own_columns, unused_prefix, window_hashes, word_hashes, words
 from propval.session import written
 
 WINDOW = 5
@@ -26,18 +30,15 @@ PRIOR_GOOD = 0.8
 #: Pseudo-votes that keep each estimate on the side of the rule's meaning where votes are few.
 SMOOTH = 2.0
 
-#: (rule, good if, bad if), on the ratios of `ratios()`; where neither holds, a rule abstains. A rule that looks for
-#: one defect never votes good: that a text lacks one defect says little about it.
+#: (rule, good if, bad if), on the ratios of `ratios()`; where neither holds, a rule abstains.
 RULES: tuple[tuple[str, str, str], ...] = (
-    ("symbols", "false", "symbol_share > 0.02"),
-    ("capitals", "false", "capital_share > 0.3"),
-    ("shouting", "false", "shout_share > 0.05"),
-    ("bars", "false", "bar_share > 0.1"),
-    ("repeats", "false", "repeat_share > 0.2"),
-    ("lines", "false", "dup_line_share > 0.5"),
-    ("word_length", "false", "word_length NOT BETWEEN 2 AND 14"),
-    ("characters", "symbol_share < 0.005 AND capital_share < 0.15 AND bar_share < 0.01", "false"),
-    ("variety", "repeat_share < 0.05 AND dup_line_share < 0.3", "false"),
+    ("symbols", "symbol_share < 0.005", "symbol_share > 0.02"),
+    ("capitals", "capital_share BETWEEN 0.004 AND 0.08", "capital_share > 0.3"),
+    ("shouting", "shout_share < 0.01", "shout_share > 0.05"),
+    ("bars", "bar_share < 0.01", "bar_share > 0.1"),
+    ("repeats", "repeat_share < 0.05", "repeat_share > 0.1"),
+    ("lines", "dup_line_share < 0.1", "dup_line_share > 0.25"),
+    ("word_length", "word_length BETWEEN 3.5 AND 6.5", "word_length NOT BETWEEN 2.5 AND 9"),
 )
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -108,7 +109,7 @@ def ratios(prefix: str = "") -> dict[str, Column]:
 
 def votes(measures: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, prefix: str = "", into: str = "votes") -> DataFrame:
     """Adds the array of votes (1 good, -1 bad, 0 abstains), in the order of the rules."""
-    names = {name: f"__r_{name}" for name in ratios(prefix)}
+    names = {name: f"{prefix}__r_{name}" for name in ratios(prefix)}
     with_ratios = measures.withColumns({names[k]: v for k, v in ratios(prefix).items()})
 
     def vote(good: str, bad: str) -> Column:
@@ -147,7 +148,8 @@ def fit(voted: DataFrame, n_rules: int, votes_col: str = "votes", rounds: int =
             break
         before = likelihood
     logit = math.log(good_prior / (1 - good_prior))
-    weights = [[math.log(p[1][j][x] / p[0][j][x]) for x in range(3)] for j in range(n_rules)]
+    ratio = lambda j, x: math.log(p[1][j][x] / p[0][j][x])
+    weights = [[min(0.0, ratio(j, 0)), ratio(j, 1), max(0.0, ratio(j, 2))] for j in range(n_rules)]
     return {"prior": good_prior, "logit": logit, "weights": weights}
 
 
@@ -167,7 +169,7 @@ def base_failed(prefix: str = "") -> Column:
 
 def filtered(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without those that the base rule or the posterior rejects; the texts are measured once."""
-    p = "__q_"
-    voted = written(votes(measured(docs, text, p), prefix=p, into=f"{p}votes").select(*docs.columns, f"{p}votes", base_failed(p).alias(f"{p}failed")), "voted")
-    model = fit(voted, len(RULES), f"{p}votes")
-    return voted.where(~F.col(f"{p}failed") & (posterior(model, f"{p}votes") >= threshold)).select(*docs.columns)
+    p = unused_prefix(docs, "q")
+    voted = written(votes(measured(docs, text, p), prefix=p, into=f"{p}votes").select(*own_columns(docs), f"{p}votes", base_failed(p).alias(f"{p}failed")), "voted")
+    passed = voted.where(~F.col(f"{p}failed"))
+    return passed.where(posterior(fit(passed, len(RULES), f"{p}votes"), f"{p}votes") >= threshold).select(*own_columns(docs))

@@ -67,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     measures = written(quality.measured(docs).drop("text"), "quality")
     voted = quality.votes(measures)
-    model = quality.fit(voted, len(quality.RULES))
+    model = quality.fit(voted.where(~quality.base_failed()), len(quality.RULES))
     p = quality.posterior(model)
     return voted.withColumns({"base_failed": quality.base_failed(), "p_good": p}).select(
         "doc_id", *quality.METRICS, "base_failed", (~F.col("base_failed") & (F.col("p_good") >= 0.5)).alias("kept"), "p_good", "votes"

@@ -43,6 +43,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def unused_prefix(df: DataFrame, name: str) -> str:
+    """A prefix for an operator's own columns that begins no column of df, in any case."""
+    prefix = f"__{name}_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns of df, by name, whatever characters the names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -5,13 +5,15 @@ x holds hashed word features (is the word in the text, punctuation around it asi
 text is no more toxic for being long; only features that the labelled sample, or its texts of one language, ties to
 the grade (frequency and z-score) get a weight. The expected severity is the sum over k of P(grade > k).
 
-The model is fitted on at most `max_labelled` labelled rows, the first by a hash of the id; everything else reads all
-rows. Labels that only say toxic or not are graded first: a toxic text is severe (2) if the number of different words
-that the sample finds telling reaches the median of toxic texts, else mild (1).
-
-Null and empty texts have no features and get the model's base rate; they are never called toxic. Rows without a usable label
-are not learned from; without any two grades in the sample every text scores 0. Repeated rows are scored alike. An
-empty table gives an empty result.
+The model is fitted on at most `max_labelled` labelled rows, the first by a hash of the id among those whose document is
+there; everything else reads all rows. Labels that only say toxic or not are graded first: a toxic text is severe (2) if the
+number of different words that the sample finds telling reaches the median of toxic texts, else mild (1).
+
+Null and empty texts have no features and get the model's base rate; they are never called toxic. Long texts are read
+whole. Rows without a usable label are not learned from; of several labels of an id the greatest counts; without any two
+grades in the sample every text scores 0. Ids may be of any type that labels and documents share; rows equal in the id's hash are taken in the order of their
+features' hash. Repeated rows are scored alike, and learned from each. Extra columns stay as they are, whatever their names
+(`scored` replaces columns of its results' names). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from propval.llm.text import own_columns, unused_prefix
+
 MAX_LABELLED, BUCKETS = 12_000, 1 << 20
 MIN_TEXTS, MIN_Z, L2, THRESHOLD = 8, 5.0, 0.1, 0.5
 #: Within a language a feature needs this share of its toxic texts, at least LEAST_TEXTS and at most MIN_TEXTS texts.
@@ -130,16 +134,18 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, langs: np.ndarray | None =
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Features, labels and languages ("" where docs has none) of at most max_labelled labelled rows, in a fixed order."""
-    first = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    first = first.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    read = docs.where(F.col("text").isNotNull())
+    first = known.join(read.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "lang": b["lang"], "x": [np.array(sorted(buckets_of(t)), dtype=np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"h": b["h"], "y": b["y"], "lang": b["lang"], "x": [np.array(sorted(buckets_of(t)), dtype=np.int32) for t in b["text"]]})
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).join(F.broadcast(first), "doc_id")  # at most max_labelled rows
-    got = held.select("doc_id", "y", "lang", "text").mapInPandas(features, "doc_id long, y int, lang string, x array<int>").orderBy("doc_id", F.xxhash64("x")).limit(max_labelled).toArrow()
+    held = read.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(first), "doc_id")  # at most max_labelled rows
+    held = held.select(F.xxhash64("doc_id").alias("h"), "y", "lang", "text").mapInPandas(features, "h long, y int, lang string, x array<int>")
+    got = held.orderBy("h", F.xxhash64("x")).limit(max_labelled).toArrow()
     flat = [np.asarray(x.values, dtype=np.int64) for x in got["x"]]
     return flat, np.asarray(got["y"], dtype=np.int64), np.asarray(got["lang"].to_pylist(), dtype=str)
 
@@ -178,4 +184,5 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the toxic ones."""
-    return scored(docs, learn(docs, labels), prefix="__t_").where("NOT __t_toxic").select(*docs.columns)
+    p = unused_prefix(docs, "t")
+    return scored(docs, learn(docs, labels), prefix=p).where(~F.col(f"{p}toxic")).select(*own_columns(docs))

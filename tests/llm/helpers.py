@@ -35,4 +35,7 @@ def documents(spark, rows=ODD, extra: bool = True):
 
         for c in ("size", "node", "bands", "score", "h", "w", "start", "block", "votes", "n_words", "toxic", "kept"):
             df = df.withColumn(c, F.lit("own"))
+        # and with their inner names, in either case
+        for c in ("__q_votes", "__Q_failed", "__t_toxic", "__key", "__stay", "__first", "__nth", "__words", "__n", "__tie", "row", "cut", "spans", "shard", "key", "a`b", "c.d"):
+            df = df.withColumns({c: F.lit("own")})
     return df

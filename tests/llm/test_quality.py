@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from propval.llm import quality
+from propval.session import written
 from tests.llm.helpers import documents, words
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,52 @@ def test_em_finds_planted_accuracies(spark):
     assert bad < 0.5 < good
 
 
+def test_posterior_is_no_all_must_pass_filter(spark):
+    d = "/root/testdata/sf0.1"
+    measures = written(quality.measured(spark.read.parquet(f"{d}/documents.parquet")).drop("text"), "measures")
+    voted = quality.votes(measures).where(~quality.base_failed())
+    model = quality.fit(voted, len(quality.RULES))
+    judged = voted.select("doc_id", "votes", quality.posterior(model).alias("p")).collect()
+    single = [r.p >= 0.5 for r in judged if r.votes.count(-1) == 1]
+    assert sum(single) >= 20 and sum(single) < len(single)  # a single bad vote is overruled, or not
+    assert any(r.p >= 0.5 for r in judged if r.votes.count(-1) == 2)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    assert all(r.p >= 0.5 for r in judged if labels.get(r.doc_id) == 1)
+    assert sum(r.p >= 0.5 for r in judged if labels.get(r.doc_id) == 0) <= 0.02 * sum(labels.get(r.doc_id) == 0 for r in judged)
+    # no rule calls it bad, hardly one calls it good
+    silent = spark.createDataFrame([([0] * len(quality.RULES),)], "votes array<int>").select(quality.posterior(model).alias("p")).first()
+    assert silent.p < 0.5
+
+
+def test_em_equals_brute_force(spark):
+    """The same mixture, a row at a time."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(400):
+        good = rng.random() < 0.7
+        rows.append([rng.choices([-1, 0, 1], [0.05, 0.25, 0.7] if good else [0.6, 0.3, 0.1])[0] for _ in range(4)])
+    model = quality.fit(spark.createDataFrame([(r,) for r in rows], "votes array<int>"), 4)
+    start = {1: [0.01, 0.29, 0.7], 0: [0.3, 0.5, 0.2]}
+    p, prior = {k: [v[:] for _ in range(4)] for k, v in start.items()}, quality.PRIOR_GOOD
+    for _ in range(300):
+        q = []
+        for v in rows:
+            a = prior * math.prod(p[1][j][x + 1] for j, x in enumerate(v))
+            b = (1 - prior) * math.prod(p[0][j][x + 1] for j, x in enumerate(v))
+            q.append(a / (a + b))
+        prior = (sum(q) + 1) / (len(q) + 2)
+        for k in (0, 1):
+            for j in range(4):
+                c = [quality.SMOOTH * start[k][x] + sum(w if k else 1 - w for v, w in zip(rows, q) if v[j] + 1 == x) for x in range(3)]
+                p[k][j] = [x / sum(c) for x in c]
+    assert abs(model["prior"] - prior) < 1e-4
+    for j in range(4):
+        assert abs(model["weights"][j][0] - math.log(p[1][j][0] / p[0][j][0])) < 1e-3 and abs(model["weights"][j][2] - math.log(p[1][j][2] / p[0][j][2])) < 1e-3
+
+
 def test_verdicts_match_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id for r in quality.filtered(docs).select("doc_id").collect()}

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from propval.llm import chat, katz, licenses, queries, sentencepiece_viterbi as sp, topk, toxicity, urls
 from tests.llm.helpers import ODD, SCHEMA, documents, low, words
@@ -57,6 +58,65 @@ def test_ordinal_fit_orders_grades():
     assert [round(float(sev[np.array(y) == g].mean())) for g in range(3)] == [0, 1, 2]
 
 
+def test_fit_equals_an_independent_optimiser():
+    rng = np.random.default_rng(11)
+    rows, y = [], []
+    for _ in range(2000):
+        x = [b for b in range(5) if rng.random() < 0.4]
+        s = sum(w for b, w in enumerate((2.0, 1.5, -1.5, 2.5, 1.0)) if b in x) + rng.logistic()
+        rows.append(np.array(x, dtype=np.int64))
+        y.append(int(s > 1) + int(s > 3))
+    y = np.array(y)
+    m = toxicity.fit(rows, y, rounds=4000)
+    x = np.array([[f in r for f in m.features.tolist()] for r in rows], dtype=float)
+    n = len(m.features)
+    assert n >= 3
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(v):
+        score, theta = x @ v[:n], v[n:]
+        at = np.column_stack([np.zeros(len(y)), *(sig(t - score) for t in theta), np.ones(len(y))])
+        p = at[np.arange(len(y)), y + 1] - at[np.arange(len(y)), y]
+        return -np.log(p).mean() + toxicity.L2 * (v[:n] ** 2).sum() / 2 / len(y)
+
+    v, h = np.concatenate([np.zeros(n), [0.0, 2.0]]), 1e-4  # Newton's method on numerical derivatives
+    eye = np.eye(len(v)) * h
+    for _ in range(30):
+        g = np.array([(loss(v + e) - loss(v - e)) / (2 * h) for e in eye])
+        hess = np.array([[(loss(v + a + b) - loss(v + a - b) - loss(v - a + b) + loss(v - a - b)) / (4 * h * h) for b in eye] for a in eye])
+        v = v - np.linalg.solve(hess + 1e-9 * np.eye(len(v)), g)
+    assert np.allclose(m.weights, v[:n], atol=2e-2) and np.allclose(m.thetas, v[n:], atol=2e-2)
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    assert weight
+    for r in toxicity.scored(docs, model).collect():
+        found = set()
+        for w in (r.text or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" "):
+            if w := low(w).strip(toxicity.EDGES.decode()):
+                found.add(zlib.crc32(w.encode()) % toxicity.BUCKETS)
+        s = sum(weight.get(b, 0.0) for b in found)
+        above = [1 / (1 + math.exp(min(500, max(-500, t - s)))) for t in model.thetas]
+        assert abs(r.severity - sum(above)) < 1e-9 and abs(r.p_toxic - above[0]) < 1e-9
+        assert r.toxic == (above[0] >= 0.5 and bool(words(r.text)))
+
+
+def test_labels_of_absent_documents_do_not_use_up_the_sample(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    present = labels.join(docs.where("text IS NOT NULL"), "doc_id", "left_semi").count()
+    absent = spark.range(10_000_000, 10_050_000).selectExpr("id AS doc_id", "1 AS quality", "1 AS toxic")
+    rows, y, _ = toxicity.sample(docs, labels.select("doc_id", "quality", "toxic").union(absent), max_labelled=present)
+    assert len(rows) == len(y) == present
+    # ids of another type, repeated rows and labels
+    named = docs.limit(50).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    own = named.select("doc_id", F.lit(1).alias("toxic")).limit(20)
+    assert len(toxicity.sample(named.union(named), own.union(own))[1]) == 40
+    assert len(toxicity.sample(named.union(named), own, max_labelled=7)[1]) == 7
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, 1), (99, None)], "doc_id long, toxic int")
