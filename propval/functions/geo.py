@@ -65,12 +65,20 @@ def wkt_centroid(text: Column) -> tuple[Column, Column]:
     return F.when(pairs >= 1, mean(each(0))), F.when(pairs >= 1, mean(each(1)))
 
 
-#: Edge of a cell in metres at each resolution; each divides the one before into 3 x 3.
-CELL_METERS = {8: 900.0, 9: 300.0, 10: 100.0}
+#: Edge in metres of a hexagon of each resolution (the mean edges of the usual hexagonal grid of these resolutions).
+CELL_METERS = {8: 531.4, 9: 200.8, 10: 75.9}
 
 
 def cell(x: Column, y: Column, resolution: int) -> Column:
-    """Square metric cell as text, nested over the resolutions (not an H3 id)."""
+    """Id of the hexagon of the metric plane that holds (x, y): pointy-topped, in axial coordinates, the nearest centre.
+
+    The same neighbourhoods as the usual global hexagonal grid at this resolution, by metres on the map's own projection; ids differ from it."""
     m = CELL_METERS[resolution]
-    part = lambda c: F.floor(c / m).cast("string")
-    return F.concat(F.lit(f"c{resolution}_"), part(x), F.lit("_"), part(y))
+    q, r = (x * (3.0**0.5 / 3.0) - y / 3.0) / m, y * (2.0 / 3.0) / m
+    s = -q - r
+    near = lambda c: F.floor(c + 0.5)
+    dq, dr, ds = (F.abs(near(c) - c) for c in (q, r, s))
+    # of the three rounded coordinates the one that moved most is what the other two leave
+    first = F.when((dq > dr) & (dq > ds), -near(r) - near(s)).otherwise(near(q))
+    second = F.when((dq > dr) & (dq > ds), near(r)).when(dr > ds, -near(q) - near(s)).otherwise(near(r))
+    return F.concat(F.lit(f"c{resolution}_"), first.cast("long").cast("string"), F.lit("_"), second.cast("long").cast("string"))

@@ -16,7 +16,27 @@ FAMILIES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Building and linkage", ("building_", "bdnb_", "ban_", "usage_", "mat_")),
     ("Neighbourhood context", ("distance_metro", "distance_rer", "distance_train", "distance_tram", "rail_", "distance_school", "school_", "distance_green", "green_", "distance_shop", "shop_", "noise_")),
 )
-IDENTITY = ("ban_address_id", "bdnb_building_id", "bdnb_match_method", "h3_r8", "h3_r9")
+IDENTITY = ("ban_address_id", "bdnb_building_id", "bdnb_match_method", "cell_r8", "cell_r9")
+
+# Names of features in reports; others are their own words.
+LABELS = {
+    "bdnb_building_id": "BDNB building identity",
+    "ban_address_id": "BAN address identity",
+    "surface_reelle_bati": "Apartment surface",
+    "local_365d_500m_median_ppm2": "Local median EUR/m2 (365d, 500m)",
+    "local_730d_500m_median_ppm2": "Local median EUR/m2 (730d, 500m)",
+    "weighted_comp_ppm2": "Weighted comparable EUR/m2",
+    "similar_weighted_comp_ppm2": "Similar comparable EUR/m2",
+    "longitude": "Longitude",
+    "latitude": "Latitude",
+    "building_age_at_sale": "Building age at sale",
+    "building_year": "Construction year",
+    "classe_bilan_dpe": "DPE energy class",
+    "distance_metro_m": "Distance to Metro",
+    "noise_transport_lden_max_db": "Maximum transport noise",
+    "code_postal": "Arrondissement",
+    "months_since_2021": "Market time trend",
+}
 
 
 def zero_filled(c: Column, width: int) -> Column:
@@ -77,8 +97,13 @@ def feature_family(name: Column) -> Column:
 
 
 def label_of(name: Column) -> Column:
-    """Underscores to spaces, first letter capital."""
+    """The feature's name in LABELS, else underscores to spaces, first letter capital."""
     text = F.translate(name, "_", " ")
+    known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), _capital(text))
+
+
+def _capital(text: Column) -> Column:
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
@@ -97,8 +122,10 @@ def day_number(date: Column) -> Column:
 
 
 def utc_naive(text: Column) -> Column:
-    """Instant with an offset to naive UTC; null where it can't be read. The session's zone is UTC."""
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+    """Instant to naive UTC, whatever the session's zone; a text without offset is UTC; null where it can't be read."""
+    t = F.trim(text)
+    zoned = F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"(Z|[+-]\d\d(:?\d\d)?)$"), t).otherwise(F.concat(t, F.lit("Z")))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(zoned).cast("timestamp_ntz"))
 
 
 def rooms_per_10m2(rooms: Column, surface: Column) -> Column:

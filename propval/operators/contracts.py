@@ -13,16 +13,25 @@ class ContractError(RuntimeError):
     """A published table would break a contract."""
 
 
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """key, n of the keys that occur more than once."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def unique(df: DataFrame, key: str, examples: int = 5) -> None:
-    twice = [r[0] for r in df.groupBy(key).count().where("count > 1").orderBy(key).limit(examples).collect()]
+    twice = [r[0] for r in duplicates(df, key).orderBy(key).limit(examples).collect()]
     if twice:
         raise ContractError(f"{key} is not unique, as in {twice}")
 
 
+def row_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, change: rows that `after` has more (or, below 0, fewer) of a key than `before`."""
+    return before.select(key, F.lit(-1).alias("change")).unionByName(after.select(key, F.lit(1).alias("change"))).groupBy(key).agg(F.sum("change").alias("change")).where("change <> 0")
+
+
 def same_rows(before: DataFrame, after: DataFrame, key: str) -> None:
     """after has before's ids, each once."""
-    both = before.select(key, F.lit(1).alias("a")).unionByName(after.select(key, F.lit(-1).alias("a"))).groupBy(key).agg(F.sum("a").alias("a")).where("a <> 0").limit(5)
-    odd = [r[0] for r in both.collect()]
+    odd = [r[0] for r in row_changes(before, after, key).limit(5).collect()]
     if odd:
         raise ContractError(f"rows were lost or multiplied: {odd}")
 
@@ -33,13 +42,24 @@ def many_to_one(right: DataFrame, key: str) -> DataFrame:
     return right
 
 
+def one_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The join on key, if neither side has a (non-null) key twice."""
+    return many_to_one(left, key).join(many_to_one(right, key), key, how)
+
+
+def out_of_order(df: DataFrame, order: str, date: str, run: int = 100_000) -> DataFrame:
+    """The rows that come, along `order`, after a row of a later date. Two levels, so that no task holds the table: runs of the order, each
+    on its own, and the latest date of all runs before it."""
+    spans = df.withColumn("__run", F.floor(F.col(order) / run))
+    inner = F.max(date).over(W.partitionBy("__run").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    ends = spans.groupBy("__run").agg(F.max(date).alias("__hi"))  # a row for every run
+    earlier = ends.select("__run", F.max("__hi").over(W.orderBy("__run").rowsBetween(W.unboundedPreceding, -1)).alias("__earlier"))
+    return spans.withColumn("__before", inner).join(earlier, "__run").where((F.col(date) < F.col("__before")) | (F.col(date) < F.col("__earlier"))).drop("__run", "__before", "__earlier")
+
+
 def chronological(df: DataFrame, order: str, date: str) -> None:
-    """Dates never fall along `order`. Runs of the order are checked each on its own, then their ends."""
-    spans = df.withColumn("__run", F.floor(F.col(order) / 100_000))
-    inner = spans.withColumn("__before", F.lag(date).over(W.partitionBy("__run").orderBy(order))).where(F.col("__before") > F.col(date)).limit(1).count()
-    ends = spans.groupBy("__run").agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    across = ends.withColumn("__hi", F.max("hi").over(W.orderBy("__run").rowsBetween(W.unboundedPreceding, -1))).where("lo < __hi").limit(1).count()
-    if inner or across:
+    """Dates never fall along `order`."""
+    if not out_of_order(df, order, date).isEmpty():
         raise ContractError(f"{date} is out of order")
 
 

@@ -5,23 +5,81 @@ Gradient-boosted trees are MLlib's; they stand where the usual boosting librarie
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from propval.operators.comps import WINDOWS
+from propval.session import shared_dir
+
 MISSING = "__MISSING__"
 #: Configurations that the search tries for each family.
 GRID: dict[str, list[dict]] = {
     "ridge": [{"alpha": a} for a in (0.1, 1.0, 10.0, 100.0)],
     "forest": [{"numTrees": 40, "maxDepth": 8, "minInstancesPerNode": 5}, {"numTrees": 40, "maxDepth": 10, "minInstancesPerNode": 5}],
     "boosted": [{"maxIter": 40, "maxDepth": 5, "stepSize": 0.1}, {"maxIter": 20, "maxDepth": 6, "stepSize": 0.1}],
+    "boosted_absolute": [{"maxIter": 40, "maxDepth": 5, "stepSize": 0.1}],
+}
+#: The whole search space: forests of 240 trees (MLlib's greatest depth, shares of the columns, least rows of a leaf), boosting of
+#: up to 450 rounds that ends early.
+FULL_GRID: dict[str, list[dict]] = {
+    "ridge": GRID["ridge"],
+    "forest": [{"numTrees": 240, "maxDepth": 30, "featureSubsetStrategy": share, "minInstancesPerNode": leaf} for share, leaf in (("0.7", 2), ("1.0", 2), ("0.7", 5))],
+    "boosted": [{"maxIter": 450, "maxDepth": depth, "stepSize": 0.05, "minInstancesPerNode": leaf} for depth, leaf in ((4, 25), (5, 25), (6, 40))],
+    "boosted_absolute": [{"maxIter": 450, "maxDepth": depth, "stepSize": 0.05, "minInstancesPerNode": 25} for depth in (5, 6)],
 }
+#: Share of the training rows, by a hash, that tells boosting when to stop; the least gain that counts.
+STOP_SHARE, STOP_GAIN = 0.1, 1e-3
+
+# Names of the tables' columns.
+NUMERIC = ["surface_reelle_bati", "nombre_pieces_principales", "latitude", "longitude", "adresse_numero", "nombre_lots", "month", "day_of_year", "year", "months_since_2021"]
+SIZE, PLACE = ["log_surface", "rooms_per_10m2", "surface_terrain"], ["x_l93", "y_l93", "distance_center_m", "bearing_sin", "bearing_cos"]
+COMPARABLE = [f"local_{t}d_{r}m_{k}" for r, t in WINDOWS for k in ("count", "median_ppm2")] + [
+    "local_365d_500m_mad_ppm2", "weighted_comp_ppm2", "similar_weighted_comp_ppm2", "similar_comparable_count", "effective_comparable_count", "nearest_prior_sale_m", "median_comparable_age_days", "momentum_500m", "momentum_1000m",
+]
+DIAGNOSTIC = ["dpe_available_at_sale", "dpe_age_days", "dpe_surface_difference_ratio", "dpe_match_confidence", "annee_construction_dpe", "nombre_niveau_logement", "nombre_niveau_immeuble", "surface_habitable_immeuble", "surface_habitable_logement", "conso_5_usages_ep_m2", "emission_ges_5_usages_m2"]
+DIAGNOSTIC_CLASSES = ["classe_bilan_dpe", "classe_emission_ges", "type_installation_chauffage", "type_energie_chauffage"]
+BUILDING = ["ban_match_distance_m", "ban_match_confidence", "match_confidence", "address_candidate_count", "parcel_candidate_count", "building_level_count", "building_year", "building_dwelling_count", "building_height_m", "building_footprint_m2", "building_parking_lot_count", "building_total_lot_count", "building_dwelling_count_rnc", "building_age_at_sale", "building_year_missing"]
+BUILDING_CLASSES = ["usage_niveau_1_txt", "mat_mur_txt", "mat_toit_txt", "building_state", "building_period_rnc"]
+CONTEXT = [
+    "distance_metro_m", "distance_rer_m", "distance_train_m", "distance_tram_m", "rail_station_mode_count_1000m", "rail_line_count_1000m", "distance_school_m", "school_count_1000m", "distance_green_space_centroid_m", "green_space_count_500m", "green_area_500m2",
+    "distance_shop_service_m", "shop_service_count_500m", "shop_service_count_1000m", "noise_road_lden_db", "noise_rail_ratp_lden_db", "noise_rail_sncf_lden_db", "noise_transport_lden_max_db",
+]
+IDENTITY_CLASSES = ["ban_address_id", "building_id", "match_method"]
+AREA, CELLS = ["code_postal"], ["cell_r8", "cell_r9"]
+GOLD_NUMERIC = NUMERIC + SIZE + PLACE + COMPARABLE
+#: Ablations: (numbers, categories) of each named set, four over Gold and six over enriched Gold.
+FEATURE_SETS: dict[str, tuple[list[str], list[str]]] = {
+    "base": (NUMERIC, AREA),
+    "spatial": (NUMERIC + SIZE + PLACE, AREA + CELLS),
+    "comparables": (NUMERIC + SIZE + COMPARABLE, AREA),
+    "full": (GOLD_NUMERIC, AREA + CELLS),
+    "phase2": (GOLD_NUMERIC, AREA + CELLS),
+    "dpe_safe": (GOLD_NUMERIC + DIAGNOSTIC, AREA + CELLS + DIAGNOSTIC_CLASSES),
+    "building": (GOLD_NUMERIC + BUILDING, AREA + CELLS + BUILDING_CLASSES),
+    "context": (GOLD_NUMERIC + CONTEXT, AREA + CELLS),
+    "full_no_identity": (GOLD_NUMERIC + DIAGNOSTIC + BUILDING + CONTEXT, AREA + CELLS + DIAGNOSTIC_CLASSES + BUILDING_CLASSES),
+    "full_identity": (GOLD_NUMERIC + DIAGNOSTIC + BUILDING + CONTEXT, AREA + CELLS + DIAGNOSTIC_CLASSES + BUILDING_CLASSES + IDENTITY_CLASSES),
+}
+
+
+def named_specs(df: DataFrame, names: Sequence[str], target: str = "total", **columns: str) -> dict[str, Spec]:
+    """Specs of the named feature sets; a set whose columns df lacks is an error."""
+    from propval.operators import contracts
+
+    out = {}
+    for name in names:
+        numeric, categorical = FEATURE_SETS[name]
+        contracts.columns(df, [*numeric, *categorical])
+        out[name] = Spec(numeric, categorical, target, **columns)
+    return out
 
 
 @dataclass
@@ -74,8 +132,10 @@ def prepared(df: DataFrame, spec: Spec, medians: dict[str, float]) -> DataFrame:
     return out.withColumns({f"{c}__cat": F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in spec.categorical})
 
 
-def fit(family: str, config: dict, train: DataFrame, spec: Spec) -> Fitted:
-    """Fits on the rows whose target exists. Levels and medians come from the training rows alone; new levels share a bucket."""
+def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: bool = False) -> Fitted:
+    """Fits on the rows whose target exists. Levels and medians come from the training rows alone; new levels share a bucket.
+
+    With early_stop, boosting ends once a hashed share of the rows is predicted no better."""
     start = time.perf_counter()
     train = train.withColumn("__y", target_column(spec)).where(F.col("__y").isNotNull() & ~F.isnan("__y"))
     medians = exact_medians(train, spec.numeric)
@@ -98,11 +158,14 @@ def fit(family: str, config: dict, train: DataFrame, spec: Spec) -> Fitted:
         stages.append(LinearRegression(elasticNetParam=0.0, regParam=config["alpha"] / max(1, rows.count()), standardization=False, **common))
     elif family == "forest":
         stages.append(RandomForestRegressor(seed=42, maxBins=64, **config, **common))
-    elif family == "boosted":
-        stages.append(GBTRegressor(seed=42, maxBins=64, **config, **common))
+    elif family in ("boosted", "boosted_absolute"):
+        stop = {"validationIndicatorCol": "__stop", "validationTol": STOP_GAIN} if early_stop else {}
+        loss = "absolute" if family == "boosted_absolute" else "squared"
+        stages.append(GBTRegressor(seed=42, maxBins=64, lossType=loss, checkpointInterval=10, **config, **common, **stop))
     else:
         raise ValueError(family)
-    rows = rows.select("__y", *numbers, *[f"{c}__cat" for c in cats]).persist()
+    held = F.pmod(F.xxhash64("__y", *numbers), F.lit(1000)) < int(1000 * STOP_SHARE)
+    rows = rows.select("__y", *numbers, *[f"{c}__cat" for c in cats], *([held.alias("__stop")] if early_stop else [])).persist()
     try:
         model = Pipeline(stages=stages).fit(rows)
     finally:
@@ -119,17 +182,37 @@ def mae(df: DataFrame, actual: str, predicted: str) -> float:
     return float(df.agg(F.avg(F.abs(F.col(predicted) - F.col(actual)))).first()[0])
 
 
-def select_and_refit(families: Sequence[str], specs: dict[str, Spec], development: DataFrame, validation: DataFrame, final_train: DataFrame) -> tuple[dict[str, Fitted], list[dict]]:
+def timed(fitted: Fitted, df: DataFrame) -> dict:
+    """Seconds of the fit, milliseconds to predict a thousand rows of df (scored in full), megabytes of the saved model."""
+    start = time.perf_counter()
+    n = predict(fitted, df).agg(F.count(F.lit(1)), F.sum("prediction")).first()[0]
+    took = time.perf_counter() - start
+    return {"fit_seconds": round(fitted.seconds, 3), "predict_ms_per_1000": round(1e6 * took / max(1, n), 3), "model_mb": round(saved_bytes(fitted.model, df.sparkSession) / 2**20, 3)}
+
+
+def saved_bytes(model: PipelineModel, spark: SparkSession) -> int:
+    """Bytes of the model as it is published."""
+    path = f"{shared_dir(spark)}/propval-model-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        model.write().save(path)
+        return int(fs.getContentSummary(where).getLength())
+    finally:
+        fs.delete(where, True)
+
+
+def select_and_refit(families: Sequence[str], specs: dict[str, Spec], development: DataFrame, validation: DataFrame, final_train: DataFrame, grid: dict[str, list[dict]] | None = None, early_stop: bool = False) -> tuple[dict[str, Fitted], list[dict]]:
     """For each feature set and family the configuration of least validation MAE (the first of equals), refitted on final_train; and the trial log."""
     log, out = [], {}
     for set_name, spec in specs.items():
         for family in families:
             trials = []
-            for config in GRID[family]:
-                fitted = fit(family, config, development, spec)
+            for config in (grid or GRID)[family]:
+                fitted = fit(family, config, development, spec, early_stop)
                 trials.append({"features": set_name, "family": family, "config": config, "mae": mae(predict(fitted, validation), spec.price, "prediction"), "seconds": fitted.seconds})
             log += trials
-            out[f"{family}_{set_name}"] = fit(family, min(trials, key=lambda t: t["mae"])["config"], final_train, spec)
+            out[f"{family}_{set_name}"] = fit(family, min(trials, key=lambda t: t["mae"])["config"], final_train, spec, early_stop)
     return out, log
 
 
@@ -148,6 +231,13 @@ def median_baseline(reference: DataFrame, target: DataFrame, area: str, ppm2: st
     return target.join(by, area, "left").crossJoin(F.broadcast(every)).withColumn("baseline", F.coalesce("__m", "__g") * F.col(surface)).drop("__m", "__g")
 
 
+def dealt(df: DataFrame, key: str, column: str, repeat: int) -> DataFrame:
+    """df with the column's values dealt among its rows, by the order of hashes of id and repeat. For bounded samples: two global orders."""
+    rank = lambda side: F.row_number().over(W.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(f"{side}{repeat}"))), key))
+    right = df.select(F.col(column).alias("__v"), rank("b").alias("__n"))
+    return df.withColumn("__n", rank("a")).join(right, "__n").withColumn(column, F.col("__v")).drop("__n", "__v")
+
+
 def permutation_importance(fitted: Fitted, df: DataFrame, key: str, features: Sequence[str], repeats: int = 3, rows: int = 5000) -> DataFrame:
     """feature, importance: rise of MAE when a column's values are dealt among at most `rows` rows by a hash of id and repeat."""
     from propval.operators.stats import hashed_sample
@@ -156,12 +246,7 @@ def permutation_importance(fitted: Fitted, df: DataFrame, key: str, features: Se
     base = mae(predict(fitted, sample), fitted.spec.price, "prediction")
     out = []
     for f in features:
-        rises = []
-        for r in range(repeats):
-            left = sample.withColumn("__n", F.row_number().over(W.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(f"a{r}"))), key)))
-            right = sample.select(F.col(f).alias("__v"), F.row_number().over(W.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(f"b{r}"))), key)).alias("__n"))
-            dealt = left.join(right, "__n").withColumn(f, F.col("__v")).drop("__n", "__v")
-            rises.append(mae(predict(fitted, dealt), fitted.spec.price, "prediction") - base)
+        rises = [mae(predict(fitted, dealt(sample, key, f, r)), fitted.spec.price, "prediction") - base for r in range(repeats)]
         out.append((f, sum(rises) / len(rises)))
     sample.unpersist()
     return df.sparkSession.createDataFrame(out, "feature string, importance double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from propval.functions.scalar import clipped, wilson
+from propval.functions.scalar import wilson
 
 
 def metric_columns(actual: str, predicted: str) -> list[Column]:
@@ -109,9 +109,9 @@ POOL_TIERS = (("area and band", 120), ("area", 120), ("band", 250))
 def counts_below(values: DataFrame, asked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """asked (its columns, v, inclusive) with below: how many values (by, v) of its group are < v, or <= v if inclusive.
 
-    Values and bounds are positive. They run through one window a group and slot of values (a sixteenth of a power of e); slot
+    Values and bounds are positive. They run through one window a group and slot of values (a thousandth of a power of e); slot
     totals are summed before them. So no value meets a bound as a pair, and no task holds a group."""
-    slot = F.floor(F.ln(F.greatest(F.col("v"), F.lit(1e-9))) * 16)
+    slot = F.floor(F.ln(F.greatest(F.col("v"), F.lit(1e-9))) * 1024)
     extra = [c for c in asked.columns if c not in (*by, "v", "inclusive")]
     marks = values.where("v IS NOT NULL").select(*by, "v", F.lit(1).alias("__kind"), F.lit(1).alias("__one"))
     bounds = asked.where("v IS NOT NULL").select(*by, "v", F.when(F.col("inclusive"), 2).otherwise(0).alias("__kind"), F.lit(0).alias("__one"), "inclusive", *extra)
@@ -140,14 +140,44 @@ def calibration_pool(calibration: DataFrame, subjects: DataFrame, key: str, area
     return counts.select(key, tier.alias("tier"), n.cast("long").alias("n"))
 
 
-def predictive(calibration: DataFrame, subjects: DataFrame, key: str, ratio: str, estimate: str, area: str, ask: str, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Exact empirical predictive distribution of estimate * (clipped calibration ratio) by area: quantiles, P(within 10 %), P(at least ask)."""
-    q = calibration.where(F.col(ratio).isNotNull()).groupBy(area).agg(F.percentile(ratio, F.lit(0.02)).alias("__l"), F.percentile(ratio, F.lit(0.98)).alias("__h"))
-    drawn = calibration.where(F.col(ratio).isNotNull()).join(q, area).select(area, clipped(F.col(ratio), F.col("__l"), F.col("__h")).alias("v"))
-    per = drawn.groupBy(area).agg(*[F.percentile("v", F.lit(p)).alias(f"__q{i}") for i, p in enumerate(probs)], F.avg(F.col("v").between(0.9, 1.1).cast("double")).alias("p_within_10"), F.count("v").alias("__n"))
-    asked = counts_below(drawn, subjects.select(key, area, F.try_divide(ask, estimate).alias("v"), F.lit(False).alias("inclusive")), [area]).select(key, "below")
-    out = subjects.join(per, area).join(asked, key)
-    return out.select(key, *[(F.col(estimate) * F.col(f"__q{i}")).alias(f"value_q{round(p * 100):02d}") for i, p in enumerate(probs)], "p_within_10", (1.0 - F.col("below") / F.col("__n")).alias("p_at_least_ask"))
+#: Quantiles of the predictive distribution, and the fewest ratios that it may rest on.
+PREDICTIVE, LEAST_RATIOS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95), 100
+
+
+def pool_ratios(calibration: DataFrame, subjects: DataFrame, key: str, area: str, predicted: str, estimate: str, ratio: str) -> tuple[DataFrame, DataFrame]:
+    """(key, area, estimate, tier of every subject; key, v: the ratios of the subjects whose pool is a price band of their own, tiers 0 and 2)."""
+    tiers = subjects.join(calibration_pool(calibration, subjects, key, area, predicted, estimate).select(key, "tier"), key)
+    # a band of half to twice the estimate spans at most three powers of two: an equi-join on them, then the exact bounds
+    slot = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1e-9))))
+    asks = tiers.where("tier IN (0, 2)").select(key, "tier", F.col(area).alias("__area"), F.col(estimate).alias("__e"), F.explode(F.sequence(slot(F.col(estimate) * 0.5), slot(F.col(estimate) * 2.0))).alias("__slot"))
+    known = calibration.select(area, F.col(predicted).alias("__p"), F.col(ratio).alias("v"), slot(F.col(predicted)).alias("__slot"))
+    met = asks.join(known, "__slot").where(F.col("__p").between(F.col("__e") * 0.5, F.col("__e") * 2.0) & ((F.col("tier") == 2) | (F.col("__area") == F.col(area))))
+    return tiers, met.select(key, "v")
+
+
+def predictive(calibration: DataFrame, subjects: DataFrame, key: str, area: str, predicted: str, estimate: str, ratio: str, ask: str) -> DataFrame:
+    """Exact empirical distribution of estimate * (ratio of the subject's own calibration pool), with no draws.
+
+    key, tier, n_ratios, value_qNN, p_within_10, p_within_20, p_at_least_ask of every subject; the distribution is null
+    where the pool has fewer than LEAST_RATIOS ratios. A subject of unknown area or estimate gets the widest pool that fits. Pools
+    that many subjects share (an area, everything) are summed up once; only a price band is a subject's own."""
+    tiers, own = pool_ratios(calibration, subjects, key, area, predicted, estimate, ratio)
+    tiers = tiers.withColumn("__ask", F.try_divide(F.col(ask), F.col(estimate)))
+    valid = calibration.where(F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.abs(F.col(ratio)) < math.inf)).select(F.col(area).alias("__area"), F.col(ratio).alias("v"))
+    off = F.round(F.abs(F.col("v") - 1.0), 9)  # a ratio at a bound counts, whatever its last bit
+    shape = [F.percentile("v", F.array(*[F.lit(p) for p in PREDICTIVE])).alias("__q"), F.avg((off <= 0.1).cast("double")).alias("p_within_10"), F.avg((off <= 0.2).cast("double")).alias("p_within_20"), F.count("v").alias("n_ratios")]
+    at_least = F.avg((F.col("v") >= F.col("__ask")).cast("double")).alias("p_at_least_ask")
+    banded_ = own.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs(F.col("v")) < math.inf)).join(tiers.select(key, "__ask"), key).groupBy(key).agg(*shape, at_least)
+    share = F.when(F.col("below").isNotNull(), 1.0 - F.col("below") / F.col("n_ratios")).alias("p_at_least_ask")
+    asks = lambda t: tiers.where(F.col("tier") == t).select(key, F.col(area).alias("__area"), F.col("__ask").alias("v"), F.lit(False).alias("inclusive"))
+    cols = [key, "__q", "p_within_10", "p_within_20", "n_ratios"]
+    local = asks(1).select(key, "__area").join(valid.groupBy("__area").agg(*shape), "__area").join(counts_below(valid, asks(1), ["__area"]).select(key, "below"), key, "left").select(*cols, share)
+    every = asks(3).select(key).crossJoin(F.broadcast(valid.agg(*shape))).join(counts_below(valid.select("v"), asks(3).drop("__area")).select(key, "below"), key, "left").select(*cols, share)
+    shaped = banded_.select(*cols, "p_at_least_ask").unionByName(local).unionByName(every)
+    enough = F.col("n_ratios") >= LEAST_RATIOS
+    out = tiers.join(shaped, key, "left").withColumn("n_ratios", F.coalesce("n_ratios", F.lit(0)))
+    values = [F.when(enough, F.col(estimate) * F.col("__q")[i]).alias(f"value_q{round(p * 100):02d}") for i, p in enumerate(PREDICTIVE)]
+    return out.select(key, "tier", "n_ratios", *values, *[F.when(enough, F.col(c)).alias(c) for c in ("p_within_10", "p_within_20", "p_at_least_ask")])
 
 
 def simplex(k: int, steps: int = 10) -> list[tuple[float, ...]]:
@@ -166,13 +196,11 @@ def blend_search(df: DataFrame, actual: str, models: Sequence[str], steps: int =
 
 def correction_search(df: DataFrame, actual: str, base: str, anchors: Sequence[str], steps: int = 100) -> DataFrame:
     """anchor, weight (in 1 / steps), mae of weight * base + (1 - weight) * anchor; a null anchor leaves the base."""
-    cells = []
-    for a in anchors:
-        for k in range(steps + 1):
-            w = k / steps
-            cells.append((a, k, F.avg(F.abs(F.coalesce(F.col(base) * w + F.col(a) * (1 - w), F.col(base)) - F.col(actual)))))
-    one = df.agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(cells)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("anchor"), F.lit(k).alias("weight"), F.col(f"c{i}").alias("mae")) for i, (a, k, _) in enumerate(cells)])).alias("r")).select("r.*")
+    each = df.select(F.col(actual).alias("__y"), F.col(base).alias("__b"), *anchors, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("weight"))
+    w = F.col("weight") / F.lit(float(steps))
+    err = lambda a: F.avg(F.abs(F.coalesce(F.col("__b") * w + F.col(a) * (1 - w), F.col("__b")) - F.col("__y")))
+    per = each.groupBy("weight").agg(*[err(a).alias(f"c{i}") for i, a in enumerate(anchors)])
+    return per.select(F.explode(F.array(*[F.struct(F.lit(a).alias("anchor"), "weight", F.col(f"c{i}").alias("mae")) for i, a in enumerate(anchors)])).alias("r")).select("r.*")
 
 
 def best(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:
@@ -185,9 +213,9 @@ def best(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str]) -> Da
 INTERVAL_REPETITIONS, PAIR_REPETITIONS = 500, 1_000
 
 
-def poisson_weight(rep: Column, key: Column) -> Column:
-    """Poisson(1) resampling weight from an MD5 of repetition and id: the same in any engine."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", rep.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+def poisson_weight(digest: Column, part: int) -> Column:
+    """Poisson(1) resampling weight from eight of an MD5's hexadecimal digits: the same in any engine."""
+    u = F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("double") / 4294967296.0
     out, p, total = F.lit(0), math.exp(-1), 0.0
     for k in range(8):
         total += p
@@ -197,24 +225,24 @@ def poisson_weight(rep: Column, key: Column) -> Column:
 
 
 def bootstrap_mae(df: DataFrame, key: str, errors: Sequence[str], repetitions: int) -> DataFrame:
-    """rep and mae_<model>: weighted mean absolute errors under shared resamples (rows are resampled jointly)."""
-    reps = df.select(key, *errors, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")).withColumn("w", poisson_weight(F.col("rep"), F.col(key)))
-    return reps.groupBy("rep").agg(*[(F.sum(F.col(e) * F.col("w")) / F.sum("w")).alias(f"mae_{e}") for e in errors])
+    """rep and mae_<model>: weighted mean absolute errors under shared resamples (rows are resampled jointly).
+
+    One MD5 of (repetition div 4, id) gives the weights of four repetitions, so a row is repeated a quarter as often."""
+    each = df.select(key, *errors, F.explode(F.sequence(F.lit(0), F.lit((repetitions - 1) // 4))).alias("four")).withColumn("digest", F.md5(F.concat_ws("|", F.col("four").cast("string"), F.col(key).cast("string"))))
+    each = each.select("four", *errors, *[poisson_weight(F.col("digest"), j).alias(f"w{j}") for j in range(4)])
+    sums = each.groupBy("four").agg(*[F.sum(f"w{j}").alias(f"n{j}") for j in range(4)], *[F.sum(F.col(e) * F.col(f"w{j}")).alias(f"s{j}_{e}") for j in range(4) for e in errors])
+    rows = [F.struct((F.col("four") * 4 + j).alias("rep"), *[(F.col(f"s{j}_{e}") / F.col(f"n{j}")).alias(f"mae_{e}") for e in errors]) for j in range(4)]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("rep") < repetitions)
 
 
 def bootstrap_intervals(df: DataFrame, key: str, errors: Sequence[str], repetitions: int = INTERVAL_REPETITIONS, baseline: str | None = None) -> DataFrame:
     """model, low and high of its MAE, and of its reduction against the baseline, the first model by default (95 %)."""
     baseline = baseline or errors[0]
-    reps = bootstrap_mae(df, key, errors, repetitions)
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    rows = []
-    for e in errors:
-        gain = F.col(f"mae_{baseline}") - F.col(f"mae_{e}")
-        rows.append(reps.agg(q(F.col(f"mae_{e}"), 0.025).alias("mae_low"), q(F.col(f"mae_{e}"), 0.975).alias("mae_high"), q(gain, 0.025).alias("gain_low"), q(gain, 0.975).alias("gain_high")).select(F.lit(e).alias("model"), "*"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    gain = lambda e: F.col(f"mae_{baseline}") - F.col(f"mae_{e}")
+    both = F.array(F.lit(0.025), F.lit(0.975))
+    one = bootstrap_mae(df, key, errors, repetitions).agg(*[F.percentile(c, both).alias(n) for e in errors for n, c in ((f"m_{e}", F.col(f"mae_{e}")), (f"g_{e}", gain(e)))])
+    rows = [F.struct(F.lit(e).alias("model"), F.col(f"m_{e}")[0].alias("mae_low"), F.col(f"m_{e}")[1].alias("mae_high"), F.col(f"g_{e}")[0].alias("gain_low"), F.col(f"g_{e}")[1].alias("gain_high")) for e in errors]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def paired_bootstrap(df: DataFrame, key: str, errors: Sequence[str], repetitions: int = PAIR_REPETITIONS) -> DataFrame:

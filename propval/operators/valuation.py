@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propval.functions.scalar import SUFFIXES
-from propval.operators import comps
+from propval.functions.scalar import SUFFIXES, address_key
+from propval.operators import comps, contracts
 
 
 @dataclass
@@ -72,9 +73,33 @@ def comparables(history: DataFrame, p: Property, lag: int = comps.LAG) -> DataFr
     return comps.all_features(subject(history.sparkSession, p), near, lag)
 
 
-def latest_at(history: DataFrame, key: str, value: str, ts: str, at: date) -> DataFrame:
-    """The latest row of one key on or before a date."""
-    return history.where((F.col(key) == value) & (F.col(ts) <= F.lit(at))).orderBy(F.col(ts).desc()).limit(1)
+def latest_at(history: DataFrame, key: str, value: object, ts: str, at: date, tie: Sequence[str]) -> DataFrame:
+    """The latest row of one key on or before a date; of several, the first by `tie`."""
+    return history.where((F.col(key) == F.lit(value)) & (F.col(ts) <= F.lit(at))).orderBy(F.col(ts).desc(), *tie).limit(1)
+
+
+def template(history: DataFrame, key: str, value: object, ts: str, at: date, tie: Sequence[str], keep: Sequence[str], dated: Sequence[str] = (), dated_ts: str | None = None) -> DataFrame:
+    """`keep` of the latest row of one building on or before a date, with the columns that depend on a record of its own date
+    (`dated`, by `dated_ts`) rolled back: null where that record is later than the date, or missing."""
+    row = latest_at(history, key, value, ts, at, tie)
+    if dated_ts is None:
+        return row.select(*keep)
+    known = F.col(dated_ts).isNotNull() & (F.col(dated_ts) <= F.lit(at))
+    return row.select(*keep, *[F.when(known, F.col(c)).alias(c) for c in dated], F.when(known, F.datediff(F.lit(at), F.col(dated_ts))).alias("record_age_days"))
+
+
+def located(addresses: DataFrame, p: Property, limit: float = 250.0) -> tuple[Property, dict]:
+    """p at its address's coordinates, and how it was found: the exact key's best row; p's own coordinates where there is no
+    such address or the address has none. An address further than `limit` metres from p's coordinates is an error.
+
+    addresses: canonical_address_key, x, y, and whatever else orders the rows of a key."""
+    key = addresses.select(address_key(F.lit(p.commune), F.lit(p.street_code), F.lit(p.number), F.lit(normal_suffix(p.suffix))).alias("k")).limit(1)
+    own = addresses.join(F.broadcast(key), addresses["canonical_address_key"] == key["k"]).drop("k")
+    row = own.orderBy(*[F.col(c).desc_nulls_last() for c in sorted(own.columns)]).limit(1).collect()
+    if not row or row[0]["x"] is None or row[0]["y"] is None:
+        return p, {"method": "coordinates" if not row else "exact_key_without_coordinates", "distance_m": None}
+    distance = contracts.close_to(row[0]["x"], row[0]["y"], p.x, p.y, limit)
+    return replace(p, x=row[0]["x"], y=row[0]["y"]), {"method": "exact_key", "distance_m": distance, **{k: v for k, v in row[0].asDict().items() if k not in ("x", "y")}}
 
 
 def blended(base: float, local_median: float | None, surface: float, weight: float) -> float:

@@ -58,6 +58,14 @@ def _l93(lon: str, lat: str) -> tuple[str, str]:
     return f"({r} * sin({g}) + 700000)", f"({YS} - {r} * cos({g}))"
 
 
+def _hexagons(r: int, m: float) -> str:
+    """The nearest of all centres within reach, by brute force."""
+    x, y = f"({m}::DOUBLE * sqrt(3) * (q + r / 2.0::DOUBLE))", f"({m}::DOUBLE * 1.5::DOUBLE * r)"
+    return f"""c{r} AS (SELECT sale_id, 'c{r}_' || q || '_' || r AS cell_r{r} FROM (SELECT sale_id, x, y, r, CAST(round(x / ({m}::DOUBLE * sqrt(3)) - r / 2.0::DOUBLE) AS BIGINT) + dq AS q
+      FROM (SELECT sale_id, x, y, CAST(round(y / ({m}::DOUBLE * 1.5::DOUBLE)) AS BIGINT) + dr AS r FROM sale CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dr)) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dq))
+      QUALIFY row_number() OVER (PARTITION BY sale_id ORDER BY (x - {x}) ** 2 + (y - {y}) ** 2, q, r) = 1)"""
+
+
 def _poisson() -> str:
     import math
 
@@ -66,7 +74,7 @@ def _poisson() -> str:
         total += p
         parts.append((k + 1, total))
         p /= k + 1
-    u = "(CAST(('0x' || substr(md5(rep || '|' || sale_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    u = "(CAST(('0x' || substr(md5((rep // 4) || '|' || sale_id), 8 * (rep % 4) + 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
     return "CASE " + " ".join(f"WHEN {u} >= {t!r}::DOUBLE THEN {k}" for k, t in reversed(parts)) + " ELSE 0 END"
 
 
@@ -93,9 +101,9 @@ NAMES = "names AS (SELECT n_nationkey, (['local_', 'dpe_', 'building_', 'distanc
 FAMILY = """CASE WHEN name LIKE 'local\\_%' ESCAPE '\\' THEN 'Historical comparables' WHEN name LIKE 'dpe\\_%' ESCAPE '\\' THEN 'Energy diagnostics' WHEN name LIKE 'building\\_%' ESCAPE '\\' OR name LIKE 'ban\\_%' ESCAPE '\\' THEN 'Building and linkage'
   WHEN name LIKE 'distance\\_metro%' ESCAPE '\\' THEN 'Neighbourhood context' ELSE 'Core and spatial' END"""
 HEAT = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
-ANCHORED = f"{PRED}, an AS (SELECT *, CASE WHEN sale_id % 4 <> 0 THEN pred_b END AS anchor_a, CASE WHEN sale_id % 3 <> 0 THEN surface * 1200 END AS anchor_b FROM pred WHERE sale_year = 1999)"
-CORRECTION = f"""{ANCHORED}, long AS (SELECT price, pred_a, 'anchor_a' AS anchor, anchor_a AS v FROM an UNION ALL SELECT price, pred_a, 'anchor_b', anchor_b FROM an),
+PREDICTIVE = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
+ANCHORED = f"{PRED}, an AS (SELECT *, CASE WHEN sale_id % 4 <> 0 THEN pred_b END AS anchor_a, CASE WHEN sale_id % 3 <> 0 THEN surface * 1200 END AS anchor_b, CASE WHEN sale_id % 5 <> 0 THEN pred_b * 0.9::DOUBLE END AS anchor_c, CASE WHEN area % 2 = 0 THEN surface * 900 END AS anchor_d FROM pred WHERE sale_year = 1999)"
+CORRECTION = f"""{ANCHORED}, long AS (SELECT price, pred_a, 'anchor_a' AS anchor, anchor_a AS v FROM an UNION ALL SELECT price, pred_a, 'anchor_b', anchor_b FROM an UNION ALL SELECT price, pred_a, 'anchor_c', anchor_c FROM an UNION ALL SELECT price, pred_a, 'anchor_d', anchor_d FROM an),
   corr AS (SELECT anchor, CAST(k AS INTEGER) AS weight, round(avg(abs(coalesce(pred_a * (k / 100::DOUBLE) + v * (1 - k / 100::DOUBLE), pred_a) - price)), 4) AS mae FROM long CROSS JOIN (SELECT unnest(range(101)) AS k) GROUP BY anchor, k)"""
 
 
@@ -156,11 +164,13 @@ def oracle_sql() -> dict[str, str]:
         "polygon_max_level": f"WITH {SALE}, {POLY} SELECT sale_id, level, coalesce(level, 50) AS level_filled, CAST(level IS NULL AS INTEGER) AS level_missing, greatest(level, 60) AS level_max FROM levels",
         "lambert93": f"SELECT c_custkey, round({x}, 3) AS x_l93, round({y}, 3) AS y_l93 FROM customer",
         "polar_features": f"SELECT c_custkey, round(sqrt(({x} - {x1}) ** 2 + ({y} - {y1}) ** 2), 3) AS distance_center_m, round(sin(atan2({y} - {cy}, {x} - {cx})), 3) AS bearing_sin, round(cos(atan2({y} - {cy}, {x} - {cx})), 3) AS bearing_cos FROM customer",
-        "grid_cells": f"WITH {SALE} SELECT sale_id, " + ", ".join(f"'c{r}_' || CAST(floor(x / {m}) AS BIGINT) || '_' || CAST(floor(y / {m}) AS BIGINT) AS cell_r{r}" for r, m in ((8, 900), (9, 300), (10, 100))) + " FROM sale",
+        "grid_cells": f"WITH {SALE}, " + ", ".join(_hexagons(r, m) for r, m in ((8, 531.4), (9, 200.8), (10, 75.9))) + " SELECT * FROM c8 JOIN c9 USING (sale_id) JOIN c10 USING (sale_id)",
         "parse_geopoint": """SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN -CAST((s_suppkey % 180) || '.5' AS DOUBLE) END AS lon, CASE WHEN s_suppkey % 11 <> 0 THEN CAST((s_suppkey % 90) || '.' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS lat FROM supplier""",
         "wkt_centroid": "SELECT s_suppkey, CASE WHEN s_suppkey % 13 <> 0 THEN round((3.0::DOUBLE * s_suppkey + 0.5::DOUBLE - 4) / 4, 6) END AS cx, CASE WHEN s_suppkey % 13 <> 0 THEN round((10::DOUBLE + s_suppkey) / 4, 6) END AS cy FROM supplier",
         "quoted_token_weight": "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS weight, CAST(s_suppkey AS INTEGER) AS db FROM supplier",
-        "text_labels": f"WITH {NAMES} SELECT n_nationkey, {FAMILY} AS family, upper(left(replace(name, '_', ' '), 1)) || lower(substr(replace(name, '_', ' '), 2)) AS label FROM names",
+        "text_labels": f"""WITH {NAMES}, named AS (SELECT * FROM names UNION ALL SELECT n_nationkey, (['ban_address_id', 'cell_r8', 'building_year', 'code_postal'])[n_nationkey % 4 + 1] FROM nation)
+          SELECT n_nationkey, name, CASE WHEN name IN ('ban_address_id', 'cell_r8') THEN 'Identity and micro-location' ELSE {FAMILY} END AS family,
+          CASE name WHEN 'ban_address_id' THEN 'BAN address identity' WHEN 'building_year' THEN 'Construction year' WHEN 'code_postal' THEN 'Arrondissement' ELSE upper(left(replace(name, '_', ' '), 1)) || lower(substr(replace(name, '_', ' '), 2)) END AS label FROM named""",
         "config_json": """SELECT n_nationkey, '{"alpha":' || CAST(n_nationkey / 4.0::DOUBLE AS VARCHAR) || ',"name":"' || n_name || '","top":' || n_regionkey || '}' AS config, n_nationkey / 4.0::DOUBLE AS alpha, n_name AS name FROM nation""",
         "scalar_ratios": f"""WITH {SALE} SELECT sale_id, round(rooms / greatest(surface, 1) * 10, 6) AS rooms_per_10m2, round(ln(1 + surface), 6) AS log_surface, round(ln(ppm2 / 5000), 6) AS residual, CAST((year(sale_date) - 1995) * 12 + month(sale_date) - 1 AS INTEGER) AS months,
           CAST(sale_date - DATE '1970-01-01' AS INTEGER) AS day, strftime(sale_date, '%Y-%m') AS year_month, round(abs(surface - rooms * 20) / (rooms * 20), 6) AS difference FROM sale""",
@@ -192,21 +202,21 @@ def oracle_sql() -> dict[str, str]:
           SELECT sale_id, round(pred_b * l, 4) AS lower, round(pred_b * h, 4) AS upper, CAST(price BETWEEN pred_b * l AND pred_b * h AS INTEGER) AS covered FROM test CROSS JOIN q""",
         "calibration_pool": f"""WITH {PRED}, c AS (SELECT t.sale_id, count(*) FILTER (WHERE c.area = t.area AND c.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2) AS a1, count(*) FILTER (WHERE c.area = t.area) AS a2, count(*) FILTER (WHERE c.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2) AS a3, count(*) AS a4
           FROM test t CROSS JOIN cal c GROUP BY 1) SELECT sale_id, CASE WHEN a1 >= 120 THEN 0 WHEN a2 >= 120 THEN 1 WHEN a3 >= 250 THEN 2 ELSE 3 END AS tier, CASE WHEN a1 >= 120 THEN a1 WHEN a2 >= 120 THEN a2 WHEN a3 >= 250 THEN a3 ELSE a4 END AS n FROM c""",
-        "predictive_quantiles": f"""WITH {PRED}, q AS (SELECT area, quantile_cont(ratio, 0.02) AS l, quantile_cont(ratio, 0.98) AS h FROM cal GROUP BY 1), r AS (SELECT cal.area, least(greatest(ratio, l), h) AS r FROM cal JOIN q USING (area)),
-          a AS (SELECT area, {", ".join(f"quantile_cont(r, {p}) AS q{round(p * 100):02d}" for p in PROBS)}, avg(CAST(r BETWEEN 0.9 AND 1.1 AS DOUBLE)) AS p10 FROM r GROUP BY 1),
-          s AS (SELECT t.sale_id, avg(CAST(r.r * t.pred_a >= t.price * 1.05::DOUBLE AS DOUBLE)) AS pa FROM test t JOIN r USING (area) GROUP BY 1)
-          SELECT t.sale_id, {", ".join(f"round(pred_a * q{round(p * 100):02d}, 4) AS value_q{round(p * 100):02d}" for p in PROBS)}, round(p10, 4) AS p_within_10, round(pa, 4) AS p_at_least_ask FROM test t JOIN a USING (area) JOIN s USING (sale_id)""",
+        "predictive_quantiles": f"""WITH {PRED}, c AS (SELECT t.sale_id, count(*) FILTER (WHERE c.area = t.area AND c.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2) AS a1, count(*) FILTER (WHERE c.area = t.area) AS a2, count(*) FILTER (WHERE c.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2) AS a3
+          FROM test t CROSS JOIN cal c GROUP BY 1), k AS (SELECT sale_id, CAST(CASE WHEN a1 >= 120 THEN 0 WHEN a2 >= 120 THEN 1 WHEN a3 >= 250 THEN 2 ELSE 3 END AS INTEGER) AS tier FROM c),
+          m AS (SELECT t.sale_id, k.tier, t.pred_a, t.price * 1.037::DOUBLE AS ask, r.ratio FROM test t JOIN k USING (sale_id) JOIN cal r ON CASE k.tier WHEN 0 THEN r.area = t.area AND r.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2
+            WHEN 1 THEN r.area = t.area WHEN 2 THEN r.pred_b BETWEEN t.pred_a * 0.5::DOUBLE AND t.pred_a * 2 ELSE true END),
+          a AS (SELECT sale_id, tier, any_value(pred_a) AS e, count(ratio) AS n, {", ".join(f"quantile_cont(ratio, {p}) AS q{round(p * 100):02d}" for p in PREDICTIVE)}, avg(CAST(round(abs(ratio - 1), 9) <= 0.1::DOUBLE AS DOUBLE)) AS p10, avg(CAST(round(abs(ratio - 1), 9) <= 0.2::DOUBLE AS DOUBLE)) AS p20,
+            avg(CAST(ratio >= ask / pred_a AS DOUBLE)) AS pa FROM m GROUP BY 1, 2)
+          SELECT sale_id, tier, n AS n_ratios, {", ".join(f"CASE WHEN n >= 100 THEN round(e * q{round(p * 100):02d}, 4) END AS value_q{round(p * 100):02d}" for p in PREDICTIVE)}, CASE WHEN n >= 100 THEN round(p10, 4) END AS p_within_10, CASE WHEN n >= 100 THEN round(p20, 4) END AS p_within_20, CASE WHEN n >= 100 THEN round(pa, 4) END AS p_at_least_ask FROM a""",
         "exact_quantiles": f"WITH {SALE} SELECT " + ", ".join(f"round(quantile_cont(price, {p}), 4) AS q{i}" for i, p in enumerate((0.02, 0.25, 0.5, 0.75, 0.98))) + " FROM sale",
         "blend_search": f"""WITH {PRED}, v AS (SELECT price, pred_a, pred_b, (pred_a + pred_b) / 2 + 100 AS pred_c FROM pred WHERE sale_year = 1999), g AS ({blend})
           SELECT w_pred_a, w_pred_b, w_pred_c, round(avg(abs(pred_a * (w_pred_a / 10::DOUBLE) + pred_b * (w_pred_b / 10::DOUBLE) + pred_c * (w_pred_c / 10::DOUBLE) - price)), 4) AS mae FROM v CROSS JOIN g GROUP BY 1, 2, 3""",
         "correction_search": f"WITH {CORRECTION} SELECT anchor, weight, mae FROM corr",
         "best_correction": f"WITH {CORRECTION} SELECT anchor, weight, mae FROM corr QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY mae, weight) = 1",
-        "bootstrap_mae": f"WITH {_reps(100)} " + " UNION ALL ".join(f"SELECT '{m}' AS model, round(quantile_cont({m}, 0.025), 4) AS mae_low, round(quantile_cont({m}, 0.975), 4) AS mae_high, round(quantile_cont(b - {m}, 0.025), 4) AS gain_low, round(quantile_cont(b - {m}, 0.975), 4) AS gain_high FROM reps" for m in "ab"),
-        "bootstrap_mae_full": f"WITH {_reps(500)} " + " UNION ALL ".join(f"SELECT '{m}' AS model, round(quantile_cont({m}, 0.025), 4) AS mae_low, round(quantile_cont({m}, 0.975), 4) AS mae_high, round(quantile_cont(b - {m}, 0.025), 4) AS gain_low, round(quantile_cont(b - {m}, 0.975), 4) AS gain_high FROM reps" for m in "ab"),
-        "paired_bootstrap": f"WITH {_reps(100)} " + " UNION ALL ".join(f"SELECT '{p}' AS model_a, '{q}' AS model_b, round(avg({p} - {q}), 4) AS mean_diff, round(quantile_cont({p} - {q}, 0.025), 4) AS low, round(quantile_cont({p} - {q}, 0.975), 4) AS high, quantile_cont({p} - {q}, 0.025) > 0 OR quantile_cont({p} - {q}, 0.975) < 0 AS significant FROM reps" for p, q in ("ab", "ba")),
-        "paired_bootstrap_full": f"WITH {_reps(1000)} " + " UNION ALL ".join(f"SELECT '{p}' AS model_a, '{q}' AS model_b, round(avg({p} - {q}), 4) AS mean_diff, round(quantile_cont({p} - {q}, 0.025), 4) AS low, round(quantile_cont({p} - {q}, 0.975), 4) AS high, quantile_cont({p} - {q}, 0.025) > 0 OR quantile_cont({p} - {q}, 0.975) < 0 AS significant FROM reps" for p, q in ("ab", "ba")),
-        "model_matrix": f"WITH {_reps(50)} SELECT 'a' AS model_a, CAST(NULL AS DOUBLE) AS a, round(avg(a - b), 4) AS b FROM reps UNION ALL SELECT 'b', round(avg(b - a), 4), NULL FROM reps",
-        "model_matrix_full": f"WITH {_reps(1000)} SELECT 'a' AS model_a, CAST(NULL AS DOUBLE) AS a, round(avg(a - b), 4) AS b FROM reps UNION ALL SELECT 'b', round(avg(b - a), 4), NULL FROM reps",
+        "bootstrap_mae": f"WITH {_reps(500)} " + " UNION ALL ".join(f"SELECT '{m}' AS model, round(quantile_cont({m}, 0.025), 4) AS mae_low, round(quantile_cont({m}, 0.975), 4) AS mae_high, round(quantile_cont(b - {m}, 0.025), 4) AS gain_low, round(quantile_cont(b - {m}, 0.975), 4) AS gain_high FROM reps" for m in "ab"),
+        "paired_bootstrap": f"WITH {_reps(1000)} " + " UNION ALL ".join(f"SELECT '{p}' AS model_a, '{q}' AS model_b, round(avg({p} - {q}), 4) AS mean_diff, round(quantile_cont({p} - {q}, 0.025), 4) AS low, round(quantile_cont({p} - {q}, 0.975), 4) AS high, quantile_cont({p} - {q}, 0.025) > 0 OR quantile_cont({p} - {q}, 0.975) < 0 AS significant FROM reps" for p, q in ("ab", "ba")),
+        "model_matrix": f"WITH {_reps(1000)} SELECT 'a' AS model_a, CAST(NULL AS DOUBLE) AS a, round(avg(a - b), 4) AS b FROM reps UNION ALL SELECT 'b', round(avg(b - a), 4), NULL FROM reps",
         "topk_by_family": "SELECT s_nationkey, s_suppkey, CAST(s_acctbal AS DOUBLE) AS gain, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier QUALIFY rank <= 3",
         "family_sums": f"WITH {NAMES} SELECT {FAMILY} AS family, round(sum(CAST(c_acctbal AS DOUBLE)), 2) AS total FROM names JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
         "rank_models": f"WITH {PRED}, m AS (SELECT segment, {_metrics('pred_a')} FROM test GROUP BY segment) SELECT segment, mae, row_number() OVER (ORDER BY mae, segment) AS rank FROM m",
@@ -214,5 +224,26 @@ def oracle_sql() -> dict[str, str]:
         "missing_rates": f"WITH {SALE} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CAST({c} IS NULL AS DOUBLE)), 6) AS rate FROM sale" for c in ("sale_id", "sale_date", "sale_year", "segment", "area", "price", "surface", "rooms", "ppm2", "x", "y")),
         "union_missing_cols": "SELECT 'poi' AS family, count(*) AS n, count(s_suppkey % 4) AS n_mode, CAST(0 AS BIGINT) AS n_level, count(DISTINCT s_suppkey) AS n_poi FROM supplier UNION ALL SELECT 'poly', count(*), 0, count(*), 0 FROM nation",
         "prediction_export": f"WITH {PRED} SELECT sale_id, price, round(pred_a, 2) AS prediction_a, round(pred_b, 2) AS prediction_b, round(abs(pred_a - price), 2) AS absolute_error, round((pred_a - price) / price * 100, 4) AS percent_error FROM test",
+        "duplicate_ids": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
+        "row_changes": f"""WITH {SALE}, b AS (SELECT sale_id, count(*) AS n FROM sale GROUP BY 1), a AS (SELECT sale_id, count(*) AS n FROM (SELECT sale_id FROM sale WHERE sale_id % 7 <> 0 UNION ALL SELECT sale_id FROM sale WHERE sale_id % 11 = 0 UNION ALL SELECT -sale_id FROM sale WHERE sale_id % 13 = 0) GROUP BY 1)
+          SELECT coalesce(a.sale_id, b.sale_id) AS sale_id, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM a FULL JOIN b ON a.sale_id = b.sale_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
+        "out_of_order": f"""WITH {SALE}, s AS (SELECT sale_id, CAST(sale_date - CAST(sale_id % 5 * 300 AS INTEGER) AS DATE) AS d FROM sale), o AS (SELECT *, ((d - DATE '1970-01-01') * 10 + sale_id % 100 * 500) * 1000000 + sale_id AS place FROM s)
+          SELECT sale_id, CAST(d AS VARCHAR) AS "on" FROM (SELECT *, max(d) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o) WHERE d < before""",
+        "one_to_one_join": f"WITH {PRED} SELECT s.sale_id, s.area, round(s.surface, 4) AS surface, round(p.pred_a, 4) AS pred_a FROM sale s JOIN pred p ON p.sale_id = s.sale_id WHERE s.sale_year = 2000 AND p.segment = 'BUILDING'",
+        "one_to_one_left": "SELECT n_nationkey AS key, n_name, c.c_custkey FROM nation LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1) c ON c.c_nationkey = n_nationkey",
+        "relation_distinct": "SELECT l_linenumber AS record, count(*) AS n, round(sum(CAST(s_acctbal AS DOUBLE)), 2) AS total FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 GROUP BY 1",
+        "utc_instants": """SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + to_seconds(o_orderkey % 24 * 3600 + 930) - to_seconds(CASE o_orderkey % 5 WHEN 1 THEN 7200 WHEN 2 THEN -19800 ELSE 0 END), '%Y-%m-%d %H:%M:%S') AS utc FROM orders WHERE o_orderkey % 5 <> 4
+          UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 5 = 4""",
+        "template_rows": f"""WITH {SALE}, t AS (SELECT *, CAST(sale_date + CAST(sale_id % 400 - 200 AS INTEGER) AS DATE) AS rd FROM sale WHERE sale_date <= DATE '1997-06-30' QUALIFY row_number() OVER (PARTITION BY area ORDER BY sale_date DESC, sale_id) = 1)
+          SELECT area, sale_id, round(price, 4) AS price, CASE WHEN rd <= DATE '1997-06-30' THEN round(surface, 4) END AS surface, CASE WHEN rd <= DATE '1997-06-30' THEN rooms END AS rooms, CASE WHEN rd <= DATE '1997-06-30' THEN CAST(DATE '1997-06-30' - rd AS INTEGER) END AS record_age_days FROM t""",
+        "imputed_features": f"""WITH {SALE}, s AS (SELECT sale_id, sale_year, surface, CASE WHEN sale_id % 6 <> 0 THEN CAST(rooms AS DOUBLE) END AS rooms, CASE WHEN sale_id % 8 <> 0 THEN segment END AS segment FROM sale), m AS (SELECT median(surface) AS s, median(rooms) AS r FROM s WHERE sale_year <= 1999)
+          SELECT sale_id, round(coalesce(surface, m.s), 4) AS surface_in, CAST(surface IS NULL AS DOUBLE) AS surface_missing, round(coalesce(rooms, m.r), 4) AS rooms_in, CAST(rooms IS NULL AS DOUBLE) AS rooms_missing, coalesce(segment, '__MISSING__') AS segment_cat FROM s CROSS JOIN m WHERE sale_year = 2000""",
+        "target_forms": f"""WITH {SALE}, t AS (SELECT *, CASE WHEN sale_id % 9 <> 0 THEN area * 100 + 500 END AS anchor FROM sale)
+          SELECT sale_id, round(ln(1 + price), 4) AS y_total, round(price, 4) AS price_total, round(ln(1 + ppm2), 4) AS y_ppm2, CASE WHEN ppm2 IS NOT NULL THEN round(price, 4) END AS price_ppm2, round(ln(ppm2 / anchor), 4) AS y_residual, CASE WHEN anchor IS NOT NULL AND ppm2 IS NOT NULL THEN round(price, 4) END AS price_residual FROM t""",
+        "dealt_values": f"""WITH {SALE}, s AS (SELECT sale_id, surface FROM sale WHERE sale_year = 2000 ORDER BY md5(sale_id || '|42'), sale_id LIMIT 1000), l AS (SELECT sale_id, row_number() OVER (ORDER BY md5(sale_id || '|a1'), sale_id) AS n FROM s), r AS (SELECT surface, row_number() OVER (ORDER BY md5(sale_id || '|b1'), sale_id) AS n FROM s)
+          SELECT sale_id, round(surface, 4) AS surface FROM l JOIN r USING (n)""",
+        "enriched_counts": f"""WITH {SALE}, {POI}, a AS (SELECT * FROM poi QUALIFY row_number() OVER (PARTITION BY mode, poi_id % 3 ORDER BY CASE WHEN poi_id % 4 <> 0 THEN poi_id % 6 END DESC NULLS FIRST, poi_id) = 1), b AS (SELECT * FROM poi QUALIFY row_number() OVER (PARTITION BY mode ORDER BY poi_id) = 1),
+          n AS (SELECT s.sale_id, (SELECT count(*) FROM a WHERE (a.x - s.x) ** 2 + (a.y - s.y) ** 2 <= 1000000) AS last_count, (SELECT count(*) FROM b WHERE (b.x - s.x) ** 2 + (b.y - s.y) ** 2 <= 1000000) AS first_count, (SELECT count(*) FROM poi p WHERE (p.x - s.x) ** 2 + (p.y - s.y) ** 2 <= 1000000) AS c FROM sale s)
+          SELECT sale_id, last_count, first_count, CAST(2 * c AS DOUBLE) AS weighted_count FROM n""",
         "value_one": f"WITH {one}, {cand_one}, {agg}), m AS (SELECT sale_id, {mad}) SELECT {picked.replace('sale_id,', 'me.sale_id,', 1)}, {wout}, round(mad, 4) AS local_365d_500m_mad_ppm2 FROM me LEFT JOIN agg ON agg.sale_id = me.sale_id LEFT JOIN m ON m.sale_id = me.sale_id LEFT JOIN (SELECT sale_id, {wsel} FROM (SELECT * FROM ({WEIGHTS[6:-1]})) GROUP BY 1) ww ON ww.sale_id = me.sale_id",
     }

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propval.functions import geo, scalar
-from propval.operators import asof, cohort, comps, gridjoin, linkage, ml, polygon, stats, valuation
+from propval.operators import asof, cohort, comps, contracts, gridjoin, linkage, ml, polygon, stats, valuation
 from propval.plans import fixtures as fx
 from propval.session import table
 from propval.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-ANCHORS = ("anchor_a", "anchor_b")
+ANCHORS = ("anchor_a", "anchor_b", "anchor_c", "anchor_d")
 
 
 def query(f: Query) -> Query:
@@ -264,7 +264,9 @@ def quoted_token_weight(spark: SparkSession, d: str) -> DataFrame:
 @query
 def text_labels(spark: SparkSession, d: str) -> DataFrame:
     names = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("local_", "dpe_", "building_", "distance_metro_", "x_", "ban_")]), F.col("n_nationkey").cast("int") % 6 + 1), F.lower("n_name"))
-    return table(spark, d, "nation").select("n_nationkey", names.alias("name")).select("n_nationkey", scalar.feature_family(F.col("name")).alias("family"), scalar.label_of(F.col("name")).alias("label"))
+    named = F.element_at(F.array(*[F.lit(x) for x in ("ban_address_id", "cell_r8", "building_year", "code_postal")]), F.col("n_nationkey").cast("int") % 4 + 1)
+    both = F.explode(F.array(names, named)).alias("name")
+    return table(spark, d, "nation").select("n_nationkey", both).select("n_nationkey", "name", scalar.feature_family(F.col("name")).alias("family"), scalar.label_of(F.col("name")).alias("label"))
 
 
 @query
@@ -395,7 +397,7 @@ def calibration_pool(spark: SparkSession, d: str) -> DataFrame:
 @query
 def predictive_quantiles(spark: SparkSession, d: str) -> DataFrame:
     cal, test = _ratios(spark, d)
-    return rounded(stats.predictive(cal, test.withColumn("ask", F.col("price") * 1.05), "sale_id", "ratio", "pred_a", "area", "ask"))
+    return rounded(stats.predictive(cal, test.withColumn("ask", F.col("price") * 1.037), "sale_id", "area", "pred_b", "pred_a", "ratio", "ask"))
 
 
 @query
@@ -410,7 +412,7 @@ def blend_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anchored(spark: SparkSession, d: str) -> DataFrame:
-    return fx.pred(spark, d).where("sale_year = 1999").withColumns({"anchor_a": F.when(F.col("sale_id") % 4 != 0, F.col("pred_b")), "anchor_b": F.when(F.col("sale_id") % 3 != 0, F.col("surface") * 1200.0)})
+    return fx.pred(spark, d).where("sale_year = 1999").withColumns({"anchor_a": F.when(F.col("sale_id") % 4 != 0, F.col("pred_b")), "anchor_b": F.when(F.col("sale_id") % 3 != 0, F.col("surface") * 1200.0), "anchor_c": F.when(F.col("sale_id") % 5 != 0, F.col("pred_b") * 0.9), "anchor_d": F.when(F.col("area") % 2 == 0, F.col("surface") * 900.0)})
 
 
 @query
@@ -429,32 +431,16 @@ def _errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bootstrap_mae(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.bootstrap_intervals(_errors(spark, d), "sale_id", ["a", "b"], 100, "b"))
-
-
-@query
-def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.paired_bootstrap(_errors(spark, d), "sale_id", ["a", "b"], 100))
-
-
-@query
-def model_matrix(spark: SparkSession, d: str) -> DataFrame:
-    pairs = stats.paired_bootstrap(_errors(spark, d), "sale_id", ["a", "b"], 50)
-    return rounded(stats.square_matrix(pairs, "model_a", "model_b", "mean_diff", ["a", "b"]))
-
-
-@query
-def bootstrap_mae_full(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.bootstrap_intervals(_errors(spark, d), "sale_id", ["a", "b"], baseline="b"))
 
 
 @query
-def paired_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.paired_bootstrap(_errors(spark, d), "sale_id", ["a", "b"]))
 
 
 @query
-def model_matrix_full(spark: SparkSession, d: str) -> DataFrame:
+def model_matrix(spark: SparkSession, d: str) -> DataFrame:
     pairs = stats.paired_bootstrap(_errors(spark, d), "sale_id", ["a", "b"])
     return rounded(stats.square_matrix(pairs, "model_a", "model_b", "mean_diff", ["a", "b"]))
 
@@ -467,7 +453,7 @@ def topk_by_family(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def family_sums(spark: SparkSession, d: str) -> DataFrame:
-    t = text_labels(spark, d).join(table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_acctbal").cast("double").alias("v")), "n_nationkey")
+    t = text_labels(spark, d).where(~F.col("name").isin("ban_address_id", "cell_r8", "building_year", "code_postal")).join(table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_acctbal").cast("double").alias("v")), "n_nationkey")
     return rounded(t.groupBy("family").agg(F.sum("v").alias("total")), 2)
 
 
@@ -499,6 +485,101 @@ def prediction_export(spark: SparkSession, d: str) -> DataFrame:
     return t.select("sale_id", "price", rnd("pred_a", 2).alias("prediction_a"), rnd("pred_b", 2).alias("prediction_b"), rnd(F.abs(F.col("pred_a") - F.col("price")), 2).alias("absolute_error"), rnd(scalar.percent_error(F.col("pred_a"), F.col("price")), 4).alias("percent_error"))
 
 
+# contracts, one-to-one joins, instants, templates ---------------------------------------------------------------
+
+
+@query
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.duplicates(table(spark, d, "events").select("user_id", "event_type"), "user_id")
+
+
+@query
+def row_changes(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.sale(spark, d).select("sale_id")
+    after = s.where("sale_id % 7 <> 0").unionByName(s.where("sale_id % 11 = 0")).unionByName(s.where("sale_id % 13 = 0").select((-F.col("sale_id")).alias("sale_id")))
+    return contracts.row_changes(s, after, "sale_id")
+
+
+@query
+def out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.sale(spark, d).select("sale_id", F.date_add("sale_date", -(F.col("sale_id") % 5).cast("int") * 300).alias("on"))
+    ordered = s.withColumn("place", F.unix_date("on") * 10 + F.col("sale_id") % 100 * 500)
+    return contracts.out_of_order(ordered.withColumn("place", F.col("place") * 1_000_000 + F.col("sale_id")), "place", "on", 1_000_000_000).select("sale_id", F.col("on").cast("string").alias("on"))
+
+
+@query
+def one_to_one_join(spark: SparkSession, d: str) -> DataFrame:
+    gold = fx.sale(spark, d).where("sale_year = 2000").select("sale_id", "area", "surface")
+    return rounded(contracts.one_to_one(gold, fx.pred(spark, d).where("segment = 'BUILDING'").select("sale_id", "pred_a"), "sale_id"))
+
+
+@query
+def one_to_one_left(spark: SparkSession, d: str) -> DataFrame:
+    one = linkage.one_best(table(spark, d, "customer").select(F.col("c_nationkey").alias("key"), "c_custkey").where("c_nationkey % 3 <> 0"), "key", [F.col("c_custkey")])
+    return contracts.one_to_one(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name"), one, "key", "left").select("key", "n_name", "c_custkey")
+
+
+@query
+def relation_distinct(spark: SparkSession, d: str) -> DataFrame:
+    rel = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("building"), F.col("l_linenumber").alias("record")).distinct()
+    records = table(spark, d, "supplier").select(F.col("s_suppkey").alias("building"), F.col("s_acctbal").cast("double").alias("value")).where("value > 0")
+    return rounded(rel.join(contracts.many_to_one(records, "building"), "building").groupBy("record").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 2)
+
+
+@query
+def utc_instants(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    offset = F.element_at(F.array(*[F.lit(x) for x in ("Z", "+02:00", "-05:30", "", "bad")]), (k % 5 + 1).cast("int"))
+    text = F.concat(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.lit("T"), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":15:30"), offset)
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(scalar.utc_naive(text), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query
+def template_rows(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.sale(spark, d).withColumn("record_date", F.date_add("sale_date", (F.col("sale_id") % 400 - 200).cast("int")))
+    out = None
+    for area in range(25):  # one property for each area
+        one = valuation.template(s, "area", area, "sale_date", date(1997, 6, 30), ["sale_id"], ["area", "sale_id", "price"], ["surface", "rooms"], "record_date")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query
+def imputed_features(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.sale(spark, d).withColumns({"rooms": F.when(F.col("sale_id") % 6 != 0, F.col("rooms")), "segment": F.when(F.col("sale_id") % 8 != 0, F.col("segment"))})
+    spec = ml.Spec(["surface", "rooms"], ["segment"])
+    out = ml.prepared(s.where("sale_year = 2000"), spec, ml.exact_medians(s.where("sale_year <= 1999"), spec.numeric))
+    return rounded(out.select("sale_id", *[F.col(f"{c}__{k}").alias(f"{c}_{k}") for c in spec.numeric for k in ("in", "missing")], F.col("segment__cat").alias("segment_cat")))
+
+
+@query
+def target_forms(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.sale(spark, d).withColumn("anchor", F.when(F.col("sale_id") % 9 != 0, F.col("area") * 100.0 + 500.0))
+    specs = {t: ml.Spec([], target=t) for t in ("total", "ppm2", "residual")}
+    raw = s.withColumns({f"y_{t}": ml.target_column(x) for t, x in specs.items()})
+    back = raw.withColumns({f"price_{t}": ml.inverse_column(x, f"y_{t}") for t, x in specs.items()})
+    return rounded(back.select("sale_id", *[f"{k}_{t}" for t in specs for k in ("y", "price")]))
+
+
+@query
+def dealt_values(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ml.dealt(stats.hashed_sample(fx.sale(spark, d).where("sale_year = 2000"), "sale_id", 1000), "sale_id", "surface", 1).select("sale_id", "surface"))
+
+
+@query
+def enriched_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Points around each sale by three of the enrichment's reductions: kept-last rows, kept-first rows, weighted by tokens."""
+    s, p = fx.sale(spark, d), fx.poi(spark, d)
+    last = readers.latest_by(p.withColumn("family", F.col("poi_id") % 3), ["mode", "family"], F.when(F.col("poi_id") % 4 != 0, F.col("poi_id") % 6))
+    first = linkage.one_best(p, ["mode"], [F.col("poi_id")])
+    each = {"last": (last, None), "first": (first, None), "weighted": (p.withColumn("w", F.lit(2.0)), "w")}
+    out = s.select("sale_id")
+    for name, (points, weight) in each.items():
+        got = gridjoin.radius_aggregate(s, points, "sale_id", 1000.0, weight)
+        out = out.join(got.select("sale_id", F.col("weight_sum" if weight else "n_points").alias(f"{name}_count")), "sale_id")
+    return out
+
+
 # models (rows only) ---------------------------------------------------------------------------------------------
 
 
