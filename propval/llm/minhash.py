@@ -43,7 +43,7 @@ DARTS = math.ceil(K * math.log(K) + 2 * K)
 #: The smallest region's height in rank; regions double from there.
 UNIT = 0.25
 #: Elements handled at once, words remembered in a worker.
-BLOCK_ELEMENTS, REMEMBERED = 400_000, 500_000
+BLOCK_ELEMENTS, REMEMBERED = 400_000, 200_000
 #: Texts, and shingles, of a block of an open bucket; shingles in so few texts of a job are paired one by one.
 OPEN_ROWS, OPEN_ELEMENTS, RARE = 1024, 200_000, 16
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")

@@ -40,7 +40,7 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered runs and pairs a worker; beyond, they are forgotten and computed again.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Ids in an output batch.
 BATCH_IDS = 2_000_000
 #: Runs of a text whose ids are held apart before they are joined.
