@@ -26,7 +26,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    vectors = topk.usable(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 

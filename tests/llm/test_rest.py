@@ -132,7 +132,7 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=40)]) for i in range(300)] + [(300, [1.0] * 40), (301, [1.0] * 40), (302, None), (303, [float("nan")] * 40), (304, [None] * 40), (None, [1.0]), (305, []), (306, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    v = topk.quantised(df)
+    v = topk.usable(df)
     got = collections.defaultdict(list)
     for r in sorted(topk.top_k(v, v.where("vec_id % 50 = 0")).collect(), key=lambda r: (r.query_id, r["rank"])):
         got[r.query_id].append((r.vec_id, r.score))
@@ -144,6 +144,49 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_in_batches_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=40) * (1 + (i % 9 == 0))]) for i in range(600)] + [(600 + i, [0.5] * 40) for i in range(60)]  # many equal ones
+    v = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    want = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect())
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 500)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1000)
+    assert sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()) == want
+    # candidates are scanned in place: the one exchange is that of the k rows a query
+    monkeypatch.undo()
+    assert topk.top_k(v, v.where("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_top_k_prunes():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64)) * np.linspace(2, 0.2, 64)  # mass in the first dimensions
+    s = topk.Search(np.arange(20), x[:20], 5)
+    for at in range(0, 4000, 500):
+        s.meet(np.arange(at, at + 500), x[at : at + 500])
+    f = np.floor(256 * x)
+    for q in range(20):
+        score = (f @ f[q]).astype(np.int64)
+        want = sorted((-score[i], i) for i in range(4000) if i != q)[:5]
+        assert [(-b, a) for a, b in zip(*s.best[q])] == want
+    assert s.done < 0.8 * s.all
+
+
+def test_top_k_huge_components_and_other_ids(spark):
+    rows = [("0", [1e18, 1.0]), ("1", [1e18, 2.0]), ("2", [-3.0, 1e17]), ("50", [2e-3, -1e300]), ("x", [1.0, 1.0]), ("3", [1.0] * 5), ("0", [1e18, 1.0])]
+    v = topk.usable(spark.createDataFrame(rows, "vec_id string, embedding array<double>"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()}
+    top = 2**63 - 1
+    fl = lambda x: math.floor(256 * x) if abs(x) < 2**50 else int(x) * 256
+    exact = {}
+    for i, e in rows:
+        if i != "x":
+            exact[int(i)] = [fl(c) for c in e]
+    for q in (0, 50):
+        want = sorted((-max(-(2**63), min(top, sum(a * b for a, b in zip(exact[q], exact[c])))), c) for c in exact if c != q)
+        seen = [got[q, r] for r in range(1, 6) if (q, r) in got]
+        assert [x for x in seen if x[0] != 0] == [(c, -s) for s, c in want if c != 0][: len([x for x in seen if x[0] != 0])] and len(seen) == (4 if q == 0 else 5)
+
+
 # urls -------------------------------------------------------------------------------------------------
 
 
