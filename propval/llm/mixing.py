@@ -131,7 +131,9 @@ def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     shard = W.partitionBy("shard")
     placed_ = counts.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(runs, ["source_no", "run"])
     placed_ = placed_.withColumn("at", F.coalesce(F.sum("n").over(shard.orderBy("source_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("held", F.sum("n").over(shard))
-    placed_ = placed_.join(F.broadcast(sources.select("source_no", "blocks")), "source_no").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    # few rows grow into many: dealt over the cluster before they do
+    placed_ = placed_.join(F.broadcast(sources.select("source_no", "blocks")), "source_no").repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "shard")
+    placed_ = placed_.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
     each = placed_.select("shard", "held", "source_no", "blocks", (F.col("at") + F.col("i")).alias("at"), (F.col("offset") + F.col("inner") + F.col("i")).alias("slot")).withColumn("pass", F.expr("slot div blocks"))
     return each.select(
         "shard",
