@@ -13,7 +13,8 @@ formatted string, one entry for each assistant text.
 
 Null texts and null roles are empty. Rows with equal turn are ordered by role, then text; repeated rows each count.
 Rows with null conv_id form one conversation. A message whose parent is missing is a root; messages on a cycle of
-parents reach no root and are left out. An empty table gives an empty result.
+parents reach no root and are left out. Long texts are formatted whole, and a conversation of any length is one row. Ties between
+branches: see above. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from propval.session import written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: What is broken up inside texts: the first character, then the rest.
-CONTROL = r"(<)(\|[A-Za-z_]*\||/?s>)|(\[)(/?INST\])|(<)(</?SYS>>)"
+CONTROL = r"(<)(\|[A-Za-z0-9_]*\||/?s>|(?:start|end)_of_turn>|[be]os>)|(\[)(/?INST\])|(<)(</?SYS>>)"
 
 
 def escaped(text: Column) -> Column:

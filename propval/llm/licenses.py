@@ -11,12 +11,18 @@ must reach `containment`.
 A window can only meet a piece in a band if it holds the piece's smallest shingle of that band. Texts and windows
 without any such shingle are left out before MinHashing; this loses nothing.
 
-The templates are a parameter (name -> text), small enough for the driver. Texts under five words, null and empty
-texts match nothing. Repeated rows give repeated results. An empty table gives an empty result.
+Templates of fewer than five words are one shingle of their own length, and texts are shingled by that length for them; a
+template without words is an error.
+
+The templates are a parameter (name -> text), small enough for the driver. Null and empty texts, and texts shorter than every
+template's shingle, match nothing. Long texts are read whole. Repeated rows give repeated results, as do several licences that share
+a wording: there are no ties to break. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +53,15 @@ def normalised(text: Column) -> Column:
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " " * len(PUNCTUATION))
 
 
-def shingled(rows: DataFrame) -> DataFrame:
+def width_of(template: str) -> int:
+    """Words of a template's shingles."""
+    return min(SHINGLE, len(template.lower().translate(str.maketrans(PUNCTUATION, " " * len(PUNCTUATION))).split()))
+
+
+def shingled(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
     """rows (with text) with h, the hashes of the text's shingles in order, in place of text. Each step is a column of its own."""
     hashed = rows.withColumn("h", words(normalised(F.col("text")))).withColumn("h", word_hashes(F.col("h")))
-    return hashed.withColumn("h", window_hashes(F.col("h"), SHINGLE)).drop("text")
+    return hashed.withColumn("h", window_hashes(F.col("h"), width)).drop("text")
 
 
 def band_value(x: Column, band: int) -> Column:
@@ -61,28 +72,50 @@ def banded(hashes: Column, band: int) -> Column:
     return F.transform(hashes, lambda x: F.struct(band_value(x, band).alias("v"), x.alias("s")))
 
 
-def _index(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[int], int]:
+def _index(spark: SparkSession, templates: dict[str, str], width: int) -> tuple[DataFrame, list[int], int]:
     """(band, value, license, all shingles) rows; the shingles that are smallest in some band; the longest template."""
-    base = shingled(literal_table(spark, sorted(templates.items()), "license string, text string")).withColumnRenamed("h", "of").where(F.size("of") > 0)
+    base = shingled(literal_table(spark, sorted(templates.items()), "license string, text string"), width).withColumnRenamed("h", "of").where(F.size("of") > 0)
     n = F.size("of")
     pieces = base.select("license", "of", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (PIECE - 1))), lambda i: F.slice("of", i, PIECE))).alias("piece"))
     lows = F.array(*[F.array_min(banded(F.col("piece"), j)) for j in range(BANDS)])
     rows = pieces.select("license", "of", F.posexplode(lows).alias("band", "low")).select("band", F.col("low.v").alias("value"), F.col("low.s").alias("low"), "license", "of").distinct().collect()
-    if not rows:
-        raise ValueError("no template has five words")
     index = literal_table(spark, [(r["band"], r["value"], r["license"], r["of"]) for r in rows], "band int, value long, license string, of array<long>")
     return index, sorted({r["low"] for r in rows}), max(len(r["of"]) for r in rows)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, first_word, n_places, containment: a row for each document and licence found in it."""
-    index, lows, longest = _index(docs.sparkSession, templates or TEMPLATES)
+    named: dict[int, dict[str, str]] = {}
+    for name, text in (templates or TEMPLATES).items():
+        if not (width := width_of(text)):
+            raise ValueError(f"the template {name} has no words")
+        named.setdefault(width, {})[name] = text
+    found = [_scan(docs, some, width, id_col, text_col, containment) for width, some in sorted(named.items())]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _marked(known: list[int]) -> Callable[[Column], Column]:
+    """Whether a hash can be one of the known: a bit for each, found by its lowest bits, so that lists of any length cost one look."""
+    size = 1 << max(4, (len(known) * 16 // 64).bit_length())
+    bits = [0] * size
+    for x in known:
+        bits[(x >> 6) % size] |= 1 << (x & 63)
+    table = F.array(*[F.lit(b - (1 << 64) if b >> 63 else b).cast("long") for b in bits])
+    return lambda x: F.call_function("shiftrightunsigned", F.get(table, F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(size - 1)).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], width: int, id_col: str, text_col: str, containment: float) -> DataFrame:
+    index, lows, longest = _index(docs.sparkSession, templates, width)
+    marked = _marked(lows)
     known = F.array(*[F.lit(x) for x in lows])
     reach = longest + WINDOW
     # the row number also keeps the filter above the hashing, which it would repeat below
-    some = shingled(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).withColumn("row", F.monotonically_increasing_id()).where(F.arrays_overlap("h", known))
+    some = shingled(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), width).withColumn("row", F.monotonically_increasing_id()).where(F.arrays_overlap("h", known))
     # first shingle (from 0, in steps of STEP) of each window that holds a known shingle
-    places = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(known, x), i)), lambda i: i.isNotNull())
+    places = F.filter(F.transform("h", lambda x, i: F.when(marked(x) & F.array_contains(known, x), i)), lambda i: i.isNotNull())
     starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(0), F.lit((WINDOW - 1) // STEP)), lambda k: F.greatest(F.lit(0), (F.floor(i / STEP) - k) * STEP).cast("int")))))
     windows = some.select("doc_id", "row", "h", F.explode(starts).alias("at")).select(
         "doc_id", "row", "at", F.slice("h", F.col("at") + 1, WINDOW).alias("w"), F.slice("h", F.greatest(F.lit(0), F.col("at") - reach) + 1, 2 * reach + WINDOW).alias("around"), F.greatest(F.lit(0), F.col("at") - reach).alias("from")

@@ -105,7 +105,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 OP8_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\|[A-Za-z_]*\||/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g'), '<(</?SYS>>)', '<\\\1', 'g') AS safe FROM t)
+e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\|[A-Za-z0-9_]*\||/?s>|start_of_turn>|end_of_turn>|bos>|eos>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g'), '<(</?SYS>>)', '<\\\1', 'g') AS safe FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

@@ -9,11 +9,13 @@ Seeds come from the rules: a host is trusted where rules allow pages of it and b
 block the greater part of its pages. A host that neither seed reaches is allowed.
 
 A null url, or one without "://", has an empty host and path; no rule fits it, and it is allowed. Pages without html
-give no links. Repeated rows are judged alike. Extra columns are not read. An empty table gives an empty result.
+give no links; long ones are read whole. Repeated rows are judged alike, and their links count once more each. Of rules of equal
+length that fit, the later of the list wins; a host whose distrust equals its share exactly is allowed. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,9 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: So many rounds that the mass still on its way is at most a thousandth.
+ROUNDS = math.ceil(math.log(1e-3) / math.log(DAMPING))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 

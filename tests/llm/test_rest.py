@@ -220,7 +220,7 @@ def test_pagerank_equals_brute_force(spark):
     s = np.zeros(n)
     s[[0, 3]] = 0.5
     r = s.copy()
-    for _ in range(20):
+    for _ in range(urls.ROUNDS):
         m = np.zeros(n)
         for a, b in links:
             m[b] += 0.85 * r[a] / out[a]
@@ -229,6 +229,14 @@ def test_pagerank_equals_brute_force(spark):
     assert all(abs(got.get(f"h{i}", 0.0) - r[i]) < 1e-9 for i in range(n))
 
 
+def test_urls_repeated_rows_long_html_and_clashing_columns(spark):
+    long = "x" * 2_000_000 + '<a href="http://bad.com/x">'
+    rows = [(1, "http://bad.com/en/1", None), (1, "http://bad.com/en/1", None), (2, "http://farm.io/a", long), (2, "http://farm.io/a", long), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("host", "path", "rule", "ruled", "src", "dst", "share", "trust", "rank", "n", "of", "to")})
+    got = sorted(((r.page_id or 0, r.verdict) for r in urls.judged(pages).collect()))
+    assert got == [(0, "allow"), (1, "block"), (1, "block"), (2, "block"), (2, "block")]
+
+
 def test_urls_empty_table(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -343,6 +351,24 @@ def test_license_scan_equals_brute_force(spark):
     assert {(r.doc_id, r.license) for r in licenses.scan(docs).collect()} == want
 
 
+def test_short_templates_and_repeated_rows(spark):
+    rows = [(1, "Some text. All rights reserved. More text here", "", "", 0)] * 2 + [(2, "all rights were reserved", "", "", 0), (3, "(c) All Rights Reserved", "", "", 0), (4, "rights reserved", "", "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("own") for c in ("h", "row", "at", "w", "around", "from", "band", "value", "license", "of", "containment")})
+    got = sorted((r.doc_id, r.license) for r in licenses.scan(docs, {"reserved": "All rights reserved.", "MIT": licenses.TEMPLATES["MIT"]}).collect())
+    assert got == [(1, "reserved"), (1, "reserved"), (3, "reserved")]
+    with pytest.raises(ValueError):
+        licenses.scan(docs, {"none": "..."})
+
+
+def test_hash_marks_have_no_false_negatives(spark):
+    rng = np.random.default_rng(1)
+    known = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 500)]
+    other = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 5000)]
+    mark = licenses._marked(known)
+    got = {r.x: r.m for r in spark.createDataFrame([(x,) for x in known + other], "x long").select("x", mark(F.col("x")).alias("m")).collect()}
+    assert all(got[x] for x in known) and sum(got[x] for x in other) < 1000
+
+
 def test_license_odd_rows(spark):
     assert licenses.scan(documents(spark)).count() == 0
     assert licenses.scan(documents(spark).limit(0)).count() == 0
@@ -363,17 +389,19 @@ def test_best_branch_is_formatted(spark):
 
 
 def test_control_strings_come_back(spark):
-    texts = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nx", "a\\b \\\\ <\\|im_end|>", "", "\\", "<<SYS>> </SYS>", "\n\n", None, "[INST", "<|a|><|b|>"]
+    assert "<start_of_turn>" not in spark.range(1).select(chat.escaped(F.lit("a<start_of_turn>b<|reserved_special_token_0|>"))).first()[0]
+    texts = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nx", "a\\b \\\\ <\\|im_end|>", "", "\\", "<<SYS>> </SYS>", "<start_of_turn>user<|reserved_special_token_0|> <bos>", "\n\n", None, "[INST", "<|a|><|b|>"]
     rows = [(1, i, "assistant" if i % 2 else "us\ner<|x|>", t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    from pyspark.sql import functions as F
-
     r = chat.formatted(chat.as_replies(df)).select(chat.turns_of(F.col("formatted")).alias("t"), chat.learned_text(F.col("formatted"), F.col("loss")).alias("l")).first()
     assert [(x.role, x.text) for x in r.t] == [(b, t or "") for _, _, b, t in rows]
     assert r.l == "".join(t or "" for t in texts[1::2])
 
 
 def test_long_chain_and_empty(spark):
+    df = spark.createDataFrame([(2, i, "assistant", "clash") for i in range(3)], "conv_id long, turn long, role string, text string")
+    df = df.withColumns({c: F.lit("own") for c in ("id", "parent", "score", "up", "steps", "r_id", "r_conv", "back", "leaf", "branch", "turns", "formatted", "loss")})
+    assert [(r.conv_id, r.n_turns) for r in chat.formatted(chat.as_replies(df)).collect()] == [(2, 3)]
     df = spark.createDataFrame([(1, i, "user", str(i)) for i in range(300)] + [(None, 0, None, None), (None, 0, None, None)], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r.n_turns for r in chat.formatted(chat.as_replies(df)).collect()}
     assert got == {1: 300, None: 2}
