@@ -1,4 +1,7 @@
-"""The corpus pipeline: quality rules, toxicity, near-dedup, mixing to target weights, SentencePiece ids."""
+"""The corpus pipeline: quality rules, toxicity, near-dedup, mixing to target weights, SentencePiece ids.
+
+Every stage takes nulls in any column, empty and very long texts (read whole), repeated rows, an empty table (which gives an
+empty one) and extra columns of any name, which stay as they are; each says below what becomes of them."""
 
 from __future__ import annotations
 
@@ -9,27 +12,40 @@ from propval.session import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the rules' joint posterior keep."""
+    """Documents that the base rule and the rules' joint posterior keep.
+
+    Null and empty texts fail the base rule and go. Repeated rows are judged alike; a posterior of exactly one half keeps."""
     return quality.filtered(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic; the model learns from the labels of documents still there."""
+    """Documents that are not toxic; the model learns from the labels of documents still there.
+
+    Null and empty texts are never toxic; without labels of two grades none is. Repeated rows are judged alike; a probability of
+    exactly one half is toxic."""
     return toxicity.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, its smallest doc_id."""
+    """One document of each class of near-duplicates, its smallest doc_id.
+
+    Texts without words all stay. Of repeated rows of that id one stays (any: they are equal in id and text); a null id comes
+    after all others."""
     return minhash.first_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources at its target weights: each pass's words of a document are a row."""
+    """The mixture of sources at its target weights: the words that a slot's block holds of a document are a row, shard by shard.
+
+    Texts without words are in no mixture. A null source is a source, a null id an id; of rows equal in id, source and text each
+    holds its own words, and the rows carry the other columns of any one of them."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each row's text."""
+    """SentencePiece ids of each row's text: doc_id, n_tokens, ids, round_trip.
+
+    Null and empty texts have none. Repeated rows are encoded each."""
     return sentencepiece_viterbi.encoded(docs)
 
 
