@@ -7,6 +7,7 @@ import json
 from collections.abc import Sequence
 from datetime import date
 
+from propval.operators.ml import FEATURE_SETS
 from propval.operators.valuation import Property, blended, validated
 
 
@@ -26,8 +27,24 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--test-year", type=int, default=2025)
     m.add_argument("--families", nargs="+", default=["ridge", "boosted"])
     m.add_argument("--bootstrap-repetitions", type=int, default=500)
-    v = sub.add_parser("value", help="comparables of one property, and the blend with a base estimate")
+    m.add_argument("--sets", nargs="+", default=["base", "comparables"], choices=sorted(FEATURE_SETS))
+    m.add_argument("--target", choices=("total", "ppm2", "residual"), default="total")
+    m.add_argument("--search", choices=("short", "full"), default="short", help="configurations to try; the full search also stops boosting early")
+    e = sub.add_parser("enrich", help="Gold and the source tables (a Parquet folder each) to enriched Gold")
+    e.add_argument("--gold", required=True)
+    e.add_argument("--sources", required=True)
+    e.add_argument("--output", required=True)
+    e.add_argument("--audit", required=True)
+    e.add_argument("--quality-report")
+    v = sub.add_parser("value", help="comparables of one property, a model's estimate, and the blend with the local median")
     v.add_argument("--gold", required=True)
+    v.add_argument("--model", help="a folder that benchmark published; else --base-estimate")
+    v.add_argument("--addresses", help="the address table; the property is then put where its address is")
+    v.add_argument("--commune", default="")
+    v.add_argument("--street-code", default="")
+    v.add_argument("--number", type=int)
+    v.add_argument("--suffix", default="")
+    v.add_argument("--report")
     for name, kind in (("longitude", float), ("latitude", float), ("surface", float)):
         v.add_argument(f"--{name}", type=kind, required=True)
     v.add_argument("--rooms", type=int)
@@ -41,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
 def build(a: argparse.Namespace) -> dict:
     from propval.operators import contracts
     from propval.plans.gold import gold
-    from propval.session import build_session
+    from propval.session import build_session, drop_written
     from propval.sources import publish, readers
 
     spark = build_session("build")
@@ -50,6 +67,7 @@ def build(a: argparse.Namespace) -> dict:
     said = contracts.report(spark.read.parquet(a.output))
     if a.quality_report:
         publish.write_json(a.quality_report, said, default=str)
+    drop_written(spark)
     return said
 
 
@@ -57,25 +75,25 @@ def benchmark(a: argparse.Namespace) -> dict:
     from pyspark.sql import functions as F
 
     from propval.operators import cohort, ml, stats
-    from propval.session import build_session, written
+    from propval.session import build_session, drop_written, written
     from propval.sources import publish
 
     spark = build_session("benchmark")
     g = spark.read.parquet(a.features).withColumn("anchor", F.col("local_365d_500m_median_ppm2"))
     s = cohort.year_split(g, "year", a.train_end_year, a.validation_year, a.test_year)
-    base = ["surface_reelle_bati", "nombre_pieces_principales", "x_l93", "y_l93", "months_since_2021"]
     names = {"price": "valeur_fonciere", "surface": "surface_reelle_bati"}
-    specs = {"core": ml.Spec(base, ["code_postal"], **names), "comparables": ml.Spec([*base, "weighted_comp_ppm2", "similar_weighted_comp_ppm2", "local_365d_500m_median_ppm2", "effective_comparable_count"], ["code_postal"], **names)}
-    fitted, log = ml.select_and_refit(a.families, specs, s["development"], s["validation"], s["final_train"])
+    specs = ml.named_specs(g, a.sets, a.target, **names)
+    fitted, log = ml.select_and_refit(a.families, specs, s["development"], s["validation"], s["final_train"], ml.FULL_GRID if a.search == "full" else None, a.search == "full")
     out = written(ml.export_predictions(ml.median_baseline(s["final_train"], s["test"], "code_postal", "price_per_m2", "surface_reelle_bati"), fitted, "id_mutation", "valeur_fonciere"), "predictions")
     publish.publish_table(out, f"{a.output_dir}/predictions")
     for name, f in fitted.items():
-        publish.publish_model(f.model, f"{a.output_dir}/models/{name}", {"medians": f.medians, **f.meta}, spark)
+        publish.publish_model(f.model, f"{a.output_dir}/models/{name}", ml.described(f), spark)
     errors = out.select("id_mutation", *[F.abs(F.col(f"prediction_{n}") - F.col("valeur_fonciere")).alias(n) for n in fitted])
     intervals = [r.asDict() for r in stats.bootstrap_intervals(errors, "id_mutation", list(fitted), a.bootstrap_repetitions, next(iter(fitted))).collect()]
     metrics = {n: stats.metrics(out, "valeur_fonciere", f"prediction_{n}").first().asDict() for n in fitted}
-    said = {"trials": log, "metrics": metrics, "intervals": intervals}
+    said = {"trials": log, "metrics": metrics, "intervals": intervals, "costs": {n: ml.timed(f, s["test"]) for n, f in fitted.items()}}
     publish.write_json(f"{a.output_dir}/report.json", said, default=str)
+    drop_written(spark)
     return said
 
 
@@ -85,21 +103,59 @@ def value(a: argparse.Namespace) -> dict:
     from pyspark.sql import functions as F
 
     from propval.functions import geo
-    from propval.operators.valuation import comparables
-    from propval.plans.gold import as_sales
-    from propval.session import build_session
+    from propval.operators import ml
+    from propval.operators.valuation import comparables, located, template
+    from propval.plans import gold as plan
+    from propval.session import build_session, drop_written
+    from propval.sources import publish
 
     spark = build_session("value")
     x, y = (spark.range(1).select(c).first()[0] for c in geo.lambert93(F.lit(a.longitude), F.lit(a.latitude)))
-    prop = validated(Property(x, y, a.surface, a.rooms, a.date, a.postal_code))
-    row = comparables(as_sales(spark.read.parquet(a.gold)), prop).first().asDict()
+    prop = validated(Property(x, y, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code, a.number, a.suffix))
+    history, found = spark.read.parquet(a.gold), {"method": "coordinates"}
+    if a.addresses and a.number is not None:
+        prop, found = located(spark.read.parquet(a.addresses), prop)
+    row = comparables(plan.as_sales(history), prop).first().asDict()
+    row["address"] = found
     median = row["local_365d_500m_median_ppm2"]
     anchor = None if median is None or math.isnan(median) else median
-    if a.base_estimate is not None:
-        row["estimate"] = blended(a.base_estimate, anchor, a.surface, a.weight)
+    base = a.base_estimate
+    if a.model:
+        fitted = ml.load(spark, a.model)
+        given = {"date_mutation": a.date, "longitude": a.longitude, "latitude": a.latitude, "surface_reelle_bati": a.surface, "nombre_pieces_principales": float(a.rooms) if a.rooms else None, "code_postal": a.postal_code, "code_commune": a.commune, "adresse_code_voie": a.street_code, "adresse_numero": float(a.number) if a.number is not None else None, "adresse_suffixe": a.suffix}
+        subject = plan.subject_row(history, {k: v for k, v in given.items() if k in history.columns})
+        if "building_id" in history.columns and found.get("building_id"):
+            # what the building's latest sale knew, its diagnostic only if it is not later than the valuation
+            same = template(history, "building_id", found["building_id"], "date_mutation", a.date, ["id_mutation"], [c for c in history.columns if c.startswith(("building_", "usage_", "mat_"))], list(plan.DIAGNOSTIC_COLUMNS), "date_etablissement_dpe").first()
+            for c, x in (same.asDict() if same else {}).items():
+                if c in subject.columns:
+                    subject = subject.withColumn(c, F.lit(x).cast(subject.schema[c].dataType))
+        base = ml.predict(fitted, subject.withColumn(fitted.spec.anchor, F.col("local_365d_500m_median_ppm2"))).first()["prediction"]
+    if base is not None:
+        row |= {"base_estimate": base, "estimate": blended(base, anchor, a.surface, a.weight)}
+    if a.report:
+        publish.write_json(a.report, row, default=str)
+    drop_written(spark)
     return row
 
 
+def enrich(a: argparse.Namespace) -> dict:
+    from propval.plans import gold as plan
+    from propval.session import build_session, drop_written
+    from propval.sources import publish
+
+    spark = build_session("enrich")
+    before = spark.read.parquet(a.gold)
+    after, trail = plan.enriched(before, {name: spark.read.parquet(f"{a.sources.rstrip('/')}/{name}") for name in plan.SOURCES})
+    publish.publish_table(after, a.output)
+    publish.publish_table(trail, a.audit)
+    said = plan.quality_report(before, spark.read.parquet(a.output), spark.read.parquet(a.audit))
+    if a.quality_report:
+        publish.write_json(a.quality_report, said, default=str)
+    drop_written(spark)
+    return said
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     p = parser()
     a = p.parse_args(argv)
@@ -107,10 +163,10 @@ def main(argv: Sequence[str] | None = None) -> None:
         p.error("--availability-lag-days must be at least 1")
     if a.command == "value":
         try:
-            validated(Property(0.0, 0.0, a.surface, a.rooms, a.date, a.postal_code))
+            validated(Property(0.0, 0.0, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code, a.number, a.suffix))
         except ValueError as e:
             p.error(str(e))
-    print(json.dumps({"build": build, "benchmark": benchmark, "value": value}[a.command](a), indent=2, default=str))
+    print(json.dumps({"build": build, "enrich": enrich, "benchmark": benchmark, "value": value}[a.command](a), indent=2, default=str))
 
 
 if __name__ == "__main__":

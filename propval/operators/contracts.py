@@ -88,6 +88,18 @@ def columns(df: DataFrame, expected: Sequence[str]) -> None:
         raise ContractError(f"columns are missing: {missing}")
 
 
+def names(tables: dict[str, DataFrame], expected: Sequence[str]) -> None:
+    missing = [t for t in expected if t not in tables]
+    if missing:
+        raise ContractError(f"tables are missing: {missing}")
+
+
+def digest(df: DataFrame) -> str:
+    """A digest of a table's content, whatever its order and files."""
+    row = df.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in df.columns])) for k in (0, 1)]).first()
+    return f"{row[0]:x}-{(row[1] or 0) & (2**64 - 1):016x}{(row[2] or 0) & (2**64 - 1):016x}"
+
+
 def close_to(x: float, y: float, tx: float, ty: float, limit: float = 250.0) -> float:
     """Distance of an address from its coordinates; an error beyond the limit."""
     d = ((x - tx) ** 2 + (y - ty) ** 2) ** 0.5

@@ -4,10 +4,11 @@ Gradient-boosted trees are MLlib's; they stand where the usual boosting librarie
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -173,6 +174,17 @@ def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: boo
     return Fitted(spec, medians, model, time.perf_counter() - start, {"family": family, "config": config, "retrospective_static_context": True})
 
 
+def described(fitted: Fitted) -> dict:
+    """What, beside the pipeline itself, a model needs to be loaded again."""
+    return {"spec": asdict(fitted.spec), "medians": fitted.medians, "seconds": fitted.seconds, **fitted.meta}
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    """A model as `publish.publish_model` leaves it, with `described` as its meta."""
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    return Fitted(Spec(**meta["spec"]), meta["medians"], PipelineModel.load(f"{path}/model"), meta["seconds"], {k: v for k, v in meta.items() if k not in ("spec", "medians", "seconds")})
+
+
 def predict(fitted: Fitted, df: DataFrame, name: str = "prediction") -> DataFrame:
     out = fitted.model.transform(prepared(df, fitted.spec, fitted.medians))
     return out.select(*df.columns, inverse_column(fitted.spec, "__raw").alias(name))

@@ -177,3 +177,51 @@ AUDIT = ("canonical_address_key", "ban_address_id", "ban_match_method", "ban_mat
 
 def audit(df: DataFrame, columns: Sequence[str] = AUDIT) -> DataFrame:
     return linkage.audit(df, "id_mutation", columns)
+
+
+#: What `enriched` reads, one table each; the last six may be left out.
+SOURCES = ("addresses", "address_buildings", "parcel_buildings", "buildings", "building_levels", "building_shapes", "building_lots", "building_diagnostics", "diagnostics", "equipment", "stations", "schools", "parks", "noise")
+#: Which of the added columns say what was so on the day of the sale, and which what is so today.
+RETROSPECTIVE = ("address and building identity", "physical building attributes", "noise map", "stations", "schools, green spaces, shops and services")
+POINT_IN_TIME = ("diagnostics of the sale's day or before", "historical comparables")
+
+
+def enriched(sales: DataFrame, sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(enriched Gold, checked; the audit of its links). schools: with school_family; noise: with family (road, rail_ratp, rail_sncf)."""
+    t = sources
+    contracts.names(t, SOURCES)
+    out = written(linked(sales, t["addresses"], t["address_buildings"], t["parcel_buildings"]), "linked")
+    trail = audit(out)
+    out = with_buildings(out, t["buildings"], t["building_levels"], t["building_shapes"], t["building_lots"])
+    out = with_equipment(with_diagnostics(out, t["building_diagnostics"], t["diagnostics"]), t["equipment"], t["buildings"])
+    out = with_transport(out, t["stations"])
+    families = [r[0] for r in t["schools"].select("school_family").distinct().orderBy("school_family").collect()]  # a handful of files
+    out = with_schools(out, {f: t["schools"].where(F.col("school_family") == f).drop("school_family") for f in families} or {"none": t["schools"].drop("school_family")})
+    out = with_green(out, t["parks"])
+    out = with_noise(out, {f: t["noise"].where(F.col("family") == f).drop("family") for f in ("road", "rail_ratp", "rail_sncf")})
+    return checked(sales, written(out, "enriched")), trail
+
+
+def quality_report(before: DataFrame, after: DataFrame, trail: DataFrame) -> dict:
+    """Rows, columns, digests of both tables, shares matched, what was added with its null rates and temporal classes."""
+    added = [c for c in after.columns if c not in before.columns]
+    said = contracts.report(after, ["dpe_available_at_sale"])
+    matched = linkage.match_rates(trail).first().asDict()
+    return {
+        "rows": said["rows"], "columns": said["columns"], "input_digest": contracts.digest(before), "output_digest": contracts.digest(after), "match": matched, "rates": said["rates"],
+        "future_records": 0, "added": added, "missing": {c: said["missing"][c] for c in added}, "retrospective": list(RETROSPECTIVE), "point_in_time": list(POINT_IN_TIME),
+    }
+
+
+def subject_row(history: DataFrame, given: dict, lag: int = comps.LAG) -> DataFrame:
+    """The Gold row of one property that has not been sold: `given` holds Gold's own columns (longitude, latitude, date_mutation, ...),
+    the rest is computed as for a sale, or null."""
+    one = history.sparkSession.createDataFrame([{"id_mutation": "subject", **given}], "struct<" + ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in history.schema if f.name in given or f.name == "id_mutation") + ">")
+    for f in history.schema:
+        if f.name not in one.columns:
+            one = one.withColumn(f.name, F.lit(None).cast(f.dataType))
+    one = cohort.with_calendar(with_identity(one), "date_mutation", 2021).select(*history.columns)
+    sale = as_sales(one).withColumn("sale_id", F.lit("subject"))
+    features = comps.all_features(sale, as_sales(history), lag).drop("sale_id")
+    kept = [c for c in history.columns if c not in features.columns]
+    return one.select(*kept).crossJoin(F.broadcast(features)).select(*history.columns)  # one row each

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 
 from propval.functions.geo import lambert93, parse_point
 from propval.functions.scalar import finite, first_integer
+from propval.sources.publish import Place, staged
 
 TEXT_COLUMNS = ("id_mutation", "date_mutation", "nature_mutation", "adresse_suffixe", "adresse_nom_voie", "adresse_code_voie", "code_postal", "code_commune", "id_parcelle", "code_type_local")
 NUMBER_COLUMNS = ("valeur_fonciere", "adresse_numero", "surface_reelle_bati", "nombre_pieces_principales", "nombre_lots", "surface_terrain", "longitude", "latitude")
@@ -28,7 +28,7 @@ def transactions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Transaction lines of several annual files with source_file; an id in two files is an error."""
     from propval.operators import contracts
 
-    missing = [p for p in paths if "://" not in p and not Path(p).exists()]
+    missing = [p for p in paths if not Place(p).exists()]
     if missing or not paths:
         raise FileNotFoundError(f"no such input: {missing}")
     df = text_csv(spark, paths, [*TEXT_COLUMNS, *NUMBER_COLUMNS]).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
@@ -43,20 +43,17 @@ def addresses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzipped(archive: str, member: str, folder: str) -> str:
-    """One member of a ZIP file unpacked next to the bronze data, once; its path. Spark reads no ZIP."""
-    with zipfile.ZipFile(archive) as z:
+    """One member of a ZIP file unpacked into a folder that driver and executors share, once; its path. Spark reads no ZIP."""
+    with Place(archive).local() as file, zipfile.ZipFile(file) as z:
         names = [n for n in z.namelist() if n.endswith(member)]
         if len(names) != 1:
             raise FileNotFoundError(f"{member} in {archive}: {len(names)} members")
-        target = Path(folder) / Path(names[0]).name
-        if not target.exists():
-            part = target.with_suffix(target.suffix + ".part")
-            part.parent.mkdir(parents=True, exist_ok=True)
-            with z.open(names[0]) as src, part.open("wb") as dst:
+        target = f"{folder.rstrip('/')}/{names[0].rsplit('/', 1)[-1]}"
+        if not Place(target).exists():
+            with staged(target) as part, z.open(names[0]) as src, part.open("wb") as dst:
                 while block := src.read(1 << 20):
                     dst.write(block)
-            part.replace(target)
-    return str(target)
+    return target
 
 
 def zipped_csv(spark: SparkSession, archive: str, table: str, columns: Sequence[str], folder: str) -> DataFrame:
@@ -93,7 +90,8 @@ def predictions(spark: SparkSession, path: str, columns: dict[str, str]) -> Data
 
 
 def json_report(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    with Place(path).local() as f:
+        return json.loads(f.read_text(encoding="utf-8"))
 
 
 def schema_columns(spark: SparkSession, path: str) -> list[str]:

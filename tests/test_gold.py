@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from propval import cli
-from propval.operators import contracts
+from propval.operators import contracts, ml
 from propval.plans import gold
-from propval.sources import readers
+from propval.sources import publish, readers
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +75,19 @@ def test_enriched(spark, table):
     assert m.distance_school_m == pytest.approx(400.0) and m.school_count_1000m == 1 and (m.green_space_count_500m, m.green_area_500m2) == (2, 250.5)
     assert m.shop_service_count_500m == 2.0 and m.noise_transport_lden_max_db == 65.0 and m.noise_road_lden_missing == 1
     assert gold.audit(out).count() == 40
+    # the same build as one function
+    every = {"addresses": addresses, "address_buildings": rel_a, "parcel_buildings": rel_p, "buildings": df([("B1", f"POINT ({x0} {y0})", "100"), ("B3", None, "x")], s("batiment_groupe_id", "geom_groupe", "s_geom_groupe")), "building_levels": ffo, "building_shapes": topo, "building_lots": rnc,
+             "building_diagnostics": rel_d, "diagnostics": dpe, "equipment": df([("B1", '["a", "b"]')], s("batiment_groupe_id", "l_type_equipement")), "stations": pts, "schools": schools.withColumn("school_family", F.lit("elementary")),
+             "parks": df([("g", x0, y0 + 100.0, "250.5"), ("h", x0, y0 - 50.0, None)], "nsq_espace_vert string, x double, y double, surface_totale_reelle string"), "noise": polys.withColumn("family", F.lit("rail_ratp"))}
+    table_, trail = gold.enriched(g, every)
+    e = next(x for x in table_.collect() if x.id_mutation == "m00")
+    for c in ("building_id", "identifiant_dpe", "distance_metro_m", "rail_line_count_1000m", "school_count_1000m", "green_area_500m2", "shop_service_count_500m", "noise_transport_lden_max_db"):
+        assert e[c] == m[c], c
+    said = gold.quality_report(g, table_, trail)
+    assert said["rows"] == 40 and said["input_digest"] != said["output_digest"] and said["missing"]["building_id"] > 0 and "distance_metro_m" in said["added"]
+    assert contracts.digest(table_.orderBy(F.rand())) == said["output_digest"]
+    with pytest.raises(contracts.ContractError):
+        gold.enriched(g, {"addresses": addresses})
     with pytest.raises(contracts.ContractError):
         gold.checked(g, out.union(out))
     with pytest.raises(contracts.ContractError):
@@ -92,6 +105,19 @@ def test_command_line(spark, table, tmp_path, monkeypatch, capsys):
     cli.main(["value", "--gold", str(tmp_path / "gold"), "--longitude", "2.3705", "--latitude", "48.8505", "--surface", "42", "--rooms", "2", "--date", "2023-01-02", "--base-estimate", "400000"])
     said = json.loads(capsys.readouterr().out)
     assert said["local_730d_1000m_count"] > 0 and said["estimate"] > 0
+    addresses = spark.createDataFrame([("75111_0012_00001_b", 654000.0, 6861000.0), ("75111_0012_00003", None, None)], "canonical_address_key string, x double, y double")
+    addresses.write.parquet(str(tmp_path / "addresses"))
+    fitted = ml.fit("ridge", {"alpha": 1.0}, spark.read.parquet(str(tmp_path / "gold")), ml.named_specs(spark.read.parquet(str(tmp_path / "gold")), ["comparables"], price="valeur_fonciere", surface="surface_reelle_bati")["comparables"])
+    publish.publish_model(fitted.model, str(tmp_path / "model"), ml.described(fitted), spark)
+    one = ["value", "--gold", str(tmp_path / "gold"), "--longitude", "2.3705", "--latitude", "48.8505", "--surface", "42", "--rooms", "2", "--date", "2023-01-02", "--postal-code", "75011", "--model", str(tmp_path / "model"), "--report", str(tmp_path / "v.json"), "--addresses", str(tmp_path / "addresses"), "--commune", "75111", "--street-code", "0012"]
+    cli.main([*one, "--number", "3"])
+    said = json.loads(capsys.readouterr().out)
+    assert said["address"]["method"] == "exact_key_without_coordinates" and said["base_estimate"] > 0 and said["estimate"] > 0 and json.loads((tmp_path / "v.json").read_text())["base_estimate"] == said["base_estimate"]
+    cli.main([*one, "--number", "9"])
+    assert json.loads(capsys.readouterr().out)["address"]["method"] == "coordinates"
+    with pytest.raises(contracts.ContractError):
+        cli.main([*one, "--number", "1", "--suffix", "bis"])  # its address is elsewhere
+    assert ml.timed(fitted, spark.read.parquet(str(tmp_path / "gold")))["model_mb"] > 0
     for bad in (["build", "--data", "x", "--output", "y", "--availability-lag-days", "0"], ["value", "--gold", "g", "--longitude", "2", "--latitude", "48", "--surface", "5", "--date", "2025-01-01"]):
         with pytest.raises(SystemExit):
             cli.main(bad)

@@ -55,21 +55,29 @@ def test_atomic_writers(spark, tmp_path):
     f = tmp_path / "x" / "r.json"
     publish.write_json(f, {"é": 1})
     assert json.loads(f.read_text(encoding="utf-8")) == {"é": 1} and "é" in f.read_text(encoding="utf-8")
-    publish.sibling(f).write_text("stale")
     with pytest.raises(TypeError):
         publish.write_json(f, {"a": object()})
 
-    def broken(p):
-        p.write_text("half")
+    with pytest.raises(RuntimeError), publish.staged(f) as part:
+        part.write_text("half")
         raise RuntimeError
-
-    with pytest.raises(RuntimeError):
-        publish.write_atomic(f, broken)
-    assert json.loads(f.read_text(encoding="utf-8")) == {"é": 1} and not publish.sibling(f).exists()
+    assert json.loads(f.read_text(encoding="utf-8")) == {"é": 1} and [p.name for p in f.parent.iterdir()] == [f.name]
     publish.write_csv(tmp_path / "t.csv", [{"a": 1, "b": "x"}], ["a", "b"])
     assert (tmp_path / "t.csv").read_text().splitlines() == ["a,b", "1,x"]
 
 
+def test_files_of_any_file_system(spark, tmp_path):
+    source, target = tmp_path / "a", publish.Place(tmp_path / "b")
+    source.write_text("one")
+    target.spark = spark  # as if it were not this machine's
+    target.take(source)
+    source.write_text("two")
+    target.take(source)
+    with target.local() as f:
+        assert f.read_text() == "two" and f != tmp_path / "b"
+    assert target.exists() and not [p for p in tmp_path.iterdir() if ".part" in p.name and not p.name.endswith(".crc")]
+
+
 def test_publish_table_replaces_and_keeps_on_failure(spark, tmp_path):
     path = str(tmp_path / "gold")
     publish.publish_table(spark.range(3), path)
@@ -100,7 +108,7 @@ def test_download(tmp_path):
     for _ in range(2):
         with pytest.raises(RuntimeError):
             acquire.download("u", f, force=True, expected="0" * 64, opener=web)
-    assert f.read_bytes() == b"data" and not publish.sibling(f).exists()
+    assert f.read_bytes() == b"data" and [p.name for p in tmp_path.iterdir()] == ["a"]
     with pytest.raises(urllib.error.HTTPError):
         acquire.download("v", tmp_path / "b", opener=Web({"v": 404}))
     rec = acquire.manifest_record("s", "p", "l", "u", f, tmp_path, rows=3)
