@@ -43,7 +43,7 @@ DARTS = math.ceil(K * math.log(K) + 2 * K)
 #: The smallest region's height in rank; regions double from there.
 UNIT = 0.25
 #: Elements handled at once, words remembered in a worker.
-BLOCK_ELEMENTS, REMEMBERED = 400_000, 200_000
+BLOCK_ELEMENTS, REMEMBERED = 150_000, 200_000
 #: Texts, and shingles, of a block of an open bucket; shingles in so few texts of a job are paired one by one.
 OPEN_ROWS, OPEN_ELEMENTS, RARE = 1024, 200_000, 16
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
@@ -183,6 +183,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> DataF
                     sizes = pa.array(np.array([int(x[1].sum()) for x in held], dtype=np.int64))
                     yield pa.record_batch([batch.column(0).slice(at, len(held)), batch.column(1).slice(at, len(held)), sizes, lists], names=["doc_id", "key", "size", "bands"])
                     at, held, size = i + 1, [], 0
+        _WORDS.clear()  # the worker may live on
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, size long, bands array<long>")
 
@@ -199,6 +200,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], names=["node", "set"])
+        _WORDS.clear()
 
     return found.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 

@@ -253,6 +253,11 @@ class Encoder:
             out += some
         return np.frombuffer(out, dtype=np.int32)
 
+    def forget(self) -> None:
+        """Drops the remembered runs: the worker may live on, for other work."""
+        self._runs.clear()
+        self._runs.before = {}
+
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.m.bytes_of.__getitem__, ids))
         return (raw[1:] if self.m.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
@@ -315,6 +320,7 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", tex
                     at, ids, same, held = i + 1, [], [], 0
             if ids:
                 yield flush(len(texts))
+        enc.forget()
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_tokens long, ids array<int>, round_trip boolean")
 
