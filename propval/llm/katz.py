@@ -14,22 +14,26 @@ Neither vocabulary nor n-grams fit one machine, and a table row per token would
 2. Each chunk asks for its distinct words. The unigram table, partitioned by word hash, sums the counts over all
    chunks, numbers the words, and answers every chunk.
 3. Each chunk asks for its distinct bigrams. The bigram table, partitioned by history (histories with more than their
-   share of tokens by history and word), sums counts and what alpha needs, and answers every chunk.
+   share of tokens by history and word), sums counts and what alpha needs, and answers every chunk. What the shares of a
+   divided history sum up to is added by history and joined to the chunks that hold it.
 4. Each chunk evaluates its tokens recursively from the answers.
 
+Both tables are stored with their partitions (`Model`): `evaluate` scores new texts from them, by the same requests, and
+`tables` shows them as rows of n-gram, count, probability and backoff weight.
+
 A frequent word or bigram is one entry a chunk, so no partition grows with it, and the tables' partitions are as many
-as the text needs. The driver holds counts of counts and the few histories that are partitioned by word, at most 4
-for each partition.
+as the text needs. The driver holds counts of counts alone.
 
-Words are numbered by a 64-bit hash. Null texts are empty: one end token. Rows with null id are training rows. Repeated
-rows count each. Extra columns are not read. With no training row every token is unknown, of probability 1. An empty table
-gives an empty result.
+Words are numbered by a 64-bit hash. Null texts are empty: one end token. Long texts are scored whole, as one row of a chunk. Rows
+with null id are training rows; ids are whole numbers (others count as null). Repeated rows count each; there are no ties. Extra
+columns are not read. With no training row every token is unknown, of probability 1. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -119,12 +123,12 @@ def chunked(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
         rank[np.argsort(-np.bincount(flat, minlength=len(local)), kind="stable")] = np.arange(len(local), dtype=np.int32)
         order = np.lexsort((hashes, part))
         known = np.array([i is not None for i in ids])
-        yield 0, -1, number, pack(rank[flat]), pack(lengths), pack(np.array([i if i is not None else 0 for i in ids], dtype=np.int64)), pack(np.stack([train, known]).astype(np.uint8).reshape(-1)), pack(np.concatenate([rank[[local[BEGIN]]], rank[order]]))
+        yield TEXT, -1, number, pack(rank[flat]), pack(lengths), pack(np.array([i if i is not None else 0 for i in ids], dtype=np.int64)), pack(np.stack([train, known]).astype(np.uint8).reshape(-1)), pack(np.concatenate([rank[[local[BEGIN]]], rank[order]]))
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             mine = order[edges[p] : edges[p + 1]]
             if len(mine):
-                yield 1, p, number, pack(hashes[mine]), pack(counts[mine]), None, None, None
+                yield WORDS, p, number, pack(hashes[mine]), pack(counts[mine]), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = TaskContext.get().partitionId() << 32
@@ -150,7 +154,7 @@ def chunked(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CHUNKS)
+    return docs.select(F.col("doc_id").try_cast("long"), "text").mapInArrow(run, _CHUNKS)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -160,6 +164,9 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(named, cols, strict=True)})
 
 
+#: Kinds of rows: a chunk, requests or answers for words, answers for bigrams, shares of divided histories, the chunks that hold
+#: them, and a partition of a table.
+TEXT, WORDS, PAIRS, SHARES, HOLDS, TABLE = range(6)
 _ANSWER = "kind int, part long, chunk long, a binary, b binary, c binary, d binary, e binary, stats array<long>"
 
 
@@ -176,7 +183,8 @@ def unigram_answers(asked: DataFrame, parts: int) -> DataFrame:
         n = np.bincount(total[(total > 0) & (total <= CUT + 1)], minlength=CUT + 2)[1:]
         stats, rows = [int(total.sum()), int((total > 0).sum()), *map(int, n)], []
         for k, piece in enumerate(np.split(inverse, np.cumsum([len(h) for h in hashes])[:-1])):
-            rows.append((1, part, chunks[k], pack(piece.astype(np.int64) * parts + part), pack(total[piece]), None, None, None, None if k else stats))
+            rows.append((WORDS, part, chunks[k], pack(piece.astype(np.int64) * parts + part), pack(total[piece]), None, None, None, None if k else stats))
+        rows.append((TABLE, part, -1, pack(found), pack(total), None, None, None, None))
         return _table(rows, _ANSWER)
 
     return asked.groupBy("part").applyInArrow(run, _ANSWER)
@@ -193,7 +201,7 @@ class _Chunk:
         self.train, self.known = unpack(row["d"], np.uint8).reshape(2, -1).astype(bool)
         places = unpack(row["e"], np.int32)
         begin, places = int(places[0]), places[1:]
-        mine = sorted(((r["part"], r["a"], r["b"]) for r in answers.select(["kind", "part", "a", "b"]).to_pylist() if r["kind"] == 1), key=lambda r: r[0])
+        mine = sorted(((r["part"], r["a"], r["b"]) for r in answers.select(["kind", "part", "a", "b"]).to_pylist() if r["kind"] == WORDS), key=lambda r: r[0])
         self.number_of, self.count = np.empty(len(places), dtype=np.int64), np.empty(len(places), dtype=np.int64)
         self.number_of[places] = np.concatenate([unpack(r[1], np.int64) for r in mine])
         self.count[places] = np.concatenate([unpack(r[2], np.int64) for r in mine])
@@ -223,11 +231,14 @@ class _Chunk:
                 runs = np.diff(np.append(first, len(x))).astype(np.int32)
                 yield p, self.number, pack(np.diff(h[first], prepend=0)), pack(runs), pack(self.number_of[self.w[x]]), pack(counts[x]), pack(self.count[self.w[x]]), pack(hot)
 
-    def scores(self, answers: pa.Table, uni: Unigrams, d2: np.ndarray, hot: dict[int, tuple]) -> tuple[np.ndarray, ...]:
+    def scores(self, answers: pa.Table, uni: Unigrams, d2: np.ndarray) -> tuple[np.ndarray, ...]:
         c = np.zeros(len(self.h), dtype=np.int64)
         of = np.zeros((len(self.number_of), 2 + CUT))
+        hot: dict[int, list[float]] = {}
         for r in answers.to_pylist():
-            if r["kind"] != 2:
+            if r["kind"] == SHARES:
+                hot[r["part"]] = [*r["few"], r["seen"]]
+            if r["kind"] != PAIRS:
                 continue
             x = self.order[self.edges[r["part"]] : self.edges[r["part"] + 1]]
             c[x] = unpack(r["a"], np.int64)
@@ -257,8 +268,8 @@ _ASK = "part long, chunk long, h binary, runs binary, w binary, n binary, cw bin
 
 def bigram_answers(asked: DataFrame, uni: Unigrams) -> DataFrame:
     """For each partition and chunk: counts (a) of the bigrams asked for, and of their histories total, number of words
-    seen 1..CUT times (c) and the sum of P(w) over the seen (b); once a partition, stats: n_1 .. n_6, and its share of the
-    histories that are partitioned by word (kind 3: numbers d, then as above)."""
+    seen 1..CUT times (c) and the sum of P(w) over the seen (b); once a partition, stats: n_1 .. n_6, its share of the
+    histories that are divided (numbers d, then as above), which chunks hold them, and the partition of the table itself."""
 
     def run(t: pa.Table) -> pa.Table:
         part, chunks = t["part"][0].as_py(), t["chunk"].to_pylist()
@@ -284,54 +295,210 @@ def bigram_answers(asked: DataFrame, uni: Unigrams) -> DataFrame:
         stats, rows = [int((c == r).sum()) for r in range(1, CUT + 2)], []
         for k, (piece, f) in enumerate(zip(np.split(inverse, np.cumsum(sizes)[:-1]), firsts, strict=True)):
             j = np.searchsorted(hs, f)
-            rows.append((2, part, chunks[k], pack(c[piece]), pack(seen[j]), pack(few[:, j].reshape(-1)), None, None, None if k else stats))
+            rows.append((PAIRS, part, chunks[k], pack(c[piece]), pack(seen[j]), pack(few[:, j].reshape(-1)), None, None, None if k else stats))
+            if len(own := f[unpack(t["hot"][k].as_py(), np.uint8) > 0]):
+                rows.append((HOLDS, part, chunks[k], None, None, None, pack(own), None, None))
         if len(hot):
             j = np.searchsorted(hs, hot)
-            rows.append((3, part, -1, None, pack(seen[j]), pack(few[:, j].reshape(-1)), pack(hot), None, None))
+            rows.append((SHARES, part, -1, None, pack(seen[j]), pack(few[:, j].reshape(-1)), pack(hot), None, None))
+        keep = np.flatnonzero(on)  # in order of history, then word
+        kept, first = np.unique(h[at][keep], return_index=True)
+        sums = np.concatenate([few[:, kept].reshape(-1).astype(np.float64), seen[kept]])
+        rows.append((TABLE, part, -1, pack(np.diff(hs[kept], prepend=0)), pack(np.diff(np.append(first, len(keep))).astype(np.int32)), pack(gw[at][keep]), pack(c[keep]), pack(sums), None))
         return _table(rows, _ANSWER)
 
     return asked.groupBy("part").applyInArrow(run, _ANSWER)
 
 
+def _opened(row: dict) -> tuple[np.ndarray, ...]:
+    """A partition of the bigram table: history and word of each bigram, its count; each history, and its total, numbers of
+    words seen 1..CUT times and P of the seen (rows)."""
+    hs, runs = np.cumsum(unpack(row["a"], np.int64)), unpack(row["b"], np.int32)
+    return np.repeat(hs, runs), unpack(row["c"], np.int64), unpack(row["d"], np.int64), hs, unpack(row["e"], np.float64).reshape(CUT + 2, -1)
+
+
+def _of_divided(answers: DataFrame, shares: DataFrame) -> DataFrame:
+    """kind SHARES, part: the history, chunk, few, seen: what each chunk needs of the divided histories it holds. shares: number, few, seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [unpack(x.as_py(), np.int64) for x in b.column(1)]
+            yield pa.record_batch([pa.array(np.repeat(np.asarray(b.column(0), dtype=np.int64), [len(x) for x in held])), pa.array(np.concatenate(held) if held else np.zeros(0, dtype=np.int64))], names=["chunk", "number"])
+
+    holds = answers.where(F.col("kind") == HOLDS).select("chunk", "d").mapInArrow(run, "chunk long, number long").distinct()
+    return holds.join(shares, "number").select(F.lit(SHARES).alias("kind"), F.col("number").alias("part"), "chunk", "few", "seen")
+
+
+def _shares(pairs: DataFrame) -> DataFrame:
+    """number, few (total, then words seen 1..CUT times), seen of every divided history, over all its shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for seen, few, number in zip(*(b.column(k) for k in range(3)), strict=True):
+                number = unpack(number.as_py(), np.int64)
+                few = unpack(few.as_py(), np.int64).reshape(CUT + 1, -1)
+                yield pa.record_batch([pa.array(number), *[pa.array(x) for x in few], pa.array(unpack(seen.as_py(), np.float64))], names=["number", *[f"f{r}" for r in range(CUT + 1)], "seen"])
+
+    each = pairs.where(F.col("kind") == SHARES).select("b", "c", "d").mapInArrow(run, "number long, " + ", ".join(f"f{r} long" for r in range(CUT + 1)) + ", seen double")
+    sums = each.groupBy("number").agg(*[F.sum(f"f{r}").alias(f"f{r}") for r in range(CUT + 1)], F.sum("seen").alias("seen"))
+    return sums.select("number", F.array(*[f"f{r}" for r in range(CUT + 1)]).alias("few"), "seen")
+
+
 def _sums(answers: DataFrame, n: int) -> list[int]:
     row = answers.where("stats IS NOT NULL").agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(n)]).first()
     return [int(x or 0) for x in row]
 
 
-def scored(docs: DataFrame, chunk: int = CHUNK, part_chars: int = PART_CHARS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (doc_id, text); log10 probabilities."""
-    size = docs.agg(F.sum(F.length("text")).alias("n"), F.count_if(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))).alias("begins")).first()
-    parts, begins = max(1, -(-int(size["n"] or 0) // part_chars)), int(size["begins"] or 0)
-    rows = written(chunked(docs, parts, chunk), "chunks")
-    texts = rows.where("kind = 0")
-    words = written(unigram_answers(rows.where("kind = 1").select("part", "chunk", "a", "b"), parts), "unigrams")
-    total, types, *n1 = _sums(words, 2 + CUT + 1)
-    uni = Unigrams(total, types, [0, *n1])
-    heavy = max(1.0, total / (4 * parts))
+@dataclass
+class Model:
+    """The stored tables, and what reads them: partitions, the count that divides a history, the number of texts learned from."""
 
-    def ask(own: pa.Table, answers: pa.Table) -> pa.Table:
-        return _table(list(_Chunk(own, answers, parts, heavy, begins).asks()) if len(own) else [], _ASK)
+    unigrams: DataFrame
+    bigrams: DataFrame
+    shares: DataFrame
+    parts: int
+    heavy: float
+    begins: int
+    uni: Unigrams
+    d2: np.ndarray
 
-    asked = texts.groupBy("chunk").cogroup(words.select("kind", "part", "chunk", "a", "b").groupBy("chunk")).applyInArrow(ask, _ASK)
-    pairs = written(bigram_answers(asked, uni), "bigrams")
-    d2 = discounts([0, *_sums(pairs, CUT + 1)])
-    hot: dict[int, list] = {}
-    for r in pairs.where("kind = 3").select("b", "c", "d").toLocalIterator():  # at most 4 histories for each partition, in shares
-        seen, few = unpack(bytes(r["b"]), np.float64), unpack(bytes(r["c"]), np.int64).reshape(CUT + 1, -1)
-        for j, number in enumerate(unpack(bytes(r["d"]), np.int64)):
-            share = np.append(few[:, j].astype(float), seen[j])
-            hot[int(number)] = share + hot.get(int(number), 0.0)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _evaluated(texts: DataFrame, words: DataFrame, pairs: DataFrame, m: Model) -> DataFrame:
+    """The scores of the texts of chunks, from the answers of both tables."""
+    parts, heavy, begins, uni, d2 = m.parts, m.heavy, m.begins, m.uni, m.d2  # not the tables: they stay out of the closure
 
     def evaluate(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(own):
-            return _table([], schema)
+            return _table([], _SCORES)
         x = _Chunk(own, answers, parts, heavy, begins)
-        score, base, known = x.scores(answers, uni, d2, hot)
+        score, base, known = x.scores(answers, uni, d2)
         ids = pa.array(x.ids, pa.int64(), mask=~x.known)
         n = len(x.ids)
-        return pa.table([ids, pa.array(~x.train), pa.array(x.lengths.astype(np.int64)), pa.array(known), pa.array(np.full(n, total, dtype=np.int64)), pa.array(base), pa.array(score)], names=[f.split(" ")[0] for f in schema.split(", ")])
+        return pa.table([ids, pa.array(~x.train), pa.array(x.lengths.astype(np.int64)), pa.array(known), pa.array(np.full(n, uni.total, dtype=np.int64)), pa.array(base), pa.array(score)], names=[f.split(" ")[0] for f in _SCORES.split(", ")])
+
+    none = [F.lit(None).cast("array<long>").alias("few"), F.lit(None).cast("double").alias("seen")]
+    own = ["kind", "part", "chunk", "a", "b", "c"]
+    answers = words.where(F.col("kind") == WORDS).select(*own, *none).unionByName(pairs.where(F.col("kind") == PAIRS).select(*own, *none))
+    answers = answers.unionByName(_of_divided(pairs, m.shares), allowMissingColumns=True)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, _SCORES)
+
+
+def _asked(texts: DataFrame, words: DataFrame, parts: int, heavy: float, begins: int) -> DataFrame:
+    def ask(own: pa.Table, answers: pa.Table) -> pa.Table:
+        return _table(list(_Chunk(own, answers, parts, heavy, begins).asks()) if len(own) else [], _ASK)
+
+    answers = words.where(F.col("kind") == WORDS).select("kind", "part", "chunk", "a", "b")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, _ASK)
 
-    answers = words.drop("stats").unionByName(pairs.where("kind = 2").drop("stats"))
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, schema)
+
+def learned(docs: DataFrame, chunk: int = CHUNK, part_chars: int = PART_CHARS) -> tuple[Model, DataFrame]:
+    """The model of the training rows of docs (doc_id, text), and the scores of all its rows from the same two passes."""
+    rows_ = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
+    size = rows_.agg(F.sum(F.length("text")).alias("n"), F.count_if(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))).alias("begins")).first()
+    parts, begins = max(1, -(-int(size["n"] or 0) // part_chars)), int(size["begins"] or 0)
+    rows = written(chunked(rows_, parts, chunk), "chunks")
+    texts = rows.where(F.col("kind") == TEXT)
+    words = written(unigram_answers(rows.where(F.col("kind") == WORDS).select("part", "chunk", "a", "b"), parts), "unigrams")
+    total, types, *n1 = _sums(words, 2 + CUT + 1)
+    uni = Unigrams(total, types, [0, *n1])
+    heavy = max(1.0, total / (4 * parts))
+    pairs = written(bigram_answers(_asked(texts, words, parts, heavy, begins), uni), "bigrams")
+    d2 = discounts([0, *_sums(pairs, CUT + 1)])
+    stored = lambda t: t.where(F.col("kind") == TABLE).drop("kind", "chunk", "stats")
+    model = Model(stored(words), stored(pairs), written(_shares(pairs), "shares"), parts, heavy, begins, uni, d2)
+    return model, _evaluated(texts, words, pairs, model)
+
+
+def scored(docs: DataFrame, chunk: int = CHUNK, part_chars: int = PART_CHARS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (doc_id, text); log10 probabilities."""
+    return learned(docs, chunk, part_chars)[1]
+
+
+def evaluate(docs: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
+    """The scores of new texts (doc_id, text) by a learned model's stored tables; columns as `scored` gives them."""
+    rows = written(chunked(docs, model.parts, chunk), "chunks")
+    texts, parts = rows.where(F.col("kind") == TEXT), model.parts
+
+    def words_of(asked: pa.Table, table: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _table([], _ANSWER)
+        part = asked["part"][0].as_py()
+        found, total = (unpack(table["a"][0].as_py(), np.uint64), unpack(table["b"][0].as_py(), np.int64)) if len(table) else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        out = []
+        for chunk_, a in zip(asked["chunk"].to_pylist(), asked["a"], strict=True):
+            h = unpack(a.as_py(), np.uint64)
+            at = np.minimum(np.searchsorted(found, h), max(0, len(found) - 1))
+            known = (found[at] == h) if len(found) else np.zeros(len(h), dtype=bool)
+            number = np.where(known, at, len(found) + np.arange(len(h)))  # new words are after all that the table knows
+            out.append((WORDS, part, chunk_, pack(number * parts + part), pack(np.where(known, total[at] if len(total) else 0, 0).astype(np.int64)), None, None, None, None))
+        return _table(out, _ANSWER)
+
+    words = written(rows.where(F.col("kind") == WORDS).select("part", "chunk", "a").groupBy("part").cogroup(model.unigrams.groupBy("part")).applyInArrow(words_of, _ANSWER), "answers")
+
+    def pairs_of(asked: pa.Table, table: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _table([], _ANSWER)
+        part = asked["part"][0].as_py()
+        empty = np.zeros(0, dtype=np.int64)
+        th, tw, tc, hs, sums = _opened(table.to_pylist()[0]) if len(table) else (empty, empty, empty, empty, np.zeros((CUT + 2, 0)))
+        order, out = np.lexsort((tw, th)), []
+        th, tw, tc = th[order], tw[order], tc[order]
+        for r in asked.to_pylist():
+            f = np.cumsum(unpack(r["h"], np.int64))
+            h, w = np.repeat(f, unpack(r["runs"], np.int32)), unpack(r["w"], np.int64)
+            # one search in the pairs of both: a bigram of the table comes before its equal of the request
+            both = np.lexsort((np.repeat([0, 1], [len(th), len(h)]), np.concatenate([tw, w]), np.concatenate([th, h])))
+            last = np.maximum.accumulate(np.where(both < len(th), both, -1))
+            mine = both >= len(th)
+            to, at = both[mine] - len(th), last[mine]
+            c = np.zeros(len(h), dtype=np.int64)
+            hit = (at >= 0) & (th[at] == h[to]) & (tw[at] == w[to]) if len(th) else np.zeros(len(to), dtype=bool)
+            c[to[hit]] = tc[at[hit]]
+            j = np.minimum(np.searchsorted(hs, f), max(0, len(hs) - 1))
+            got = np.where(hs[j] == f, sums[:, j], 0.0) if len(hs) else np.zeros((CUT + 2, len(f)))
+            out.append((PAIRS, part, r["chunk"], pack(c), pack(got[CUT + 1]), pack(got[: CUT + 1].astype(np.int64).reshape(-1)), None, None, None))
+            if len(own := f[unpack(r["hot"], np.uint8) > 0]):
+                out.append((HOLDS, part, r["chunk"], None, None, None, pack(own), None, None))
+        return _table(out, _ANSWER)
+
+    asked = _asked(texts, words, parts, model.heavy, model.begins)
+    pairs = written(asked.groupBy("part").cogroup(model.bigrams.groupBy("part")).applyInArrow(pairs_of, _ANSWER), "answers")
+    return _evaluated(texts, words, pairs, model)
+
+
+def tables(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored tables as rows: (word, count, p) of the words seen in training, (history, word, count, p) of the bigrams, (history, total, backoff)
+    of the histories. Words are numbers here, but for the first table's `hash`, by which a word is found."""
+    parts, uni, d2 = model.parts, model.uni, model.d2
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, a, n in zip(*(b.column(k) for k in range(3)), strict=True):
+                found, total = unpack(a.as_py(), np.uint64), unpack(n.as_py(), np.int64)
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.arange(len(found)) * parts + part.as_py()), pa.array(total), pa.array(uni.p(total))], names=["hash", "word", "count", "p"])
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                h, w, c, _, _ = _opened(row)
+                yield pa.record_batch([pa.array(h), pa.array(w), pa.array(c)], names=["history", "word", "count"])
+
+    def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                *_, hs, sums = _opened(row)
+                lost = sums[1 : CUT + 1].T @ ((1 - d2[1:]) * np.arange(1, CUT + 1))
+                yield pa.record_batch([pa.array(hs), pa.array(sums[0].astype(np.int64)), pa.array(lost), pa.array(sums[CUT + 1])], names=["history", "total", "lost", "seen"])
+
+    first = model.unigrams.select("part", "a", "b").mapInArrow(words, "hash long, word long, count long, p double").where("count > 0")
+    sums = model.bigrams.select("a", "b", "c", "d", "e").mapInArrow(histories, "history long, total long, lost double, seen double").groupBy("history").agg(F.sum("total").alias("total"), F.sum("lost").alias("lost"), F.sum("seen").alias("seen"))
+    base = F.when(F.col("lost") > 0, F.col("total")).otherwise(F.col("total") + 1)
+    held = F.when(F.col("lost") > 0, F.col("lost")).otherwise(1.0)
+    weights = sums.select("history", "total", base.alias("base"), (held / base / F.greatest(1.0 - F.col("seen"), F.lit(1e-300))).alias("backoff"))
+    counted = model.bigrams.select("a", "b", "c", "d", "e").mapInArrow(bigrams, "history long, word long, count long")
+    discount = F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in d2]), F.col("count").cast("int")), F.lit(1.0))
+    second = counted.join(weights, "history").select("history", "word", "count", (F.col("count") * discount / F.col("base")).alias("p"))
+    return first, second, weights.drop("base")

@@ -458,6 +458,32 @@ def test_katz_equals_brute_force(spark):
     assert sum(r[6] for r in want if r[1]) > sum(r[5] for r in want if r[1])
 
 
+def test_katz_stored_tables_score_new_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    model, scores_ = katz.learned(docs, chunk=3000, part_chars=30000)
+    plain = lambda df: sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()), key=str)
+    assert model.parts > 2 and model.shares.count() > 0  # some histories are divided
+    assert plain(katz.evaluate(docs, model, chunk=5000)) == plain(scores_)
+    # texts that were not there: each scored as if held out beside the same training rows
+    new = [(1_000_000 + k, t) for k, t in enumerate(["the of and to unseenword", None, docs.where("doc_id = 3").first().text, "zzz yyy"])]
+    ids = [i for i in range(10**6, 10**6 + 200) if katz.held_out_of(i)]
+    rows = [(i, t) for i, (_, t) in zip(ids, new)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r[0]: r[6] for r in brute_katz([*((r.doc_id, r.text) for r in docs.collect()), *rows])}
+    assert {r.doc_id: round(r.score, 4) for r in katz.evaluate(df, model).collect()} == {i: want[i] for i, _ in rows}
+    words_, pairs, backoffs = katz.tables(model)
+    n = pairs.agg({"count": "sum"}).first()[0]
+    assert n == words_.agg({"count": "sum"}).first()[0] == model.uni.total
+    # each history's probabilities sum to 1: of the seen, and of the rest by backoff
+    p1 = {r.word: r.p for r in words_.collect()}
+    seen = collections.defaultdict(dict)
+    for r in pairs.collect():
+        seen[r.history][r.word] = r.p
+    for r in backoffs.collect():
+        rest = model.uni.unknown + sum(p for w, p in p1.items() if w not in seen[r.history])
+        assert abs(sum(seen[r.history].values()) + r.backoff * rest - 1) < 1e-9
+
+
 def test_katz_odd_rows(spark):
     assert scores(documents(spark)) == brute_katz([(r[0], r[1]) for r in ODD])
     assert katz.scored(documents(spark).limit(0)).count() == 0
