@@ -36,6 +36,8 @@ FULL_GRID: dict[str, list[dict]] = {
     "boosted": [{"maxIter": 450, "maxDepth": depth, "stepSize": 0.05, "minInstancesPerNode": leaf} for depth, leaf in ((4, 25), (5, 25), (6, 40))],
     "boosted_absolute": [{"maxIter": 450, "maxDepth": depth, "stepSize": 0.05, "minInstancesPerNode": 25} for depth in (5, 6)],
 }
+#: Training rows that a task is worth.
+ROWS_OF_TASK = 40_000
 #: Share of the training rows, by a hash, that tells boosting when to stop; the least gain that counts.
 STOP_SHARE, STOP_GAIN = 0.1, 1e-3
 
@@ -156,7 +158,9 @@ def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: boo
     stages.append(VectorAssembler(inputCols=["__scaled" if family == "ridge" else "__numbers", *names], outputCol="__features", handleInvalid="keep"))
     common = {"featuresCol": "__features", "labelCol": "__y", "predictionCol": "__raw"}
     if family == "ridge":
-        stages.append(LinearRegression(elasticNetParam=0.0, regParam=config["alpha"] / max(1, rows.count()), standardization=False, **common))
+        # MLlib divides the penalty by the label's deviation (the population's in its normal equations); this gives alpha as it stands
+        n, spread = rows.agg(F.count(F.lit(1)), F.stddev_pop("__y")).first()
+        stages.append(LinearRegression(elasticNetParam=0.0, regParam=config["alpha"] / max(1, n) * (spread or 1.0), standardization=False, **common))
     elif family == "forest":
         stages.append(RandomForestRegressor(seed=42, maxBins=64, **config, **common))
     elif family in ("boosted", "boosted_absolute"):
@@ -167,10 +171,16 @@ def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: boo
         raise ValueError(family)
     held = F.pmod(F.xxhash64("__y", *numbers), F.lit(1000)) < int(1000 * STOP_SHARE)
     rows = rows.select("__y", *numbers, *[f"{c}__cat" for c in cats], *([held.alias("__stop")] if early_stop else [])).persist()
+    held = [rows]
     try:
-        model = Pipeline(stages=stages).fit(rows)
+        # trees pass over the rows once a level: few rows in many tasks are all overhead
+        tasks = max(1, -(-rows.count() // ROWS_OF_TASK))
+        if tasks < rows.rdd.getNumPartitions():
+            held.append(rows.repartition(tasks).persist())
+        model = Pipeline(stages=stages).fit(held[-1])
     finally:
-        rows.unpersist()
+        for h in held:
+            h.unpersist()
     return Fitted(spec, medians, model, time.perf_counter() - start, {"family": family, "config": config, "retrospective_static_context": True})
 
 

@@ -224,6 +224,11 @@ def oracle_sql() -> dict[str, str]:
         "missing_rates": f"WITH {SALE} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CAST({c} IS NULL AS DOUBLE)), 6) AS rate FROM sale" for c in ("sale_id", "sale_date", "sale_year", "segment", "area", "price", "surface", "rooms", "ppm2", "x", "y")),
         "union_missing_cols": "SELECT 'poi' AS family, count(*) AS n, count(s_suppkey % 4) AS n_mode, CAST(0 AS BIGINT) AS n_level, count(DISTINCT s_suppkey) AS n_poi FROM supplier UNION ALL SELECT 'poly', count(*), 0, count(*), 0 FROM nation",
         "prediction_export": f"WITH {PRED} SELECT sale_id, price, round(pred_a, 2) AS prediction_a, round(pred_b, 2) AS prediction_b, round(abs(pred_a - price), 2) AS absolute_error, round((pred_a - price) / price * 100, 4) AS percent_error FROM test",
+        "ridge_search": f"""WITH {SALE}, f AS (SELECT sale_id, sale_year, price, surface, ln(1 + price / surface) AS y FROM sale WHERE surface > 0),
+          st AS (SELECT part, avg(surface) AS m, stddev_samp(surface) AS s, count(*) AS n, avg(y) AS yb, covar_pop(surface, y) * count(*) / stddev_samp(surface) AS szy FROM f JOIN (VALUES ('dev', 1998), ('final', 1999)) p(part, upto) ON sale_year <= upto GROUP BY 1),
+          b AS (SELECT part, m, s, yb, alpha, szy / (n - 1 + alpha) AS b FROM st CROSS JOIN (VALUES (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE), (100.0::DOUBLE)) a(alpha)),
+          v AS (SELECT alpha, avg(abs(greatest(exp(yb + b * (surface - m) / s) - 1, 0) * surface - price)) AS mae FROM f JOIN b ON b.part = 'dev' WHERE sale_year = 1999 GROUP BY 1 ORDER BY mae, alpha LIMIT 1)
+          SELECT sale_id, round(price, 1) AS price, round(round_even(greatest(exp(yb + b * (surface - m) / s) - 1, 0) * surface, 2), 1) AS prediction_ridge_one FROM f JOIN b ON b.part = 'final' JOIN v USING (alpha) WHERE sale_year = 2000""",
         "duplicate_ids": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
         "row_changes": f"""WITH {SALE}, b AS (SELECT sale_id, count(*) AS n FROM sale GROUP BY 1), a AS (SELECT sale_id, count(*) AS n FROM (SELECT sale_id FROM sale WHERE sale_id % 7 <> 0 UNION ALL SELECT sale_id FROM sale WHERE sale_id % 11 = 0 UNION ALL SELECT -sale_id FROM sale WHERE sale_id % 13 = 0) GROUP BY 1)
           SELECT coalesce(a.sale_id, b.sale_id) AS sale_id, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM a FULL JOIN b ON a.sale_id = b.sale_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",

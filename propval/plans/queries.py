@@ -596,6 +596,14 @@ def _evaluated(spark: SparkSession, d: str, family: str, features: str) -> DataF
     return ml.export_predictions(s["test"], fitted, "sale_id", "price")
 
 
+@query
+def ridge_search(spark: SparkSession, d: str) -> DataFrame:
+    """One numeric feature: the penalty of least error on the validation year, refitted on all before the test year, scored there."""
+    s = cohort.year_split(_featured(spark, d), "sale_year", 1998, 1999, 2000, minimum=1)
+    fitted, _ = ml.select_and_refit(["ridge"], {"one": ml.Spec(["surface"], target="ppm2")}, s["development"], s["validation"], s["final_train"])
+    return rounded(ml.export_predictions(s["test"], fitted, "sale_id", "price"), 1)
+
+
 @query
 def ridge_eval(spark: SparkSession, d: str) -> DataFrame:
     return _evaluated(spark, d, "ridge", "ppm2")
