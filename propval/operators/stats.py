@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from propval.functions.geo import cell
 from propval.functions.scalar import wilson
 
 
@@ -68,6 +69,11 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return inside.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def hexbin(df: DataFrame, x: str, y: str, resolution: int, value: str) -> DataFrame:
+    """cell, n, and the median of value, of each hexagon that holds rows."""
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(F.col(x), F.col(y), resolution).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))
+
+
 def heatmap(df: DataFrame, row: str, column: str, columns: Sequence[str], value: str, minimum: int = 20) -> DataFrame:
     """Pivoted medians, blank where a cell has fewer than `minimum` rows, and cell sizes."""
     wide = df.groupBy(row).pivot(column, list(columns)).agg(F.median(value).alias("median"), F.count(value).alias("n"))

@@ -192,6 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "ecdf": f"""WITH {PRED}, e AS (SELECT segment, round(abs((pred_a - price) / price * 100), 3) AS err FROM test)
           SELECT DISTINCT segment, err, round(cume_dist() OVER (PARTITION BY segment ORDER BY err), 6) AS ecdf FROM e""",
         "price_histogram": f"WITH {SALE} SELECT CAST(least(24, floor(price / 20000)) AS INTEGER) AS bin, count(*) AS n FROM sale WHERE price BETWEEN 0 AND 500000 GROUP BY 1",
+        "hexbin": f"WITH {SALE}, {_hexagons(8, 531.4)} SELECT cell_r8 AS cell, count(*) AS n, round(median(price), 4) AS median FROM c8 JOIN sale USING (sale_id) GROUP BY 1",
         "segment_heatmap": f"WITH {SALE} SELECT area, " + ", ".join(f"CASE WHEN count(price) FILTER (WHERE segment = '{s}') >= 20 THEN round(median(price) FILTER (WHERE segment = '{s}'), 4) END AS {s}_median, count(price) FILTER (WHERE segment = '{s}') AS {s}_n" for s in HEAT) + " FROM sale GROUP BY 1",
         "coverage_wilson": f"""WITH {PRED}, g AS (SELECT segment, count(*) FILTER (WHERE abs(pred_a - price) <= 0.1::DOUBLE * price) AS hits, count(*) AS n FROM test GROUP BY 1), p AS (SELECT *, hits / n AS p, 1.96::DOUBLE AS z FROM g)
           SELECT segment, hits, n, round(p, 6) AS share, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS low,

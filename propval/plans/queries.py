@@ -366,6 +366,11 @@ def price_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(fx.sale(spark, d), "price", 0.0, 500000.0, 25)
 
 
+@query
+def hexbin(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.hexbin(fx.sale(spark, d), "x", "y", 8, "price"))
+
+
 @query
 def segment_heatmap(spark: SparkSession, d: str) -> DataFrame:
     segs = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

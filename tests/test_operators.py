@@ -81,9 +81,14 @@ def test_parsers(spark):
     assert one(spark, geo.wkt_centroid(F.lit("EMPTY"))[0]) is None
 
 
-def test_cells_nest(spark):
-    cells = [one(spark, geo.cell(F.lit(1000.0), F.lit(-1.0), r)) for r in (8, 9, 10)]
-    assert cells == ["c8_1_-1", "c9_3_-1", "c10_10_-1"]
+def test_cells_are_the_nearest_hexagon(spark):
+    for r, m in geo.CELL_METERS.items():
+        for x, y in ((1000.0, -1.0), (-733.3, 2500.0), (0.0, 0.0), (654321.0, 6861234.5)):
+            got = one(spark, geo.cell(F.lit(x), F.lit(y), r)).split("_")
+            far = lambda q, k: (x - m * 3**0.5 * (q + k / 2)) ** 2 + (y - m * 1.5 * k) ** 2
+            k0 = round(y / (m * 1.5))
+            q0 = round(x / (m * 3**0.5) - k0 / 2)
+            assert (int(got[1]), int(got[2])) == min(((q0 + a, k0 + b) for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2)), key=lambda c: far(*c)) and got[0] == f"c{r}"
 
 
 # joins -----------------------------------------------------------------------------------------------

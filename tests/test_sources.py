@@ -124,3 +124,11 @@ def test_paginated(tmp_path):
     assert acquire.paginated(str, ["k1"], f)["cache_hit"] is True
     with pytest.raises(RuntimeError):
         acquire.paginated(str, ["k3"], f, force=True, opener=web)
+
+
+def test_predictions_and_reports(spark, tmp_path):
+    publish.write_csv(tmp_path / "p.csv", [{"id": "a", "day": "2024-05-01", "value": "1.5", "more": "x"}, {"id": "b", "day": "no", "value": "?", "more": ""}], ["id", "day", "value", "more"])
+    got = readers.predictions(spark, str(tmp_path / "p.csv"), {"id": "string", "day": "date", "value": "double"}).orderBy("id").collect()
+    assert [(r.id, str(r.day), r.value) for r in got] == [("a", "2024-05-01", 1.5), ("b", "None", None)]
+    publish.write_json(tmp_path / "r.json", {"n": 1})
+    assert readers.json_report(str(tmp_path / "r.json")) == {"n": 1}
