@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from propval.llm import minhash, mixing, quality, sentencepiece_viterbi, toxicity
-from propval.session import table, written
+from propval.session import drop_written, table, tables_written, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    mark = tables_written()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_written(spark, since=mark, keep=1)  # the stage's own tables and its input
     return docs
 
 
