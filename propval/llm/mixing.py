@@ -183,7 +183,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def _fragments_of_texts(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_words: int, keep: bool = False) -> DataFrame:
-    """shard, position, source, start, n_words, text (words joined by single spaces), whole (the fragment is all the document's words), and with `keep` the struct `row` of docs' columns."""
+    """shard, position, source, start, n_words, text (words joined by single spaces), and with `keep` the struct `row` of docs' other columns (the text is then the document's own where all of it is taken)."""
     sizes = sized(docs, id_col, source_col, text_col)
     sources = sources_of(sizes, block_words=block_words)
     rows = written(placed(sizes, sources), "placed")
@@ -193,13 +193,16 @@ def _fragments_of_texts(docs: DataFrame, id_col: str, source_col: str, text_col:
     worded = rows.where("size > 0").join(of_row, ["source_no", "start"]).select(key.alias("key"), "size", "spans")
     text = F.col(f"`{text_col}`")
     own = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(text).alias("tie"))
-    columns = [own.alias("key"), text.alias("text"), *([F.struct(*own_columns(docs)).alias("row")] if keep else [])]
+    others = [c for c, name in zip(own_columns(docs), docs.columns, strict=True) if name.lower() != text_col.lower()]
+    columns = [own.alias("key"), text.alias("text"), *([F.struct(*others).alias("row")] if keep else [])]
     texts = docs.where(text.isNotNull()).select(*columns).dropDuplicates(["key"])
     met = texts.join(worded, "key").withColumn("words", words(F.col("text")))
-    cut = F.transform("spans", lambda s: F.struct(s.alias("span"), F.array_join(F.slice(F.col("words"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), " ").alias("part")))
-    each = met.select("key", "size", *(["text", "row"] if keep else []), F.explode(cut).alias("cut"))
-    kept = [F.when(F.col("cut.span.n_words") == F.col("size"), F.col("text")).otherwise(F.col("cut.part")).alias("text"), "row"] if keep else [F.col("cut.part").alias("text")]
-    return each.select("cut.span.shard", "cut.span.position", "key.source", "cut.span.start", "cut.span.n_words", *kept)
+    # each fragment's text is cut before the rows are multiplied: none of them carries the document
+    part = lambda s: F.array_join(F.slice(F.col("words"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), " ")
+    text_of = (lambda s: F.when(s["n_words"] == F.col("size"), F.col("text")).otherwise(part(s))) if keep else part
+    cut = F.transform("spans", lambda s: F.struct(s.alias("span"), text_of(s).alias("part")))
+    each = met.select("key", *(["row"] if keep else []), cut.alias("cuts")).select("key", *(["row"] if keep else []), F.explode("cuts").alias("cut"))
+    return each.select("cut.span.shard", "cut.span.position", "key.source", "cut.span.start", "cut.span.n_words", F.col("cut.part").alias("text"), *(["row"] if keep else []))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -208,8 +211,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     The text is the document's own where all of it is in the block, else the words, in order, joined by spaces. Rows are
     partitioned by shard, and within a shard in the order of its positions. Documents of no words are in no mixture. An
     n_chars column follows the text."""
-    rows = _fragments_of_texts(docs, id_col, source_col, text_col, block_words, keep=True).repartition("shard").sortWithinPartitions("shard", "position", "start")
+    rows = _fragments_of_texts(docs, id_col, source_col, text_col, block_words, keep=True)
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "position", "start")
     new = {text_col.lower(): F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[new.get(c.lower(), F.col("row")[c]).alias(c) for c in docs.columns])
+    return rows.select(*[(new[c.lower()] if c.lower() in new else F.col("row")[c]).alias(c) for c in docs.columns])
