@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import collections
+
 import corpus_pipeline
+from propval.llm import mixing
 from tests.llm.helpers import documents, words
 from tests.llm.test_minhash import brute_classes
 from propval.session import written
@@ -31,4 +34,15 @@ def test_stages_on_odd_rows(spark, tmp_path):
     for rows in (documents(spark), documents(spark).limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, str(tmp_path))
-            assert out.count() <= 3 * max(1, rows.count()), name
+            assert out.count() <= (3 * 50_000 // mixing.BLOCK_WORDS + 3 * 9 * 2 if name == "mix_sources" else rows.count()), name
+            if name != "sentencepiece":
+                assert out.columns == rows.columns
+
+
+def test_mixture_of_the_pipeline_is_near_its_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by = collections.Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        by[r.source] += len(words(r.text))
+    for r in mixing.taken(docs).groupBy("source").agg({"target": "max"}).collect():
+        assert abs(by[r.source] - r[1]) <= 2 * mixing.BLOCK_WORDS
