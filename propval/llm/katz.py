@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from propval.session import written
 
-CUT, CHUNK, PART_CHARS = 5, 4_000_000, 16_000_000
+CUT, CHUNK, PART_CHARS = 5, 3_000_000, 12_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: No word holds white space.
 BEGIN, END = b"\t", b" "
