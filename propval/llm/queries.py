@@ -90,8 +90,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k_search": OP4_SQL, "op8_chat_formatting": OP8_SQL}
-
+    return {"op1_near_dedup": OP1_SQL, "op4_top_k_search": OP4_SQL, "op8_chat_formatting": OP8_SQL}
+
+
+#: All pairs of texts that share a shingle, and the closure of their links.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT text, min(doc_id) AS id, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY text),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: md5(array_to_string(list_slice(w, i, i + 4), ' ')))) AS g FROM t),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= 0.8::DOUBLE),
+r(id, other) AS (SELECT id, id FROM t UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+k AS (SELECT id, min(other) AS class_id, count(*) AS n_texts FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(k.n_texts, 1) AS n_texts FROM d LEFT JOIN t ON t.text = d.text AND len(d.w) > 0 LEFT JOIN k ON k.id = t.id
+"""
 
 OP4_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
