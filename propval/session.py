@@ -54,16 +54,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables_written() -> int:
-    """How many tables there are now; what is written later can then be dropped alone."""
-    return len(_WRITTEN)
+def tables_written() -> set[str]:
+    """The tables there are now; what is written later can then be told apart."""
+    return set(_WRITTEN)
 
 
-def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the tables that `written` left, but the first `since` and the last `keep`; to call once results are stored."""
-    old = _WRITTEN[since : len(_WRITTEN) - keep]
-    del _WRITTEN[since : len(_WRITTEN) - keep]
-    for name in old:
+def drop_written(spark: SparkSession, only: set[str] | None = None) -> None:
+    """Deletes the tables that `written` left, or some of them; to call once results are stored."""
+    for name in [p for p in _WRITTEN if only is None or p in only]:
+        _WRITTEN.remove(name)
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
