@@ -201,7 +201,8 @@ def _fragments_of_texts(docs: DataFrame, id_col: str, source_col: str, text_col:
     part = lambda s: F.array_join(F.slice(F.col("words"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), " ")
     text_of = (lambda s: F.when(s["n_words"] == F.col("size"), F.col("text")).otherwise(part(s))) if keep else part
     cut = F.transform("spans", lambda s: F.struct(s.alias("span"), text_of(s).alias("part")))
-    each = met.select("key", *(["row"] if keep else []), cut.alias("cuts")).select("key", *(["row"] if keep else []), F.explode("cuts").alias("cut"))
+    # named twice, the words stay a column of their own; named once, they would be made anew for every fragment
+    each = met.select("key", *(["row"] if keep else []), F.when(F.size("words") > 0, cut).alias("cuts")).select("key", *(["row"] if keep else []), F.explode("cuts").alias("cut"))
     return each.select("cut.span.shard", "cut.span.position", "key.source", "cut.span.start", "cut.span.n_words", F.col("cut.part").alias("text"), *(["row"] if keep else []))
 
 
