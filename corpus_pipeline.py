@@ -5,12 +5,38 @@ empty one) and extra columns of any name, which stay as they are; each says belo
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from propval.llm import minhash, mixing, quality, sentencepiece_viterbi, toxicity
 from propval.session import drop_written, table, tables_written, written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The tables that stages wrote on the way.
+_SCRATCH: set[str] = set()
+
+
+def scratch(stage: Stage) -> Stage:
+    """The stage, which first deletes what earlier stages wrote on their way, unless docs still reads it: once a stage's rows are
+    stored and read again, nothing does."""
+
+    @functools.wraps(stage)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _SCRATCH else []
+        stale = {p for p in _SCRATCH if not any(p.rsplit("/", 1)[-1] in f for f in read)}
+        drop_written(spark, stale)
+        _SCRATCH.difference_update(stale)
+        before = tables_written()
+        out = stage(spark, docs, sf_dir)
+        _SCRATCH.update(tables_written() - before)
+        return out
+
+    return run_
+
 
+@scratch
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the rules' joint posterior keep.
 
@@ -18,6 +44,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filtered(docs)
 
 
+@scratch
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic; the model learns from the labels of documents still there.
 
@@ -26,6 +53,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.filtered(docs, table(spark, sf_dir, "labels"))
 
 
+@scratch
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, its smallest doc_id.
 
@@ -34,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.first_of_each(docs)
 
 
+@scratch
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of sources at its target weights: the words that a slot's block holds of a document are a row, shard by shard.
 
@@ -42,6 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@scratch
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each row's text: doc_id, n_tokens, ids, round_trip.
 
@@ -60,10 +90,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mark = tables_written()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
-        drop_written(spark, since=mark, keep=1)  # the stage's own tables and its input
     return docs
 
 

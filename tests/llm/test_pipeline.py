@@ -46,3 +46,14 @@ def test_mixture_of_the_pipeline_is_near_its_targets(spark):
         by[r.source] += len(words(r.text))
     for r in mixing.taken(docs).groupBy("source").agg({"target": "max"}).collect():
         assert abs(by[r.source] - r[1]) <= 2 * mixing.BLOCK_WORDS
+
+
+def test_stages_clear_up_what_nothing_reads(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    one = corpus_pipeline.quality_rules(spark, docs, SF)
+    two = corpus_pipeline.near_dedup(spark, one, SF)  # on rows not yet stored: what they read stays
+    assert two.count() <= one.count()
+    stored = written(two, "stored")
+    n = stored.count()
+    three = corpus_pipeline.mix_sources(spark, stored, SF)
+    assert len(corpus_pipeline._SCRATCH) < 8 and three.count() > 0 and stored.count() == n
