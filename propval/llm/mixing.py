@@ -197,13 +197,11 @@ def _fragments_of_texts(docs: DataFrame, id_col: str, source_col: str, text_col:
     columns = [own.alias("key"), text.alias("text"), *([F.struct(*others).alias("row")] if keep else [])]
     texts = docs.where(text.isNotNull()).select(*columns).dropDuplicates(["key"])
     met = texts.join(worded, "key").withColumn("words", words(F.col("text")))
-    # each fragment's text is cut before the rows are multiplied: none of them carries the document
-    part = lambda s: F.array_join(F.slice(F.col("words"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), " ")
-    text_of = (lambda s: F.when(s["n_words"] == F.col("size"), F.col("text")).otherwise(part(s))) if keep else part
-    cut = F.transform("spans", lambda s: F.struct(s.alias("span"), text_of(s).alias("part")))
-    # named twice, the words stay a column of their own; named once, they would be made anew for every fragment
-    each = met.select("key", *(["row"] if keep else []), F.when(F.size("words") > 0, cut).alias("cuts")).select("key", *(["row"] if keep else []), F.explode("cuts").alias("cut"))
-    return each.select("cut.span.shard", "cut.span.position", "key.source", "cut.span.start", "cut.span.n_words", F.col("cut.part").alias("text"), *(["row"] if keep else []))
+    # exploding within generated code hands on the words themselves, not copies, and what leaves here is cut to the fragment
+    each = met.select("key", "size", "text", "words", *(["row"] if keep else []), F.explode("spans").alias("span"))
+    part = F.array_join(F.slice("words", (F.col("span.from_word") + 1).cast("int"), F.col("span.n_words").cast("int")), " ")
+    cut = F.when(F.col("span.n_words") == F.col("size"), F.col("text")).otherwise(part) if keep else part
+    return each.select("span.shard", "span.position", "key.source", "span.start", "span.n_words", cut.alias("text"), *(["row"] if keep else []))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
