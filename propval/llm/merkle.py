@@ -119,8 +119,9 @@ def trees(leaves: DataFrame, group: str, order: Sequence[str] = (), depth: int =
             up = above.select(F.col(group).alias("up_group"), F.col("place").alias("up_place"), "path")
             done = blocks.join(up, blocks[group].eqNullSafe(up["up_group"]) & (blocks["block"] == up["up_place"]), "left")
             done = done.withColumn("rest", F.coalesce("path", none)).drop("up_group", "up_place", "path")
-        inner = done.select(group, "n_levels", "levels", "rest", F.posexplode("nodes").alias("i", "node"))
-        found = inner.select(group, F.col("node.place").alias("place"), F.col("node.h").alias("leaf"), F.col("node.of").alias("of"), F.concat(way(F.col("levels"), F.col("i"), F.col("n_levels")), F.col("rest")).alias("path"))
+        # ways are made before the nodes become rows, so that a block's levels are not copied to each
+        ways = F.transform("nodes", lambda x, i: F.struct(x["place"].alias("place"), x["h"].alias("leaf"), x["of"].alias("of"), F.concat(way(F.col("levels"), i, F.col("n_levels")), F.col("rest")).alias("path")))
+        found = done.select(group, F.inline(ways))
         above = found if k == 0 else found.drop("leaf", "of")
     tops = None
     for blocks in rounds:
