@@ -107,6 +107,42 @@ CORRECTION = f"""{ANCHORED}, long AS (SELECT price, pred_a, 'anchor_a' AS anchor
   corr AS (SELECT anchor, CAST(k AS INTEGER) AS weight, round(avg(abs(coalesce(pred_a * (k / 100::DOUBLE) + v * (1 - k / 100::DOUBLE), pred_a) - price)), 4) AS mae FROM long CROSS JOIN (SELECT unnest(range(101)) AS k) GROUP BY anchor, k)"""
 
 
+def _split(numbers: list[str], categories: list[str], rows: str) -> str:
+    """The best split of each node of `rows` (node, b_<feature>, g): node, feature, place, pos, left (array of bins), gain; l2 2, leaves of 20."""
+    cells = " UNION ALL ".join(
+        f"SELECT node, '{c}' AS feature, {i} AS place, CAST(b_{c} AS VARCHAR) AS bin, " + (f"CAST(b_{c} AS DOUBLE)" if c in numbers else "round(sum(g) / count(*), 9)") + f" AS by_, sum(g) AS s, count(*) AS n FROM {rows} GROUP BY node, b_{c}"
+        for i, c in enumerate([*numbers, *categories])
+    )
+    return f"""SELECT * FROM (SELECT node, feature, place, pos, levels, round(ls * ls / (ln + 2) + (s - ls) * (s - ls) / (n - ln + 2) - s * s / (n + 2), 6) AS gain, ln, n FROM (
+        SELECT node, feature, place, row_number() OVER w AS pos, list(bin) OVER w AS levels, sum(s) OVER w AS ls, sum(n) OVER w AS ln, sum(s) OVER p AS s, sum(n) OVER p AS n FROM ({cells})
+        WINDOW w AS (PARTITION BY node, feature ORDER BY by_, bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, feature)) WHERE ln >= 20 AND n - ln >= 20)
+      WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, place, pos) = 1"""
+
+
+def _round(numbers: list[str], categories: list[str], huber: bool) -> str:
+    """One boosting round of depth 2 over log price per m2, from scratch: bins at 16ths, two levels of splits, leaves."""
+    bins = ", ".join(f"CAST(len(list_filter(e_{c}, lambda x: x < {c})) + 1 AS INTEGER) AS b_{c}" for c in numbers) + "".join(f", CAST({c} AS VARCHAR) AS b_{c}" for c in categories)
+    edges = ", ".join(f"list_sort(list_distinct(quantile_disc(CAST({c} AS DOUBLE), [{', '.join(str(i / 16) for i in range(1, 16))}]))) AS e_{c}" for c in numbers)
+    base = "median(goal)" if huber else "avg(goal)"
+    grad = "greatest(least(r, bound), -bound)" if huber else "r"
+    move = "CASE " + " ".join(f"WHEN s.feature = '{c}' THEN list_contains(s.levels, CAST(b_{c} AS VARCHAR))" for c in [*numbers, *categories]) + " END"
+    step = lambda rows, split: f"SELECT {rows}.* REPLACE (CASE WHEN s.node IS NULL THEN {rows}.node WHEN {move} THEN 2 * {rows}.node + 1 ELSE 2 * {rows}.node + 2 END AS node) FROM {rows} LEFT JOIN {split} s ON s.node = {rows}.node"
+    value = "(m + avg(sign(r - m) * least(abs(r - m), bound)))" if huber else "avg(r)"
+    threshold = "CASE " + " ".join(f"WHEN feature = '{c}' THEN list_extract(e_{c}, CAST(levels[-1] AS INTEGER))" for c in numbers) + " END"
+    names = "CASE WHEN feature IN (" + ", ".join(f"'{c}'" for c in categories) + ") THEN array_to_string(list_sort(levels), ',') END" if categories else "CAST(NULL AS VARCHAR)"
+    return f"""WITH {SALE}, t AS (SELECT *, ln(1 + ppm2) AS goal FROM sale WHERE sale_year <= 1999 AND surface > 0 AND ppm2 IS NOT NULL), e AS (SELECT {base} AS base, {edges} FROM t),
+      z AS (SELECT t.*, goal - base AS r, {bins} FROM t CROSS JOIN e), d AS (SELECT quantile_cont(abs(r), 0.9) AS bound FROM z), n0 AS (SELECT z.*, bound, {grad} AS g, 0 AS node FROM z CROSS JOIN d),
+      s0 AS ({_split(numbers, categories, 'n0')}), n1 AS ({step('n0', 's0')}), s1 AS (SELECT * FROM ({_split(numbers, categories, 'n1')}) WHERE EXISTS (SELECT 1 FROM s0)), n2 AS ({step('n1', 's1')}),
+      l AS (SELECT node, count(*) AS n, {value} * count(*) / (count(*) + 2) AS value FROM (SELECT *, median(r) OVER (PARTITION BY node) AS m FROM n2) GROUP BY node{', m' if huber else ''})
+      SELECT CAST(node AS INTEGER) AS node, feature, round({threshold}, 4) AS threshold, {names} AS levels, round(gain, 4) AS gain, CAST(NULL AS BIGINT) AS n_rows, CAST(NULL AS DOUBLE) AS value FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) CROSS JOIN e
+      UNION ALL SELECT CAST(node AS INTEGER), NULL, NULL, NULL, NULL, n, round(value, 4) FROM l"""
+
+
+def _ordered(key: str) -> str:
+    w = f"OVER (PARTITION BY {key} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 90 PRECEDING)"
+    return f"count(y) {w} AS n_{key}, coalesce(sum(y) {w}, 0) AS s_{key}"
+
+
 def oracle_sql() -> dict[str, str]:
     x, y = _l93(LON, LAT)
     cx, cy = _l93("2.3499::DOUBLE", "48.8530::DOUBLE")
@@ -230,6 +266,11 @@ def oracle_sql() -> dict[str, str]:
           b AS (SELECT part, m, s, yb, alpha, szy / (n - 1 + alpha) AS b FROM st CROSS JOIN (VALUES (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE), (100.0::DOUBLE)) a(alpha)),
           v AS (SELECT alpha, avg(abs(greatest(exp(yb + b * (surface - m) / s) - 1, 0) * surface - price)) AS mae FROM f JOIN b ON b.part = 'dev' WHERE sale_year = 1999 GROUP BY 1 ORDER BY mae, alpha LIMIT 1)
           SELECT sale_id, round(price, 1) AS price, round(round_even(greatest(exp(yb + b * (surface - m) / s) - 1, 0) * surface, 2), 1) AS prediction_ridge_one FROM f JOIN b ON b.part = 'final' JOIN v USING (alpha) WHERE sale_year = 2000""",
+        "gbt_huber_round": _round(["surface", "rooms"], [], True),
+        "gbt_categorical_round": _round(["rooms"], ["segment", "area"], False),
+        "ordered_target_stats": f"""WITH {SALE}, t AS (SELECT sale_id, area, segment, CAST(x AS BIGINT) || '_' || CAST(y AS BIGINT) AS place, ln(1 + ppm2) AS y, CAST(sale_date - DATE '1970-01-01' AS BIGINT) AS day, 0 AS one FROM sale),
+          w AS (SELECT sale_id, {", ".join(_ordered(k) for k in ("area", "segment", "place", "one"))} FROM t)
+          SELECT sale_id, {", ".join(f"n_{k} AS {k}__n, round((s_{k} + 10 * (s_one / nullif(n_one, 0))) / (n_{k} + 10), 6) AS {k}__mean" for k in ("area", "segment", "place"))} FROM w""",
         "duplicate_ids": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
         "row_changes": f"""WITH {SALE}, b AS (SELECT sale_id, count(*) AS n FROM sale GROUP BY 1), a AS (SELECT sale_id, count(*) AS n FROM (SELECT sale_id FROM sale WHERE sale_id % 7 <> 0 UNION ALL SELECT sale_id FROM sale WHERE sale_id % 11 = 0 UNION ALL SELECT -sale_id FROM sale WHERE sale_id % 13 = 0) GROUP BY 1)
           SELECT coalesce(a.sale_id, b.sale_id) AS sale_id, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM a FULL JOIN b ON a.sale_id = b.sale_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",

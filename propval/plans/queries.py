@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propval.functions import geo, scalar
-from propval.operators import asof, cohort, comps, contracts, gridjoin, linkage, ml, polygon, stats, valuation
+from propval.operators import asof, boosting, cohort, comps, contracts, encoding, gridjoin, linkage, ml, polygon, stats, valuation
 from propval.plans import fixtures as fx
-from propval.session import table
+from propval.session import literal_table, table
 from propval.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -624,6 +624,53 @@ def gbt_eval(spark: SparkSession, d: str) -> DataFrame:
     return _evaluated(spark, d, "boosted", "residual")
 
 
+#: What the registered boosters are fitted with.
+HUBER = boosting.Config(loss="huber", rounds=6, rate=0.5, depth=4, bins=32, min_leaf=20, l2=2.0)
+CATEGORICAL = boosting.Config(loss="absolute", rounds=6, rate=0.5, depth=4, bins=32, min_leaf=20, l2=2.0)
+
+
+def _first_round(spark: SparkSession, d: str, spec: ml.Spec, loss: str) -> DataFrame:
+    config = boosting.Config(loss=loss, rounds=1, rate=1.0, depth=2, bins=16, min_leaf=20, l2=2.0)
+    model = boosting.fit(_featured(spark, d).where("sale_year <= 1999"), spec, config)
+    rows = [r for t in model.trees for r in boosting.described(t, model)]
+    return rounded(literal_table(spark, rows, "node int, feature string, threshold double, levels string, gain double, n_rows long, value double"))
+
+
+@query
+def gbt_huber_round(spark: SparkSession, d: str) -> DataFrame:
+    """Splits and leaves of the first round under Huber loss."""
+    return _first_round(spark, d, ml.Spec(["surface", "rooms"], target="ppm2"), "huber")
+
+
+@query
+def gbt_categorical_round(spark: SparkSession, d: str) -> DataFrame:
+    """Splits and leaves of the first round over categories as they are."""
+    return _first_round(spark, d, ml.Spec(["rooms"], ["segment", "area"], target="ppm2"), "squared")
+
+
+def _boosted(spark: SparkSession, d: str, spec: ml.Spec, config: boosting.Config) -> DataFrame:
+    s = _featured(spark, d)
+    out = boosting.predict(boosting.fit(s.where("sale_year <= 1999"), spec, config), s.where("sale_year = 2000"))
+    return out.select("sale_id", "price", F.bround("prediction", 2).alias("prediction"))
+
+
+@query
+def gbt_huber(spark: SparkSession, d: str) -> DataFrame:
+    return _boosted(spark, d, ml.Spec(["surface", "rooms"], target="ppm2"), HUBER)
+
+
+@query
+def gbt_categorical(spark: SparkSession, d: str) -> DataFrame:
+    return _boosted(spark, d, ml.Spec(["surface", "rooms"], ["segment", "area"], target="ppm2"), CATEGORICAL)
+
+
+@query
+def ordered_target_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.sale(spark, d).withColumn("place", F.concat_ws("_", F.col("x").cast("long"), F.col("y").cast("long")))
+    out = encoding.ordered_target_stats(s, ["area", "segment", "place"], "sale_date", F.log1p("ppm2"))
+    return rounded(out.select("sale_id", *[f"{k}__{c}" for k in ("area", "segment", "place") for c in ("n", "mean")]), 6)
+
+
 @query
 def perm_importance(spark: SparkSession, d: str) -> DataFrame:
     s = _featured(spark, d)
