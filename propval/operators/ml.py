@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from propval.operators.comps import WINDOWS
+from propval.operators.selection import selected_few
 from propval.session import shared_dir
 
 MISSING = "__MISSING__"
@@ -120,10 +121,12 @@ def inverse_column(spec: Spec, raw: str) -> F.Column:
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The median of each column, 0 where it has no value; all columns in the same passes."""
     if not columns:
         return {}
-    row = df.agg(*[F.median(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(columns)}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    found = selected_few(long, "i", "v", [0.5])
+    return {c: found[i][0] if i in found else 0.0 for i, c in enumerate(columns)}
 
 
 def prepared(df: DataFrame, spec: Spec, medians: dict[str, float]) -> DataFrame:

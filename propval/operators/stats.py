@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from propval.functions.geo import cell
 from propval.functions.scalar import wilson
+from propval.operators import bands
+from propval.operators.selection import selected
+from propval.session import written
 
 
 def metric_columns(actual: str, predicted: str) -> list[Column]:
@@ -36,12 +40,17 @@ def metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ())
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """One row: exact quantiles with linear interpolation, q0, q1, ..."""
-    return df.agg(*[F.percentile(column, F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)])
+    return quantile_row(df, column, probs).select(*[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
+
+
+def quantile_row(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """One row, even of an empty table: q, the array of exact quantiles."""
+    return selected(df, [], column, probs).agg(F.first("q").alias("q"))
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, name: str = "bin") -> DataFrame:
     """Right-closed quantile bins from 0; equal edges are merged; null stays null. The edges are one row."""
-    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("__edges"))
+    edges = quantile_row(df, column, [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(column)))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__edges")
 
@@ -94,7 +103,7 @@ def coverage(df: DataFrame, hit: Column, by: Sequence[str]) -> DataFrame:
 def interval_coverage(calibration: DataFrame, evaluation: DataFrame, ratio: str, levels: Sequence[float] = (0.5, 0.8, 0.9, 0.95)) -> DataFrame:
     """For each nominal level: the calibration ratios' central bounds, and the share of evaluation ratios within."""
     probs = [x for v in levels for x in ((1 - v) / 2, (1 + v) / 2)]
-    q = calibration.agg(F.percentile(ratio, F.array(*[F.lit(p) for p in probs])).alias("q"))  # one row
+    q = quantile_row(calibration, ratio, probs)
     bounds = q.select(F.explode(F.array(*[F.struct(F.lit(v).alias("nominal"), F.col("q")[2 * i].alias("low"), F.col("q")[2 * i + 1].alias("high")) for i, v in enumerate(levels)])).alias("b")).select("b.*")
     met = evaluation.where(F.col(ratio).isNotNull()).crossJoin(F.broadcast(bounds))
     to = lambda c: F.round(F.col(c), 9)  # noqa: E731  a ratio that equals a bound counts, whatever its last bit
@@ -103,7 +112,7 @@ def interval_coverage(calibration: DataFrame, evaluation: DataFrame, ratio: str,
 
 def empirical_interval(calibration: DataFrame, test: DataFrame, ratio: str, predicted: str, actual: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """test with interval bounds predicted * quantile of the calibration ratios, and whether it held."""
-    q = calibration.agg(F.percentile(ratio, F.lit(low)).alias("__l"), F.percentile(ratio, F.lit(high)).alias("__h"))
+    q = quantile_row(calibration, ratio, [low, high]).select(F.col("q")[0].alias("__l"), F.col("q")[1].alias("__h"))
     out = test.crossJoin(F.broadcast(q)).withColumns({"lower": F.col(predicted) * F.col("__l"), "upper": F.col(predicted) * F.col("__h")})
     return out.withColumn("covered", F.col(actual).between(F.col("lower"), F.col("upper"))).drop("__l", "__h")
 
@@ -150,15 +159,30 @@ def calibration_pool(calibration: DataFrame, subjects: DataFrame, key: str, area
 PREDICTIVE, LEAST_RATIOS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95), 100
 
 
-def pool_ratios(calibration: DataFrame, subjects: DataFrame, key: str, area: str, predicted: str, estimate: str, ratio: str) -> tuple[DataFrame, DataFrame]:
-    """(key, area, estimate, tier of every subject; key, v: the ratios of the subjects whose pool is a price band of their own, tiers 0 and 2)."""
-    tiers = subjects.join(calibration_pool(calibration, subjects, key, area, predicted, estimate).select(key, "tier"), key)
-    # a band of half to twice the estimate spans at most three powers of two: an equi-join on them, then the exact bounds
-    slot = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1e-9))))
-    asks = tiers.where("tier IN (0, 2)").select(key, "tier", F.col(area).alias("__area"), F.col(estimate).alias("__e"), F.explode(F.sequence(slot(F.col(estimate) * 0.5), slot(F.col(estimate) * 2.0))).alias("__slot"))
-    known = calibration.select(area, F.col(predicted).alias("__p"), F.col(ratio).alias("v"), slot(F.col(predicted)).alias("__slot"))
-    met = asks.join(known, "__slot").where(F.col("__p").between(F.col("__e") * 0.5, F.col("__e") * 2.0) & ((F.col("tier") == 2) | (F.col("__area") == F.col(area))))
-    return tiers, met.select(key, "v")
+def own_bands(valid: DataFrame, tiers: DataFrame, key: str, area: str, estimate: str) -> DataFrame:
+    """key, n_ratios, __q, the shares of `predictive`, of the subjects whose pool is a price band of their own (tiers 0 and 2).
+
+    valid: __area, p, v. The band's quantiles and counts come from ranks (bands.band_statistics), not from its rows."""
+    group = lambda a: F.concat(F.lit("area "), F.col(a).cast("string"))
+    asks = tiers.where("tier IN (0, 2)").select(F.col(key).alias("key"), F.when(F.col("tier") == 0, group(area)).otherwise("all").alias("g"), (F.col(estimate) * 0.5).alias("low"), (F.col(estimate) * 2.0).alias("high"), "__ask")
+    rows = valid.where("p IS NOT NULL").select(F.explode(F.array(group("__area"), F.lit("all"))).alias("g"), "p", "v").join(asks.select("g").distinct(), "g", "left_semi")
+    # the values that begin and end the ratios within 10 and 20 %, as `off` sees them: one row
+    off = F.round(F.abs(F.col("v") - 1.0), 9)
+    ends = [e for share in (0.1, 0.2) for e in (F.min(F.when(off <= share, F.col("v"))), F.min(F.when((off > share) & (F.col("v") > 1.0), F.col("v"))))]
+    bounds = valid.agg(*[F.coalesce(e, F.lit(math.inf)).alias(f"__b{i}") for i, e in enumerate(ends)])
+    seek = lambda i, share=None, bound=None: F.struct(F.lit(i).alias("i"), F.lit(share).cast("double").alias("share"), (F.lit(None).cast("double") if bound is None else F.col(bound)).alias("bound"))
+    k = len(PREDICTIVE)
+    seeks = F.array(*[seek(i, p) for i, p in enumerate(PREDICTIVE)], *[seek(k + i, bound=f"__b{i}") for i in range(4)], seek(k + 4, bound="__ask"))
+    told = bands.band_statistics(rows, asks.crossJoin(F.broadcast(bounds)).select("key", "g", "low", "high", seeks.alias("seeks")))
+    at = lambda i, field: F.get(F.filter("found", lambda x: x["i"] == i), F.lit(0))[field]
+
+    def quantile(i: int, p: float) -> Column:
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        share = place - F.floor(place)
+        return F.when(at(i, "low") == at(i, "high"), at(i, "low")).otherwise((1.0 - share) * at(i, "low") + share * at(i, "high"))
+
+    within = lambda i: (at(i + 1, "count") - at(i, "count")) / F.col("n")
+    return told.select(F.col("key").alias(key), F.array(*[quantile(i, p) for i, p in enumerate(PREDICTIVE)]).alias("__q"), within(k).alias("p_within_10"), within(k + 2).alias("p_within_20"), F.col("n").alias("n_ratios"), (1.0 - at(k + 4, "count") / F.col("n")).alias("p_at_least_ask"))
 
 
 def predictive(calibration: DataFrame, subjects: DataFrame, key: str, area: str, predicted: str, estimate: str, ratio: str, ask: str) -> DataFrame:
@@ -166,22 +190,33 @@ def predictive(calibration: DataFrame, subjects: DataFrame, key: str, area: str,
 
     key, tier, n_ratios, value_qNN, p_within_10, p_within_20, p_at_least_ask of every subject; the distribution is null
     where the pool has fewer than LEAST_RATIOS ratios. A subject of unknown area or estimate gets the widest pool that fits. Pools
-    that many subjects share (an area, everything) are summed up once; only a price band is a subject's own."""
-    tiers, own = pool_ratios(calibration, subjects, key, area, predicted, estimate, ratio)
-    tiers = tiers.withColumn("__ask", F.try_divide(F.col(ask), F.col(estimate)))
-    valid = calibration.where(F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.abs(F.col(ratio)) < math.inf)).select(F.col(area).alias("__area"), F.col(ratio).alias("v"))
+    that many subjects share (an area, everything) are summed up once; a subject's own price band is read off ranks, without pairs."""
+    tiers = subjects.join(calibration_pool(calibration, subjects, key, area, predicted, estimate).select(key, "tier"), key)
+    tiers = written(tiers.withColumn("__ask", F.try_divide(F.col(ask), F.col(estimate))), "tiers")
+    valid = calibration.where(F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.abs(F.col(ratio)) < math.inf)).select(F.col(area).alias("__area"), F.col(predicted).cast("double").alias("p"), F.col(ratio).cast("double").alias("v"))
     off = F.round(F.abs(F.col("v") - 1.0), 9)  # a ratio at a bound counts, whatever its last bit
-    shape = [F.percentile("v", F.array(*[F.lit(p) for p in PREDICTIVE])).alias("__q"), F.avg((off <= 0.1).cast("double")).alias("p_within_10"), F.avg((off <= 0.2).cast("double")).alias("p_within_20"), F.count("v").alias("n_ratios")]
-    at_least = F.avg((F.col("v") >= F.col("__ask")).cast("double")).alias("p_at_least_ask")
-    banded_ = own.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs(F.col("v")) < math.inf)).join(tiers.select(key, "__ask"), key).groupBy(key).agg(*shape, at_least)
+    shape = [F.avg((off <= 0.1).cast("double")).alias("p_within_10"), F.avg((off <= 0.2).cast("double")).alias("p_within_20"), F.count("v").alias("n_ratios")]
     share = F.when(F.col("below").isNotNull(), 1.0 - F.col("below") / F.col("n_ratios")).alias("p_at_least_ask")
     asks = lambda t: tiers.where(F.col("tier") == t).select(key, F.col(area).alias("__area"), F.col("__ask").alias("v"), F.lit(False).alias("inclusive"))
     cols = [key, "__q", "p_within_10", "p_within_20", "n_ratios"]
-    local = asks(1).select(key, "__area").join(valid.groupBy("__area").agg(*shape), "__area").join(counts_below(valid, asks(1), ["__area"]).select(key, "below"), key, "left").select(*cols, share)
-    every = asks(3).select(key).crossJoin(F.broadcast(valid.agg(*shape))).join(counts_below(valid.select("v"), asks(3).drop("__area")).select(key, "below"), key, "left").select(*cols, share)
-    shaped = banded_.select(*cols, "p_at_least_ask").unionByName(local).unionByName(every)
+    quantiled = lambda by: selected(valid, by, "v", PREDICTIVE).select(*by, F.col("q").alias("__q"))
+    # only the tiers that some subject has are worked out
+    used = {r["tier"] for r in tiers.select("tier").distinct().collect()}
+    parts = []
+    if used & {0, 2}:
+        parts.append(own_bands(valid, tiers, key, area, estimate).select(*cols, "p_at_least_ask"))
+    if 1 in used:
+        local = valid.groupBy("__area").agg(*shape).join(quantiled(["__area"]), "__area")
+        parts.append(asks(1).select(key, "__area").join(local, "__area").join(counts_below(valid, asks(1), ["__area"]).select(key, "below"), key, "left").select(*cols, share))
+    if 3 in used:
+        every = valid.agg(*shape).crossJoin(F.broadcast(quantiled([])))  # one row each
+        parts.append(asks(3).select(key).crossJoin(F.broadcast(every)).join(counts_below(valid.select("v"), asks(3).drop("__area")).select(key, "below"), key, "left").select(*cols, share))
     enough = F.col("n_ratios") >= LEAST_RATIOS
-    out = tiers.join(shaped, key, "left").withColumn("n_ratios", F.coalesce("n_ratios", F.lit(0)))
+    if parts:
+        out = tiers.join(functools.reduce(DataFrame.unionByName, parts), key, "left")
+    else:
+        out = tiers.withColumns({"__q": F.lit(None).cast("array<double>"), **{c: F.lit(None).cast("double") for c in ("p_within_10", "p_within_20", "p_at_least_ask")}, "n_ratios": F.lit(None).cast("long")})
+    out = out.withColumn("n_ratios", F.coalesce("n_ratios", F.lit(0).cast("long")))
     values = [F.when(enough, F.col(estimate) * F.col("__q")[i]).alias(f"value_q{round(p * 100):02d}") for i, p in enumerate(PREDICTIVE)]
     return out.select(key, "tier", "n_ratios", *values, *[F.when(enough, F.col(c)).alias(c) for c in ("p_within_10", "p_within_20", "p_at_least_ask")])
 

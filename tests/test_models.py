@@ -125,3 +125,27 @@ def test_identity_as_statistics_helps(spark):
         model = boosting.fit(df.where("id < 1200"), ml.Spec(numeric, target="ppm2"), boosting.Config(loss="huber", rounds=6, rate=0.5, depth=4, bins=32, min_leaf=10))
         error[name] = ml.mae(boosting.predict(model, df.where("id >= 1200")), "price", "prediction")
     assert error["identity"] < 0.6 * error["no_identity"]
+
+
+@pytest.mark.parametrize("n", [0, 20, 1500])
+def test_band_statistics_equal_brute_force(spark, n):
+    """Ranks in a tree of no, one and two levels; ties of place and value, empty bands, bounds beyond all values."""
+    from propval.operators import bands
+
+    rng = np.random.default_rng(n)
+    rows = [("a" if i % 5 else "b", float(p), float(v)) for i, (p, v) in enumerate(zip(np.round(rng.lognormal(4, 1, n)), np.round(rng.normal(1, 0.2, n), 2)))]
+    asks = [(i, "abc"[i % 3], float(x), float(x * rng.uniform(1, 3)), (-9.0, 9.0, float(np.round(rng.normal(1, 0.2), 2)))[i % 3]) for i, x in enumerate(np.round(rng.lognormal(4, 1, 40)))]
+    probs = [0.0, 0.3, 0.95, 1.0]
+    seeks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("share"), F.lit(None).cast("double").alias("bound")) for i, p in enumerate(probs)], F.struct(F.lit(4).alias("i"), F.lit(None).cast("double").alias("share"), F.col("b").alias("bound")))
+    df = spark.createDataFrame(asks, "key int, g string, low double, high double, b double").select("key", "g", "low", "high", seeks.alias("seeks"))
+    got = {r["key"]: r for r in bands.band_statistics(spark.createDataFrame(rows, "g string, p double, v double").repartition(3), df).collect()}
+    for key, g, low, high, bound in asks:
+        inside = sorted(v for h, p, v in rows if h == g and low <= p <= high)
+        if not inside:
+            assert key not in got
+            continue
+        assert got[key]["n"] == len(inside)
+        for x, p in zip(got[key]["found"], probs):
+            at = p * (len(inside) - 1)
+            assert (x["low"], x["high"]) == (inside[math.floor(at)], inside[math.ceil(at)])
+        assert got[key]["found"][4]["count"] == sum(v < bound for v in inside)
