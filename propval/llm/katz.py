@@ -25,12 +25,13 @@ A frequent word or bigram is one entry a chunk, so no partition grows with it, a
 as the text needs. The driver holds counts of counts alone.
 
 Words are numbered by a 64-bit hash. Null texts are empty: one end token. Long texts are scored whole, as one row of a chunk. Rows
-with null id are training rows; ids are whole numbers (others count as null). Repeated rows count each; there are no ties. Extra
+with null id are training rows; ids may be of any type that has a text, whose crc32 tells the held-out rows. Repeated rows count each; there are no ties. Extra
 columns are not read. With no training row every token is unknown, of probability 1. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,8 +123,7 @@ def chunked(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
         rank = np.empty(len(local), dtype=np.int32)
         rank[np.argsort(-np.bincount(flat, minlength=len(local)), kind="stable")] = np.arange(len(local), dtype=np.int32)
         order = np.lexsort((hashes, part))
-        known = np.array([i is not None for i in ids])
-        yield TEXT, -1, number, pack(rank[flat]), pack(lengths), pack(np.array([i if i is not None else 0 for i in ids], dtype=np.int64)), pack(np.stack([train, known]).astype(np.uint8).reshape(-1)), pack(np.concatenate([rank[[local[BEGIN]]], rank[order]]))
+        yield TEXT, -1, number, pack(rank[flat]), pack(lengths), zstandard.ZstdCompressor(level=3).compress(json.dumps(ids).encode()), pack(train.astype(np.uint8)), pack(np.concatenate([rank[[local[BEGIN]]], rank[order]]))
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             mine = order[edges[p] : edges[p + 1]]
@@ -154,7 +154,7 @@ def chunked(docs: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.select(F.col("doc_id").try_cast("long"), "text").mapInArrow(run, _CHUNKS)
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, _CHUNKS)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -197,8 +197,8 @@ class _Chunk:
         row = {k: own[k][0].as_py() for k in ("chunk", "a", "b", "c", "d", "e")}
         self.number = row["chunk"]
         self.tokens, self.lengths = unpack(row["a"], np.int32), unpack(row["b"], np.int32)
-        self.ids = unpack(row["c"], np.int64)
-        self.train, self.known = unpack(row["d"], np.uint8).reshape(2, -1).astype(bool)
+        self.ids = json.loads(zstandard.ZstdDecompressor().decompress(row["c"]))
+        self.train = unpack(row["d"], np.uint8).astype(bool)
         places = unpack(row["e"], np.int32)
         begin, places = int(places[0]), places[1:]
         mine = sorted(((r["part"], r["a"], r["b"]) for r in answers.select(["kind", "part", "a", "b"]).to_pylist() if r["kind"] == WORDS), key=lambda r: r[0])
@@ -363,7 +363,8 @@ class Model:
     d2: np.ndarray
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Ids travel as text, whatever their type.
+_SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _evaluated(texts: DataFrame, words: DataFrame, pairs: DataFrame, m: Model) -> DataFrame:
@@ -375,7 +376,7 @@ def _evaluated(texts: DataFrame, words: DataFrame, pairs: DataFrame, m: Model) -
             return _table([], _SCORES)
         x = _Chunk(own, answers, parts, heavy, begins)
         score, base, known = x.scores(answers, uni, d2)
-        ids = pa.array(x.ids, pa.int64(), mask=~x.known)
+        ids = pa.array(x.ids, pa.string())
         n = len(x.ids)
         return pa.table([ids, pa.array(~x.train), pa.array(x.lengths.astype(np.int64)), pa.array(known), pa.array(np.full(n, uni.total, dtype=np.int64)), pa.array(base), pa.array(score)], names=[f.split(" ")[0] for f in _SCORES.split(", ")])
 
@@ -394,9 +395,14 @@ def _asked(texts: DataFrame, words: DataFrame, parts: int, heavy: float, begins:
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, _ASK)
 
 
+def _typed(scores: DataFrame, docs: DataFrame) -> DataFrame:
+    """Ids as docs has them."""
+    return scores.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
 def learned(docs: DataFrame, chunk: int = CHUNK, part_chars: int = PART_CHARS) -> tuple[Model, DataFrame]:
     """The model of the training rows of docs (doc_id, text), and the scores of all its rows from the same two passes."""
-    rows_ = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
+    rows_ = docs.select("doc_id", "text")
     size = rows_.agg(F.sum(F.length("text")).alias("n"), F.count_if(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))).alias("begins")).first()
     parts, begins = max(1, -(-int(size["n"] or 0) // part_chars)), int(size["begins"] or 0)
     rows = written(chunked(rows_, parts, chunk), "chunks")
@@ -409,7 +415,7 @@ def learned(docs: DataFrame, chunk: int = CHUNK, part_chars: int = PART_CHARS) -
     d2 = discounts([0, *_sums(pairs, CUT + 1)])
     stored = lambda t: t.where(F.col("kind") == TABLE).drop("kind", "chunk", "stats")
     model = Model(stored(words), stored(pairs), written(_shares(pairs), "shares"), parts, heavy, begins, uni, d2)
-    return model, _evaluated(texts, words, pairs, model)
+    return model, _typed(_evaluated(texts, words, pairs, model), docs)
 
 
 def scored(docs: DataFrame, chunk: int = CHUNK, part_chars: int = PART_CHARS) -> DataFrame:
@@ -466,7 +472,7 @@ def evaluate(docs: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
 
     asked = _asked(texts, words, parts, model.heavy, model.begins)
     pairs = written(asked.groupBy("part").cogroup(model.bigrams.groupBy("part")).applyInArrow(pairs_of, _ANSWER), "answers")
-    return _evaluated(texts, words, pairs, model)
+    return _typed(_evaluated(texts, words, pairs, model), docs)
 
 
 def tables(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:

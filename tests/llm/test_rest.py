@@ -484,6 +484,14 @@ def test_katz_stored_tables_score_new_texts(spark):
         assert abs(sum(seen[r.history].values()) + r.backoff * rest - 1) < 1e-9
 
 
+def test_katz_ids_of_any_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    named = docs.withColumn("doc_id", F.concat(F.lit("a\n\"é"), F.col("doc_id")))
+    got = {r.doc_id: r for r in katz.scored(named.unionByName(named.limit(1).withColumn("doc_id", F.lit(None).cast("string")))).collect()}
+    assert set(got) == {r.doc_id for r in named.collect()} | {None}
+    assert all(r.held_out == (i is not None and zlib.crc32(i.encode()) % 5 == 1) for i, r in got.items()) and any(r.held_out for r in got.values())
+
+
 def test_katz_odd_rows(spark):
     assert scores(documents(spark)) == brute_katz([(r[0], r[1]) for r in ODD])
     assert katz.scored(documents(spark).limit(0)).count() == 0
