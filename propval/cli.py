@@ -52,9 +52,17 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--postal-code", default="")
     v.add_argument("--base-estimate", type=float)
     v.add_argument("--weight", type=float, default=0.75)
+    v.add_argument("--asking-price", type=float)
+    v.add_argument("--supported-years", type=int, nargs=2, metavar=("FIRST", "LAST"), help="years for which the model was evaluated; other dates are an error")
+    v.add_argument("--calibration", help="a table with code_postal, valeur_fonciere and a prediction of past sales; the estimate's distribution is then given")
+    v.add_argument("--calibration-prediction", default="prediction", help="the name of that prediction")
     return p
 
 
+#: Longitudes and latitudes of the city. Fixed values.
+LONGITUDES, LATITUDES = (2.20, 2.48), (48.80, 48.92)
+
+
 def build(a: argparse.Namespace) -> dict:
     from propval.operators import contracts
     from propval.plans.gold import gold
@@ -111,7 +119,7 @@ def value(a: argparse.Namespace) -> dict:
 
     spark = build_session("value")
     x, y = (spark.range(1).select(c).first()[0] for c in geo.lambert93(F.lit(a.longitude), F.lit(a.latitude)))
-    prop = validated(Property(x, y, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code, a.number, a.suffix))
+    prop = validated(Property(x, y, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code, a.number, a.suffix, a.asking_price))
     history, found = spark.read.parquet(a.gold), {"method": "coordinates"}
     if a.addresses and a.number is not None:
         prop, found = located(spark.read.parquet(a.addresses), prop)
@@ -124,21 +132,36 @@ def value(a: argparse.Namespace) -> dict:
         fitted = ml.load(spark, a.model)
         given = {"date_mutation": a.date, "longitude": a.longitude, "latitude": a.latitude, "surface_reelle_bati": a.surface, "nombre_pieces_principales": float(a.rooms) if a.rooms else None, "code_postal": a.postal_code, "code_commune": a.commune, "adresse_code_voie": a.street_code, "adresse_numero": float(a.number) if a.number is not None else None, "adresse_suffixe": a.suffix}
         subject = plan.subject_row(history, {k: v for k, v in given.items() if k in history.columns})
-        if "building_id" in history.columns and found.get("building_id"):
+        if "bdnb_building_id" in history.columns and found.get("bdnb_building_id"):
             # what the building's latest sale knew, its diagnostic only if it is not later than the valuation
-            same = template(history, "building_id", found["building_id"], "date_mutation", a.date, ["id_mutation"], [c for c in history.columns if c.startswith(("building_", "usage_", "mat_"))], list(plan.DIAGNOSTIC_COLUMNS), "date_etablissement_dpe").first()
+            same = template(history, "bdnb_building_id", found["bdnb_building_id"], "date_mutation", a.date, ["id_mutation"], [c for c in history.columns if c.startswith(("building_", "bdnb_", "usage_", "mat_"))], list(plan.DIAGNOSTIC_COLUMNS), "date_etablissement_dpe").first()
             for c, x in (same.asDict() if same else {}).items():
                 if c in subject.columns:
                     subject = subject.withColumn(c, F.lit(x).cast(subject.schema[c].dataType))
         base = ml.predict(fitted, subject.withColumn(fitted.spec.anchor, F.col("local_365d_500m_median_ppm2"))).first()["prediction"]
     if base is not None:
         row |= {"base_estimate": base, "estimate": blended(base, anchor, a.surface, a.weight)}
+    if a.calibration and base is not None:
+        row["distribution"] = distribution(spark, a, row["estimate"])
     if a.report:
         publish.write_json(a.report, row, default=str)
     drop_written(spark)
     return row
 
 
+def distribution(spark, a: argparse.Namespace, estimate: float) -> dict:
+    """Quantiles of the value and the chance that it is near the estimate, or no less than the asking price, from the calibration sales'
+    ratios of price to prediction in the property's own pool."""
+    from pyspark.sql import functions as F
+
+    from propval.operators import stats
+
+    past = spark.read.parquet(a.calibration).select(F.col("code_postal").alias("area"), F.col(a.calibration_prediction).cast("double").alias("predicted"), F.col("valeur_fonciere").cast("double").alias("price"))
+    past = past.withColumn("ratio", F.try_divide("price", "predicted"))
+    own = spark.createDataFrame([(1, a.postal_code or None, float(estimate), a.asking_price)], "id int, area string, estimate double, ask double")
+    return stats.predictive(past, own, "id", "area", "predicted", "estimate", "ratio", "ask").drop("id").first().asDict()
+
+
 def enrich(a: argparse.Namespace) -> dict:
     from propval.plans import gold as plan
     from propval.session import build_session, drop_written
@@ -163,7 +186,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         p.error("--availability-lag-days must be at least 1")
     if a.command == "value":
         try:
-            validated(Property(0.0, 0.0, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code, a.number, a.suffix))
+            years = tuple(a.supported_years) if a.supported_years else None
+            validated(Property(a.longitude, a.latitude, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code.upper(), a.number, a.suffix, a.asking_price), years=years, box=(*LONGITUDES, *LATITUDES))
         except ValueError as e:
             p.error(str(e))
     print(json.dumps({"build": build, "enrich": enrich, "benchmark": benchmark, "value": value}[a.command](a), indent=2, default=str))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 SUFFIXES = {"bis": "b", "ter": "t", "quater": "q"}
 
-# Prefixes of each feature family, the first that fits counts.
+# Names of the feature families and their prefixes; the first that fits counts.
 FAMILIES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Historical comparables", ("local_", "weighted_", "similar_", "effective_", "nearest_", "median_comparable")),
-    ("Energy diagnostics", ("dpe_", "classe_", "conso_", "emission_", "type_installation", "type_energie", "annee_construction_dpe", "nombre_niveau", "surface_habitable")),
-    ("Building and linkage", ("building_", "bdnb_", "ban_", "usage_", "mat_")),
-    ("Neighbourhood context", ("distance_metro", "distance_rer", "distance_train", "distance_tram", "rail_", "distance_school", "school_", "distance_green", "green_", "distance_shop", "shop_", "noise_")),
+    ("DPE / energy", ("dpe_", "classe_", "conso_", "emission_", "type_installation", "type_energie", "annee_construction_dpe", "nombre_niveau", "surface_habitable")),
+    ("Building / linkage", ("building_", "bdnb_", "ban_", "usage_", "mat_")),
+    ("Neighborhood context", ("distance_metro", "distance_rer", "distance_train", "distance_tram", "rail_", "distance_school", "school_", "distance_green", "green_", "distance_shop", "shop_", "noise_")),
 )
 IDENTITY = ("ban_address_id", "bdnb_building_id", "bdnb_match_method", "cell_r8", "cell_r9")
 
@@ -89,11 +89,11 @@ def first_integer(c: Column) -> Column:
 
 
 def feature_family(name: Column) -> Column:
-    out = F.when(name.isin(*IDENTITY), "Identity and micro-location")
+    out = F.when(name.isin(*IDENTITY), "Identity / micro-location")
     for family, prefixes in FAMILIES:
         for p in prefixes:
             out = out.when(name.startswith(p), family)
-    return out.otherwise("Core and spatial")
+    return out.otherwise("Core DVF / spatial")
 
 
 def label_of(name: Column) -> Column:

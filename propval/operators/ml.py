@@ -50,13 +50,13 @@ COMPARABLE = [f"local_{t}d_{r}m_{k}" for r, t in WINDOWS for k in ("count", "med
 ]
 DIAGNOSTIC = ["dpe_available_at_sale", "dpe_age_days", "dpe_surface_difference_ratio", "dpe_match_confidence", "annee_construction_dpe", "nombre_niveau_logement", "nombre_niveau_immeuble", "surface_habitable_immeuble", "surface_habitable_logement", "conso_5_usages_ep_m2", "emission_ges_5_usages_m2"]
 DIAGNOSTIC_CLASSES = ["classe_bilan_dpe", "classe_emission_ges", "type_installation_chauffage", "type_energie_chauffage"]
-BUILDING = ["ban_match_distance_m", "ban_match_confidence", "match_confidence", "address_candidate_count", "parcel_candidate_count", "building_level_count", "building_year", "building_dwelling_count", "building_height_m", "building_footprint_m2", "building_parking_lot_count", "building_total_lot_count", "building_dwelling_count_rnc", "building_age_at_sale", "building_year_missing"]
+BUILDING = ["ban_match_distance_m", "ban_match_confidence", "bdnb_match_confidence", "bdnb_address_candidate_count", "bdnb_parcel_candidate_count", "building_level_count", "building_year", "building_dwelling_count", "building_height_m", "building_footprint_m2", "building_parking_lot_count", "building_total_lot_count", "building_dwelling_count_rnc", "building_age_at_sale", "building_year_missing"]
 BUILDING_CLASSES = ["usage_niveau_1_txt", "mat_mur_txt", "mat_toit_txt", "building_state", "building_period_rnc"]
 CONTEXT = [
     "distance_metro_m", "distance_rer_m", "distance_train_m", "distance_tram_m", "rail_station_mode_count_1000m", "rail_line_count_1000m", "distance_school_m", "school_count_1000m", "distance_green_space_centroid_m", "green_space_count_500m", "green_area_500m2",
     "distance_shop_service_m", "shop_service_count_500m", "shop_service_count_1000m", "noise_road_lden_db", "noise_rail_ratp_lden_db", "noise_rail_sncf_lden_db", "noise_transport_lden_max_db",
 ]
-IDENTITY_CLASSES = ["ban_address_id", "building_id", "match_method"]
+IDENTITY_CLASSES = ["ban_address_id", "bdnb_building_id", "bdnb_match_method"]
 AREA, CELLS = ["code_postal"], ["cell_r8", "cell_r9"]
 GOLD_NUMERIC = NUMERIC + SIZE + PLACE + COMPARABLE
 #: Ablations: (numbers, categories) of each named set, four over Gold and six over enriched Gold.
@@ -74,6 +74,11 @@ FEATURE_SETS: dict[str, tuple[list[str], list[str]]] = {
 }
 
 
+def all_features() -> list[str]:
+    """Every column of the feature sets, once."""
+    return list(dict.fromkeys(c for numeric, categorical in FEATURE_SETS.values() for c in (*numeric, *categorical)))
+
+
 def named_specs(df: DataFrame, names: Sequence[str], target: str = "total", **columns: str) -> dict[str, Spec]:
     """Specs of the named feature sets; a set whose columns df lacks is an error."""
     from propval.operators import contracts

@@ -40,19 +40,25 @@ def normal_address(p: Property) -> str:
     return f"{p.commune}_{p.street_code}_{p.number}_{normal_suffix(p.suffix)}"
 
 
-def validated(p: Property, surface: tuple[float, float] = (9, 300), years: tuple[int, int] | None = None) -> Property:
+def validated(p: Property, surface: tuple[float, float] = (9, 300), rooms: tuple[int, int] = (0, 15), years: tuple[int, int] | None = None, box: tuple[float, float, float, float] | None = None) -> Property:
     """p, or ValueError with what is out of the domain."""
     faults = []
     if not surface[0] <= p.surface <= surface[1]:
         faults.append(f"surface must be within {surface}")
-    if p.rooms is not None and p.rooms < 1:
-        faults.append("rooms must be at least 1")
+    if p.rooms is not None and not rooms[0] <= p.rooms <= rooms[1]:
+        faults.append(f"rooms must be within {rooms}")
     if p.postal_code and not re.fullmatch(r"750(0[1-9]|1[0-9]|20)", p.postal_code):
         faults.append("postal code")
     if p.commune and not re.fullmatch(r"751(0[1-9]|1[0-9]|20)", p.commune):
         faults.append("commune")
     if p.street_code and not re.fullmatch(r"[0-9A-Z]{4}", p.street_code):
         faults.append("street code")
+    if p.postal_code and p.commune and p.postal_code[-2:] != p.commune[-2:]:
+        faults.append("postal code and commune are of different districts")
+    if box and not (box[0] <= p.x <= box[1] and box[2] <= p.y <= box[3]):
+        faults.append(f"coordinates must be within {box}")
+    if p.number is not None and p.number <= 0:
+        faults.append("address number must be positive")
     if p.asking_price is not None and p.asking_price <= 0:
         faults.append("asking price must be positive")
     if years and not years[0] <= p.on.year <= years[1]:

@@ -60,6 +60,20 @@ def gold(lines: DataFrame, lag: int = comps.LAG) -> DataFrame:
 # enrichment -----------------------------------------------------------------------------------------------------
 
 
+#: What linkage finds is named after the building database that it links to. Names of the table's columns.
+LINKAGE_NAMES = {
+    "building_id": "bdnb_building_id",
+    "match_method": "bdnb_match_method",
+    "match_confidence": "bdnb_match_confidence",
+    "address_candidate_count": "bdnb_address_candidate_count",
+    "parcel_candidate_count": "bdnb_parcel_candidate_count",
+    "building_by_address": "bdnb_building_id_address",
+    "building_by_parcel": "bdnb_building_id_parcel",
+    "address_origin": "bdnb_address_origin",
+    "address_reliability": "bdnb_address_reliability",
+}
+
+
 def linked(sales: DataFrame, addresses: DataFrame, rel_address: DataFrame, rel_parcel: DataFrame) -> DataFrame:
     """Address on the canonical key, building by address relation with the parcel as fallback, confidence of both."""
     key = "canonical_address_key"
@@ -76,7 +90,8 @@ def linked(sales: DataFrame, addresses: DataFrame, rel_address: DataFrame, rel_p
     par = rel_parcel.select(F.col("parcelle_id").alias("id_parcelle"), F.col("batiment_groupe_id").alias("building_by_parcel"), F.coalesce(F.col("parcelle_principale").try_cast("double"), F.lit(0.0)).alias("__main"))
     out = out.join(linkage.one_best(par, "id_parcelle", [F.col("__main").desc(), F.col("building_by_parcel")]).drop("__main"), "id_parcelle", "left")
     out = linkage.lookup(out, linkage.candidate_counts(par, "id_parcelle", "parcel_candidate_count"), "id_parcelle", "parcel_candidate_count", 0)
-    return linkage.resolve_buildings(out, "building_by_address", "building_by_parcel", "address_reliability", "address_candidate_count", "parcel_candidate_count")
+    out = linkage.resolve_buildings(out, "building_by_address", "building_by_parcel", "address_reliability", "address_candidate_count", "parcel_candidate_count")
+    return out.withColumnsRenamed(LINKAGE_NAMES)
 
 
 def with_buildings(df: DataFrame, buildings: DataFrame, ffo: DataFrame, bdtopo: DataFrame, rnc: DataFrame) -> DataFrame:
@@ -88,17 +103,17 @@ def with_buildings(df: DataFrame, buildings: DataFrame, ffo: DataFrame, bdtopo:
     topo = bdtopo.withColumnsRenamed({"hauteur_mean": "building_height_m", "l_etat": "building_state"})
     rnc = rnc.withColumnsRenamed({"periode_construction_max": "building_period_rnc", "nb_lot_garpark": "building_parking_lot_count", "nb_lot_tot": "building_total_lot_count", "nb_log": "building_dwelling_count_rnc"})
     every = lambda t: [F.to_json(F.struct(*t.columns))]  # noqa: E731  a total order: equal rows are interchangeable
-    star = linkage.stitched(base, [ffo, topo, rnc], key, [every(ffo), every(topo), every(rnc)]).withColumnRenamed(key, "building_id")
-    return linkage.building_features(df.join(star, "building_id", "left"), BUILDING_NUMBERS, "year", "building_year")
+    star = linkage.stitched(base, [ffo, topo, rnc], key, [every(ffo), every(topo), every(rnc)]).withColumnRenamed(key, "bdnb_building_id")
+    return linkage.building_features(df.join(star, "bdnb_building_id", "left"), BUILDING_NUMBERS, "year", "building_year")
 
 
 def with_diagnostics(df: DataFrame, relation: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """The latest diagnostic of the sale's building on or before the sale."""
     df = written(df, "diagnostics")  # each step starts from a table: plans stay small, lost executors cost one step
     dated = contracts.many_to_one(diagnostics, "identifiant_dpe").withColumn("date_etablissement_dpe", scalar.utc_naive(F.col("date_etablissement_dpe"))).where("date_etablissement_dpe IS NOT NULL")
-    events = relation.select(F.col("batiment_groupe_id").alias("building_id"), "identifiant_dpe").distinct().join(dated, "identifiant_dpe")
+    events = relation.select(F.col("batiment_groupe_id").alias("bdnb_building_id"), "identifiant_dpe").distinct().join(dated, "identifiant_dpe")
     probes = df.withColumn("__sale_ts", F.col("date_mutation").cast("timestamp_ntz"))
-    out = asof.latest(probes, events, "building_id", "__sale_ts", "date_etablissement_dpe", "identifiant_dpe", list(DIAGNOSTIC_COLUMNS))
+    out = asof.latest(probes, events, "bdnb_building_id", "__sale_ts", "date_etablissement_dpe", "identifiant_dpe", list(DIAGNOSTIC_COLUMNS))
     out = asof.diagnostic_features(out, "__sale_ts", "date_etablissement_dpe", "surface_habitable_logement", "surface_reelle_bati")
     numbers = ("surface_habitable_logement", "conso_5_usages_ep_m2", "emission_ges_5_usages_m2", "annee_construction_dpe", "nombre_niveau_logement", "nombre_niveau_immeuble", "surface_habitable_immeuble")
     return out.withColumns({c: F.col(c).try_cast("double") for c in numbers}).drop("__sale_ts")
@@ -172,7 +187,7 @@ def checked(before: DataFrame, after: DataFrame) -> DataFrame:
     return after
 
 
-AUDIT = ("canonical_address_key", "ban_address_id", "ban_match_method", "ban_match_distance_m", "ban_match_confidence", "building_id", "match_method", "match_confidence", "address_candidate_count", "parcel_candidate_count")
+AUDIT = ("canonical_address_key", "ban_address_id", "ban_match_method", "ban_match_distance_m", "ban_match_confidence", "bdnb_building_id", "bdnb_match_method", "bdnb_match_confidence", "bdnb_address_candidate_count", "bdnb_parcel_candidate_count")
 
 
 def audit(df: DataFrame, columns: Sequence[str] = AUDIT) -> DataFrame:
@@ -206,7 +221,7 @@ def quality_report(before: DataFrame, after: DataFrame, trail: DataFrame) -> dic
     """Rows, columns, digests of both tables, shares matched, what was added with its null rates and temporal classes."""
     added = [c for c in after.columns if c not in before.columns]
     said = contracts.report(after, ["dpe_available_at_sale"])
-    matched = linkage.match_rates(trail).first().asDict()
+    matched = linkage.match_rates(trail, "bdnb_match_method", "bdnb_match_confidence").first().asDict()
     return {
         "rows": said["rows"], "columns": said["columns"], "input_digest": contracts.digest(before), "output_digest": contracts.digest(after), "match": matched, "rates": said["rates"],
         "future_records": 0, "added": added, "missing": {c: said["missing"][c] for c in added}, "retrospective": list(RETROSPECTIVE), "point_in_time": list(POINT_IN_TIME),

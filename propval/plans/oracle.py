@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from propval.functions.scalar import LABELS
 from propval.operators.comps import WINDOWS
+from propval.operators.ml import all_features
 from propval.operators.stats import simplex
 
 SALE = """sale AS (SELECT o.o_orderkey AS sale_id, CAST(o.o_orderdate AS DATE) AS sale_date, CAST(year(o.o_orderdate) AS INTEGER) AS sale_year,
@@ -98,8 +100,8 @@ ASOF = """probe AS (SELECT event_id AS probe_id, user_id AS building, ts AS prob
   j AS (SELECT p.*, d.diag_id, d.diag_ts, d.score, CAST(floor((epoch(p.probe_ts) - epoch(d.diag_ts)) / 86400) AS BIGINT) AS age_days
     FROM probe p ASOF LEFT JOIN (SELECT * FROM diag QUALIFY row_number() OVER (PARTITION BY building, diag_ts ORDER BY diag_id DESC) = 1) d ON p.building = d.building AND p.probe_ts >= d.diag_ts)"""
 NAMES = "names AS (SELECT n_nationkey, (['local_', 'dpe_', 'building_', 'distance_metro_', 'x_', 'ban_'])[n_nationkey % 6 + 1] || lower(n_name) AS name FROM nation)"
-FAMILY = """CASE WHEN name LIKE 'local\\_%' ESCAPE '\\' THEN 'Historical comparables' WHEN name LIKE 'dpe\\_%' ESCAPE '\\' THEN 'Energy diagnostics' WHEN name LIKE 'building\\_%' ESCAPE '\\' OR name LIKE 'ban\\_%' ESCAPE '\\' THEN 'Building and linkage'
-  WHEN name LIKE 'distance\\_metro%' ESCAPE '\\' THEN 'Neighbourhood context' ELSE 'Core and spatial' END"""
+FAMILY = """CASE WHEN name LIKE 'local\\_%' ESCAPE '\\' THEN 'Historical comparables' WHEN name LIKE 'dpe\\_%' ESCAPE '\\' THEN 'DPE / energy' WHEN name LIKE 'building\\_%' ESCAPE '\\' OR name LIKE 'ban\\_%' ESCAPE '\\' THEN 'Building / linkage'
+  WHEN name LIKE 'distance\\_metro%' ESCAPE '\\' THEN 'Neighborhood context' ELSE 'Core DVF / spatial' END"""
 HEAT = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PREDICTIVE = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 ANCHORED = f"{PRED}, an AS (SELECT *, CASE WHEN sale_id % 4 <> 0 THEN pred_b END AS anchor_a, CASE WHEN sale_id % 3 <> 0 THEN surface * 1200 END AS anchor_b, CASE WHEN sale_id % 5 <> 0 THEN pred_b * 0.9::DOUBLE END AS anchor_c, CASE WHEN area % 2 = 0 THEN surface * 900 END AS anchor_d FROM pred WHERE sale_year = 1999)"
@@ -204,9 +206,14 @@ def oracle_sql() -> dict[str, str]:
         "parse_geopoint": """SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN -CAST((s_suppkey % 180) || '.5' AS DOUBLE) END AS lon, CASE WHEN s_suppkey % 11 <> 0 THEN CAST((s_suppkey % 90) || '.' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS lat FROM supplier""",
         "wkt_centroid": "SELECT s_suppkey, CASE WHEN s_suppkey % 13 <> 0 THEN round((3.0::DOUBLE * s_suppkey + 0.5::DOUBLE - 4) / 4, 6) END AS cx, CASE WHEN s_suppkey % 13 <> 0 THEN round((10::DOUBLE + s_suppkey) / 4, 6) END AS cy FROM supplier",
         "quoted_token_weight": "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS weight, CAST(s_suppkey AS INTEGER) AS db FROM supplier",
-        "text_labels": f"""WITH {NAMES}, named AS (SELECT * FROM names UNION ALL SELECT n_nationkey, (['ban_address_id', 'cell_r8', 'building_year', 'code_postal'])[n_nationkey % 4 + 1] FROM nation)
-          SELECT n_nationkey, name, CASE WHEN name IN ('ban_address_id', 'cell_r8') THEN 'Identity and micro-location' ELSE {FAMILY} END AS family,
-          CASE name WHEN 'ban_address_id' THEN 'BAN address identity' WHEN 'building_year' THEN 'Construction year' WHEN 'code_postal' THEN 'Arrondissement' ELSE upper(left(replace(name, '_', ' '), 1)) || lower(substr(replace(name, '_', ' '), 2)) END AS label FROM named""",
+        "text_labels": f"""WITH {NAMES}, every AS (SELECT unnest({list(all_features())}) AS name, unnest(range({len(all_features())})) AS i),
+          named AS (SELECT * FROM names UNION ALL SELECT n_nationkey, (['ban_address_id', 'cell_r8', 'building_year', 'code_postal'])[n_nationkey % 4 + 1] FROM nation UNION ALL SELECT n_nationkey, e.name FROM nation JOIN every e ON e.i % 25 = n_nationkey)
+          SELECT n_nationkey, name, CASE WHEN name IN ('ban_address_id', 'bdnb_building_id', 'bdnb_match_method', 'cell_r8', 'cell_r9') THEN 'Identity / micro-location'
+            WHEN regexp_matches(name, '^(local|weighted|similar|effective|nearest)_|^median_comparable') THEN 'Historical comparables'
+            WHEN regexp_matches(name, '^(dpe|classe|conso|emission)_|^type_(installation|energie)|^annee_construction_dpe|^nombre_niveau|^surface_habitable') THEN 'DPE / energy'
+            WHEN regexp_matches(name, '^(building|bdnb|ban|usage|mat)_') THEN 'Building / linkage'
+            WHEN regexp_matches(name, '^distance_(metro|rer|train|tram|school|green|shop)|^(rail|school|green|shop|noise)_') THEN 'Neighborhood context' ELSE 'Core DVF / spatial' END AS family,
+          CASE name {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())} ELSE upper(left(replace(name, '_', ' '), 1)) || lower(substr(replace(name, '_', ' '), 2)) END AS label FROM named""",
         "config_json": """SELECT n_nationkey, '{"alpha":' || CAST(n_nationkey / 4.0::DOUBLE AS VARCHAR) || ',"name":"' || n_name || '","top":' || n_regionkey || '}' AS config, n_nationkey / 4.0::DOUBLE AS alpha, n_name AS name FROM nation""",
         "scalar_ratios": f"""WITH {SALE} SELECT sale_id, round(rooms / greatest(surface, 1) * 10, 6) AS rooms_per_10m2, round(ln(1 + surface), 6) AS log_surface, round(ln(ppm2 / 5000), 6) AS residual, CAST((year(sale_date) - 1995) * 12 + month(sale_date) - 1 AS INTEGER) AS months,
           CAST(sale_date - DATE '1970-01-01' AS INTEGER) AS day, strftime(sale_date, '%Y-%m') AS year_month, round(abs(surface - rooms * 20) / (rooms * 20), 6) AS difference FROM sale""",

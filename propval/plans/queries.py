@@ -265,7 +265,10 @@ def quoted_token_weight(spark: SparkSession, d: str) -> DataFrame:
 def text_labels(spark: SparkSession, d: str) -> DataFrame:
     names = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("local_", "dpe_", "building_", "distance_metro_", "x_", "ban_")]), F.col("n_nationkey").cast("int") % 6 + 1), F.lower("n_name"))
     named = F.element_at(F.array(*[F.lit(x) for x in ("ban_address_id", "cell_r8", "building_year", "code_postal")]), F.col("n_nationkey").cast("int") % 4 + 1)
-    both = F.explode(F.array(names, named)).alias("name")
+    # every column of the feature sets, dealt over the nations
+    columns = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(ml.all_features())])
+    own = F.transform(F.filter(columns, lambda x: x["i"] % 25 == F.col("n_nationkey")), lambda x: x["name"])
+    both = F.explode(F.concat(F.array(names, named), own)).alias("name")
     return table(spark, d, "nation").select("n_nationkey", both).select("n_nationkey", "name", scalar.feature_family(F.col("name")).alias("family"), scalar.label_of(F.col("name")).alias("label"))
 
 
@@ -458,7 +461,7 @@ def topk_by_family(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def family_sums(spark: SparkSession, d: str) -> DataFrame:
-    t = text_labels(spark, d).where(~F.col("name").isin("ban_address_id", "cell_r8", "building_year", "code_postal")).join(table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_acctbal").cast("double").alias("v")), "n_nationkey")
+    t = text_labels(spark, d).where(~F.col("name").isin("ban_address_id", "cell_r8", "building_year", "code_postal", *ml.all_features())).join(table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_acctbal").cast("double").alias("v")), "n_nationkey")
     return rounded(t.groupBy("family").agg(F.sum("v").alias("total")), 2)
 
 

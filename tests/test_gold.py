@@ -43,9 +43,9 @@ def test_enriched(spark, table):
     rel_p = df([("B3", "P0", "1"), ("B4", "P1", None), ("B5", "P1", "1")], s("batiment_groupe_id", "parcelle_id", "parcelle_principale"))
     out = gold.linked(g, addresses, rel_a, rel_p)
     got = {r.id_mutation: r for r in out.collect()}
-    assert got["m00"].building_id == "B1" and got["m00"].match_confidence == 0.8 and got["m00"].address_candidate_count == 2 and got["m00"].ban_address_id == "A1"
-    assert got["m01"].building_id == "B5" and got["m01"].match_confidence == 0.5 and got["m03"].building_id == "B3" and got["m03"].match_confidence == 0.7
-    assert got["m02"].match_method == "unmatched" and got["m02"].match_confidence == 0.0
+    assert got["m00"].bdnb_building_id == "B1" and got["m00"].bdnb_match_confidence == 0.8 and got["m00"].bdnb_address_candidate_count == 2 and got["m00"].ban_address_id == "A1"
+    assert got["m01"].bdnb_building_id == "B5" and got["m01"].bdnb_match_confidence == 0.5 and got["m03"].bdnb_building_id == "B3" and got["m03"].bdnb_match_confidence == 0.7
+    assert got["m02"].bdnb_match_method == "unmatched" and got["m02"].bdnb_match_confidence == 0.0
     square = "POLYGON ((0 0, 4 0, 4 2, 0 0))"
     blds = df([("B1", square, "100"), ("B3", None, "x")], s("batiment_groupe_id", "geom_groupe", "s_geom_groupe"))
     ffo = df([("B1", "5", "1900", "h", "m", "t", "9"), ("B1", "5", "1900", "h", "m", "t", "9")], s("batiment_groupe_id", "nb_niveau", "annee_construction", "usage_niveau_1_txt", "mat_mur_txt", "mat_toit_txt", "nb_log"))
@@ -81,10 +81,10 @@ def test_enriched(spark, table):
              "parks": df([("g", x0, y0 + 100.0, "250.5"), ("h", x0, y0 - 50.0, None)], "nsq_espace_vert string, x double, y double, surface_totale_reelle string"), "noise": polys.withColumn("family", F.lit("rail_ratp"))}
     table_, trail = gold.enriched(g, every)
     e = next(x for x in table_.collect() if x.id_mutation == "m00")
-    for c in ("building_id", "identifiant_dpe", "distance_metro_m", "rail_line_count_1000m", "school_count_1000m", "green_area_500m2", "shop_service_count_500m", "noise_transport_lden_max_db"):
+    for c in ("bdnb_building_id", "identifiant_dpe", "distance_metro_m", "rail_line_count_1000m", "school_count_1000m", "green_area_500m2", "shop_service_count_500m", "noise_transport_lden_max_db"):
         assert e[c] == m[c], c
     said = gold.quality_report(g, table_, trail)
-    assert said["rows"] == 40 and said["input_digest"] != said["output_digest"] and said["missing"]["building_id"] > 0 and "distance_metro_m" in said["added"]
+    assert said["rows"] == 40 and said["input_digest"] != said["output_digest"] and said["missing"]["bdnb_building_id"] > 0 and "distance_metro_m" in said["added"]
     assert contracts.digest(table_.orderBy(F.rand())) == said["output_digest"]
     with pytest.raises(contracts.ContractError):
         gold.enriched(g, {"addresses": addresses})
@@ -117,6 +117,17 @@ def test_command_line(spark, table, tmp_path, monkeypatch, capsys):
     assert json.loads(capsys.readouterr().out)["address"]["method"] == "coordinates"
     with pytest.raises(contracts.ContractError):
         cli.main([*one, "--number", "1", "--suffix", "bis"])  # its address is elsewhere
+    past = [("75011", 390000.0 + 100 * i, (390000.0 + 100 * i) * (0.8 + 0.4 * (i % 101) / 100)) for i in range(303)]
+    spark.createDataFrame(past, "code_postal string, prediction double, valeur_fonciere double").write.parquet(str(tmp_path / "past"))
+    cli.main([*one, "--calibration", str(tmp_path / "past"), "--asking-price", "300000"])
+    said = json.loads(capsys.readouterr().out)
+    shape, ratios = said["distribution"], sorted(v / p for _, p, v in past if 0.5 * said["estimate"] <= p <= 2 * said["estimate"])
+    assert shape["tier"] == (0 if len(ratios) >= 120 else 1) and shape["value_q05"] < shape["value_q50"] < shape["value_q95"] and 0 <= shape["p_at_least_ask"] <= 1
+    if shape["tier"] == 0:
+        assert shape["p_at_least_ask"] == pytest.approx(sum(r >= 300000 / said["estimate"] for r in ratios) / len(ratios))
+    for bad in (["--latitude", "49.5"], ["--longitude", "2.6"], ["--rooms", "16"], ["--commune", "75112"], ["--supported-years", "2024", "2025"], ["--asking-price", "0"], ["--number", "0"]):
+        with pytest.raises(SystemExit):
+            cli.main([*one, *bad])
     assert ml.timed(fitted, spark.read.parquet(str(tmp_path / "gold")))["model_mb"] > 0
     for bad in (["build", "--data", "x", "--output", "y", "--availability-lag-days", "0"], ["value", "--gold", "g", "--longitude", "2", "--latitude", "48", "--surface", "5", "--date", "2025-01-01"]):
         with pytest.raises(SystemExit):
