@@ -269,17 +269,23 @@ def dealt(df: DataFrame, key: str, column: str, repeat: int) -> DataFrame:
 
 
 def permutation_importance(fitted: Fitted, df: DataFrame, key: str, features: Sequence[str], repeats: int = 3, rows: int = 5000) -> DataFrame:
-    """feature, importance: rise of MAE when a column's values are dealt among at most `rows` rows by a hash of id and repeat."""
+    """feature, importance: rise of MAE when a column's values are dealt among at most `rows` rows by a hash of id and repeat.
+
+    One frame holds the sample as it is and with each column dealt, for every repeat, and is scored once. Whose values a row gets
+    depends on the repeat alone, so two orders a repeat and one join deal all columns."""
     from propval.operators.stats import hashed_sample
 
-    sample = hashed_sample(df, key, rows).persist()  # a bounded sample, by contract of the measure
-    base = mae(predict(fitted, sample), fitted.spec.price, "prediction")
-    out = []
-    for f in features:
-        rises = [mae(predict(fitted, dealt(sample, key, f, r)), fitted.spec.price, "prediction") - base for r in range(repeats)]
-        out.append((f, sum(rises) / len(rises)))
-    sample.unpersist()
-    return df.sparkSession.createDataFrame(out, "feature string, importance double")
+    price = fitted.spec.price
+    sample = hashed_sample(df, key, rows).select(key, *dict.fromkeys([price, fitted.spec.surface, *([fitted.spec.anchor] if fitted.spec.target == "residual" else []), *fitted.spec.numeric, *fitted.spec.categorical, *features]))
+    each = sample.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rank = lambda side: F.row_number().over(W.partitionBy("__repeat").orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.concat(F.lit(side), F.col("__repeat").cast("string")))), key))
+    given = each.select("__repeat", rank("b").alias("__n"), F.struct(*features).alias("__given"))
+    held = each.withColumn("__n", rank("a")).join(given, ["__repeat", "__n"])
+    long = held.withColumn("__feature", F.explode(F.array(F.lit(None).cast("string"), *[F.lit(f) for f in features])))
+    long = long.withColumns({f: F.when(F.col("__feature") == f, F.col(f"__given.{f}")).otherwise(F.col(f)) for f in features}).drop("__given", "__n")
+    errors = predict(fitted, long, "__prediction").groupBy("__feature", "__repeat").agg(F.avg(F.abs(F.col("__prediction") - F.col(price))).alias("mae"))
+    base = F.max(F.when(F.col("__feature").isNull(), F.col("mae"))).over(W.partitionBy("__repeat"))  # a row for each feature
+    return errors.withColumn("rise", F.col("mae") - base).where("__feature IS NOT NULL").groupBy(F.col("__feature").alias("feature")).agg(F.avg("rise").alias("importance"))
 
 
 def gain_importance(fitted: Fitted) -> list[tuple[str, float]]:

@@ -275,6 +275,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT sale_id, round(price, 1) AS price, round(round_even(greatest(exp(yb + b * (surface - m) / s) - 1, 0) * surface, 2), 1) AS prediction_ridge_one FROM f JOIN b ON b.part = 'final' JOIN v USING (alpha) WHERE sale_year = 2000""",
         "gbt_huber_round": _round(["surface", "rooms"], [], True),
         "gbt_categorical_round": _round(["rooms"], ["segment", "area"], False),
+        "perm_importance_linear": f"""WITH {SALE}, f AS (SELECT sale_id, sale_year, price, surface, ln(1 + price / surface) AS goal FROM sale WHERE surface > 0),
+          st AS (SELECT avg(surface) AS m, stddev_samp(surface) AS s, avg(goal) AS yb, covar_pop(surface, goal) * count(*) / stddev_samp(surface) / (count(*) - 1 + 1.0::DOUBLE) AS b FROM f WHERE sale_year <= 1999),
+          t AS (SELECT * FROM f WHERE sale_year = 2000 ORDER BY md5(sale_id || '|42'), sale_id LIMIT 5000), k AS (SELECT unnest([0, 1, 2]) AS r),
+          l AS (SELECT r, sale_id, price, surface, row_number() OVER (PARTITION BY r ORDER BY md5(sale_id || '|a' || r), sale_id) AS n FROM t CROSS JOIN k),
+          g AS (SELECT r, surface AS given, row_number() OVER (PARTITION BY r ORDER BY md5(sale_id || '|b' || r), sale_id) AS n FROM t CROSS JOIN k),
+          p AS (SELECT r, avg(abs(greatest(exp(yb + b * (given - m) / s) - 1, 0) * given - price)) - avg(abs(greatest(exp(yb + b * (surface - m) / s) - 1, 0) * surface - price)) AS rise FROM l JOIN g USING (r, n) CROSS JOIN st GROUP BY r)
+          SELECT 'surface' AS feature, round(avg(rise), 1) AS importance FROM p""",
         "ordered_target_stats": f"""WITH {SALE}, t AS (SELECT sale_id, area, segment, CAST(x AS BIGINT) || '_' || CAST(y AS BIGINT) AS place, ln(1 + ppm2) AS y, CAST(sale_date - DATE '1970-01-01' AS BIGINT) AS day, 0 AS one FROM sale),
           w AS (SELECT sale_id, {", ".join(_ordered(k) for k in ("area", "segment", "place", "one"))} FROM t)
           SELECT sale_id, {", ".join(f"n_{k} AS {k}__n, round((s_{k} + 10 * (s_one / nullif(n_one, 0))) / (n_{k} + 10), 6) AS {k}__mean" for k in ("area", "segment", "place"))} FROM w""",

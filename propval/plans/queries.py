@@ -681,6 +681,14 @@ def perm_importance(spark: SparkSession, d: str) -> DataFrame:
     return ml.permutation_importance(fitted, s.where("sale_year = 2000"), "sale_id", ["surface", "rooms"])
 
 
+@query
+def perm_importance_linear(spark: SparkSession, d: str) -> DataFrame:
+    """The importance of the one feature of a linear model."""
+    s = _featured(spark, d)
+    fitted = ml.fit("ridge", {"alpha": 1.0}, s.where("sale_year <= 1999"), ml.Spec(["surface"], target="ppm2"))
+    return rounded(ml.permutation_importance(fitted, s.where("sale_year = 2000"), "sale_id", ["surface"]), 1)
+
+
 @query
 def value_one(spark: SparkSession, d: str) -> DataFrame:
     p = valuation.validated(valuation.Property(5000.0, 5000.0, 100.0, 4, date(2000, 6, 30)))
