@@ -3,7 +3,7 @@
 Candidates are read in blocks and laid out vertically: one row of a block is one dimension over all its candidates. A
 query's scores over a block accumulate `STRIDE` dimensions at a time; the mass that the remaining dimensions can still
 add is bounded by Cauchy-Schwarz from the norms of what remains, and candidates whose upper bound is below the k-th best
-score so far (of all blocks of the task, or, until there are k, the block's k-th best lower bound) are compacted away before
+score so far (of all blocks of the task and of a bounded sample of candidates, or, until there are k, the block's k-th best lower bound) are compacted away before
 the next step. The survivors' scores are exact: whole numbers in doubles while every sum stays below 2^53, in Python's integers beyond.
 
 Queries go to the candidates, not candidates to queries: batches of at most QUERY_BYTES of queries are sent to all tasks, one
@@ -32,6 +32,8 @@ from propval.session import written
 
 #: Numbers in a block of candidates, queries scored at once, dimensions of a step, bytes of queries sent to a task.
 BLOCK_NUMBERS, CHUNK_QUERIES, STRIDE, QUERY_BYTES = 1 << 20, 128, 16, 32 << 20
+#: Candidates that are scored first, for a bar to start from.
+SEEDS = 1024
 SCALE = 256.0
 _LONG = 2**63
 
@@ -69,8 +71,10 @@ def tails(x: np.ndarray) -> np.ndarray:
 class Search:
     """The k best candidates of each query so far."""
 
-    def __init__(self, own: np.ndarray, asks: np.ndarray, k: int, scale: float = SCALE) -> None:
+    def __init__(self, own: np.ndarray, asks: np.ndarray, k: int, scale: float = SCALE, bars: np.ndarray | None = None) -> None:
+        """bars: for each query a score that its k best are known to reach; what is below need not be looked at."""
         self.own, self.asks, self.k, self.scale = own, whole(asks, scale), k, scale
+        self.bars = np.full(len(own), -np.inf) if bars is None else bars
         self.best = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(own)
         self.rest = tails(self.asks) if self.asks.dtype != object and self.asks.shape[1] else None
         #: Products of a component and a component that were computed, and that there were.
@@ -104,7 +108,7 @@ class Search:
         live, dims = np.flatnonzero(ids != self.own[q]), len(ask)
         score = score[live]
         known = self.best[q][1]
-        bar = float(known[-1]) if len(known) == self.k else -np.inf
+        bar = max(self.bars[q], float(known[-1]) if len(known) == self.k else -np.inf)
         for step, at in enumerate(range(STRIDE, dims, STRIDE), 1):
             far = self.rest[step][q] * rest[step][live] * (1 + 1e-9) + 1
             if bar == -np.inf and len(live) > self.k:
@@ -120,6 +124,10 @@ class Search:
         fit = score >= bar
         self._keep(q, ids[live][fit], score[fit].astype(np.int64))
 
+    def reached(self) -> np.ndarray:
+        """Each query's k-th best score so far, rounded down to a double."""
+        return np.array([np.nextafter(float(s[-1]), -np.inf) if len(s) == self.k else -np.inf for _, s in self.best])
+
     def _keep(self, q: int, ids: np.ndarray, score: np.ndarray) -> None:
         other = ids != self.own[q]  # all, but on the way of integers
         i, s = (np.concatenate(x) for x in zip(self.best[q], (ids[other], score[other]), strict=True))
@@ -136,13 +144,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = SCA
     n, wide = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     batches = max(1, -(-n * (wide + 2) * 8 // QUERY_BYTES))
     schema, parts = "query_id long, vec_id long, score long", []
+    # a few candidates, the first by a hash of their ids, tell every task a score that the k best reach: less than QUERY_BYTES
+    few = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SEEDS, QUERY_BYTES // (8 * max(1, wide))))).select("vec_id", F.slice("v", 1, max(1, wide)).alias("v")).toArrow()
+    seeds = np.asarray(few["vec_id"], dtype=np.int64), matrix(_list(few["v"]))
 
     def searched(batch: int) -> DataFrame:
         mine = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(batches)) == batch).toArrow()  # about QUERY_BYTES
         own, asks = np.asarray(mine["vec_id"], dtype=np.int64), matrix(_list(mine["v"]))
 
         def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = Search(own, asks, k, scale)
+            first_ = Search(own, asks, k, scale)
+            peak = np.abs(seeds[1]).max(initial=0.0) * np.abs(asks).max(initial=0.0) * scale * scale
+            if len(seeds[0]) and peak * max(1, asks.shape[1]) < 2.0**52:  # else they would be scored in Python's integers, by every task
+                first_.meet(*seeds)
+            found = Search(own, asks, k, scale, first_.reached())
             for t in tables:
                 lists, at = t.column(1), 0
                 sizes = np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64) + 1)

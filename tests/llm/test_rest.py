@@ -171,6 +171,20 @@ def test_top_k_prunes():
     assert s.done < 0.8 * s.all
 
 
+def test_top_k_bars_only_prune():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 96)) * np.linspace(3, 0.3, 96)
+    ids, asks = np.arange(6000), x[:40]
+    plain_, seeded = topk.Search(np.arange(40), asks, 5), topk.Search(np.arange(40), asks, 5)
+    first = topk.Search(np.arange(40), asks, 5)
+    first.meet(ids[:1024], x[:1024])
+    seeded.bars = first.reached()
+    for s in (plain_, seeded):
+        s.meet(ids, x)
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(plain_.best, seeded.best, strict=True))
+    assert seeded.done < plain_.done
+
+
 def test_top_k_huge_components_and_other_ids(spark):
     rows = [("0", [1e18, 1.0]), ("1", [1e18, 2.0]), ("2", [-3.0, 1e17]), ("50", [2e-3, -1e300]), ("x", [1.0, 1.0]), ("3", [1.0] * 5), ("0", [1e18, 1.0])]
     v = topk.usable(spark.createDataFrame(rows, "vec_id string, embedding array<double>"))
