@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--sets", nargs="+", default=["base", "comparables"], choices=sorted(FEATURE_SETS))
     m.add_argument("--target", choices=("total", "ppm2", "residual"), default="total")
     m.add_argument("--search", choices=("short", "full"), default="short", help="configurations to try; the full search also stops boosting early")
+    m.add_argument("--minimum-rows", type=int, default=1000, help="of the development, validation and test years each")
     e = sub.add_parser("enrich", help="Gold and the source tables (a Parquet folder each) to enriched Gold")
     e.add_argument("--gold", required=True)
     e.add_argument("--sources", required=True)
@@ -79,6 +80,10 @@ def build(a: argparse.Namespace) -> dict:
     return said
 
 
+#: Comparable prices per m2 that may correct a model. Fixed values.
+ANCHORS = ("weighted_comp_ppm2", "similar_weighted_comp_ppm2", "local_365d_500m_median_ppm2", "local_365d_1000m_median_ppm2")
+
+
 def benchmark(a: argparse.Namespace) -> dict:
     from pyspark.sql import functions as F
 
@@ -88,18 +93,25 @@ def benchmark(a: argparse.Namespace) -> dict:
 
     spark = build_session("benchmark")
     g = spark.read.parquet(a.features).withColumn("anchor", F.col("local_365d_500m_median_ppm2"))
-    s = cohort.year_split(g, "year", a.train_end_year, a.validation_year, a.test_year)
+    s = cohort.year_split(g, "year", a.train_end_year, a.validation_year, a.test_year, a.minimum_rows)
     names = {"price": "valeur_fonciere", "surface": "surface_reelle_bati"}
     specs = ml.named_specs(g, a.sets, a.target, **names)
-    fitted, log = ml.select_and_refit(a.families, specs, s["development"], s["validation"], s["final_train"], ml.FULL_GRID if a.search == "full" else None, a.search == "full")
-    out = written(ml.export_predictions(ml.median_baseline(s["final_train"], s["test"], "code_postal", "price_per_m2", "surface_reelle_bati"), fitted, "id_mutation", "valeur_fonciere"), "predictions")
+    chosen: dict = {}
+    fitted, log = ml.select_and_refit(a.families, specs, s["development"], s["validation"], s["final_train"], ml.FULL_GRID if a.search == "full" else None, a.search == "full", chosen)
+    out = ml.export_predictions(ml.median_baseline(s["final_train"], s["test"], "code_postal", "price_per_m2", "surface_reelle_bati"), fitted, "id_mutation", "valeur_fonciere")
+    # the blend and the correction are chosen on the validation year, by models that have not seen it
+    worth = lambda df: df.select("id_mutation", *[(F.col(c) * F.col("surface_reelle_bati")).alias(c) for c in ANCHORS])
+    known = ml.export_predictions(s["validation"], chosen, "id_mutation", "valeur_fonciere").join(worth(s["validation"]), "id_mutation")
+    both, how = stats.combined(written(known, "validation"), out.join(worth(s["test"]), "id_mutation"), "valeur_fonciere", [f"prediction_{n}" for n in fitted], ANCHORS)
+    out = written(both.drop(*ANCHORS).withColumnsRenamed({"blend": "prediction_blend", "corrected": "prediction_corrected"}), "predictions")
     publish.publish_table(out, f"{a.output_dir}/predictions")
     for name, f in fitted.items():
         publish.publish_model(f.model, f"{a.output_dir}/models/{name}", ml.described(f), spark)
-    errors = out.select("id_mutation", *[F.abs(F.col(f"prediction_{n}") - F.col("valeur_fonciere")).alias(n) for n in fitted])
-    intervals = [r.asDict() for r in stats.bootstrap_intervals(errors, "id_mutation", list(fitted), a.bootstrap_repetitions, next(iter(fitted))).collect()]
-    metrics = {n: stats.metrics(out, "valeur_fonciere", f"prediction_{n}").first().asDict() for n in fitted}
-    said = {"trials": log, "metrics": metrics, "intervals": intervals, "costs": {n: ml.timed(f, s["test"]) for n, f in fitted.items()}}
+    scored = [*fitted, "blend", "corrected"]
+    errors = out.select("id_mutation", *[F.abs(F.col(f"prediction_{n}") - F.col("valeur_fonciere")).alias(n) for n in scored])
+    intervals = [r.asDict() for r in stats.bootstrap_intervals(errors, "id_mutation", scored, a.bootstrap_repetitions, next(iter(fitted))).collect()]
+    metrics = {n: stats.metrics(out, "valeur_fonciere", f"prediction_{n}").first().asDict() for n in scored}
+    said = {"trials": log, "combined": how, "metrics": metrics, "intervals": intervals, "costs": {n: ml.timed(f, s["test"]) for n, f in fitted.items()}}
     publish.write_json(f"{a.output_dir}/report.json", said, default=str)
     drop_written(spark)
     return said

@@ -101,6 +101,8 @@ class Spec:
     price: str = "price"
     surface: str = "surface"
     anchor: str = "anchor"
+    #: What a missing category becomes: a level of its own, or its training rows' `most_frequent` one.
+    missing: str = "own_level"
 
 
 @dataclass
@@ -110,6 +112,7 @@ class Fitted:
     model: PipelineModel
     seconds: float = 0.0
     meta: dict = field(default_factory=dict)
+    modes: dict[str, str] = field(default_factory=dict)
 
 
 def target_column(spec: Spec) -> F.Column:
@@ -134,13 +137,24 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: found[i][0] if i in found else 0.0 for i, c in enumerate(columns)}
 
 
-def prepared(df: DataFrame, spec: Spec, medians: dict[str, float]) -> DataFrame:
-    """Numbers imputed by training medians with missing flags set before; categories with an own level for missing."""
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Each category's most frequent level, the first by name of equally frequent ones; a column without levels has none. One pass over all
+    columns, whose levels are counted and reduced by key."""
+    if not columns:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for c in columns])).alias("x")).select("x.*").where("level IS NOT NULL")
+    counted = long.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+    return {r["column"]: r["best"]["level"] for r in counted.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "level")).alias("best")).collect()}
+
+
+def prepared(df: DataFrame, spec: Spec, medians: dict[str, float], modes: dict[str, str] | None = None) -> DataFrame:
+    """Numbers imputed by training medians with missing flags set before; missing categories get their mode, or a level of their own where
+    there is none."""
     out = df
     for c in spec.numeric:
         out = out.withColumn(f"{c}__missing", F.col(c).isNull().cast("double"))
     out = out.withColumns({f"{c}__in": F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in spec.numeric})
-    return out.withColumns({f"{c}__cat": F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in spec.categorical})
+    return out.withColumns({f"{c}__cat": F.coalesce(F.col(c).cast("string"), F.lit((modes or {}).get(c, MISSING))) for c in spec.categorical})
 
 
 def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: bool = False) -> Fitted:
@@ -150,7 +164,8 @@ def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: boo
     start = time.perf_counter()
     train = train.withColumn("__y", target_column(spec)).where(F.col("__y").isNotNull() & ~F.isnan("__y"))
     medians = exact_medians(train, spec.numeric)
-    rows = prepared(train, spec, medians)
+    modes = most_frequent(train, spec.categorical) if spec.missing == "most_frequent" else {}
+    rows = prepared(train, spec, medians, modes)
     numbers = [f"{c}__in" for c in spec.numeric] + [f"{c}__missing" for c in spec.numeric]
     stages: list = []
     cats = list(spec.categorical)
@@ -189,22 +204,22 @@ def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: boo
     finally:
         for h in held:
             h.unpersist()
-    return Fitted(spec, medians, model, time.perf_counter() - start, {"family": family, "config": config, "retrospective_static_context": True})
+    return Fitted(spec, medians, model, time.perf_counter() - start, {"family": family, "config": config, "retrospective_static_context": True}, modes)
 
 
 def described(fitted: Fitted) -> dict:
     """What, beside the pipeline itself, a model needs to be loaded again."""
-    return {"spec": asdict(fitted.spec), "medians": fitted.medians, "seconds": fitted.seconds, **fitted.meta}
+    return {"spec": asdict(fitted.spec), "medians": fitted.medians, "seconds": fitted.seconds, "modes": fitted.modes, **fitted.meta}
 
 
 def load(spark: SparkSession, path: str) -> Fitted:
     """A model as `publish.publish_model` leaves it, with `described` as its meta."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    return Fitted(Spec(**meta["spec"]), meta["medians"], PipelineModel.load(f"{path}/model"), meta["seconds"], {k: v for k, v in meta.items() if k not in ("spec", "medians", "seconds")})
+    return Fitted(Spec(**meta["spec"]), meta["medians"], PipelineModel.load(f"{path}/model"), meta["seconds"], {k: v for k, v in meta.items() if k not in ("spec", "medians", "seconds", "modes")}, meta.get("modes", {}))
 
 
 def predict(fitted: Fitted, df: DataFrame, name: str = "prediction") -> DataFrame:
-    out = fitted.model.transform(prepared(df, fitted.spec, fitted.medians))
+    out = fitted.model.transform(prepared(df, fitted.spec, fitted.medians, fitted.modes))
     return out.select(*df.columns, inverse_column(fitted.spec, "__raw").alias(name))
 
 
@@ -232,16 +247,22 @@ def saved_bytes(model: PipelineModel, spark: SparkSession) -> int:
         fs.delete(where, True)
 
 
-def select_and_refit(families: Sequence[str], specs: dict[str, Spec], development: DataFrame, validation: DataFrame, final_train: DataFrame, grid: dict[str, list[dict]] | None = None, early_stop: bool = False) -> tuple[dict[str, Fitted], list[dict]]:
-    """For each feature set and family the configuration of least validation MAE (the first of equals), refitted on final_train; and the trial log."""
+def select_and_refit(families: Sequence[str], specs: dict[str, Spec], development: DataFrame, validation: DataFrame, final_train: DataFrame, grid: dict[str, list[dict]] | None = None, early_stop: bool = False, chosen: dict[str, Fitted] | None = None) -> tuple[dict[str, Fitted], list[dict]]:
+    """For each feature set and family the configuration of least validation MAE (the first of equals), refitted on final_train; and the trial log.
+
+    chosen, if given, gets the winners as fitted on development: their validation predictions are free of the validation year."""
     log, out = [], {}
     for set_name, spec in specs.items():
         for family in families:
-            trials = []
+            trials, best = [], None
             for config in (grid or GRID)[family]:
                 fitted = fit(family, config, development, spec, early_stop)
                 trials.append({"features": set_name, "family": family, "config": config, "mae": mae(predict(fitted, validation), spec.price, "prediction"), "seconds": fitted.seconds})
+                if trials[-1]["mae"] == min(t["mae"] for t in trials) and sum(t["mae"] == trials[-1]["mae"] for t in trials) == 1:
+                    best = fitted
             log += trials
+            if chosen is not None:
+                chosen[f"{family}_{set_name}"] = best
             out[f"{family}_{set_name}"] = fit(family, min(trials, key=lambda t: t["mae"])["config"], final_train, spec, early_stop)
     return out, log
 

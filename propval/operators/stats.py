@@ -244,6 +244,23 @@ def correction_search(df: DataFrame, actual: str, base: str, anchors: Sequence[s
     return per.select(F.explode(F.array(*[F.struct(F.lit(a).alias("anchor"), "weight", F.col(f"c{i}").alias("mae")) for i, a in enumerate(anchors)])).alias("r")).select("r.*")
 
 
+def combined(validation: DataFrame, test: DataFrame, actual: str, models: Sequence[str], anchors: Sequence[str]) -> tuple[DataFrame, dict]:
+    """test with `blend` and `corrected`, and what was chosen on the validation rows alone: the weights of the models' blend, and for the
+    model of least error the anchor and weight of its correction. Both tables have the models' predictions and the anchors' values."""
+    blend = blend_search(validation, actual, models).orderBy("mae", *[f"w_{m}" for m in models]).first()
+    errors = validation.agg(*[F.avg(F.abs(F.col(m) - F.col(actual))).alias(m) for m in models]).first()
+    base = min(models, key=lambda m: errors[m])
+    fix = correction_search(validation, actual, base, anchors).orderBy("mae", "anchor", "weight").first()
+    share = fix["weight"] / 100.0
+    out = test.withColumns(
+        {
+            "blend": sum((F.col(m) * (blend[f"w_{m}"] / 10.0) for m in models), F.lit(0.0)),
+            "corrected": F.coalesce(F.col(base) * share + F.col(fix["anchor"]) * (1.0 - share), F.col(base)),
+        }
+    )
+    return out, {"blend": {**{m: blend[f"w_{m}"] / 10.0 for m in models}, "validation_mae": blend["mae"]}, "correction": {"base": base, "anchor": fix["anchor"], "weight": share, "validation_mae": fix["mae"]}}
+
+
 def best(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:
     """The row of the smallest value of each group, first by `tie`."""
     w = W.partitionBy(*by).orderBy(value, *tie) if by else W.orderBy(value, *tie)

@@ -299,6 +299,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT area, sale_id, round(price, 4) AS price, CASE WHEN rd <= DATE '1997-06-30' THEN round(surface, 4) END AS surface, CASE WHEN rd <= DATE '1997-06-30' THEN rooms END AS rooms, CASE WHEN rd <= DATE '1997-06-30' THEN CAST(DATE '1997-06-30' - rd AS INTEGER) END AS record_age_days FROM t""",
         "imputed_features": f"""WITH {SALE}, s AS (SELECT sale_id, sale_year, surface, CASE WHEN sale_id % 6 <> 0 THEN CAST(rooms AS DOUBLE) END AS rooms, CASE WHEN sale_id % 8 <> 0 THEN segment END AS segment FROM sale), m AS (SELECT median(surface) AS s, median(rooms) AS r FROM s WHERE sale_year <= 1999)
           SELECT sale_id, round(coalesce(surface, m.s), 4) AS surface_in, CAST(surface IS NULL AS DOUBLE) AS surface_missing, round(coalesce(rooms, m.r), 4) AS rooms_in, CAST(rooms IS NULL AS DOUBLE) AS rooms_missing, coalesce(segment, '__MISSING__') AS segment_cat FROM s CROSS JOIN m WHERE sale_year = 2000""",
+        "imputed_modes": f"""WITH {SALE}, s AS (SELECT sale_id, sale_year, CASE WHEN sale_id % 8 <> 0 THEN segment END AS segment, CASE WHEN sale_id % 6 <> 0 THEN CAST(area AS VARCHAR) END AS area FROM sale),
+          a AS (SELECT segment AS m FROM s WHERE sale_year <= 1999 AND segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), b AS (SELECT area AS m FROM s WHERE sale_year <= 1999 AND area IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+          SELECT sale_id, coalesce(segment, (SELECT m FROM a)) AS segment_cat, coalesce(area, (SELECT m FROM b)) AS area_cat FROM s WHERE sale_year = 2000""",
         "target_forms": f"""WITH {SALE}, t AS (SELECT *, CASE WHEN sale_id % 9 <> 0 THEN area * 100 + 500 END AS anchor FROM sale)
           SELECT sale_id, round(ln(1 + price), 4) AS y_total, round(price, 4) AS price_total, round(ln(1 + ppm2), 4) AS y_ppm2, CASE WHEN ppm2 IS NOT NULL THEN round(price, 4) END AS price_ppm2, round(ln(ppm2 / anchor), 4) AS y_residual, CASE WHEN anchor IS NOT NULL AND ppm2 IS NOT NULL THEN round(price, 4) END AS price_residual FROM t""",
         "dealt_values": f"""WITH {SALE}, s AS (SELECT sale_id, surface FROM sale WHERE sale_year = 2000 ORDER BY md5(sale_id || '|42'), sale_id LIMIT 1000), l AS (SELECT sale_id, row_number() OVER (ORDER BY md5(sale_id || '|a1'), sale_id) AS n FROM s), r AS (SELECT surface, row_number() OVER (ORDER BY md5(sale_id || '|b1'), sale_id) AS n FROM s)

@@ -560,6 +560,15 @@ def imputed_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("sale_id", *[F.col(f"{c}__{k}").alias(f"{c}_{k}") for c in spec.numeric for k in ("in", "missing")], F.col("segment__cat").alias("segment_cat")))
 
 
+@query
+def imputed_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Missing categories as the training years' most frequent level."""
+    s = fx.sale(spark, d).withColumns({"segment": F.when(F.col("sale_id") % 8 != 0, F.col("segment")), "area": F.when(F.col("sale_id") % 6 != 0, F.col("area"))})
+    spec = ml.Spec([], ["segment", "area"], missing="most_frequent")
+    out = ml.prepared(s.where("sale_year = 2000"), spec, {}, ml.most_frequent(s.where("sale_year <= 1999"), spec.categorical))
+    return out.select("sale_id", F.col("segment__cat").alias("segment_cat"), F.col("area__cat").alias("area_cat"))
+
+
 @query
 def target_forms(spark: SparkSession, d: str) -> DataFrame:
     s = fx.sale(spark, d).withColumn("anchor", F.when(F.col("sale_id") % 9 != 0, F.col("area") * 100.0 + 500.0))

@@ -132,3 +132,30 @@ def test_command_line(spark, table, tmp_path, monkeypatch, capsys):
     for bad in (["build", "--data", "x", "--output", "y", "--availability-lag-days", "0"], ["value", "--gold", "g", "--longitude", "2", "--latitude", "48", "--surface", "5", "--date", "2025-01-01"]):
         with pytest.raises(SystemExit):
             cli.main(bad)
+
+
+def test_benchmark_command(spark, tmp_path, monkeypatch, capsys):
+    import propval.session
+
+    monkeypatch.setattr(propval.session, "build_session", lambda *a, **k: spark)
+    head = ",".join([*readers.TEXT_COLUMNS, *readers.NUMBER_COLUMNS])
+    lines = [head] + [
+        f"m{i:03d},202{1 + i // 30}-{1 + i % 12:02d}-{1 + i % 28:02d},Vente,bis,RUE,0012,75011,75111,P{i % 3},2,{(40 + i % 25) * (9000 + i * 10)},{i % 4 + 1},{40 + i % 25},{2 + i % 2},1,,{2.37 + (i % 7) * 0.0005},{48.85 + (i % 5) * 0.0005}"
+        for i in range(90)
+    ]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    gold.gold(readers.transactions(spark, [str(tmp_path / "a.csv")])).write.parquet(str(tmp_path / "gold"))
+    cli.main(["benchmark", "--features", str(tmp_path / "gold"), "--output-dir", str(tmp_path / "out"), "--train-end-year", "2021", "--validation-year", "2022", "--test-year", "2023", "--families", "ridge", "--sets", "base", "comparables", "--bootstrap-repetitions", "20", "--minimum-rows", "20"])
+    said = json.loads(capsys.readouterr().out)
+    models = ["ridge_base", "ridge_comparables"]
+    assert sum(said["combined"]["blend"][f"prediction_{m}"] for m in models) == pytest.approx(1.0)
+    least = {m: min(t["mae"] for t in said["trials"] if t["features"] == m.removeprefix("ridge_")) for m in models}
+    assert said["combined"]["blend"]["validation_mae"] <= min(least.values()) + 0.01
+    fix = said["combined"]["correction"]
+    assert fix["base"] == f"prediction_{min(models, key=least.get)}" and fix["validation_mae"] <= min(least.values()) + 0.01
+    rows = spark.read.parquet(str(tmp_path / "out/predictions")).join(spark.read.parquet(str(tmp_path / "gold")).select("id_mutation", F.col(fix["anchor"]).alias("per"), "surface_reelle_bati"), "id_mutation").collect()
+    assert len(rows) == 30
+    for r in rows:
+        assert r.prediction_blend == pytest.approx(sum(said["combined"]["blend"][f"prediction_{m}"] * r[f"prediction_{m}"] for m in models))
+        assert r.prediction_corrected == pytest.approx(r[fix["base"]] if r.per is None else fix["weight"] * r[fix["base"]] + (1 - fix["weight"]) * r.per * r.surface_reelle_bati)
+    assert {"blend", "corrected", *models} == set(said["metrics"]) == {i["model"] for i in said["intervals"]}
