@@ -60,8 +60,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-#: Longitudes and latitudes of the city. Fixed values.
-LONGITUDES, LATITUDES = (2.20, 2.48), (48.80, 48.92)
+#: Longitudes and latitudes of the city, and rooms, of which a studio may have none. Fixed values.
+LONGITUDES, LATITUDES, ROOMS = (2.20, 2.48), (48.80, 48.92), (0, 15)
 
 
 def build(a: argparse.Namespace) -> dict:
@@ -131,7 +131,7 @@ def value(a: argparse.Namespace) -> dict:
 
     spark = build_session("value")
     x, y = (spark.range(1).select(c).first()[0] for c in geo.lambert93(F.lit(a.longitude), F.lit(a.latitude)))
-    prop = validated(Property(x, y, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code, a.number, a.suffix, a.asking_price))
+    prop = validated(Property(x, y, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code, a.number, a.suffix, a.asking_price), rooms=ROOMS)
     history, found = spark.read.parquet(a.gold), {"method": "coordinates"}
     if a.addresses and a.number is not None:
         prop, found = located(spark.read.parquet(a.addresses), prop)
@@ -199,7 +199,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if a.command == "value":
         try:
             years = tuple(a.supported_years) if a.supported_years else None
-            validated(Property(a.longitude, a.latitude, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code.upper(), a.number, a.suffix, a.asking_price), years=years, box=(*LONGITUDES, *LATITUDES))
+            validated(Property(a.longitude, a.latitude, a.surface, a.rooms, a.date, a.postal_code, a.commune, a.street_code.upper(), a.number, a.suffix, a.asking_price), rooms=ROOMS, years=years, box=(*LONGITUDES, *LATITUDES))
         except ValueError as e:
             p.error(str(e))
     print(json.dumps({"build": build, "enrich": enrich, "benchmark": benchmark, "value": value}[a.command](a), indent=2, default=str))

@@ -40,7 +40,7 @@ def normal_address(p: Property) -> str:
     return f"{p.commune}_{p.street_code}_{p.number}_{normal_suffix(p.suffix)}"
 
 
-def validated(p: Property, surface: tuple[float, float] = (9, 300), rooms: tuple[int, int] = (0, 15), years: tuple[int, int] | None = None, box: tuple[float, float, float, float] | None = None) -> Property:
+def validated(p: Property, surface: tuple[float, float] = (9, 300), rooms: tuple[int, int] = (1, 15), years: tuple[int, int] | None = None, box: tuple[float, float, float, float] | None = None) -> Property:
     """p, or ValueError with what is out of the domain."""
     faults = []
     if not surface[0] <= p.surface <= surface[1]:
