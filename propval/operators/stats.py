@@ -159,13 +159,27 @@ def calibration_pool(calibration: DataFrame, subjects: DataFrame, key: str, area
 PREDICTIVE, LEAST_RATIOS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95), 100
 
 
-def own_bands(valid: DataFrame, tiers: DataFrame, key: str, area: str, estimate: str) -> DataFrame:
+#: Pairs of a subject and a row of its group up to which they are joined. Beyond, ranks do; both give the same.
+MOST_PAIRS = 50_000_000
+
+
+def own_bands(valid: DataFrame, tiers: DataFrame, key: str, area: str, estimate: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """key, n_ratios, __q, the shares of `predictive`, of the subjects whose pool is a price band of their own (tiers 0 and 2).
 
-    valid: __area, p, v. The band's quantiles and counts come from ranks (bands.band_statistics), not from its rows."""
+    valid: __area, p, v. The pairs that a join on the group would meet are counted first. If they are more than most_pairs, the bands' quantiles and counts
+    come from ranks (bands.band_statistics), without pairs; else from the join, which is faster where it is small."""
     group = lambda a: F.concat(F.lit("area "), F.col(a).cast("string"))
     asks = tiers.where("tier IN (0, 2)").select(F.col(key).alias("key"), F.when(F.col("tier") == 0, group(area)).otherwise("all").alias("g"), (F.col(estimate) * 0.5).alias("low"), (F.col(estimate) * 2.0).alias("high"), "__ask")
     rows = valid.where("p IS NOT NULL").select(F.explode(F.array(group("__area"), F.lit("all"))).alias("g"), "p", "v").join(asks.select("g").distinct(), "g", "left_semi")
+    each = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    pairs = asks.groupBy("g").agg(F.count(F.lit(1)).alias("m")).join(each, "g").agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+    if (pairs or 0) <= most_pairs:
+        near = F.round(F.abs(F.col("v") - 1.0), 9)
+        # the subjects are few bytes and much work: many tasks, however small the table
+        spread = asks.repartition(int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+        met = spread.join(written(rows, "band-rows"), "g").where(F.col("p").between(F.col("low"), F.col("high")))
+        shape = [F.percentile("v", F.array(*[F.lit(p) for p in PREDICTIVE])).alias("__q"), *[F.avg((near <= s).cast("double")).alias(f"p_within_{round(100 * s)}") for s in (0.1, 0.2)]]
+        return met.groupBy(F.col("key").alias(key)).agg(*shape, F.count("v").alias("n_ratios"), F.avg((F.col("v") >= F.col("__ask")).cast("double")).alias("p_at_least_ask"))
     # the values that begin and end the ratios within 10 and 20 %, as `off` sees them: one row
     off = F.round(F.abs(F.col("v") - 1.0), 9)
     ends = [e for share in (0.1, 0.2) for e in (F.min(F.when(off <= share, F.col("v"))), F.min(F.when((off > share) & (F.col("v") > 1.0), F.col("v"))))]
@@ -185,12 +199,12 @@ def own_bands(valid: DataFrame, tiers: DataFrame, key: str, area: str, estimate:
     return told.select(F.col("key").alias(key), F.array(*[quantile(i, p) for i, p in enumerate(PREDICTIVE)]).alias("__q"), within(k).alias("p_within_10"), within(k + 2).alias("p_within_20"), F.col("n").alias("n_ratios"), (1.0 - at(k + 4, "count") / F.col("n")).alias("p_at_least_ask"))
 
 
-def predictive(calibration: DataFrame, subjects: DataFrame, key: str, area: str, predicted: str, estimate: str, ratio: str, ask: str) -> DataFrame:
+def predictive(calibration: DataFrame, subjects: DataFrame, key: str, area: str, predicted: str, estimate: str, ratio: str, ask: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Exact empirical distribution of estimate * (ratio of the subject's own calibration pool), with no draws.
 
     key, tier, n_ratios, value_qNN, p_within_10, p_within_20, p_at_least_ask of every subject; the distribution is null
     where the pool has fewer than LEAST_RATIOS ratios. A subject of unknown area or estimate gets the widest pool that fits. Pools
-    that many subjects share (an area, everything) are summed up once; a subject's own price band is read off ranks, without pairs."""
+    that many subjects share (an area, everything) are summed up once; see own_bands for a subject's own price band."""
     tiers = subjects.join(calibration_pool(calibration, subjects, key, area, predicted, estimate).select(key, "tier"), key)
     tiers = written(tiers.withColumn("__ask", F.try_divide(F.col(ask), F.col(estimate))), "tiers")
     valid = calibration.where(F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.abs(F.col(ratio)) < math.inf)).select(F.col(area).alias("__area"), F.col(predicted).cast("double").alias("p"), F.col(ratio).cast("double").alias("v"))
@@ -204,7 +218,7 @@ def predictive(calibration: DataFrame, subjects: DataFrame, key: str, area: str,
     used = {r["tier"] for r in tiers.select("tier").distinct().collect()}
     parts = []
     if used & {0, 2}:
-        parts.append(own_bands(valid, tiers, key, area, estimate).select(*cols, "p_at_least_ask"))
+        parts.append(own_bands(valid, tiers, key, area, estimate, most_pairs).select(*cols, "p_at_least_ask"))
     if 1 in used:
         local = valid.groupBy("__area").agg(*shape).join(quantiled(["__area"]), "__area")
         parts.append(asks(1).select(key, "__area").join(local, "__area").join(counts_below(valid, asks(1), ["__area"]).select(key, "below"), key, "left").select(*cols, share))

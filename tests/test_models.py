@@ -149,3 +149,18 @@ def test_band_statistics_equal_brute_force(spark, n):
             at = p * (len(inside) - 1)
             assert (x["low"], x["high"]) == (inside[math.floor(at)], inside[math.ceil(at)])
         assert got[key]["found"][4]["count"] == sum(v < bound for v in inside)
+
+
+def test_predictive_is_the_same_by_ranks_and_by_pairs(spark):
+    from propval.operators import stats
+
+    rng = np.random.default_rng(9)
+    past = [("ab"[i % 2] if i % 40 else "c", float(p), float(r)) for i, (p, r) in enumerate(zip(rng.lognormal(12, 0.6, 900), np.round(rng.normal(1, 0.15, 900), 3)))]
+    own = [(i, ("a", "b", "c", None)[i % 4], float(e), float(e * rng.uniform(0.8, 1.2)) if i % 7 else None) for i, e in enumerate(rng.lognormal(12, 0.6, 60))]
+    calibration = spark.createDataFrame(past, "area string, predicted double, ratio double")
+    subjects = spark.createDataFrame(own, "id int, area string, estimate double, ask double")
+    got = [{r["id"]: r for r in stats.predictive(calibration, subjects, "id", "area", "predicted", "estimate", "ratio", "ask", most).collect()} for most in (10**9, 0)]
+    assert set(got[0]) == set(got[1]) == set(range(60)) and {r["tier"] for r in got[0].values()} >= {0, 2}
+    for i, r in got[0].items():
+        for c, v in r.asDict().items():
+            assert got[1][i][c] == (v if v is None or isinstance(v, int) else pytest.approx(v)), (i, c)
