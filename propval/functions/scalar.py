@@ -112,9 +112,10 @@ def months_since(date: Column, year: int) -> Column:
 
 
 def floored_days(later: Column, earlier: Column) -> Column:
-    """Whole days elapsed, rounded down (not the difference of calendar days)."""
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
-    return F.floor((seconds(later) - seconds(earlier)) / 86400.0).cast("long")
+    """Whole days elapsed, rounded down (not the difference of calendar days), to the microsecond."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gone, day = micros(later) - micros(earlier), F.lit(86_400_000_000)
+    return ((gone - F.pmod(gone, day)) / day).cast("long")
 
 
 def day_number(date: Column) -> Column:

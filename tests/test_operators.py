@@ -43,6 +43,11 @@ def test_day_differences_floor_elapsed_time(spark):
     assert one(spark, scalar.floored_days(a, b)) == 0
 
 
+def test_day_differences_count_fractions_of_a_second(spark):
+    later, earlier = F.lit(datetime(2021, 1, 2, 0, 0, 0, 100_000)), F.lit(datetime(2021, 1, 1, 0, 0, 0, 900_000))  # 0.8 s short of a day
+    assert one(spark, scalar.floored_days(later, earlier)) == 0 and one(spark, scalar.floored_days(earlier, later)) == -1
+
+
 def test_clip_keeps_null(spark):
     assert one(spark, scalar.clipped(F.lit(None).cast("double"), 1.0)) is None
     assert one(spark, scalar.clipped(F.lit(0.5), 1.0)) == 1.0
