@@ -72,13 +72,18 @@ CELL_METERS = {8: 531.4, 9: 200.8, 10: 75.9}
 def cell(x: Column, y: Column, resolution: int) -> Column:
     """Id of the hexagon of the metric plane that holds (x, y): pointy-topped, in axial coordinates, the nearest centre.
 
+    A point on an edge or a corner is as near to several centres: it goes to the smallest (q, r).
     The same neighbourhoods as the usual global hexagonal grid at this resolution, by metres on the map's own projection; ids differ from it."""
     m = CELL_METERS[resolution]
-    q, r = (x * (3.0**0.5 / 3.0) - y / 3.0) / m, y * (2.0 / 3.0) / m
-    s = -q - r
-    near = lambda c: F.floor(c + 0.5)
-    dq, dr, ds = (F.abs(near(c) - c) for c in (q, r, s))
-    # of the three rounded coordinates the one that moved most is what the other two leave
-    first = F.when((dq > dr) & (dq > ds), -near(r) - near(s)).otherwise(near(q))
-    second = F.when((dq > dr) & (dq > ds), near(r)).when(dr > ds, -near(q) - near(s)).otherwise(near(r))
-    return F.concat(F.lit(f"c{resolution}_"), first.cast("long").cast("string"), F.lit("_"), second.cast("long").cast("string"))
+    wide, high = F.lit(m) * F.lit(3.0**0.5), m * 1.5
+    square = lambda c: c * c
+
+    def centre(q: Column, r: Column) -> Column:
+        away = square(x - wide * (q + r / F.lit(2.0))) + square(y - F.lit(high) * r)
+        return F.struct(away.alias("away"), q.cast("long").alias("q"), r.cast("long").alias("r"))
+
+    # rows of centres are 1.5 edges apart and none is further than an edge, so one of three rows holds the nearest; in each, one of the two beside x
+    rows = [F.floor(y / F.lit(high) + 0.5) + k for k in (-1, 0, 1)]
+    beside = [(F.floor(x / wide - r / F.lit(2.0)) + k, r) for r in rows for k in (0, 1)]
+    nearest = F.array_min(F.array(*[centre(q.cast("double"), r.cast("double")) for q, r in beside]))
+    return F.concat(F.lit(f"c{resolution}_"), nearest["q"].cast("string"), F.lit("_"), nearest["r"].cast("string"))

@@ -96,6 +96,13 @@ def test_cells_are_the_nearest_hexagon(spark):
             assert (int(got[1]), int(got[2])) == min(((q0 + a, k0 + b) for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2)), key=lambda c: far(*c)) and got[0] == f"c{r}"
 
 
+def test_cells_of_points_between_two_centres_are_the_smaller(spark):
+    m = geo.CELL_METERS[8]
+    for k in (-3, -1, 1, 5):  # x = 0 is as far from (q, k) as from (q + 1, k)
+        for off in (-200.0, 10.0):
+            assert one(spark, geo.cell(F.lit(0.0), F.lit(m * 1.5 * k + off), 8)) == f"c8_{(-k - 1) // 2}_{k}"
+
+
 # joins -----------------------------------------------------------------------------------------------
 
 
