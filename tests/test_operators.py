@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,31 @@ def test_cells_are_the_nearest_hexagon(spark):
             assert (int(got[1]), int(got[2])) == min(((q0 + a, k0 + b) for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2)), key=lambda c: far(*c)) and got[0] == f"c{r}"
 
 
+def test_comparables_are_measured_by_blocks_and_equal_the_pairs(spark):
+    rng = random.Random(5)
+    rows = [(i, date(2015, 1, 1) + timedelta(rng.randrange(2200)), rng.choice([None, 7.5, *[rng.uniform(-2500, 2500)] * 20]), rng.uniform(-2500, 2500), rng.choice([None, 40.0, 50.0, 55.0]), rng.choice([None, 1, 2, 3]), rng.choice([None, *[rng.uniform(1000, 9000)] * 9])) for i in range(400)]
+    s = spark.createDataFrame(rows, "sale_id int, sale_date date, x double, y double, surface double, rooms int, ppm2 double").persist()
+    pairs = {}
+    for r in comps.candidates(s, s).collect():
+        pairs.setdefault(r.sale_id, []).append(r)
+    features = comps.all_features(s, s)
+    assert "Join" not in features._jdf.queryExecution().executedPlan().toString()  # no pairs on disk
+    got = {r.sale_id: r for r in features.collect()}
+    assert len(got) == len(rows) and len(pairs) > 100
+    for i, r in got.items():
+        mine = pairs.get(i, [])
+        for radius, days in comps.WINDOWS:
+            p = [c.p for c in mine if c.d <= radius and c.age <= days]
+            assert r[f"local_{days}d_{radius}m_count"] == len(p) and r[f"local_{days}d_{radius}m_median_ppm2"] == (pytest.approx(median(p)) if p else None)
+        p = [c.p for c in mine if c.d <= 500 and c.age <= 365]
+        assert r.local_365d_500m_mad_ppm2 == (pytest.approx(median([abs(v - median(p)) for v in p])) if p else None)
+        assert r.nearest_prior_sale_m == (pytest.approx(min(c.d for c in mine)) if mine else None) and r.median_comparable_age_days == (median([c.age for c in mine]) if mine else None)
+        w = [math.exp(-c.d / 350 - (c.age - 90) / 240) for c in mine]
+        assert r.weighted_comp_ppm2 == (pytest.approx(sum(a * c.p for a, c in zip(w, mine, strict=True)) / sum(w)) if mine else None)
+        alike = [(a * math.exp(-abs(math.log(c.s / c.surface)) / 0.25), c.p) for a, c in zip(w, mine, strict=True) if c.s and c.surface and 0.7 <= c.s / c.surface <= 1.3 and (c.rooms is None or c.r is None or abs(c.r - c.rooms) <= 1)]
+        assert r.similar_comparable_count == (len(alike) or None) and r.similar_weighted_comp_ppm2 == (pytest.approx(sum(a * b for a, b in alike) / sum(a for a, _ in alike)) if alike else None)
+
+
 def test_cells_of_points_between_two_centres_are_the_smaller(spark):
     m = geo.CELL_METERS[8]
     for k in (-3, -1, 1, 5):  # x = 0 is as far from (q, k) as from (q + 1, k)
