@@ -286,13 +286,17 @@ INTERVAL_REPETITIONS, PAIR_REPETITIONS = 500, 1_000
 
 
 def poisson_weight(digest: Column, part: int) -> Column:
-    """Poisson(1) resampling weight from eight of an MD5's hexadecimal digits: the same in any engine."""
-    u = F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("double") / 4294967296.0
-    out, p, total = F.lit(0), math.exp(-1), 0.0
+    """Poisson(1) resampling weight from eight of an MD5's hexadecimal digits: the same in any engine.
+
+    The weight is how many steps of the distribution the digits reach; as text of one length they compare as their numbers do."""
+    digits, steps, p, total = F.substring(digest, 8 * part + 1, 8), [], math.exp(-1), 0.0
     for k in range(8):
         total += p
-        out = F.when(u >= total, k + 1).otherwise(out)
+        steps.append(f"{math.ceil(total * 2**32):08x}")
         p /= k + 1
+    out = F.lit(8)
+    for k in reversed(range(8)):  # the first steps are looked at first: most weights are small
+        out = F.when(digits < steps[k], k).otherwise(out)
     return out
 
 
@@ -300,11 +304,13 @@ def bootstrap_mae(df: DataFrame, key: str, errors: Sequence[str], repetitions: i
     """rep and mae_<model>: weighted mean absolute errors under shared resamples (rows are resampled jointly).
 
     One MD5 of (repetition div 4, id) gives the weights of four repetitions, so a row is repeated a quarter as often."""
-    each = df.select(key, *errors, F.explode(F.sequence(F.lit(0), F.lit((repetitions - 1) // 4))).alias("four")).withColumn("digest", F.md5(F.concat_ws("|", F.col("four").cast("string"), F.col(key).cast("string"))))
+    # numbered partitions: the planner would merge few bytes into a task or two, and these rows are repeated hundreds of times
+    rows = df.select(key, *errors).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    each = rows.select(key, *errors, F.explode(F.sequence(F.lit(0), F.lit((repetitions - 1) // 4))).alias("four")).withColumn("digest", F.md5(F.concat_ws("|", F.col("four").cast("string"), F.col(key).cast("string"))))
     each = each.select("four", *errors, *[poisson_weight(F.col("digest"), j).alias(f"w{j}") for j in range(4)])
     sums = each.groupBy("four").agg(*[F.sum(f"w{j}").alias(f"n{j}") for j in range(4)], *[F.sum(F.col(e) * F.col(f"w{j}")).alias(f"s{j}_{e}") for j in range(4) for e in errors])
-    rows = [F.struct((F.col("four") * 4 + j).alias("rep"), *[(F.col(f"s{j}_{e}") / F.col(f"n{j}")).alias(f"mae_{e}") for e in errors]) for j in range(4)]
-    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("rep") < repetitions)
+    parts = [F.struct((F.col("four") * 4 + j).alias("rep"), *[(F.col(f"s{j}_{e}") / F.col(f"n{j}")).alias(f"mae_{e}") for e in errors]) for j in range(4)]
+    return sums.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where(F.col("rep") < repetitions)
 
 
 def bootstrap_intervals(df: DataFrame, key: str, errors: Sequence[str], repetitions: int = INTERVAL_REPETITIONS, baseline: str | None = None) -> DataFrame:

@@ -261,6 +261,12 @@ def test_simplex_and_weights():
     assert len(grid) == 66 and all(sum(w) == 10 and min(w) >= 0 for w in grid) and len(set(grid)) == 66
 
 
+def test_bootstrap_rows_are_spread_over_all_partitions(spark):
+    df = spark.range(4000, numPartitions=1).select("id", F.col("id").cast("double").alias("e"))
+    plan = stats.bootstrap_mae(df, "id", ["e"], 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan  # else the planner puts a small table's repetitions into one task
+
+
 def test_poisson_weights_have_mean_one(spark):
     w = spark.range(20000).select(stats.poisson_weight(F.md5(F.col("id").cast("string")), 3).alias("w"))
     r = w.agg(F.avg("w"), F.var_pop("w")).first()
