@@ -261,6 +261,15 @@ def test_simplex_and_weights():
     assert len(grid) == 66 and all(sum(w) == 10 and min(w) >= 0 for w in grid) and len(set(grid)) == 66
 
 
+def test_nearest_starts_with_small_rings_among_many_points(spark, monkeypatch):
+    radii, real = [], gridjoin.within
+    monkeypatch.setattr(gridjoin, "within", lambda a, b, r: radii.append(r) or real(a, b, r))
+    p = spark.range(2500).select((F.col("id") % 50 * 10).cast("double").alias("x"), (F.floor(F.col("id") / 50) * 10).cast("double").alias("y"))
+    t = spark.createDataFrame([(1, 3.0, 4.0), (2, 900.0, 490.0), (3, None, 0.0)], "k int, x double, y double")
+    assert {r.k: r.distance_m for r in gridjoin.nearest(t, p, "k").collect()} == {1: 5.0, 2: 410.0, 3: None}
+    assert radii[0] < 50 and radii[-1] == 500.0
+
+
 def test_bootstrap_rows_are_spread_over_all_partitions(spark):
     df = spark.range(4000, numPartitions=1).select("id", F.col("id").cast("double").alias("e"))
     plan = stats.bootstrap_mae(df, "id", ["e"], 8)._jdf.queryExecution().optimizedPlan().toString()
