@@ -152,6 +152,28 @@ def test_nearest_and_radius(spark):
     assert got == {1: (2, 3.0), 2: (0, 0.0), 3: (0, 0.0)}
 
 
+def test_radius_aggregate_equals_brute_force_and_makes_no_pairs(spark, monkeypatch):
+    """Dense and sparse places, points on the circle, repeated targets, odd weights and coordinates; never through a join of pairs."""
+    monkeypatch.setattr(gridjoin, "within", None)
+    rng = random.Random(8)
+    inf, nan = math.inf, math.nan
+    for n, wide, radius in ((3000, 900.0, 250.0), (60, 90000.0, 400.0), (400, 20.0, 250.0)):
+        pts = [(float(rng.randrange(int(wide))), rng.uniform(-wide, wide), float(rng.randrange(-50, 50))) for _ in range(n)]
+        pts += [(300.0, 400.0, 7.0), (0.0, radius, 3.0), (-radius, 0.0, None), (None, 1.0, 5.0), (nan, 1.0, 5.0), (inf, 1.0, 5.0)]
+        own = [(i, rng.uniform(0, wide), rng.uniform(-wide, wide)) for i in range(150)] + [(150, 0.0, 0.0), (151, -0.0, 0.0), (152, None, 0.0), (153, nan, 0.0), (154, inf, 1.0), (155, 1e7, 1e7)]
+        t, p = spark.createDataFrame(own, "k int, x double, y double"), spark.createDataFrame(pts, "x double, y double, w double").repartition(3)
+        got = {r.k: (r.n_points, r.weight_sum) for r in gridjoin.radius_aggregate(t, p, "k", radius, "w").collect()}
+        assert len(got) == len(own)
+        for k, x, y in own:
+            near = [w or 0.0 for a, b, w in pts if None not in (a, x) and math.hypot(x - a, y - b) <= radius and math.isfinite(x)]
+            assert got[k] == (len(near), sum(near)), k
+    odd = spark.createDataFrame([(0.0, 0.0, nan), (100.0, 0.0, inf), (200.0, 0.0, 1.0)], "x double, y double, w double")
+    at = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, 200.0, 0.0)], "k int, x double, y double")
+    got = {r.k: r.weight_sum for r in gridjoin.radius_aggregate(at, odd, "k", 50.0, "w").collect()}
+    assert math.isnan(got[1]) and got[2] == inf and got[3] == 1.0
+    assert [r.n_points for r in gridjoin.radius_aggregate(at, odd.limit(0), "k", 50.0).collect()] == [0, 0, 0]
+
+
 def test_polygons(spark):
     sq = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
     polys = spark.createDataFrame([(1, 55, sq(0.0, 3000.0)), (2, 70, sq(500.0, 900.0)), (3, 99, [(0.0, 0.0), (9.0, 9.0)])], "poly_id int, level int, ring array<struct<x:double,y:double>>")
