@@ -1,137 +1,147 @@
 """Order statistics of values among the rows of a group whose place is in a band, for many bands at once and without pairs.
 
-Rows are numbered within their group by place and by value, from global sorts. The ranks by value are a tree of FAN children a node, down to
-leaves of at most FAN rows. Each node keeps its rows in the order of their places, in chunks of FAN, with the children of each and how many of every
-child stand before the chunk. A band is a range of places; at every level two chunks tell how many of its rows each child has, and so into
-which child a sought rank leads and what the range is there. So an ask meets two chunks a level and one leaf at the end,
-however many rows its band holds."""
+The rows of a group are cut by value into blocks, and every block meets the group's asks, dealt into a few parts: a block and a part are one
+task's work. There the block's rows stand in the order of their places, so a band is a slice; a first pass counts the slices, which tells
+the blocks that hold the ranks that an ask seeks. In a second pass a wavelet matrix of the block (one level a bit of the values' ranks) finds a
+rank of a slice, or how many of it are below a bound, in as many steps as it has levels, for all asks together."""
 
 from __future__ import annotations
 
-import math
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from propval.session import written
 
-BITS = 5
-FAN = 1 << BITS
-#: Chunks that are summed together before their totals are.
-TOGETHER = 1 << 10
-
-
-def ranks(rows: DataFrame, asks: DataFrame, value: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows (g, the value, others) with `name`, their number within g by value, from 0; asks (g, x, after, others) with `name`, how many rows
-    of their group are less than x, or no greater if `after`.
-
-    One global sort; ties are split by a number, so that one value may be as frequent as it likes."""
-    others, asked = [c for c in rows.columns if c != "g"], [c for c in asks.columns if c not in ("g", "x", "after")]
-    none = lambda df, cols: F.lit(None).cast(df.select(F.struct(*cols).alias("s")).schema["s"].dataType)
-    events = rows.select("g", F.col(value).alias("x"), F.lit(1).alias("kind"), F.struct(*others).alias("row"), none(asks, asked).alias("ask")).unionByName(
-        asks.select("g", "x", F.when(F.col("after"), 2).otherwise(0).alias("kind"), none(rows, others).alias("row"), F.struct(*asked).alias("ask"))
-    )
-    ordered = events.withColumn("tie", F.monotonically_increasing_id()).orderBy("g", "x", "kind", "tie").drop("tie", "x")
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+#: Rows of a block and asks of a part, until a group has MOST of either; beyond, these grow and not their number.
+BLOCK_ROWS, PART_ASKS, MOST = 1 << 20, 1 << 16, 64
+
+
+class Wavelet:
+    """Of an array: the k-th smallest of a slice, and how many of a slice are below a bound."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.known, rest = np.unique(values, return_inverse=True)
+        self.levels = []
+        for shift in reversed(range(max(int(len(self.known) - 1).bit_length(), 1))):
+            high = (rest >> shift) & 1 == 1
+            zeros = np.concatenate([[0], np.cumsum(~high)])
+            self.levels.append((shift, zeros))
+            rest = np.concatenate([rest[~high], rest[high]])
+
+    def kth(self, left: np.ndarray, right: np.ndarray, k: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(k), dtype=np.int64)
+        for shift, zeros in self.levels:
+            a, b = zeros[left], zeros[right]
+            up = k >= b - a
+            k = np.where(up, k - (b - a), k)
+            left, right = np.where(up, left - a + zeros[-1], a), np.where(up, right - b + zeros[-1], b)
+            rank |= up.astype(np.int64) << shift
+        return self.known[rank]
+
+    def below(self, left: np.ndarray, right: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        upto, every, found = np.searchsorted(self.known, bound, "left"), right - left, np.zeros(len(bound), dtype=np.int64)
+        for shift, zeros in self.levels:
+            a, b = zeros[left], zeros[right]
+            up = (upto >> shift) & 1 == 1
+            found += np.where(up, b - a, 0)
+            left, right = np.where(up, left - a + zeros[-1], a), np.where(up, right - b + zeros[-1], b)
+        return np.where(upto >= len(self.known), every, found)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (g, v, others) with rank, their number within g by v, from 0. One global sort; ties are split by a number, so that one value may be
+    as frequent as it likes."""
+    ordered = rows.withColumn("tie", F.monotonically_increasing_id()).orderBy("g", "v", "tie").drop("tie")
     ordered = written(ordered.withColumns({"at": F.monotonically_increasing_id(), "part": F.spark_partition_id()}), "ranks")
-    one = (F.col("kind") == 1).cast("long")
-    runs = ordered.groupBy("g", "part").agg(F.sum(one).alias("n"))
+    runs = ordered.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n"))
     runs = runs.select("g", "part", F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = F.sum(one).over(W.partitionBy("g", "part").orderBy("at").rowsBetween(W.unboundedPreceding, 0))  # a sorted partition, not a group
-    told = ordered.withColumn("upto", upto).join(runs, ["g", "part"]).withColumn(name, F.col("upto") + F.col("before") - one)
-    return told.where("kind = 1").select("g", "row.*", name), told.where("kind <> 1").select("g", "ask.*", name)
-
-
-def chunks(rows: DataFrame, shift: int, longest: int) -> DataFrame:
-    """Of rows (g, node, at, rank) in the order of `at` within a node: g, node, chunk, digits, before (an array: rows of each child
-    in the chunks before). longest: rows of the largest node."""
-    digit = F.call_function("shiftright", F.col("rank"), F.lit(shift)).bitwiseAND(F.lit(FAN - 1)).cast("int")
-    chunk = F.floor(F.col("at") / FAN)
-    each = rows.groupBy("g", "node", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("at", digit.alias("digit")))).alias("d"))
-    each = each.select("g", "node", "chunk", F.floor(F.col("chunk") / TOGETHER).alias("super"), F.transform("d", lambda x: x["digit"]).alias("digits"))
-    of = lambda c: F.size(F.filter("digits", lambda x: x == c)).cast("long")
-    each = each.withColumns({f"n{c}": of(c) for c in range(FAN)})
-    before = W.partitionBy("g", "node", "super").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    inner = each.select("g", "node", "super", "chunk", "digits", F.array(*[F.coalesce(F.sum(f"n{c}").over(before), F.lit(0)) for c in range(FAN)]).alias("before"))
-    if longest <= FAN * TOGETHER:  # no node has chunks of two sums
-        return inner.drop("super")
-    earlier = W.partitionBy("g", "node").orderBy("super").rowsBetween(W.unboundedPreceding, -1)
-    totals = each.groupBy("g", "node", "super").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(FAN)])
-    totals = totals.select("g", "node", "super", F.array(*[F.coalesce(F.sum(f"n{c}").over(earlier), F.lit(0)) for c in range(FAN)]).alias("outer"))
-    return inner.join(totals, ["g", "node", "super"]).select("g", "node", "chunk", "digits", F.zip_with("before", "outer", lambda a, b: a + b).alias("before"))
-
-
-def counts_at(asks: DataFrame, table: DataFrame, end: str, name: str) -> DataFrame:
-    """asks (g, node, and `end`, a place) with `name`: how many rows of each child stand before that place."""
-    last = F.col(end) - 1  # the row before it is in a chunk that exists
-    found = asks.withColumn("__c", F.floor(last / FAN)).join(table.select("g", "node", F.col("chunk").alias("__c"), "digits", "before"), ["g", "node", "__c"], "left")
-    own = F.slice("digits", F.lit(1), (F.pmod(last, F.lit(FAN)) + 1).cast("int"))
-    counted = F.transform("before", lambda b, c: b + F.size(F.filter(own, lambda d: d == c)))
-    zeros = F.array_repeat(F.lit(0).cast("long"), FAN)
-    return found.withColumn(name, F.when(F.col(end) > 0, F.coalesce(counted, zeros)).otherwise(zeros)).drop("__c", "digits", "before")
-
-
-def prefix(values: Column) -> Column:
-    """Sums of what stands before each place of an array of FAN."""
-    return F.transform(values, lambda _, i: F.aggregate(F.slice(values, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    upto = F.row_number().over(W.partitionBy("g", "part").orderBy("at"))  # a sorted partition, not a group
+    return ordered.withColumn("upto", upto).join(runs, ["g", "part"]).withColumn("rank", F.col("upto") + F.col("before") - 1).drop("at", "part", "upto", "before")
+
+
+def slices(asks: pa.Table, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The values in the order of their places, and of each ask where its band begins and ends, and its rows."""
+    p, v = rows["p"].to_numpy(), rows["v"].to_numpy()
+    order = np.argsort(p, kind="stable")
+    left, right = np.searchsorted(p[order], asks["low"].to_numpy(), "left"), np.searchsorted(p[order], asks["high"].to_numpy(), "right")
+    return v[order], left, right, np.maximum(right - left, 0)
+
+
+def count_block(asks: pa.Table, rows: pa.Table) -> pa.Table:
+    """key, block and its count of the asks that have a row there."""
+    import pyarrow as pa
+
+    counts = slices(asks, rows)[3] if len(asks) and len(rows) else np.zeros(len(asks), dtype=np.int64)
+    some = np.flatnonzero(counts)
+    return pa.table({"key": asks["key"].take(some), "block": asks["block"].take(some), "own": pa.array(counts[some])})
+
+
+def solve_block(asks: pa.Table, rows: pa.Table) -> pa.Table:
+    """key, n and for each thing sought what this block knows of it: i, low, high, count."""
+    import pyarrow as pa
+
+    if not len(asks) or not len(rows):
+        asks = asks.slice(0, 0)
+    values, left, right, own = slices(asks, rows)
+    sought = {c: asks[c].combine_chunks() for c in ("i", "share", "bound")}
+    lengths = asks["i"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = {c: (x.flatten().to_numpy(zero_copy_only=False)) for c, x in sought.items()}
+    who = np.repeat(np.arange(len(asks)), lengths)
+    n, before = asks["n"].to_numpy()[who], asks["before"].to_numpy()[who]
+    share, bound = flat["share"].astype(float), flat["bound"].astype(float)
+    ends, wavelet = {}, Wavelet(values)
+    place = share * (n - 1)
+    for name, rank in (("low", np.floor(place)), ("high", np.ceil(place))):
+        k = np.where(np.isnan(rank), -1, rank).astype(np.int64) - before
+        mine = np.flatnonzero((k >= 0) & (k < own[who]) & ~np.isnan(rank))
+        got = np.full(len(who), np.nan)
+        got[mine] = wavelet.kth(left[who[mine]], right[who[mine]], k[mine])
+        ends[name] = np.ma.array(got, mask=np.isin(np.arange(len(who)), mine, invert=True))
+    asked = np.flatnonzero(np.isnan(share) & ~np.isnan(bound))
+    count = np.zeros(len(who), dtype=np.int64)
+    count[asked] = wavelet.below(left[who[asked]], right[who[asked]], bound[asked])
+    none = np.ones(len(who), dtype=bool)
+    none[asked] = False
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    listed = lambda x, mask=None: pa.ListArray.from_arrays(offsets, pa.array(x, mask=mask))
+    return pa.table({"key": asks["key"], "n": asks["n"], "i": listed(flat["i"].astype(np.int32)), "low": listed(ends["low"].data, np.ma.getmaskarray(ends["low"])), "high": listed(ends["high"].data, np.ma.getmaskarray(ends["high"])), "count": listed(count, none)})
 
 
 def band_statistics(rows: DataFrame, asks: DataFrame, seeks: str = "seeks") -> DataFrame:
     """What each ask wants to know of the values v of the rows (g, p, v) of its group with low <= p <= high.
 
-    asks: key, g, low, high, n (the rows of the band, where known; else null), `seeks`: an array of struct(i, share, bound): with a share the
-    quantile of it, else how many values are below the bound. Returns key, n, and `found`: an array of struct(i, low, high, share, count)
-    in the order of i: the two neighbours of a quantile, or the count."""
-    ends = asks.select("key", "g", seeks, F.explode(F.array(F.struct(F.col("low").alias("x"), F.lit(False).alias("after")), F.struct(F.col("high").alias("x"), F.lit(True).alias("after")))).alias("e"))
-    placed, at = ranks(rows, ends.select("key", "g", F.col("e.x").alias("x"), F.col("e.after").alias("after"), F.col("e.after").alias("upper")), "p", "at")
-    bounds = asks.select("key", "g", F.explode(seeks).alias("s")).where("s.bound IS NOT NULL").select("key", "g", F.col("s.bound").alias("x"), F.lit(False).alias("after"), F.col("s.i").alias("i"))
-    ranked, under = ranks(placed.select("g", "at", "v"), bounds, "v", "rank")
-    ranked = written(ranked, "band-rows")
-    most = ranked.agg(F.max("rank")).first()[0]
-    levels = 0 if most is None else max(0, math.ceil(math.log((most + 2) / FAN, FAN) - 1e-12))  # a bound may rank one beyond the last row
-    band = at.groupBy("key", "g").agg(F.max(F.when(~F.col("upper"), F.col("at"))).alias("l"), F.max(F.when(F.col("upper"), F.col("at"))).alias("r"))
-    band = band.withColumn("n", F.col("r") - F.col("l"))
-    # a quantile seeks two ranks, which are found apart
-    wanted = asks.select("key", F.explode(seeks).alias("s")).where("s.share IS NOT NULL").join(band, "key").where("n > 0")
-    place = F.col("s.share") * (F.col("n") - 1)
-    sought = wanted.select("key", "g", "n", "l", "r", F.explode(F.array(*[F.struct(F.col("s.i").alias("i"), F.lit(up).alias("upper"), f(place).cast("long").alias("k"), F.lit(False).alias("below"), F.lit(0).cast("long").alias("sum")) for up, f in ((False, F.floor), (True, F.ceil))])).alias("q"))
-    told = under.join(band, ["key", "g"]).where("n > 0").select("key", "g", "n", "l", "r", F.struct("i", F.lit(False).alias("upper"), F.col("rank").alias("k"), F.lit(True).alias("below"), F.lit(0).cast("long").alias("sum")).alias("q"))
-    state = sought.unionByName(told).groupBy("key", "g", "n", "l", "r").agg(F.collect_list("q").alias("qs")).withColumn("node", F.lit(0).cast("long"))
-    # asks are few bytes and much work: many tasks, however small the table
-    tasks = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = written(state.repartition(tasks, "key"), "band-asks")
-    at_level = ranked.withColumn("node", F.lit(0).cast("long"))
-    for level in range(levels):
-        shift = BITS * (levels - level)
-        table = written(chunks(at_level, shift, (most + 1) if level == 0 else min(most + 1, FAN << shift)), "band-chunks")  # read twice
-        met = counts_at(counts_at(state, table, "l", "left"), table, "r", "right")
-        met = met.withColumn("in", F.zip_with("right", "left", lambda a, b: a - b)).withColumn("less", prefix(F.col("in")))
-        upto = F.zip_with("less", "in", lambda a, b: a + b)
-        digit = lambda q: F.call_function("shiftright", q["k"], F.lit(shift)).bitwiseAND(F.lit(FAN - 1)).cast("int")
-        child = lambda q: F.when(q["below"], F.least(digit(q), F.lit(FAN - 1))).otherwise(F.size(F.filter("upto", lambda u: u <= q["k"])))
-        # the asks that go the same way go together
-        moved = F.transform("qs", lambda q: F.struct(q.alias("q"), child(q).alias("c")))
-        split = F.transform(F.array_distinct(F.transform("moved", lambda m: m["c"])), lambda c: F.struct(c.alias("c"), F.transform(F.filter("moved", lambda m: m["c"] == c), lambda m: m["q"]).alias("qs")))
-        down = met.withColumn("upto", upto).withColumn("moved", moved).select("key", "g", "n", "node", "left", "right", "less", F.inline(split))
-        get = lambda a: F.get(a, F.col("c"))
-        into = lambda q: F.struct(
-            q["i"].alias("i"), q["upper"].alias("upper"), F.when(q["below"], q["k"]).otherwise(q["k"] - F.col("first")).alias("k"), q["below"].alias("below"), F.when(q["below"], q["sum"] + F.col("first")).otherwise(q["sum"]).alias("sum")
-        )
-        state = down.select("key", "g", "n", get("left").alias("l"), get("right").alias("r"), (F.col("node") * FAN + F.col("c")).alias("node"), get("less").alias("first"), "qs")
-        state = state.withColumn("qs", F.transform("qs", into)).drop("first")
-        # a row's place in its child: the rows of its child before it
-        child_node = F.call_function("shiftright", F.col("rank"), F.lit(shift))
-        if level < levels - 1:
-            own = counts_at(at_level.withColumn("end", F.col("at")), table, "end", "before_it")
-            at_level = written(own.select("g", "v", "rank", F.get("before_it", child_node.bitwiseAND(F.lit(FAN - 1)).cast("int")).alias("at"), child_node.cast("long").alias("node")), "band-level")
-        else:
-            at_level = at_level.select("g", "v", "rank", "at", child_node.cast("long").alias("node"))
-    leaves = at_level.groupBy("g", "node").agg(F.sort_array(F.collect_list(F.struct("at", "rank", "v"))).alias("rows"))
-    got = state.join(leaves, ["g", "node"], "left")
-    inside = F.sort_array(F.transform(F.slice("rows", (F.col("l") + 1).cast("int"), (F.col("r") - F.col("l")).cast("int")), lambda x: F.struct(x["rank"].alias("rank"), x["v"].alias("v"))))
-    got = got.withColumn("inside", F.coalesce(inside, F.array().cast("array<struct<rank:bigint,v:double>>")))
-    each = got.select("key", "n", "inside", F.explode("qs").alias("q"))
-    value = F.when(~F.col("q.below"), F.get("inside", F.col("q.k").cast("int"))["v"])
-    count = F.when(F.col("q.below"), F.col("q.sum") + F.size(F.filter("inside", lambda x: x["rank"] < F.col("q.k"))))
-    answers = each.groupBy("key", "n", F.col("q.i").alias("i")).agg(F.max(F.when(~F.col("q.upper"), value)).alias("low"), F.max(F.when(F.col("q.upper"), value)).alias("high"), F.max(count).alias("count"))
-    return answers.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high", "count"))).alias("found"))
+    asks: key, g, low, high, `seeks`: an array of struct(i, share, bound): with a share the quantile of it, else how many values are below the
+    bound. Returns key, n (the rows of the band), and `found`: an array of struct(i, low, high, count) in the order of i: the two neighbours of
+    a quantile, or the count. An ask without rows has no row. What a task holds is a block of a group and a part of its asks."""
+    bound = lambda s: F.when(F.isnan(s["bound"]), float("inf")).otherwise(s["bound"])
+    asks = asks.where("low <= high").select("key", "g", "low", "high", F.transform(seeks, lambda s: s["i"].cast("int")).alias("i"), F.transform(seeks, lambda s: s["share"].cast("double")).alias("share"), F.transform(seeks, bound).alias("bound"))
+    asks, rows = written(asks, "band-asks"), written(rows.select("g", "p", "v"), "band-rows")
+    size = lambda n, least: F.greatest(F.lit(least), F.ceil(F.col(n) / MOST))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).join(asks.groupBy("g").agg(F.count(F.lit(1)).alias("asks")), "g")
+    sizes = written(sizes.select("g", size("rows", BLOCK_ROWS).alias("of_block"), F.ceil(F.col("rows") / size("rows", BLOCK_ROWS)).alias("blocks"), F.ceil(F.col("asks") / size("asks", PART_ASKS)).alias("parts")), "band-sizes")
+    if (sizes.agg(F.max("blocks")).first()[0] or 0) > 1:
+        rows = numbered(rows).join(sizes, "g").withColumn("block", F.floor(F.col("rank") / F.col("of_block")))
+    else:
+        rows = rows.join(sizes, "g").withColumn("block", F.lit(0).cast("long"))
+    shuffles, by = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("g", "block", "part")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(*by, "p", "v").repartition(shuffles, *by)
+    dealt = asks.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("of_block", "parts")
+    met = lambda df: df.repartition(shuffles, *by).groupBy(*by).cogroup(rows.groupBy(*by))
+    kind = asks.schema["key"].dataType.simpleString()
+    each = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = met(each.select(*by, "key", "low", "high")).applyInArrow(count_block, f"key {kind}, block bigint, own bigint")
+    run = W.partitionBy("key")
+    own = own.withColumns({"n": F.sum("own").over(run), "before": F.coalesce(F.sum("own").over(run.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    told = met(dealt.join(own, "key")).applyInArrow(solve_block, f"key {kind}, n bigint, i array<int>, low array<double>, high array<double>, count array<bigint>")
+    whole = told.groupBy("key", "n").agg(F.first("i").alias("i"), F.collect_list(F.struct("low", "high", "count")).alias("parts"))
+    over = lambda f, c: F.transform("i", lambda _, j: f(F.transform("parts", lambda x: F.get(x[c], j))))
+    total = lambda a: F.aggregate(a, F.lit(None).cast("long"), lambda s, x: F.coalesce(s + x, s, x))
+    whole = whole.select("key", "n", "i", over(F.array_max, "low").alias("low"), over(F.array_max, "high").alias("high"), over(total, "count").alias("count"))
+    return whole.select("key", "n", F.sort_array(F.arrays_zip("i", "low", "high", "count")).alias("found"))

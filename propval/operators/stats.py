@@ -167,7 +167,7 @@ def own_bands(valid: DataFrame, tiers: DataFrame, key: str, area: str, estimate:
     """key, n_ratios, __q, the shares of `predictive`, of the subjects whose pool is a price band of their own (tiers 0 and 2).
 
     valid: __area, p, v. The pairs that a join on the group would meet are counted first. If they are more than most_pairs, the bands' quantiles and counts
-    come from ranks (bands.band_statistics), without pairs; else from the join, which is faster where it is small."""
+    come from bands.band_statistics, without pairs; else from the join, which is faster where it is small."""
     group = lambda a: F.concat(F.lit("area "), F.col(a).cast("string"))
     asks = tiers.where("tier IN (0, 2)").select(F.col(key).alias("key"), F.when(F.col("tier") == 0, group(area)).otherwise("all").alias("g"), (F.col(estimate) * 0.5).alias("low"), (F.col(estimate) * 2.0).alias("high"), "__ask")
     rows = valid.where("p IS NOT NULL").select(F.explode(F.array(group("__area"), F.lit("all"))).alias("g"), "p", "v").join(asks.select("g").distinct(), "g", "left_semi")
@@ -205,6 +205,9 @@ def predictive(calibration: DataFrame, subjects: DataFrame, key: str, area: str,
     key, tier, n_ratios, value_qNN, p_within_10, p_within_20, p_at_least_ask of every subject; the distribution is null
     where the pool has fewer than LEAST_RATIOS ratios. A subject of unknown area or estimate gets the widest pool that fits. Pools
     that many subjects share (an area, everything) are summed up once; see own_bands for a subject's own price band."""
+    # both are read many times
+    calibration = written(calibration.select(area, predicted, ratio), "calibration")
+    subjects = written(subjects.select(*dict.fromkeys([key, area, estimate, ask])), "subjects")
     tiers = subjects.join(calibration_pool(calibration, subjects, key, area, predicted, estimate).select(key, "tier"), key)
     tiers = written(tiers.withColumn("__ask", F.try_divide(F.col(ask), F.col(estimate))), "tiers")
     valid = calibration.where(F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.abs(F.col(ratio)) < math.inf)).select(F.col(area).alias("__area"), F.col(predicted).cast("double").alias("p"), F.col(ratio).cast("double").alias("v"))

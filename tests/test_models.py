@@ -151,6 +151,28 @@ def test_band_statistics_equal_brute_force(spark, n):
         assert got[key]["found"][4]["count"] == sum(v < bound for v in inside)
 
 
+def test_band_statistics_over_blocks_of_values_and_parts_of_asks(spark, monkeypatch):
+    """Most bands reach the last place and every value is frequent; the results are exact however a group is cut."""
+    from propval.operators import bands
+
+    monkeypatch.setattr(bands, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(bands, "PART_ASKS", 20)
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 5 else "b", float(p), float(v)) for i, (p, v) in enumerate(zip(rng.integers(0, 40, 800), rng.integers(0, 9, 800)))]
+    asks = [(i, "ab"[i % 2], float(rng.integers(-9, 30)), 99.0 if i % 3 else 20.0, float(rng.integers(-1, 11)), float(rng.random())) for i in range(90)]
+    seeks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("share") if c == "b" else F.col(c).alias("share"), F.col("b").alias("bound") if c == "b" else F.lit(None).cast("double").alias("bound")) for i, c in enumerate(["s", "b"])])
+    df = spark.createDataFrame(asks, "key int, g string, low double, high double, b double, s double").select("key", "g", "low", "high", seeks.alias("seeks"))
+    got = {r["key"]: r for r in bands.band_statistics(spark.createDataFrame(rows, "g string, p double, v double").repartition(3), df).collect()}
+    for key, g, low, high, bound, share in asks:
+        inside = sorted(v for h, p, v in rows if h == g and low <= p <= high)
+        if not inside:
+            assert key not in got
+            continue
+        at = share * (len(inside) - 1)
+        x = got[key]["found"]
+        assert (got[key]["n"], x[0]["low"], x[0]["high"], x[1]["count"]) == (len(inside), inside[math.floor(at)], inside[math.ceil(at)], sum(v < bound for v in inside))
+
+
 def test_predictive_is_the_same_by_ranks_and_by_pairs(spark):
     from propval.operators import stats
 
