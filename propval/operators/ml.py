@@ -157,16 +157,44 @@ def prepared(df: DataFrame, spec: Spec, medians: dict[str, float], modes: dict[s
     return out.withColumns({f"{c}__cat": F.coalesce(F.col(c).cast("string"), F.lit((modes or {}).get(c, MISSING))) for c in spec.categorical})
 
 
-def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: bool = False) -> Fitted:
-    """Fits on the rows whose target exists. Levels and medians come from the training rows alone; new levels share a bucket.
+@dataclass
+class Ready:
+    """Training rows as every configuration of a feature set reads them, held until `release`."""
 
-    With early_stop, boosting ends once a hashed share of the rows is predicted no better."""
-    start = time.perf_counter()
+    rows: DataFrame
+    medians: dict[str, float]
+    modes: dict[str, str]
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def numbers_of(spec: Spec) -> list[str]:
+    return [f"{c}__in" for c in spec.numeric] + [f"{c}__missing" for c in spec.numeric]
+
+
+def ready(train: DataFrame, spec: Spec, early_stop: bool = False) -> Ready:
+    """The rows whose target exists, imputed from these rows alone."""
     train = train.withColumn("__y", target_column(spec)).where(F.col("__y").isNotNull() & ~F.isnan("__y"))
     medians = exact_medians(train, spec.numeric)
     modes = most_frequent(train, spec.categorical) if spec.missing == "most_frequent" else {}
-    rows = prepared(train, spec, medians, modes)
-    numbers = [f"{c}__in" for c in spec.numeric] + [f"{c}__missing" for c in spec.numeric]
+    numbers = numbers_of(spec)
+    held = F.pmod(F.xxhash64("__y", *numbers), F.lit(1000)) < int(1000 * STOP_SHARE)
+    rows = prepared(train, spec, medians, modes).select("__y", *numbers, *[f"{c}__cat" for c in spec.categorical], *([held.alias("__stop")] if early_stop else []))
+    # trees pass over the rows once a level: few rows in many tasks are all overhead
+    tasks = max(1, -(-rows.count() // ROWS_OF_TASK))
+    if tasks < rows.rdd.getNumPartitions():
+        rows = rows.repartition(tasks)
+    return Ready(rows.persist(), medians, modes)
+
+
+def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: bool = False, made: Ready | None = None) -> Fitted:
+    """Fits on the rows whose target exists. Levels and medians come from the training rows alone; new levels share a bucket.
+
+    With early_stop, boosting ends once a hashed share of the rows is predicted no better. `made`, if given, is what `ready` made of the same rows (its time is not counted)."""
+    start = time.perf_counter()
+    own = made or ready(train, spec, early_stop)
+    rows, numbers = own.rows, numbers_of(spec)
     stages: list = []
     cats = list(spec.categorical)
     if cats:
@@ -192,19 +220,12 @@ def fit(family: str, config: dict, train: DataFrame, spec: Spec, early_stop: boo
         stages.append(GBTRegressor(seed=42, maxBins=64, lossType=loss, checkpointInterval=10, **config, **common, **stop))
     else:
         raise ValueError(family)
-    held = F.pmod(F.xxhash64("__y", *numbers), F.lit(1000)) < int(1000 * STOP_SHARE)
-    rows = rows.select("__y", *numbers, *[f"{c}__cat" for c in cats], *([held.alias("__stop")] if early_stop else [])).persist()
-    held = [rows]
     try:
-        # trees pass over the rows once a level: few rows in many tasks are all overhead
-        tasks = max(1, -(-rows.count() // ROWS_OF_TASK))
-        if tasks < rows.rdd.getNumPartitions():
-            held.append(rows.repartition(tasks).persist())
-        model = Pipeline(stages=stages).fit(held[-1])
+        model = Pipeline(stages=stages).fit(rows)
     finally:
-        for h in held:
-            h.unpersist()
-    return Fitted(spec, medians, model, time.perf_counter() - start, {"family": family, "config": config, "retrospective_static_context": True}, modes)
+        if made is None:
+            own.release()
+    return Fitted(spec, own.medians, model, time.perf_counter() - start, {"family": family, "config": config, "retrospective_static_context": True}, own.modes)
 
 
 def described(fitted: Fitted) -> dict:
@@ -253,17 +274,23 @@ def select_and_refit(families: Sequence[str], specs: dict[str, Spec], developmen
     chosen, if given, gets the winners as fitted on development: their validation predictions are free of the validation year."""
     log, out = [], {}
     for set_name, spec in specs.items():
+        made, winners = ready(development, spec, early_stop), {}
         for family in families:
             trials, best = [], None
             for config in (grid or GRID)[family]:
-                fitted = fit(family, config, development, spec, early_stop)
+                fitted = fit(family, config, development, spec, early_stop, made)
                 trials.append({"features": set_name, "family": family, "config": config, "mae": mae(predict(fitted, validation), spec.price, "prediction"), "seconds": fitted.seconds})
                 if trials[-1]["mae"] == min(t["mae"] for t in trials) and sum(t["mae"] == trials[-1]["mae"] for t in trials) == 1:
                     best = fitted
             log += trials
             if chosen is not None:
                 chosen[f"{family}_{set_name}"] = best
-            out[f"{family}_{set_name}"] = fit(family, min(trials, key=lambda t: t["mae"])["config"], final_train, spec, early_stop)
+            winners[family] = min(trials, key=lambda t: t["mae"])["config"]
+        made.release()
+        made = ready(final_train, spec, early_stop)
+        for family, config in winners.items():
+            out[f"{family}_{set_name}"] = fit(family, config, final_train, spec, early_stop, made)
+        made.release()
     return out, log
 
 

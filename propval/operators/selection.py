@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -98,11 +99,13 @@ def selected_few(df: DataFrame, by: str | None, column: str, probs: Sequence[flo
     kind = values.schema["g"].dataType
     while open_:
         spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).cast(kind).alias("g"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, (g, low, high, _) in enumerate(open_)])
+        # few values lie in an open interval: the others are dropped before each is looked up
+        inside = functools.reduce(Column.__or__, [F.col("g").eqNullSafe(F.lit(g).cast(kind)) & F.col("v").between(low, high) for g, low, high, _ in open_]) if len(open_) <= 64 else F.lit(True)
         own = F.get(F.filter(spans, lambda x: x["g"].eqNullSafe(F.col("g")) & F.col("v").between(x["low"], x["high"])), F.lit(0))
         span = F.col("m.high") - F.col("m.low")
         cut = F.least(F.floor((F.col("v") - F.col("m.low")) / span * PARTS), F.lit(PARTS - 1))
         cells: dict[int, list] = {}
-        for r in values.withColumn("m", own).where("m IS NOT NULL").groupBy("m.i", cut.alias("c")).agg(*extent).collect():
+        for r in values.where(inside).withColumn("m", own).where("m IS NOT NULL").groupBy("m.i", cut.alias("c")).agg(*extent).collect():
             cells.setdefault(r["i"], []).append(r)
         open_ = [x for i, (g, _, _, ranks) in enumerate(open_) for x in narrow(cells[i], g, ranks)]
 

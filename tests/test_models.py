@@ -186,3 +186,18 @@ def test_predictive_is_the_same_by_ranks_and_by_pairs(spark):
     for i, r in got[0].items():
         for c, v in r.asDict().items():
             assert got[1][i][c] == (v if v is None or isinstance(v, int) else pytest.approx(v)), (i, c)
+
+
+def test_configurations_share_their_training_rows(spark, monkeypatch):
+    """A search imputes the development rows once and the final rows once, whatever the number of configurations; each fit is as on its own."""
+    df = sales(spark, 300).withColumn("size", F.when(F.col("id") % 7 != 0, F.col("size")))
+    calls, inner = [], ml.exact_medians
+    monkeypatch.setattr(ml, "exact_medians", lambda *a: calls.append(1) or inner(*a))
+    spec = ml.Spec(["size"])
+    fitted, log = ml.select_and_refit(["ridge"], {"one": spec}, df.where("id % 3 = 0"), df.where("id % 3 = 1"), df.where("id % 3 < 2"))
+    assert len(calls) == 2 and len(log) == 4
+    best = min(log, key=lambda t: t["mae"])
+    alone = ml.fit("ridge", best["config"], df.where("id % 3 < 2"), spec)
+    assert alone.medians == fitted["ridge_one"].medians
+    got = [[r["prediction"] for r in ml.predict(f, df).orderBy("id").collect()] for f in (alone, fitted["ridge_one"])]
+    assert got[0] == pytest.approx(got[1])
