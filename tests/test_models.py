@@ -201,3 +201,18 @@ def test_configurations_share_their_training_rows(spark, monkeypatch):
     assert alone.medians == fitted["ridge_one"].medians
     got = [[r["prediction"] for r in ml.predict(f, df).orderBy("id").collect()] for f in (alone, fitted["ridge_one"])]
     assert got[0] == pytest.approx(got[1])
+
+
+def test_rounds_read_the_rows_of_the_round_before_alone(spark):
+    """Batches are routed as the expression routes rows, also for bins never split on; of the rounds' tables only the last is left."""
+    from propval import session
+
+    df = sales(spark, 300).withColumn("kind", F.lit("a"))
+    known = session.tables_written()
+    model = boosting.fit(df, ml.Spec(["size"], ["kind"]), boosting.Config(loss="huber", rounds=3, rate=0.5, depth=3, bins=8, min_leaf=10))
+    assert len([t for t in session.tables_written() - known if "boost-rows" in t]) == 1
+    odd = df.unionByName(df.limit(3).withColumns({"size": F.lit(None).cast("double"), "kind": F.lit("new")}))
+    for tree in model.trees:
+        rows = odd.select(F.lit(0.0).alias("__y"), F.lit(0.0).alias("__f"), boosting.binned(model, odd).cast("array<int>").alias("__x"))
+        got = boosting.routed(rows, tree.splits, model).withColumn("want", boosting.node_of(tree.splits, model)).select("node", "want").collect()
+        assert len(got) == 303 and all(r["node"] == r["want"] for r in got)
