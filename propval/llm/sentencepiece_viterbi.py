@@ -14,6 +14,9 @@ if and only if each piece is its own encoding after its left neighbour, that is,
 same two. So every boundary has exactly one valid incoming piece, and the same search finds it with that test
 (remembered per pair) in the place of the sum.
 
+What a further character does to the survivors depends on their texts and on the pieces that end in them alone. That is a state of the search; the state that follows
+it after a character is worked out once and remembered with it, so most characters cost one look-up. Paths, meetings and commitments are those of each text.
+
 What is committed between two places that no piece crosses depends on the characters between them alone; it is remembered by them.
 
 Null and empty texts have no ids. Decoding gives back every text that holds no U+2581 (which stands for the space,
@@ -24,12 +27,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import array
 import re
 import string
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
+from operator import attrgetter, getitem
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Remembered runs and pairs a worker; beyond, they are forgotten and computed again.
+#: Remembered runs, pairs and states a worker; beyond, they are forgotten and computed again.
 REMEMBERED = 250_000
 #: Ids in an output batch.
 BATCH_IDS = 2_000_000
@@ -110,17 +113,13 @@ class PieceModel:
         inner = [p for p in self.ids if len(p) > 1]
         used = set("".join(inner))
         self.breaks = "".join(c for c in "\n\t\r\v\f" if c not in used)
-        self.prefixes = {p[:k] for p in inner for k in range(1, len(p))}
-        #: Lengths, longest first, of the pieces that end in given characters: three, or two at the start of a run.
-        self.pairs = {p for p in inner if len(p) == 2}
-        sizes: dict[str, set[int]] = {p: {2} for p in self.pairs}
-        for p in inner:
-            if len(p) > 2:
-                sizes.setdefault(p[-3:], {2} if p[-2:] in self.pairs else set()).add(len(p))
-        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
+        prefixes = {p[:k] for p in inner for k in range(1, len(p))}
+        #: Each piece of several characters and each beginning of one: itself, whether it is a piece, whether a piece goes on from it.
+        self.grown = {p: (p, p in self.ids and len(p) > 1, p in prefixes) for p in prefixes.union(inner)}
         #: Punctuation that no piece holds after a letter or digit: another place where all paths meet.
         after = {p[i] for p in inner for i in range(1, len(p)) if p[i - 1].isalnum()}
         self.stops = "".join(c for c in string.punctuation if c not in after)
+        self.worth = {p: self.scores[k] for p, k in self.ids.items()}
         self.marks_lead = all(MARK not in p.lstrip(MARK) for p in inner)
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode("utf-8")
@@ -137,10 +136,29 @@ class PieceModel:
             return cls(f.read())
 
 
+class _State(dict):
+    """A state of the search: the texts from the survivors on (longest first, the last boundary's is empty), the piece that ends in each, and the pieces that may end in
+    the last boundary (`piece`: the only one, of a BPE model, and its ids; `ends`: all, shortest first, of a unigram model). It holds the states that followed it, by character."""
+
+    __slots__ = ("ends", "ids", "lefts", "piece", "search", "starts")
+
+    def __init__(self, search: Encoder, starts: tuple[str, ...] = ("",), lefts: tuple[str, ...] = ("",), piece: str = "", ends: tuple[str, ...] = ()) -> None:
+        self.search, self.starts, self.lefts, self.piece, self.ends = search, starts, lefts, piece, ends
+        self.ids = search.ids_of_piece(piece) if piece else b""
+
+    def __missing__(self, c: str) -> _State:
+        state = self[c] = self.search.following(self, c)
+        return state
+
+
 class Encoder:
     def __init__(self, model: PieceModel) -> None:
         self.m = model
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._alone: dict[str, list[tuple[float, str, str]] | None] = {}
+        self._states: dict[tuple, _State] = {}
+        self._start = _State(self)
+        self._ids = {p: np.int32(k).tobytes() for p, k in model.ids.items()}
         self._runs = _Runs(self)
         #: Meetings of all paths found so far, and the most characters that a window held.
         self.commits = self.widest = 0
@@ -151,72 +169,122 @@ class Encoder:
         self._split = re.compile(rf"{mark}*[^{mark}{stop}](?:{other}+|(?<![^\W_])[{punct}]+)*|{mark}+|[{stop}]" if mark and stop and punct else r"(?s).+")
 
     # BPE -----------------------------------------------------------------------------------------------
-    def _merged(self, text: str) -> list[str]:
-        """The defining procedure, for two joined pieces only: merge the best pair, leftmost first, until none is left."""
-        ids, scores, parts = self.m.ids, self.m.scores, list(text)
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and scores[k] > best:
-                    best, at = scores[k], i
-            if at < 0:
-                break
+    def _merged(self, text: str, seen: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """The defining procedure: merge the best pair, leftmost first, until none is left. `seen` gets each step's score and the first and last part before it."""
+        worth, parts = self.m.worth.get, list(text)
+        gains = [worth(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while gains and (best := max(gains)) > -np.inf:
+            at = gains.index(best)
+            if seen is not None:
+                seen.append((best, parts[0], parts[-1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = worth(parts[at - 1] + parts[at], -np.inf)
+            if at < len(gains):
+                gains[at] = worth(parts[at] + parts[at + 1], -np.inf)
         return parts
 
+    def _steps(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges of a piece alone, then one that is never made; None if it is not its own encoding."""
+        steps = self._alone.get(piece, 0)
+        if steps == 0:
+            if len(self._alone) >= REMEMBERED:
+                self._alone.clear()
+            steps = []
+            steps = self._alone[piece] = [*steps, (-np.inf, piece, piece)] if self._merged(piece, steps) == [piece] else None
+        return steps
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether the merges of the two joined are those of each alone: no pair across them is ever better than both sides' next (or as good, and not left of it)."""
+        one, two, worth = self._steps(left), self._steps(right), self.m.worth.get
+        if one is None or two is None:
+            return False
+        i = j = 0
+        while True:
+            (x, _, end), (y, begin, _) = one[i], two[j]
+            across = worth(end + begin, -np.inf)
+            if across > x and across >= y:
+                return False
+            if x >= y:
+                if x == -np.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def _fits(self, left: str, right: str) -> bool:
         known = self._pairs.get((left, right))
         if known is None:
             if len(self._pairs) >= REMEMBERED:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._merged(left + right) == ([left, right] if left else [right])
+            known = self._pairs[left, right] = self._apart(left, right) if left else self._steps(right) is not None
         return known
 
     # the search ----------------------------------------------------------------------------------------
+    def following(self, state: _State, c: str) -> _State:
+        """The state after one more character."""
+        bpe, grown = self.m.bpe, self.m.grown
+        starts, lefts, ends = [], [], []
+        for start, left in zip(state.starts, state.lefts, strict=True):
+            known = grown.get(start + c)
+            if known is not None:
+                text, whole, goes_on = known
+                if whole and not (bpe and (ends or not self._fits(left, text))):
+                    ends.append(text)
+                if goes_on:
+                    starts.append(text)
+                    lefts.append(left)
+        if not (bpe and ends):  # else the prefix's encoding ends in its last character
+            ends.append(c)
+        starts.append("")
+        lefts.append(ends[0] if bpe else "")
+        key = starts[0], tuple(lefts), () if bpe else tuple(reversed(ends))
+        found = self._states.get(key)
+        if found is None:
+            if len(self._states) >= REMEMBERED:
+                self._forget_states()
+            found = self._states[key] = _State(self, tuple(starts), key[1], lefts[-1], key[2])
+        return found
+
     def lots(self, chars: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of a stream of characters, in the lots in which they are committed: no later character can change them."""
-        m, ids, sizes, two, pairs, longest = self.m, self.m.ids, self.m.sizes, self.m.pairs, self._pairs, self.m.longest
-        window, n = "", 0  # characters from the last committed boundary on
-        piece, total = [""], [0.0]  # of each boundary: the piece that ends there, and its path's score
-        for c in chars:
-            window += c
-            n += 1
-            fit = sizes.get(window[-3:])
-            if fit is None:
-                fit = (2,) if n > 1 and window[-2:] in two else ()
-            chosen, best = c, 0.0
+        m, longest, chars = self.m, self.m.longest, iter(chars)
+        piece, total = [""], [0.0]  # of each boundary from the last committed one on: the piece that ends there, and its path's score
+        state, n = self._start, 0
+        while True:
+            room = max(longest - n, 1)  # nothing can be committed before the window is full
+            states = list(accumulate(islice(chars, room), getitem, initial=state))
+            state, came = states[-1], len(states) - 1
             if m.bpe:
-                for size in fit:
-                    if size <= n and (p := window[n - size :]) in ids:
-                        known = pairs.get((piece[n - size], p))
-                        if known or known is None and self._fits(piece[n - size], p):
-                            chosen = p
-                            break  # else the prefix's encoding ends in its last character
+                piece.extend(islice(map(attrgetter("piece"), states), 1, None))
             else:
-                best = total[n - 1] + m.score(c)
-                for size in reversed(fit):
-                    if size <= n and (p := window[n - size :]) in ids and (x := total[n - size] + m.score(p)) >= best:
-                        chosen, best = p, x
-            piece.append(chosen)
-            total.append(best)
-            if n >= longest and (done := self._meeting(window, piece, n)):
+                for s in islice(states, 1, None):
+                    n, best, chosen = len(piece), -np.inf, ""
+                    for p in s.ends:
+                        if (x := total[n - len(p)] + m.score(p)) >= best:
+                            chosen, best = p, x
+                    piece.append(chosen)
+                    total.append(best)
+            n = len(piece) - 1
+            if came < room:
+                break
+            if done := self._meeting(state, piece, n):
                 yield self._commit(piece, done, n)
-                window, n, piece, total = window[done:], n - done, piece[done:], total[done:]
+                n -= done
+                del piece[:done], total[:done]
         yield self._commit(piece, n, n)  # the end: all paths meet
 
-    def _meeting(self, window: str, piece: list[str], n: int) -> int:
+    def _meeting(self, state: _State, piece: list[str], n: int) -> int:
         """The last boundary that lies on the paths of all survivors."""
-        prefixes = self.m.prefixes
         at = n  # the only boundary that survives always
-        for b in range(max(0, n - self.m.longest + 1), n):
-            if window[b:] in prefixes:
-                x = b
-                while x != at:
-                    if x > at:
-                        x -= len(piece[x])
-                    else:
-                        at -= len(piece[at])
+        for start in state.starts:
+            x = n - len(start)
+            while x != at:
+                if x > at:
+                    x -= len(piece[x])
+                else:
+                    at -= len(piece[at])
         return at
 
     def _commit(self, piece: list[str], upto: int, n: int) -> list[str]:
@@ -232,17 +300,27 @@ class Encoder:
     def pieces_of(self, chars: Iterable[str]) -> Iterator[str]:
         return chain.from_iterable(self.lots(chars))
 
-    def ids_of_run(self, run: str) -> list[int]:
-        m, out = self.m, []
-        for p in self.pieces_of(run):
-            k = m.ids.get(p)
-            if k is not None:
-                out.append(k)
-            elif m.byte_ids:
-                out.extend(m.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(m.unknown)
-        return out
+    def ids_of_run(self, run: str) -> bytes:
+        """The ids as int32, one after the other."""
+        if not self.m.bpe or len(run) >= self.m.longest:
+            return b"".join(map(self.ids_of_piece, self.pieces_of(run)))
+        # as in `lots`, where the window is never full: all paths meet at the end
+        states, upto, out = list(accumulate(run, getitem, initial=self._start)), len(run), []
+        self.commits += 1
+        self.widest = max(self.widest, upto)
+        while upto:
+            state = states[upto]
+            out.append(state.ids)
+            upto -= len(state.piece)
+        out.reverse()
+        return b"".join(out)
+
+    def ids_of_piece(self, piece: str) -> bytes:
+        ids = self._ids.get(piece)
+        if ids is None:  # a character that is no piece
+            known = self.m.byte_ids
+            ids = np.array([known[b] for b in piece.encode("utf-8", "surrogatepass")] if known else [self.m.unknown], dtype=np.int32).tobytes()
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -254,9 +332,16 @@ class Encoder:
         return np.frombuffer(out, dtype=np.int32)
 
     def forget(self) -> None:
-        """Drops the remembered runs: the worker may live on, for other work."""
+        """Drops the remembered runs and states: the worker may live on, for other work."""
         self._runs.clear()
         self._runs.before = {}
+        self._forget_states()
+
+    def _forget_states(self) -> None:
+        for state in self._states.values():
+            state.clear()  # they hold one another
+        self._states.clear()
+        self._start.clear()
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.m.bytes_of.__getitem__, ids))
@@ -273,7 +358,7 @@ class _Runs(dict):
     def __missing__(self, run: str) -> bytes:
         ids = self.before.get(run)
         if ids is None:
-            ids = array.array("i", self.encoder.ids_of_run(run)).tobytes()
+            ids = self.encoder.ids_of_run(run)
         if len(run) <= 48:
             if len(self) >= REMEMBERED:
                 self.before = dict(self)

@@ -301,6 +301,50 @@ def test_every_run_of_documents_commits_within_the_window(spark):
     assert enc.commits - before > len(long) / (3 * longest) and enc.widest <= 4 * longest
 
 
+def test_states_of_the_search_are_worked_out_once(spark, monkeypatch):
+    enc = sp.Encoder(sp.PieceModel.load())
+    made, merged = [], []
+    following, merge = enc.following, enc._merged
+    monkeypatch.setattr(enc, "following", lambda *a: made.append(1) or following(*a))
+    monkeypatch.setattr(enc, "_merged", lambda *a: merged.append(1) or merge(*a))
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    for t in texts:
+        enc.encode(t)
+    runs = {m for t in texts for m in enc._split.findall(sp.MARK + t.replace(" ", sp.MARK))}
+    assert len(made) < sum(map(len, runs)) / 3  # each character of each run was a step of its own before
+    assert len(merged) < len(enc._pairs) / 5  # each pair was merged anew before
+    made.clear()
+    enc._runs.clear()
+    enc._runs.before = {}
+    for t in reversed(texts):
+        enc.encode(t)
+    assert not made
+
+
+def test_pairs_are_tested_as_merging_them_would():
+    enc = sp.Encoder(sp.PieceModel.load())
+    rng = np.random.default_rng(9)
+    pieces = [p for p in enc.m.ids if len(p) > 1]
+    fits = 0
+    for i, j in rng.integers(0, len(pieces), (3000, 2)):
+        k = int(rng.integers(1, len(pieces[i])))
+        for left, right in ((pieces[i], pieces[j]), (pieces[i][:k], pieces[i][k:] + pieces[j][:1]), ("Ж" * 3, pieces[j])):
+            assert enc._fits(left, right) == (enc._merged(left + right) == [left, right])
+            fits += enc._fits(left, right)
+    assert 500 < fits < 8500
+
+
+def test_few_remembered_states_change_nothing(monkeypatch):
+    usual, few = sp.encoder(), sp.Encoder(sp.PieceModel.load())
+    want = [usual.encode(t).tolist() for t in TEXTS]
+    monkeypatch.setattr(sp, "REMEMBERED", 20)
+    for t, ids in zip(TEXTS, want, strict=True):
+        assert few.encode(t).tolist() == ids
+        assert max(len(few._states), len(few._pairs), len(few._alone), len(few._runs)) <= 20
+    few.forget()
+    assert not few._states and not few._start
+
+
 def piece_model(scores):
     """A small unigram model in the library's file format."""
     import struct
