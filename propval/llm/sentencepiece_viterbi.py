@@ -157,6 +157,7 @@ class Encoder:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._alone: dict[str, list[tuple[float, str, str]] | None] = {}
         self._states: dict[tuple, _State] = {}
+        self._followed = 0  # remembered steps from state to state
         self._start = _State(self)
         self._ids = {p: np.int32(k).tobytes() for p, k in model.ids.items()}
         self._runs = _Runs(self)
@@ -224,6 +225,9 @@ class Encoder:
     # the search ----------------------------------------------------------------------------------------
     def following(self, state: _State, c: str) -> _State:
         """The state after one more character."""
+        if len(self._states) >= REMEMBERED or self._followed >= 2 * REMEMBERED:
+            self._forget_states()
+        self._followed += 1
         bpe, grown = self.m.bpe, self.m.grown
         starts, lefts, ends = [], [], []
         for start, left in zip(state.starts, state.lefts, strict=True):
@@ -242,8 +246,6 @@ class Encoder:
         key = starts[0], tuple(lefts), () if bpe else tuple(reversed(ends))
         found = self._states.get(key)
         if found is None:
-            if len(self._states) >= REMEMBERED:
-                self._forget_states()
             found = self._states[key] = _State(self, tuple(starts), key[1], lefts[-1], key[2])
         return found
 
@@ -342,6 +344,7 @@ class Encoder:
             state.clear()  # they hold one another
         self._states.clear()
         self._start.clear()
+        self._followed = 0
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.m.bytes_of.__getitem__, ids))

@@ -341,6 +341,10 @@ def test_few_remembered_states_change_nothing(monkeypatch):
     for t, ids in zip(TEXTS, want, strict=True):
         assert few.encode(t).tolist() == ids
         assert max(len(few._states), len(few._pairs), len(few._alone), len(few._runs)) <= 20
+        assert sum(map(len, [few._start, *few._states.values()])) <= 40
+    some = [chr(c) for c in np.random.default_rng(7).choice(np.arange(0x1F300, 0x1F30F), 3000)]  # in no piece: 15 states, 225 steps between them
+    assert few.encode("".join(some)).tolist() == usual.encode("".join(some)).tolist()
+    assert sum(map(len, [few._start, *few._states.values()])) <= 40
     few.forget()
     assert not few._states and not few._start
 
