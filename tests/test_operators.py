@@ -122,6 +122,42 @@ def test_comparables_are_measured_by_blocks_and_equal_the_pairs(spark):
         assert r.similar_comparable_count == (len(alike) or None) and r.similar_weighted_comp_ppm2 == (pytest.approx(sum(a * b for a, b in alike) / sum(a for a, _ in alike)) if alike else None)
 
 
+def test_dense_comparables_are_counted_as_sets_in_parts(monkeypatch):
+    """Windows as sets of bits, in several parts of days, places and targets, equal plain slices; also repeated and odd values."""
+    import numpy as np
+    import pandas as pd
+
+    for name, size in (("MASKS_AT_ONCE", 150_000), ("PLACES_AT_ONCE", 5_000), ("WORDS_AT_ONCE", 100)):
+        monkeypatch.setattr(comps, name, size)
+    rng = np.random.default_rng(3)
+    n = 3000
+    h = pd.DataFrame({"r_x": rng.integers(-60, 60, n) * 20.0, "r_y": rng.integers(-60, 60, n) * 20.0, "r_day": rng.integers(0, 1500, n), "p": rng.choice([rng.normal(0, 5), 7.0, -1e9, 1e9], n) + rng.integers(0, 40, n), "s": 50.0, "r": 2.0})
+    t = pd.DataFrame({"sale_id": range(300), "x": rng.integers(-6, 6, 300) * 20.0, "y": rng.integers(-6, 6, 300) * 20.0, "day": rng.integers(0, 1500, 300), "surface": 50.0, "rooms": 2.0})
+    one = (500, 365)
+    columns = [*comps.GATHERED, *[f"{comps.name_of(w)}_{c}" for w in comps.WINDOWS for c in ("count", "median_ppm2")], f"{comps.name_of(one)}_mad_ppm2"]
+    got = comps.measure_block(t, h, columns, 90, (1000, 730), comps.WINDOWS, True, one)
+    counts = comps.measure_block(t, h, [c for c in columns if c.endswith("_count")], 90, (1000, 730), comps.WINDOWS, False, None)
+    for i, r in t.iterrows():
+        d, age = np.hypot(h.r_x - r.x, h.r_y - r.y), r.day - h.r_day
+        near = (d <= 1000) & (age >= 90) & (age <= 730)
+        assert np.array_equal([got[c][i] for c in comps.GATHERED], [d[near].min(), age[near].median()], equal_nan=True)
+        for w in comps.WINDOWS:
+            p = h.p[near & (d <= w[0]) & (age <= w[1])]
+            assert got[f"{comps.name_of(w)}_count"][i] == counts[f"{comps.name_of(w)}_count"][i] == len(p)
+            assert np.array_equal(got[f"{comps.name_of(w)}_median_ppm2"][i], p.median(), equal_nan=True)
+            if w == one:
+                assert np.array_equal(got[f"{comps.name_of(w)}_mad_ppm2"][i], (p - p.median()).abs().median(), equal_nan=True)
+
+
+def test_comparable_quality_weighs_nothing(spark, monkeypatch):
+    """The counts tell where there is a weighted comparable; the weights themselves are not worked out."""
+    s = spark.createDataFrame([(i, date(2020, 1, 1) + timedelta(days=200 * i), 0.0, 1000.0 * (i == 3), 50.0, 2.0, 9.0) for i in range(5)], "sale_id int, sale_date date, x double, y double, surface double, rooms double, ppm2 double")
+    found = comps.coverage(s, s)
+    assert "weighted_comp_ppm2" not in found.columns
+    whole = {r.sale_id: r.weighted_comp_ppm2 is not None for r in comps.all_features(s, s).collect()}
+    assert {r.sale_id: r.covered for r in found.collect()} == whole and not whole[0] and whole[4]
+
+
 def test_cells_of_points_between_two_centres_are_the_smaller(spark):
     m = geo.CELL_METERS[8]
     for k in (-3, -1, 1, 5):  # x = 0 is as far from (q, k) as from (q + 1, k)
