@@ -216,3 +216,21 @@ def test_rounds_read_the_rows_of_the_round_before_alone(spark):
         rows = odd.select(F.lit(0.0).alias("__y"), F.lit(0.0).alias("__f"), boosting.binned(model, odd).cast("array<int>").alias("__x"))
         got = boosting.routed(rows, tree.splits, model).withColumn("want", boosting.node_of(tree.splits, model)).select("node", "want").collect()
         assert len(got) == 303 and all(r["node"] == r["want"] for r in got)
+
+
+def test_the_categorical_booster_is_fitted_whole_and_hundreds_of_trees_are_no_plan(spark):
+    """The reference's rounds, rate, depth and penalty; scores of many trees equal the expression of each."""
+    from propval.plans.queries import CATEGORICAL
+
+    assert (CATEGORICAL.rounds, CATEGORICAL.rate, CATEGORICAL.depth, CATEGORICAL.l2, CATEGORICAL.patience) == (650, 0.05, 7, 5.0, 0)
+    spec = ml.Spec(["size"], ["kind"], target="total")
+    config = boosting.Config(rounds=400, rate=0.05, depth=2, bins=8)
+    tree = lambda k: boosting.Tree({0: boosting.Split(0, "size", list(range(k % 5)) or [0], 1.0), 2: boosting.Split(2, "kind", [0, 2], 1.0)}, {1: 0.01 * k, 5: -0.02, 6: 0.001 * k}, {})
+    model = boosting.Model(spec, config, {"size": [1.0, 2.0, 3.0, 4.0]}, {"kind": ["a", "b"]}, 1.0, [tree(k) for k in range(400)])
+    df = spark.createDataFrame([(i, [None, 0.5, 1.5, 2.5, 3.5, 9.0][i % 6], ["a", "b", "c", None][i % 4]) for i in range(48)], "id int, size double, kind string").coalesce(2)
+    got = {r.id: r.prediction for r in boosting.predict(model, df).collect()}
+    few = boosting.Model(spec, config, model.edges, model.levels, model.base, model.trees[:5])
+    one = df.withColumn("__x", boosting.binned(few, df)).withColumn("f", sum((boosting.value_of(t, few) for t in few.trees), F.lit(1.0)))
+    want = {r.id: r.f for r in one.collect()}
+    assert len(got) == 48 and {r.id: r.prediction for r in boosting.predict(few, df).collect()} == {k: pytest.approx(max(math.expm1(v), 0.0)) for k, v in want.items()}
+    assert len(boosting.predict(model, df)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
