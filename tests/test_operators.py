@@ -149,6 +149,34 @@ def test_dense_comparables_are_counted_as_sets_in_parts(monkeypatch):
                 assert np.array_equal(got[f"{comps.name_of(w)}_mad_ppm2"][i], (p - p.median()).abs().median(), equal_nan=True)
 
 
+def test_dense_weights_look_at_similar_sales_alone(monkeypatch):
+    """Similar sales come from slices by rooms and surface, in several parts, with unknown, zero and odd values; all equal plain sums."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(comps, "MASKS_AT_ONCE", 100_000)
+    monkeypatch.setattr(comps, "PLACES_AT_ONCE", 5_000)
+    plain, looked = np.unpackbits, []
+    monkeypatch.setattr(np, "unpackbits", lambda a, **k: looked.append(a.size * 8) or plain(a, **k))
+    rng, nan = np.random.default_rng(4), np.nan
+    n, few = 4000, 200
+    h = pd.DataFrame({"r_x": rng.integers(-60, 60, n) * 20.0, "r_y": rng.integers(-60, 60, n) * 20.0, "r_day": rng.integers(0, 1500, n), "p": rng.uniform(1e3, 9e3, n), "s": rng.choice([nan, 0.0, -40.0, np.inf, *range(20, 140, 5)], n), "r": rng.choice([nan, *range(1, 8)], n)})
+    t = pd.DataFrame({"sale_id": range(few), "x": rng.integers(-6, 6, few) * 20.0, "y": rng.integers(-6, 6, few) * 20.0, "day": rng.integers(0, 1500, few), "surface": rng.choice([nan, 0.0, -40.0, 50.0, 70.0, 100.0], few), "rooms": rng.choice([nan, 2.0, 4.0, 6.5], few)})
+    got = comps.measure_block(t, h, list(comps.WEIGHTED), 90, (1000, 730), (), True, None)
+    for i, r in t.iterrows():
+        d, age = np.hypot(h.r_x - r.x, h.r_y - r.y), r.day - h.r_day
+        near = (d <= 1000) & (age >= 90) & (age <= 730)
+        w = np.exp(-d / 350 - (age - 90) / 240)[near]
+        want = [np.dot(w, h.p[near]) / w.sum(), w.sum() ** 2 / np.dot(w, w)] if near.any() else [nan, nan]
+        with np.errstate(all="ignore"):
+            ratio = h.s[near] / r.surface
+        alike = (ratio >= 0.7) & (ratio <= 1.3) & ~(np.abs(h.r[near] - r.rooms) > 1)
+        c = w[alike] * np.exp(-np.abs(np.log(ratio[alike])) / 0.25)
+        want += [alike.sum(), np.dot(c, h.p[near][alike]) / c.sum()] if alike.any() else [nan, nan]
+        assert np.allclose([got[k][i] for k in comps.WEIGHTED], want, rtol=1e-12, equal_nan=True), (i, r)
+    assert 0 < sum(looked) < few * n / 3  # far fewer than all pairs
+
+
 def test_comparable_quality_weighs_nothing(spark, monkeypatch):
     """The counts tell where there is a weighted comparable; the weights themselves are not worked out."""
     s = spark.createDataFrame([(i, date(2020, 1, 1) + timedelta(days=200 * i), 0.0, 1000.0 * (i == 3), 50.0, 2.0, 9.0) for i in range(5)], "sale_id int, sale_date date, x double, y double, surface double, rooms double, ppm2 double")
