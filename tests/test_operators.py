@@ -156,6 +156,7 @@ def test_dense_weights_look_at_similar_sales_alone(monkeypatch):
 
     monkeypatch.setattr(comps, "MASKS_AT_ONCE", 100_000)
     monkeypatch.setattr(comps, "PLACES_AT_ONCE", 5_000)
+    monkeypatch.setattr(comps, "FEW", 20)
     plain, looked = np.unpackbits, []
     monkeypatch.setattr(np, "unpackbits", lambda a, **k: looked.append(a.size * 8) or plain(a, **k))
     rng, nan = np.random.default_rng(4), np.nan
@@ -177,6 +178,22 @@ def test_dense_weights_look_at_similar_sales_alone(monkeypatch):
     assert 0 < sum(looked) < few * n / 3  # far fewer than all pairs
 
 
+def test_a_lone_comparable_is_weighed_as_in_the_sql():
+    """w * p / w is not always p, which shows where p lies between two rounded values: the weight has the SQL's bits."""
+    import numpy as np
+    import pandas as pd
+
+    for k in range(1, 200):
+        d, age, p = 3.0 * k, 90 + 3 * k, 3040.1871875 + k
+        h = pd.DataFrame({"r_x": [d, 3000.0], "r_y": 0.0, "r_day": [1000 - age, 995], "p": [p, 1.0], "s": 48.0, "r": 2.0})
+        t = pd.DataFrame({"sale_id": [1], "x": [0.0], "y": [0.0], "day": [1000], "surface": [50.0], "rooms": [2.0]})
+        got = comps.measure_block(t, h, list(comps.WEIGHTED), 90, (1000, 730), (), True, None)
+        if age <= 730:
+            w = (np.exp(np.array([-d / 350.0])) * np.exp(np.array([-(age - 90) / 240.0])))[0]
+            assert got.weighted_comp_ppm2[0] == w * p / w
+            assert got.similar_weighted_comp_ppm2[0] == pytest.approx(p, rel=1e-15)
+
+
 def test_comparable_quality_weighs_nothing(spark, monkeypatch):
     """The counts tell where there is a weighted comparable; the weights themselves are not worked out."""
     s = spark.createDataFrame([(i, date(2020, 1, 1) + timedelta(days=200 * i), 0.0, 1000.0 * (i == 3), 50.0, 2.0, 9.0) for i in range(5)], "sale_id int, sale_date date, x double, y double, surface double, rooms double, ppm2 double")
